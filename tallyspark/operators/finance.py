@@ -218,8 +218,8 @@ def portfolio_overview(company: DataFrame, flat: DataFrame, month_start: Column,
         (F.avg("roe") - F.avg("prior_roe")).alias("roe_delta"),
         (F.avg(growth) - F.avg(earlier)).alias("revenue_growth_delta"),
     )
-    total = company.agg(F.count(F.lit(1)).alias("total_companies"))
-    return agg.join(F.broadcast(total), F.lit(True)).withColumn(
+    total = company.agg(F.count(F.lit(1)).alias("total_companies")).scalar()
+    return agg.withColumn("total_companies", total).withColumn(
         "updated_pct_of_total", F.try_divide(F.col("companies_with_data") * 100.0, F.col("total_companies")))
 
 
@@ -248,9 +248,9 @@ def sector_rollup(company: DataFrame, flat: DataFrame, order: str = "label") ->
         F.bround(F.avg("net_margin"), 2).alias("avg_net_margin"),
         F.bround(F.bround(F.avg("financial_score"), 2), 0).alias("avg_financial_score"),
     )
-    total = per.agg(F.sum("total_revenue").alias("__t"))
-    return per.join(F.broadcast(total), F.lit(True)).withColumn(
-        "weight_pct", F.bround(F.try_divide(F.coalesce("total_revenue", F.lit(0.0)) * 100.0, F.col("__t")), 1)).drop("__t")
+    total = per.agg(F.sum("total_revenue").alias("t")).scalar()
+    return per.withColumn(
+        "weight_pct", F.bround(F.try_divide(F.coalesce("total_revenue", F.lit(0.0)) * 100.0, total), 1))
 
 
 def sector_performance(company: DataFrame, flat: DataFrame, k: int = 8, order: str = "label") -> DataFrame:

@@ -49,8 +49,8 @@ def default_year(survey: DataFrame) -> DataFrame:
 
 
 def latest_year_only(survey: DataFrame) -> DataFrame:
-    """Rows of the latest full year; the year is a one-row side, joined rather than collected."""
-    return survey.join(F.broadcast(default_year(survey)), "fiscal_year")
+    """Rows of the latest full year (a scalar subquery, so nothing is collected)."""
+    return survey.where(F.col("fiscal_year") == default_year(survey).scalar())
 
 
 def survey_currency(survey: DataFrame) -> DataFrame:
