@@ -88,8 +88,8 @@ def flat_to_line_items(spark, sf_dir):
 
 
 @query("year_over_year", fin_sql(f"""SELECT company_id, period, prior_period, round_even({pct('revenue', 'prior_revenue')}, 4) AS revenue_yoy,
- round_even({pct('net_income', 'prior_net_income')}, 4) AS net_income_yoy, CASE WHEN abs(net_margin - prior_net_margin) < 0.00001 THEN 0 ELSE round_even(net_margin - prior_net_margin, 4) END AS net_margin_delta,
- CASE WHEN abs(roe - prior_roe) < 0.00001 THEN 0 ELSE round_even(roe - prior_roe, 4) END AS roe_delta, recency FROM win""", "normalised"))
+ round_even({pct('net_income', 'prior_net_income')}, 4) AS net_income_yoy, CASE WHEN round_even(net_margin - prior_net_margin, 4) = 0 THEN 0 ELSE round_even(net_margin - prior_net_margin, 4) END AS net_margin_delta,
+ CASE WHEN round_even(roe - prior_roe, 4) = 0 THEN 0 ELSE round_even(roe - prior_roe, 4) END AS roe_delta, recency FROM win""", "normalised"))
 def year_over_year(spark, sf_dir):
     df = fin.yoy(fin.with_flat_ratios(flat(spark, sf_dir)))
     return df.select("company_id", "period", "prior_period",

@@ -158,17 +158,20 @@ SUBSCRIPTION = """
 SELECT o_custkey AS org_id, o_orderkey AS sub_id,
        CASE o_orderkey % 3 WHEN 0 THEN 'starter' WHEN 1 THEN 'standard' ELSE 'premium' END AS plan,
        CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS plan_rank,
-       CASE o_orderkey % 4 WHEN 0 THEN 12 WHEN 1 THEN 3 ELSE 1 END AS interval_months,
+       CASE WHEN o_orderkey % 4 = 0 THEN 12 WHEN o_orderkey % 4 = 1 THEN 3 ELSE 1 END AS interval_months,
        CASE o_orderkey % 2 WHEN 0 THEN 'KES' ELSE 'USD' END AS currency,
        CAST(floor(o_totalprice) AS BIGINT) AS price,
-       o_orderdate AS period_start,
-       o_orderstatus, o_orderpriority, o_orderdate AS created_at
+       CASE WHEN o_orderkey % 23 = 0 THEN 'pending' WHEN o_orderkey % 23 = 1 THEN 'cancelled' WHEN o_orderstatus = 'P' THEN 'trialing' ELSE 'active' END AS status,
+       CASE WHEN o_orderstatus = 'P' THEN o_orderdate + INTERVAL '14' DAY END AS trial_end,
+       CASE WHEN o_orderkey % 29 = 0 THEN NULL WHEN o_orderkey % 4 = 0 THEN o_orderdate + INTERVAL '12' MONTH
+            WHEN o_orderkey % 4 = 1 THEN o_orderdate + INTERVAL '3' MONTH ELSE o_orderdate + INTERVAL '1' MONTH END AS current_period_end,
+       o_orderpriority = '5-LOW' AS cancel_at_period_end, o_orderdate AS created_at
 FROM {orders}
 """
 
 INVOICE = """
 SELECT o_orderkey AS invoice_id, o_custkey AS org_id, CASE o_orderkey % 2 WHEN 0 THEN 'KES' ELSE 'USD' END AS currency,
-       CAST(floor(o_totalprice) AS BIGINT) AS total, o_orderdate AS issued_at,
+       CAST(floor(o_totalprice) AS BIGINT) AS total, o_orderdate AS issued_at, o_orderdate + INTERVAL '14' DAY AS due_at,
        CASE WHEN o_orderkey % 10 = 9 THEN 'void' ELSE 'open' END AS status
 FROM {orders}
 """
