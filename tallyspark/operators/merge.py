@@ -142,7 +142,7 @@ def exact_copies(items: DataFrame, keys: list[str], id_col: str = "id") -> DataF
 
 def newest_documents(docs: DataFrame) -> DataFrame:
     """Newest document per (company, content hash or url, period label), with how many copies it replaces."""
-    key = F.coalesce("sha256", "url")
+    key = F.coalesce("content_hash", "url")
     return docs.where(key.isNotNull()).groupBy("company_id", key.alias("doc_key"), "period_label").agg(
         F.max("id").alias("kept_id"), F.count(F.lit(1)).alias("copies"))
 

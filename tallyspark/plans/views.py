@@ -194,7 +194,37 @@ SELECT l_orderkey AS period_id, l_suppkey AS company_id, l_partkey AS person_no,
 FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey
 """
 
+# competing readings of a field, one per order
+READING = """
+SELECT o_orderkey AS reading_id, o_custkey % 200 AS company_id, 'FY' || CAST(year(o_orderdate) + 24 AS VARCHAR(4)) AS fiscal_year,
+       CASE o_orderkey % 5 WHEN 0 THEN 'board_size' WHEN 1 THEN 'turnover' WHEN 2 THEN 'net_profit' WHEN 3 THEN 'audit_fee' ELSE 'kmp_count' END AS field,
+       CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(floor(o_totalprice / 5000) AS DOUBLE) END AS value,
+       CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(o_orderkey % 10 AS DOUBLE) / 10.0 + 0.05 END AS confidence,
+       CASE WHEN o_orderkey % 37 = 0 THEN 'human' WHEN o_orderpriority = '2-HIGH' THEN 'rules' WHEN o_orderpriority = '5-LOW' THEN 'fallback' ELSE 'auto' END AS reader,
+       CASE o_orderpriority WHEN '1-URGENT' THEN 'from the document scan (page 3)' WHEN '2-HIGH' THEN 'from the board table on page 2' WHEN '3-MEDIUM' THEN ''
+            WHEN '5-LOW' THEN 'from AI extraction' ELSE 'entered manually: form upload 7' END AS source
+FROM {orders}
+"""
+
+DOC_META = """
+SELECT doc_id AS id, length(text) % 40 AS company_id, md5(text) AS content_hash, 'https://example.com/' || CAST(doc_id AS VARCHAR(20)) AS url,
+       'f' || CAST(doc_id % 90 AS VARCHAR(20)) || '.pdf' AS filename, 'FY' || CAST(2020 + length(text) % 3 AS VARCHAR(4)) AS period_label, n_chars
+FROM {documents}
+"""
+
+# a directors' register: person = part, one row per printed line
+REGISTER = """
+SELECT l_suppkey AS company_id, CAST(year(l_shipdate) AS INT) + 24 AS y, l_partkey AS person_no, p_name || ' ' || p_brand AS director_name,
+       CASE WHEN l_suppkey % 9 = 3 AND l_linenumber = 1 THEN 'unknown' WHEN l_linenumber <= 2 THEN 'executive' ELSE 'non_executive' END AS role,
+       CASE WHEN l_suppkey % 5 = 2 AND l_linenumber = 3 THEN NULL ELSE l_discount > 0.05 END AS independent,
+       CASE WHEN l_suppkey % 7 = 4 AND l_linenumber = 2 THEN '' WHEN l_tax > 0.04 THEN 'Female' ELSE 'Male' END AS gender,
+       CASE WHEN l_suppkey % 4 = 1 THEN NULL WHEN l_returnflag = 'A' THEN 'Kenyan ' ELSE 'British' END AS nationality,
+       CASE WHEN l_suppkey % 3 = 1 AND l_linenumber = 1 THEN NULL ELSE CAST(l_quantity AS DOUBLE) + 30 END AS age
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
+"""
+
 VIEWS = {
+    "reading": READING, "doc_meta": DOC_META, "register": REGISTER,
     "company": COMPANY, "survey": SURVEY, "benefits": BENEFITS, "financials": FINANCIALS, "fin_company": FIN_COMPANY,
     "activity": ACTIVITY, "subscription": SUBSCRIPTION, "invoice": INVOICE, "payment": PAYMENT, "pay_row": PAY_ROW,
 }
