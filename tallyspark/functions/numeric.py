@@ -62,8 +62,7 @@ def accounting_number(text) -> Column:
     """'(1,234)' -> -1234, '-' and 'nil' -> NULL, '12.5' -> 12.5; anything else NULL."""
     t = F.trim(_c(text))
     core = F.regexp_replace(t, r"[\s,()]", "")
-    value = F.try_to_number(core, F.lit("S999999999999999999.999999")).cast("double")
-    value = F.when(core.rlike(r"^-?\d+(\.\d+)?$"), core.try_cast("double")).otherwise(F.lit(None).cast("double"))
+    value = F.when(core.rlike(r"^-?\d+(\.\d+)?$"), core.try_cast("double"))
     return F.when(t.rlike(r"^\(.*\)$"), -value).otherwise(value)
 
 

@@ -1,4 +1,4 @@
 """Imports every query module so the registry is filled."""
 
 from .registry import ORACLES, QUERIES  # noqa: F401
-from . import activity, benchmark, finance, quality  # noqa: F401
+from . import activity, benchmark, filings, finance, quality  # noqa: F401
