@@ -28,12 +28,15 @@ def like_for_like(long: DataFrame, year: str, previous: str, least: int = 3) ->
         F.max(F.when(F.col("fiscal_year") == year, F.col("value"))).alias("now"),
         F.max(F.when(F.col("fiscal_year") == previous, F.col("value"))).alias("prev"),
     ).where("now IS NOT NULL AND prev IS NOT NULL")
-    now = stats.percentiles(picked, ["metric", "kind"], "now", (0.5,), ["m_now"], least, None,
-                            extra=[F.count_if(F.col("now") > F.col("prev")).alias("rose"),
-                                   F.count_if(F.col("now") < F.col("prev")).alias("fell")])
-    prev = stats.percentiles(picked, ["metric", "kind"], "prev", (0.5,), ["m_prev"], least, None).drop("n")
+    # both years in one pass: the side is part of the group
+    sides = picked.select("metric", "kind", "now", "prev", F.explode(F.map_from_arrays(F.array(F.lit("now"), F.lit("prev")), F.array("now", "prev"))).alias("side", "v"))
+    med = stats.percentiles(sides, ["metric", "kind", "side"], "v", (0.5,), ["m"], least, None, extra=[
+        F.count_if(F.col("now") > F.col("prev")).alias("rose"), F.count_if(F.col("now") < F.col("prev")).alias("fell")])
+    now = med.groupBy("metric", "kind").agg(
+        F.max("n").alias("n"), F.max("rose").alias("rose"), F.max("fell").alias("fell"),
+        F.max(F.when(F.col("side") == "now", F.col("m"))).alias("m_now"), F.max(F.when(F.col("side") == "prev", F.col("m"))).alias("m_prev"))
     enough, pts = F.col("n") >= least, F.col("kind") == "pct"
-    return now.join(prev, ["metric", "kind"]).select(
+    return now.select(
         "metric", F.col("n").alias("like_for_like"),
         F.when(~pts, F.bround(pct_change("m_now", "m_prev"), 1)).alias("change_pct"),
         F.when(pts, F.bround(F.col("m_now") - F.col("m_prev"), 1)).alias("change_pts"),

@@ -245,23 +245,15 @@ def survey(spark: SparkSession, sf_dir: str, maps: bool = False) -> DataFrame:
     df = view(spark, sf_dir, "survey")
     if not maps:
         return df
-    n, u = F.col("n_lines"), F.col("n_units")
-    benefits = F.array(*[
-        F.when((u + i * 3) % 4 != 1, F.struct(
-            F.lit(k).alias("key"),
-            F.struct(((n + i) % 3 == 0).alias("provided"),
-                     F.when((u + i) % 4 == 0, F.concat(F.lit("see note "), F.lit(str(i)))).alias("detail")).alias("value"),
-        )) for i, k in enumerate(fl.BENEFIT_KEYS)
-    ])
-    confidence = F.array(*[
-        F.when((n + len(f)) % 2 == 0, F.struct(
-            F.lit(f).alias("key"), (((u + len(f) * 3) % 10).cast("double") / 10.0 + 0.05).alias("value"),
-        )) for f in fl.KIND
-    ])
+    benefits = ", ".join(
+        f"CASE WHEN (n_units + {i * 3}) % 4 <> 1 THEN struct('{k}' AS key, struct((n_lines + {i}) % 3 = 0 AS provided, "
+        f"CASE WHEN (n_units + {i}) % 4 = 0 THEN 'see note {i}' END AS detail) AS value) END" for i, k in enumerate(fl.BENEFIT_KEYS))
+    confidence = ", ".join(
+        f"CASE WHEN (n_lines + {len(f)}) % 2 = 0 THEN struct('{f}' AS key, CAST((n_units + {len(f) * 3}) % 10 AS DOUBLE) / 10.0D + 0.05D AS value) END"
+        for f in fl.KIND)
     return df.select(
-        "*", F.map_from_entries(F.array_compact(benefits)).alias("ned_benefits"),
-        F.map_from_entries(F.array_compact(confidence)).alias("field_confidence"),
-    )
+        "*", F.expr(f"map_from_entries(array_compact(array({benefits}))) AS ned_benefits"),
+        F.expr(f"map_from_entries(array_compact(array({confidence}))) AS field_confidence"))
 
 
 def _used(sql: str) -> list[str]:
