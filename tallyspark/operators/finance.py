@@ -347,6 +347,8 @@ def matched_cohort(rows: DataFrame, years: list[str], key: str = "company_id") -
 def align_statements(items: DataFrame, periods: int = 3) -> DataFrame:
     """Line items of each company's newest periods side by side, keyed by normalised name else label.
 
+    Sort by (first_recency, first_order, line_key) for the order of first appearance, newest period first.
+
     ``items`` has company_id, statement_type, recency (1 = newest), normalized_name, label, amount, order_index.
     """
     key = F.coalesce("normalized_name", "label")
@@ -360,7 +362,7 @@ def align_statements(items: DataFrame, periods: int = 3) -> DataFrame:
         F.coalesce(*[F.col(f"c{i}.label") for i in range(1, periods + 1)]).alias("label"),
         *[F.col(f"c{i}.amount").alias(f"amount_{i}") for i in range(1, periods + 1)],
         pct_change(F.col("c1.amount"), F.col("c2.amount")).alias("yoy_change_pct"),
-        F.row_number().over(W.partitionBy("company_id", "statement_type").orderBy("first_seen", "line_key")).alias("position"))
+        F.col("first_seen.recency").alias("first_recency"), F.col("first_seen.order_index").alias("first_order"))
 
 
 def prior_period(periods: DataFrame) -> DataFrame:

@@ -122,8 +122,10 @@ def match_filename(files: DataFrame, company: DataFrame, survey_years: DataFrame
 def same_person_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of names (name_a, name_b) that are one person, within the block keys.
 
-    Candidates share a letter pair of some name word (words that are 0.75 alike always do), so no pair is lost and
-    unrelated names of a large block never meet.
+    Two names of two or more words that are one person have two words in common, each exact, alike (0.85), or - one of
+    them - badly spelt (0.75) beside an exact one. Alike words of five letters share a letter pair, badly spelt ones a
+    letter. So candidates meet on (word, letter of another word) or on two letter pairs from two words: no pair is
+    lost, and two names of a large board that merely share a common word rarely meet.
     """
     def words(col: str) -> Column:
         parts = F.transform(F.split(F.lower(F.col(col)), r"[\s\-]+"), lambda t: F.regexp_replace(t, r"^[.,*]+|[.,*]+$", ""))
@@ -132,8 +134,19 @@ def same_person_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
     def blocked(df: DataFrame, col: str) -> DataFrame:
         d = df.select(*keys, F.col("director_name").alias(col)).where(F.col(col).isNotNull()).distinct().withColumn(f"w_{col}", words(col))
-        grams = F.flatten(F.transform(f"w_{col}", lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))))
-        return d.withColumn("g", F.explode(F.array_distinct(grams)))
+        w = F.col(f"w_{col}")
+        grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))
+        pair = lambda x, y: F.when(x <= y, F.concat(x, F.lit("+"), y)).otherwise(F.concat(y, F.lit("+"), x))
+
+        def over_others(make) -> Column:
+            """All signatures ``make(word, other word)`` gives over the ordered pairs of different words."""
+            return F.flatten(F.transform(w, lambda x: F.flatten(F.transform(F.filter(w, lambda y: y != x), lambda y: make(x, y)))))
+
+        exact = over_others(lambda x, y: F.transform(F.array_distinct(F.split(y, "")), lambda c: F.concat(F.lit("="), x, F.lit("/"), c)))
+        alike = over_others(lambda x, y: F.flatten(F.transform(grams(x), lambda g: F.transform(grams(y), lambda h: pair(g, h)))))
+        single = F.transform(grams(F.try_element_at(w, F.lit(1))), lambda g: F.concat(F.lit("1:"), g))
+        signatures = F.when(F.size(w) == 1, single).otherwise(F.concat(exact, alike))
+        return d.withColumn("g", F.explode(F.array_distinct(signatures)))
 
     pairs = blocked(a, "name_a").join(blocked(b, "name_b"), [*keys, "g"]).drop("g").distinct()
     wa, wb = F.col("w_name_a"), F.col("w_name_b")

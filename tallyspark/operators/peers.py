@@ -30,7 +30,7 @@ def like_for_like(long: DataFrame, year: str, previous: str, least: int = 3) ->
     ).where("now IS NOT NULL AND prev IS NOT NULL")
     # both years in one pass: the side is part of the group
     sides = picked.select("metric", "kind", "now", "prev", F.explode(F.map_from_arrays(F.array(F.lit("now"), F.lit("prev")), F.array("now", "prev"))).alias("side", "v"))
-    med = stats.percentiles(sides, ["metric", "kind", "side"], "v", (0.5,), ["m"], least, None, extra=[
+    med = stats.percentiles(sides, ["metric", "kind", "side"], "v", (0.5,), ["m"], least, None, few_groups=True, extra=[
         F.count_if(F.col("now") > F.col("prev")).alias("rose"), F.count_if(F.col("now") < F.col("prev")).alias("fell")])
     now = med.groupBy("metric", "kind").agg(
         F.max("n").alias("n"), F.max("rose").alias("rose"), F.max("fell").alias("fell"),

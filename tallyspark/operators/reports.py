@@ -164,12 +164,42 @@ def period_report(rows: DataFrame) -> DataFrame:
     return rows.select("company_id", "period", F.filter(lines, lambda x: x["current"].isNotNull() & x["prior"].isNotNull()).alias("yoy"))
 
 
-def company_dossier(survey: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
-    """One nested record per company-year: each child is grouped first, so the joins are one row to one row."""
-    out = survey
+def company_dossier(parts: dict[str, DataFrame]) -> DataFrame:
+    """Everything on file for each company-year as (company_id, fiscal_year, section, record): one JSON record per row.
+
+    Sections stay rows, so a company-year with most of the documents is never gathered into one list.
+    """
+    out = None
     for name, df in parts.items():
         rest = [c for c in df.columns if c not in ("company_id", "fiscal_year")]
-        # children of one company-year (conflicts, documents, directors) are printed lists, small by nature
-        grouped = df.groupBy("company_id", "fiscal_year").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias(name))
-        out = out.join(grouped, ["company_id", "fiscal_year"], "left").withColumn(name, F.coalesce(name, F.array()))
+        rows = df.select("company_id", "fiscal_year", F.lit(name).alias("section"), F.to_json(F.struct(*rest)).alias("record"))
+        out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def flatten_record(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, path, value) for every leaf of a nested struct column; paths are joined with ' / '."""
+    leaves = []
+
+    def walk(dtype, col: Column, path: str) -> None:
+        for f in dtype.fields:
+            p = f"{path} / {f.name}" if path else f.name
+            if f.dataType.typeName() == "struct":
+                walk(f.dataType, col[f.name], p)
+            else:
+                leaves.append(F.struct(F.lit(p).alias("path"), col[f.name].cast("string").alias("value")))
+
+    walk(df.schema[column].dataType, F.col(column), "")
+    return df.select(*keys, F.explode(F.array(*leaves)).alias("x")).select(*keys, "x.*")
+
+
+def tables_open(company_years: DataFrame, present: dict[str, DataFrame], conflicts: DataFrame) -> DataFrame:
+    """What is still empty per company-year: one flag per missing row set, plus open conflicts."""
+    out = company_years.select("company_id", "fiscal_year")
+    for name, df in present.items():
+        have = df.select("company_id", "fiscal_year").distinct().withColumn(f"__{name}", F.lit(True))
+        out = out.join(have, ["company_id", "fiscal_year"], "left")
+    n = conflicts.groupBy("company_id", "fiscal_year").agg(F.count(F.lit(1)).alias("open_conflicts"))
+    out = out.join(n, ["company_id", "fiscal_year"], "left")
+    gaps = F.array_compact(F.array(*[F.when(F.col(f"__{k}").isNull(), k) for k in present]))
+    return out.select("company_id", "fiscal_year", gaps.alias("empty_tables"), F.coalesce("open_conflicts", F.lit(0)).alias("open_conflicts"))

@@ -59,9 +59,9 @@ def _same(keys: Sequence[str]):
     return [f"__{k}" for k in keys]
 
 
-def _join_keys(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on null-safe keys, keeping the left names."""
-    renamed = small
+def _join_keys(df: DataFrame, small: DataFrame, keys: Sequence[str], few: bool = False) -> DataFrame:
+    """Inner join on null-safe keys, keeping the left names. ``few`` marks a right side of proven small size."""
+    renamed = F.broadcast(small) if few else small
     for k in keys:
         renamed = renamed.withColumnRenamed(k, f"__{k}")
     cond = [df[k].eqNullSafe(renamed[f"__{k}"]) for k in keys]
@@ -79,12 +79,16 @@ def percentiles(
     digits: int | None = 2,
     extra: Sequence[Column] = (),
     accuracy: int = SKETCH_ACCURACY,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Exact percentiles (linear interpolation on (n-1)*p) of ``value`` per group.
 
     Three map-side-combined aggregations: a sketch brackets each percentile, then rows outside the brackets fold into
     at most ``len(ps)+1`` counted cells per group, and rows inside are counted per distinct value (about 6/accuracy of
     the group). Returns the keys, ``n``, one column per percentile and the ``extra`` aggregates.
+
+    ``few_groups``: the keys are a short list by nature (fiscal years x catalogue metrics), so the sketches are broadcast
+    and the values never shuffle by a hot year. Otherwise the join is left to Spark (size-based, skew-aware).
     """
     ps = sorted(ps)
     names = list(names or [f"p{round(p * 100)}" for p in ps])
@@ -99,19 +103,20 @@ def percentiles(
         *extra,
     )
     extra_names = [c for c in sketch.columns if c not in (*keys, "n", "__b")]
-    cut = _join_keys(rows.select(*keys, v.alias("__v")), sketch.select(*keys, "__b"), keys)
+    # one join: the group's sketch, count and extras travel along with its values
+    cut = _join_keys(rows.select(*keys, v.alias("__v")), sketch, keys, few_groups)
     inside, gap = F.lit(False), F.lit(0)
     for i in range(len(ps)):
         lo, hi = F.col("__b")[2 * i], F.col("__b")[2 * i + 1]
         inside = inside | F.col("__v").between(lo, hi)
         gap = gap + F.when(F.col("__v") > hi, 1).otherwise(0)
+    carried = [F.max(c).alias(c) for c in ("n", *extra_names)]
     cells = (
         cut.groupBy(*keys, F.when(inside, F.col("__v")).alias("__in"), F.when(~inside, gap).alias("__gap"))
-        .agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        .agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), *carried)
     )
     order = W.partitionBy(*keys).orderBy("__lo") if keys else W.partitionBy(F.lit(1)).orderBy("__lo")
     ladder = cells.withColumn("__cum", F.sum("__c").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    ladder = _join_keys(ladder, sketch.select(*keys, "n"), keys)
 
     def at_rank(r: Column) -> Column:
         hit = (F.col("__cum") >= r) & (F.col("__cum") - F.col("__c") < r)
@@ -123,7 +128,7 @@ def percentiles(
         f = F.floor(k)
         v1, v2 = at_rank(f + 1), at_rank(F.least(f + 2, F.col("n")))
         aggs.append((v1 + (v2 - v1) * F.max(k - f)).alias(name))
-    out = _join_keys(sketch.drop("__b"), ladder.groupBy(*keys).agg(*aggs), keys)
+    out = ladder.groupBy(*keys).agg(*aggs, *carried)
     shaped = [
         F.when(F.col("n") >= min_count, F.bround(n_, digits) if digits is not None else F.col(n_)).alias(n_)
         for n_ in names
@@ -131,7 +136,7 @@ def percentiles(
     return out.select(*keys, "n", *shaped, *extra_names)
 
 
-def value_positions(df: DataFrame, keys: Sequence[str], value: str, cuts: int = 64) -> DataFrame:
+def value_positions(df: DataFrame, keys: Sequence[str], value: str, cuts: int = 64, few_groups: bool = False) -> DataFrame:
     """(keys, value, equal, below, n): for each distinct value, how many rows of its group equal it and lie below it.
 
     Ranks, percentile positions and tie counts all follow from these numbers. Values are spread over ``cuts`` buckets
@@ -144,7 +149,7 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, cuts: int =
         F.count(F.lit(1)).alias("n"), F.percentile_approx(value, probs, F.lit(cuts * 20)).alias("__s")
     )
     counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("equal"))
-    counted = _join_keys(counted, splits, keys).withColumn(
+    counted = _join_keys(counted, splits, keys, few_groups).withColumn(
         "__b", F.size(F.filter("__s", lambda s: s < F.col(value)))
     ).drop("__s")
     totals = counted.groupBy(*keys, "__b").agg(F.sum("equal").alias("__t"))
@@ -153,7 +158,7 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, cuts: int =
         *keys, "__b",
         (F.sum("__t").over(by_key.orderBy("__b").rowsBetween(W.unboundedPreceding, 0)) - F.col("__t")).alias("__off"),
     )
-    placed = _join_keys(counted, offsets, [*keys, "__b"])
+    placed = _join_keys(counted, offsets, [*keys, "__b"], few_groups)
     inner = W.partitionBy(*keys, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     return placed.select(
         *keys, value, "equal",
@@ -161,21 +166,25 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, cuts: int =
     )
 
 
-def with_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows with a value, plus ``equal``, ``below``, ``n`` of their group."""
-    return _join_keys(df.where(F.col(value).isNotNull()), value_positions(df, keys, value), [*keys, value])
+def with_positions(df: DataFrame, keys: Sequence[str], value: str, few_groups: bool = False) -> DataFrame:
+    """Rows with a value, plus ``equal``, ``below``, ``n`` of their group.
+
+    The way back to the rows is a join on (keys, value) against one row per value: a hot value is split by skew handling.
+    """
+    return _join_keys(df.where(F.col(value).isNotNull()), value_positions(df, keys, value, few_groups=few_groups), [*keys, value])
 
 
-def competition_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank", low_is_good: bool = False) -> DataFrame:
+def competition_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank", low_is_good: bool = False,
+                     few_groups: bool = False) -> DataFrame:
     """Rank with shared places and gaps (best = 1) over groups of any size."""
-    placed = with_positions(df, keys, value)
+    placed = with_positions(df, keys, value, few_groups)
     rank = F.col("below") + 1 if low_is_good else F.col("n") - F.col("below") - F.col("equal") + 1
     return placed.withColumn(name, rank.cast("long")).drop("equal", "below")
 
 
-def percentile_position(df: DataFrame, keys: Sequence[str], value: str, least: int = 3) -> DataFrame:
+def percentile_position(df: DataFrame, keys: Sequence[str], value: str, least: int = 3, few_groups: bool = False) -> DataFrame:
     """``percentile`` (own row removed, ties count half) and ``rank`` where at least ``least`` rows state the value."""
-    placed = with_positions(df, keys, value)
+    placed = with_positions(df, keys, value, few_groups)
     others = F.col("n") - 1
     pct = F.bround(F.try_divide(F.col("below") + (F.col("equal") - 1) / 2.0, others) * 100, 0)
     rank = F.col("n") - F.col("below") - F.col("equal") + 1

@@ -87,7 +87,7 @@ def with_company(survey: DataFrame, company: DataFrame) -> DataFrame:
 def normalised(survey: DataFrame, company: DataFrame, rates: DataFrame) -> DataFrame:
     """Survey rows with company, currencies, rate and the two unit scales attached."""
     full = full_years(survey)
-    df = full.join(F.broadcast(survey_currency(full)), "fiscal_year")
+    df = full.join(F.broadcast(survey_currency(full)), "fiscal_year")  # one row per fiscal-year label
     df = df.withColumn("reported_currency", money.currency_of("currency"))
     df = with_rate(with_company(df, company), rates)
     return df.withColumn("headline_scale", money.scale_headline("unit")).withColumn(
@@ -95,24 +95,24 @@ def normalised(survey: DataFrame, company: DataFrame, rates: DataFrame) -> DataF
 
 
 def headline_millions(field: str) -> Column:
-    return F.col(field) * (F.col("headline_scale") / 1e6 * F.col("fx"))
+    return F.expr(f"{field} * (headline_scale / 1000000.0D * fx)")
 
 
 def pay_value(field: str) -> Column:
-    return F.col(field) * F.col("pay_scale") * F.col("fx")
+    return F.expr(f"{field} * pay_scale * fx")
 
 
 def field_value(field: str) -> Column:
     """One figure made comparable by its kind: headline, pay and per-share money converted, the rest as stated."""
     kind = fl.KIND[field]
     if kind == "headline":
-        return F.col(field) * F.col("headline_scale") * F.col("fx")
+        return F.expr(f"{field} * headline_scale * fx")
     if kind == "pay":
         return pay_value(field)
     if kind == "pershare":
-        return F.col(field) * F.col("fx")
+        return F.expr(f"{field} * fx")
     if kind in ("text", "yesno"):
-        return F.when(F.col(field) != "", F.col(field))
+        return F.expr(f"nullif({field}, '')")
     return F.col(field)
 
 
@@ -158,7 +158,7 @@ def company_rows(norm: DataFrame) -> DataFrame:
         if f not in HEADLINE:
             cols[f] = field_value(f)
     for f in fl.YESNO_FIELDS + fl.TEXT_FIELDS:
-        cols[f] = F.when(F.col(f) != "", F.col(f))
+        cols[f] = field_value(f)
     ident = [
         "company_id", "name", "ticker", "sector", "fiscal_year", F.col("survey_currency").alias("currency"), "unit",
         "reported_currency",
@@ -191,13 +191,13 @@ def company_rows(norm: DataFrame) -> DataFrame:
 
 def unpivot(df: DataFrame, keys: list[str], fields: list[str], name: str = "metric", value: str = "value") -> DataFrame:
     """Long form with the missing values left out (they count for nothing downstream)."""
-    return df.unpivot(keys, [F.col(f).cast("double").alias(f) for f in fields], name, value).where(F.col(value).isNotNull())
+    return df.unpivot(keys, [F.expr(f"CAST({f} AS DOUBLE) AS {f}") for f in fields], name, value).where(F.col(value).isNotNull())
 
 
 def metric_table(long: DataFrame, keys: list[str], gate_n: int = stats.MIN_COMPANIES, accuracy: int = 2000) -> DataFrame:
     """average, p25, p50, p75 and company_count per (keys, metric), gated."""
     out = stats.percentiles(
-        long, [*keys, "metric"], "value", min_count=gate_n, accuracy=accuracy,
+        long, [*keys, "metric"], "value", min_count=gate_n, accuracy=accuracy, few_groups=True,
         extra=[stats.gated_avg("value", gate_n).alias("average")],
     )
     return out.select(*keys, "metric", "average", "p25", "p50", "p75", F.col("n").alias("company_count"))
@@ -309,7 +309,7 @@ def extended_stats(rows: DataFrame, fields: list[str]) -> DataFrame:
     """Metric table plus min and max per (year, field)."""
     long = unpivot(rows, ["fiscal_year", "company_id"], fields)
     g = stats.MIN_COMPANIES
-    out = stats.percentiles(long, ["fiscal_year", "metric"], "value", accuracy=2000, extra=[
+    out = stats.percentiles(long, ["fiscal_year", "metric"], "value", accuracy=2000, few_groups=True, extra=[
         stats.gated_avg("value").alias("average"),
         F.when(F.count("value") >= g, F.bround(F.min("value"), 2)).alias("min"),
         F.when(F.count("value") >= g, F.bround(F.max("value"), 2)).alias("max"),

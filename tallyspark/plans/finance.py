@@ -367,7 +367,7 @@ def dashboard_kind():
   CASE WHEN companies >= 3 THEN rk END AS rank FROM p"""))
 def market_position_by_metric(spark, sf_dir):
     long = sv.unpivot(rows(spark, sf_dir), ["company_id", "fiscal_year"], list(_DASH))
-    return stats.percentile_position(long, ["fiscal_year", "metric"], "value").withColumn("value", F.bround("value", 3))
+    return stats.percentile_position(long, ["fiscal_year", "metric"], "value", few_groups=True).withColumn("value", F.bround("value", 3))
 
 
 def _ar(x):
@@ -382,7 +382,7 @@ def _ar(x):
 def market_benchmarks(spark, sf_dir):
     """Market median, middle half and extremes of the dashboard metrics, at least three companies."""
     long = sv.unpivot(rows(spark, sf_dir), ["company_id", "fiscal_year"], list(_DASH))
-    out = stats.percentiles(long, ["fiscal_year", "metric"], "value", (0.25, 0.5, 0.75), ["p25", "median", "p75"], min_count=3, digits=None,
+    out = stats.percentiles(long, ["fiscal_year", "metric"], "value", (0.25, 0.5, 0.75), ["p25", "median", "p75"], min_count=3, digits=None, few_groups=True,
                             extra=[F.min("value").alias("min"), F.max("value").alias("max")]).where("n >= 3")
     return out.select("fiscal_year", "metric", F.col("n").alias("companies"),
                       *[adaptive_round(c, dashboard_kind()).alias(c) for c in ("median", "p25", "p75", "min", "max")])
@@ -437,7 +437,7 @@ _ITEM_ORDER = "CASE normalized_name WHEN 'revenue' THEN 0 WHEN 'net_income' THEN
  g AS (SELECT company_id, statement_type, line_key, max(amount) FILTER (WHERE recency = 1) AS amount_1, max(amount) FILTER (WHERE recency = 2) AS amount_2,
   max(amount) FILTER (WHERE recency = 3) AS amount_3, min(recency * 100 + o) AS f FROM u GROUP BY ALL)
  SELECT company_id, statement_type, line_key, amount_1, amount_2, amount_3, round_even({pct('amount_1', 'amount_2')}, 4) AS yoy_change_pct,
-  CAST(row_number() OVER (PARTITION BY company_id, statement_type ORDER BY f, line_key) AS INT) AS position FROM g""", "normalised"))
+  CAST(f // 100 AS INT) AS first_recency, CAST(f % 100 AS INT) AS first_order FROM g""", "normalised"))
 def aligned_statements(spark, sf_dir):
     f = flat(spark, sf_dir)
     recency = fin.with_prior(f, [], "normalised", 0).select("company_id", "period", "recency")

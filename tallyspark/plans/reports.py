@@ -10,6 +10,7 @@ from ..operators import finance as fin
 from ..operators import merge as mg
 from ..operators import quality as qu
 from ..operators import reports as rp
+from ..operators import stats
 from ..operators import survey as sv
 from ..sources import textfiles as tf
 from . import views
@@ -286,13 +287,50 @@ def period_report(spark, sf_dir):
     return rp.period_report(p).select("company_id", "period", F.explode("yoy").alias("x")).select("company_id", "period", "x.line", "x.current", "x.prior", F.bround("x.change_pct", 4).alias("change_pct"))
 
 
-@query("company_dossiers", views.oracle("""WITH r AS (SELECT company_id, fiscal_year, count(*) AS n FROM reading GROUP BY 1, 2), d AS (SELECT company_id, period_label AS fiscal_year, count(*) AS n FROM doc_meta GROUP BY 1, 2)
- SELECT s.company_id, s.fiscal_year, s.turnover, coalesce(r.n, 0) AS readings, coalesce(d.n, 0) AS documents FROM survey s LEFT JOIN r USING (company_id, fiscal_year) LEFT JOIN d USING (company_id, fiscal_year)"""))
+@query("company_dossiers", views.oracle("""SELECT company_id, fiscal_year, 'readings' AS section, count(*) AS records FROM reading GROUP BY 1, 2 UNION ALL SELECT company_id, period_label, 'documents', count(*) FROM doc_meta GROUP BY 1, 2
+ UNION ALL SELECT company_id, fiscal_year, 'survey', 1 FROM survey"""))
 def company_dossiers(spark, sf_dir):
     r = views.view(spark, sf_dir, "reading").select("company_id", "fiscal_year", "field", "value", "reader", "reading_id")
     d = views.view(spark, sf_dir, "doc_meta").select("company_id", F.col("period_label").alias("fiscal_year"), "id", "filename")
-    dossier = rp.company_dossier(views.survey(spark, sf_dir).select("company_id", "fiscal_year", "turnover"), {"readings": r, "documents": d})
-    return dossier.select("company_id", "fiscal_year", "turnover", F.size("readings").cast("long").alias("readings"), F.size("documents").cast("long").alias("documents"))
+    s = views.survey(spark, sf_dir).select("company_id", "fiscal_year", "turnover", "board_size")
+    return rp.company_dossier({"survey": s, "readings": r, "documents": d}).groupBy("company_id", "fiscal_year", "section").agg(F.count("record").alias("records"))
+
+
+@query("flattened_records", crow_sql("""SELECT company_id, fiscal_year, 'governance / score' AS path, CAST(CAST(governance_score AS DOUBLE) AS VARCHAR) AS value FROM crow
+ UNION ALL SELECT company_id, fiscal_year, 'sector', sector FROM crow"""))
+def flattened_records(spark, sf_dir):
+    r = rows(spark, sf_dir).select("company_id", "fiscal_year", F.struct("sector", F.struct("governance.score").alias("governance")).alias("record"))
+    return rp.flatten_record(r, ["company_id", "fiscal_year"], "record")
+
+
+@query("open_tables", views.oracle("""WITH cy AS (SELECT company_id, fiscal_year FROM survey), g AS (SELECT DISTINCT company_id, 'FY' || y::VARCHAR AS fiscal_year FROM register WHERE person_no % 20 = 0), p AS (SELECT DISTINCT company_id, 'FY' || y::VARCHAR AS fiscal_year FROM pay_row WHERE person_no % 30 = 0),
+ c AS (SELECT company_id, fiscal_year, count(*) AS n FROM reading WHERE reading_id % 11 = 0 GROUP BY 1, 2)
+ SELECT cy.company_id, cy.fiscal_year, array_to_string(list_filter([CASE WHEN g.company_id IS NULL THEN 'register' END, CASE WHEN p.company_id IS NULL THEN 'pay_rows' END], lambda x: x IS NOT NULL), ',') AS empty_tables, coalesce(c.n, 0) AS open_conflicts
+ FROM cy LEFT JOIN g USING (company_id, fiscal_year) LEFT JOIN p USING (company_id, fiscal_year) LEFT JOIN c USING (company_id, fiscal_year)"""))
+def open_tables(spark, sf_dir):
+    fy = F.concat(F.lit("FY"), F.col("y").cast("string")).alias("fiscal_year")
+    g = views.view(spark, sf_dir, "register").where("person_no % 20 = 0").select("company_id", fy)
+    p = views.view(spark, sf_dir, "pay_row").where("person_no % 30 = 0").select("company_id", fy)
+    c = views.view(spark, sf_dir, "reading").where("reading_id % 11 = 0")
+    return rp.tables_open(views.survey(spark, sf_dir), {"register": g, "pay_rows": p}, c).withColumn("empty_tables", F.array_join("empty_tables", ","))
+
+
+_OWN = ["audit_fee", "employees_count", "free_float_pct", "kmp_total", "earnings_per_share"]
+
+
+@query("company_lines", crow_sql(f"""WITH e AS (SELECT fiscal_year, company_id, {", ".join(_OWN)} FROM crow), le AS (UNPIVOT e ON {", ".join(_OWN)} INTO NAME metric VALUE value),
+ m AS (SELECT fiscal_year, metric, count(*) AS n, quantile_cont(value, 0.5) AS med FROM le GROUP BY ALL)
+ SELECT company_id, le.fiscal_year, le.metric, round_even(value, 2) AS value, CASE WHEN n >= 2 THEN round_even(med, 2) END AS market_median,
+  CASE WHEN n >= 2 THEN CAST(rank() OVER (PARTITION BY le.fiscal_year, le.metric ORDER BY value DESC) AS VARCHAR) || ' of ' || CAST(n AS VARCHAR) ELSE '' END AS place FROM le JOIN m ON m.fiscal_year = le.fiscal_year AND m.metric = le.metric"""))
+def company_lines(spark, sf_dir):
+    """Each company's own figure with the market median and its place."""
+    long = sv.unpivot(rows(spark, sf_dir), ["fiscal_year", "company_id"], _OWN)
+    placed = stats.competition_rank(long, ["fiscal_year", "metric"], "value", few_groups=True)
+    med = stats.percentiles(long, ["fiscal_year", "metric"], "value", (0.5,), ["market_median"], few_groups=True).drop("n")
+    enough = F.col("n") >= 2
+    return placed.join(F.broadcast(med), ["fiscal_year", "metric"]).select(
+        "company_id", "fiscal_year", "metric", F.bround("value", 2).alias("value"), "market_median",
+        F.when(enough, F.concat(F.col("rank").cast("string"), F.lit(" of "), F.col("n").cast("string"))).otherwise("").alias("place"))
 
 
 @query("comparable_metric_names", crow_sql("""SELECT company_id, fiscal_year, 'turnover (' || currency || ')' AS metric, round_even(turnover, 2) AS value FROM crow WHERE turnover IS NOT NULL
