@@ -113,3 +113,18 @@ def relative_phrase(value, benchmark, band: float = 3.0) -> Column:
         .when(pct > 0, F.concat(F.format_number(pct, 0), F.lit("% above")))
         .when(pct < 0, F.concat(F.format_number(-pct, 0), F.lit("% below")))
     )
+
+
+def skewed(average, median, n, times: float = 3.0, least: int = 3) -> Column:
+    """True when an average over at least ``least`` companies lies far above the median."""
+    a, m = _c(average), _c(median)
+    return F.coalesce((_c(n) >= least) & (m != 0) & (a > m * times), F.lit(False))
+
+
+def json_map(text) -> Column:
+    """A JSON object as a map of texts; anything unreadable is an empty map."""
+    return F.coalesce(F.from_json(_c(text), "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def content_hash(text) -> Column:
+    return F.sha2(_c(text), 256)

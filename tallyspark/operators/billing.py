@@ -145,3 +145,14 @@ def apply_payments(payments: DataFrame, invoices: DataFrame) -> DataFrame:
     return first.join(inv, "invoice_id").where(F.col("currency") == F.col("__c")).select(
         "reference", "invoice_id", "amount", "currency", "paid_at",
         F.when(F.col("__s") != "open", F.concat(F.lit("received on a "), F.col("__s"), F.lit(" invoice"))).alias("note"))
+
+
+def business_dashboard(customers: DataFrame, payments: DataFrame, at: Column) -> DataFrame:
+    """One row: customers by tone and status, balance due, paying share, money received this year and in 30 days."""
+    tone = {t: F.count_if(F.col("tone") == t).alias(f"tone_{t}") for t in TONE_ORDER}
+    c = customers.agg(
+        F.count(F.lit(1)).alias("customers_total"), F.count_if(F.col("effective").isin("active", "past_due")).alias("paying"),
+        F.count_if(F.col("effective") == "trialing").alias("trialing"), F.sum("balance_due").alias("balance_due"), *tone.values())
+    paid = payments.where((F.col("paid_at") <= at) & (F.col("paid_at") >= timefns.year_start(at)))
+    recent = payments.where(F.col("paid_at") >= at - F.make_dt_interval(F.lit(30)))
+    return c.withColumns({"payments_ytd": paid.agg(F.count(F.lit(1))).scalar(), "payments_30d": recent.agg(F.count(F.lit(1))).scalar()})

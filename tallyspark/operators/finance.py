@@ -406,3 +406,30 @@ def compare_at_period(company: DataFrame, flat: DataFrame, period: str | None, o
     """One row per company at a period label, or at its latest period; missing companies keep NULLs."""
     picked = flat.where(F.col("period") == period) if period else with_prior(flat, [], order, 0).where("recency = 1").drop("recency")
     return company.select("company_id", "name").join(with_flat_ratios(picked), "company_id", "left")
+
+
+def sort_companies(df: DataFrame, mode: str = "name") -> DataFrame:
+    """Company list by name, score or revenue; missing figures last."""
+    if mode == "name":
+        return df.orderBy(F.lower("name"), "company_id")
+    column = {"score": "financial_score", "revenue": "revenue"}[mode]
+    return df.orderBy(F.col(column).desc_nulls_last(), F.lower("name"), "company_id")
+
+
+def company_snapshot(company: DataFrame, flat: DataFrame, order: str = "normalised") -> DataFrame:
+    """One row per company for its latest period: figures, changes, health and risk score, outlook, growth, sector place."""
+    rated = with_flat_ratios(flat)
+    y = yoy(rated, order)
+    if "current_ratio" not in y.columns:
+        y = y.withColumns({"current_ratio": F.lit(None).cast("double"), "interest_coverage": F.lit(None).cast("double")})
+    score = risk_score("debt_equity", "current_ratio", "interest_coverage", "net_margin_delta")
+    latest = y.withColumns({"risk_score": score, "outlook": outlook(), "strengths": strengths(), "exposures": risk_exposures()}).where("recency = 1")
+    growth = series_cagr(flat.select("company_id", F.col("fiscal_year").alias("year"), F.col("revenue").alias("value")), ["company_id"]).select(
+        "company_id", F.col("cagr").alias("revenue_cagr"), F.col("points").alias("years_on_record"))
+    named = company.select("company_id", "name", "sector")
+    place = sector_position(latest.select("company_id", "financial_score").join(named, "company_id"), ["financial_score"]).select(
+        "company_id", F.col("rank").alias("sector_rank"), "peers", market_position(F.col("rank"), F.col("peers")).alias("market_position"))
+    cols = ["company_id", "period", "revenue", "revenue_yoy", "net_income", "net_income_yoy", "net_margin", "net_margin_delta", "roe", "roe_delta",
+            "debt_equity", "financial_score", "score_band", "risk_score", "outlook", "strengths", "exposures"]
+    return latest.select(*cols).join(named, "company_id").join(growth, "company_id", "left").join(place, "company_id", "left").withColumn(
+        "risk_band", risk_band("risk_score"))

@@ -40,6 +40,8 @@ def fuzzy_company_match(titles: DataFrame, roster: DataFrame, least: float = 0.7
     t = titles.select("title_id", names.company_key(title_head("title")).alias("key"))
     keys = t.where("key <> ''").select("key").distinct()
     r = roster.select("company_id", names.company_key("name").alias("target")).where("target <> ''")
+    equal = keys.join(r, F.col("key") == F.col("target")).groupBy("key").agg(F.min("company_id").alias("company_id")).withColumn("score", F.lit(1.0))
+    keys = keys.join(equal, "key", "left_anti")  # only names that are not on the roster as they stand are compared
     small = r.limit(ROSTER_LIMIT + 1).collect()
     if len(small) <= ROSTER_LIMIT:
         book = [(row["company_id"], row["target"]) for row in small]
@@ -69,6 +71,7 @@ def fuzzy_company_match(titles: DataFrame, roster: DataFrame, least: float = 0.7
         s = F.greatest(F.col("r"), F.when(inside, 0.9).otherwise(0.0))
         best = close.withColumn("s", s).groupBy("key").agg(F.min(F.struct((-F.col("s")).alias("n"), "company_id")).alias("b"))
         scored = best.select("key", "b.company_id", (-F.col("b.n")).alias("score"))
+    scored = equal.unionByName(scored)
     return t.join(scored, "key", "left").select(
         "title_id", F.when(F.col("score") >= least, F.col("company_id")).alias("company_id"), F.bround(F.coalesce("score", F.lit(0.0)), 2).alias("score"))
 
@@ -163,3 +166,17 @@ def misattributed_documents(docs: DataFrame, company: DataFrame) -> DataFrame:
     r = resolve_company(docs.select(F.col("id").alias("ref_id"), names.name_from_file("filename").alias("name"), F.lit("").alias("ticker")), company)
     return docs.select("id", "company_id").join(r.select(F.col("ref_id").alias("id"), F.col("company_id").alias("matched_id")), "id").where(
         F.col("matched_id").isNotNull() & (F.col("matched_id") != F.col("company_id")))
+
+
+def document_company(pages: DataFrame, roster: DataFrame, first_pages: int = 3, least: float = 0.75) -> DataFrame:
+    """Company of each document from its first pages: short lines that carry a legal form are matched with the roster,
+    the best score wins, the earliest line on ties.
+    """
+    lines = pages.where(F.col("page") <= first_pages).select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    cand = lines.where((F.length(F.trim("line")).between(4, 90)) & F.col("line").rlike(r"(?i)\b(?:plc|ltd|limited|group|holdings|bank|company)\b")).select(
+        "doc_id", "page", "n", F.trim("line").alias("title"))
+    titles = cand.select("title").distinct().select(F.xxhash64("title").alias("title_id"), "title")
+    scored = fuzzy_company_match(titles, roster, least).join(titles, "title_id").select("title", "company_id", "score").where(F.col("company_id").isNotNull())
+    hit = cand.join(scored, "title")
+    best = F.min(F.struct((-F.col("score")).alias("s"), "page", "n", "company_id"))
+    return hit.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.company_id", (-F.col("b.s")).alias("score"))

@@ -227,3 +227,10 @@ def align_directors(rows: DataFrame) -> DataFrame:
     return per_year.groupBy("company_id", "name_key", "table_kind").agg(
         F.count(F.lit(1)).alias("years"), F.max("k").alias("__m"), F.min("fiscal_year").alias("first_year"), F.max("fiscal_year").alias("last_year")
     ).where((F.col("years") >= 2) & (F.col("__m") == 1) & (F.size(F.split("name_key", " ")) >= 2)).drop("__m")
+
+
+def items_with_statement(items: DataFrame, statements: DataFrame, doc_id: int | None = None) -> DataFrame:
+    """Line items with their statement's type and document, for one document when given."""
+    s = statements.select(F.col("id").alias("statement_id"), "statement_type", "source_document_id")
+    s = s.where(F.col("source_document_id") == doc_id) if doc_id is not None else s
+    return items.join(s, "statement_id")

@@ -380,3 +380,17 @@ def tab_status(survey: DataFrame) -> DataFrame:
 def duplicate_report(df: DataFrame, keys: list[str]) -> DataFrame:
     """Key groups that occur more than once."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+
+
+def copied_years(survey: DataFrame, fields: list[str], least: int = 3) -> DataFrame:
+    """Years of a company labelled with the same report file that share at least ``least`` values.
+
+    Years meet on (company, file, field, value), so only equal values ever pair up. Equal CEO pay makes it an error.
+    """
+    long = survey.where(F.col("source_filename") != "").select("company_id", F.lower(F.trim("source_filename")).alias("file"), "fiscal_year", *fields).unpivot(
+        ["company_id", "file", "fiscal_year"], [F.expr(f"CAST({f} AS DOUBLE) AS {f}") for f in fields], "field", "value").where(F.col("value").isNotNull())
+    later = long.withColumnRenamed("fiscal_year", "later_year")
+    same = long.withColumnRenamed("fiscal_year", "earlier_year").join(later, ["company_id", "file", "field", "value"]).where(F.col("earlier_year") < F.col("later_year"))
+    g = same.groupBy("company_id", "file", "earlier_year", "later_year").agg(
+        F.count(F.lit(1)).alias("same_values"), F.count_if(F.col("field").startswith("ceo_")).alias("same_pay"))
+    return g.where(F.col("same_values") >= least).withColumn("severity", F.when(F.col("same_pay") > 0, "error").otherwise("warning"))

@@ -334,3 +334,21 @@ def director_attendance(directors: DataFrame) -> DataFrame:
         F.count_if(F.col("__p") >= 100).alias("full_attendance"), F.count_if(F.col("__p") < 75).alias("below_75"),
         F.count_distinct("company_id").alias("companies"),
     )
+
+
+def overview(norm: DataFrame, directors: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The whole survey overview as tables, for one year or for every year at once."""
+    rows = company_rows(norm)
+    extended = [f for f in fl.EXTENDED_FIELDS if fl.KIND[f] not in ("text", "yesno")] + [
+        "kmp_total", "staff_cost_per_employee", "staff_costs_pct_of_turnover", "audit_fee_pct_of_turnover", "payout_ratio_pct"]
+    out = {
+        "metrics": metric_table(overview_figures(norm), ["fiscal_year"]), "totals": board_totals(norm), "pay_ratios": paired_ratios(norm),
+        "sectors": sector_comparison(norm), "companies": rows.select("company_id", "fiscal_year", "name", "sector"),
+        "normalisation": normalisation_report(norm), "extended": extended_stats(rows, extended), "answers": yesno_share(norm, fl.YESNO_FIELDS),
+        "auditors": label_shares(norm, "auditor_name"), "governance_auditors": label_shares(norm, "governance_audit_by"), "opinions": opinion_counts(norm),
+    }
+    if "ned_benefits" in norm.columns:
+        out["benefits"] = benefit_coverage(norm)
+    if directors is not None:
+        out["attendance"] = director_attendance(directors)
+    return out

@@ -281,3 +281,11 @@ def seat_limits(spark, sf_dir):
                  F.when(F.col("c_custkey") % 50 == 7, "owner").otherwise("member").alias("org_role"))
     seats = views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("org_id"), ((F.col("n_nationkey") % 5 + 1) * 10).alias("seats"))
     return bl.seat_index(m, seats).drop("seats")
+
+
+@query("business_dashboard", views.oracle(f"""WITH {_BEST}, {_HEALTH} SELECT count(*) AS customers_total, count(*) FILTER (WHERE effective IN ('active', 'past_due')) AS paying, count(*) FILTER (WHERE effective = 'trialing') AS trialing, sum(balance_due)::BIGINT AS balance_due,
+ count(*) FILTER (WHERE health IN ('Payment overdue', 'At risk - inactive')) AS tone_red, count(*) FILTER (WHERE health IN ('Cancelling', 'Trial - not used yet')) AS tone_amber, count(*) FILTER (WHERE health = 'Trial - in use') AS tone_blue,
+ count(*) FILTER (WHERE health = 'Healthy') AS tone_green, count(*) FILTER (WHERE health = 'No active plan') AS tone_faint,
+ (SELECT count(*) FROM payment WHERE paid_at BETWEEN TIMESTAMP '2001-01-01' AND TIMESTAMP '{_BILL_AT}') AS payments_ytd, (SELECT count(*) FROM payment WHERE paid_at >= TIMESTAMP '{_BILL_AT}' - INTERVAL 30 DAY) AS payments_30d FROM hh"""))
+def business_dashboard(spark, sf_dir):
+    return bl.business_dashboard(customers(spark, sf_dir), views.view(spark, sf_dir, "payment"), ts(_BILL_AT))

@@ -339,3 +339,11 @@ def misattributed_documents(spark, sf_dir):
     docs = c.join(nxt, "company_id", "left").select(
         F.col("company_id").alias("id"), "company_id", F.concat(F.lit("reports/"), names.slug(F.when(F.col("company_id") % 3 == 0, F.coalesce("other", "name")).otherwise(F.col("name"))), F.lit("-annual-report-2024.pdf")).alias("filename"))
     return mt.misattributed_documents(docs, c)
+
+
+@query("document_companies", views.oracle(f"SELECT {_DOC} AS doc_id, company_id FROM survey JOIN company USING (company_id)"))
+def document_companies(spark, sf_dir):
+    """Company of each printed filing, read from its cover and matched with every company."""
+    roster = views.view(spark, sf_dir, "company").select("company_id", "name")
+    docs = filings(spark, sf_dir).where("page = 1")
+    return mt.document_company(docs, roster, least=1.0).select("doc_id", "company_id")

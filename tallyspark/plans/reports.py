@@ -255,7 +255,7 @@ def market_lines(spark, sf_dir):
 def skewed_metrics(spark, sf_dir):
     m = sv.metric_table(sv.unpivot(norm(spark, sf_dir), ["fiscal_year", "company_id"], ["net_profit"]), ["fiscal_year"])
     phrase = labels.relative_phrase("average", "p50")
-    return m.select("fiscal_year", F.coalesce((F.col("company_count") >= 3) & (F.col("p50") != 0) & (F.col("average") > 3 * F.col("p50")), F.lit(False)).alias("skewed"),
+    return m.select("fiscal_year", labels.skewed("average", "p50", "company_count").alias("skewed"),
                     F.regexp_replace(phrase, r"^[\d,]+% ", "").alias("position"))
 
 
@@ -384,3 +384,27 @@ def field_trace(spark, sf_dir):
 def open_conflicts_first(spark, sf_dir):
     r = views.view(spark, sf_dir, "reading").where("value IS NOT NULL").select("reading_id", "field", (F.col("reading_id") % 3 == 0).alias("resolved"))
     return r.orderBy("resolved", F.col("reading_id").desc()).limit(40)
+
+
+@query("copied_years", views.oracle("""WITH s AS (SELECT company_id, 'report-' || CAST(year_no // 3 AS VARCHAR) AS f, fiscal_year, board_size, committees_per_board, board_meetings_per_year, directors_female, executive_directors_count, ceo_monthly_salary FROM survey),
+ l AS (UNPIVOT s ON board_size, committees_per_board, board_meetings_per_year, directors_female, executive_directors_count, ceo_monthly_salary INTO NAME field VALUE value),
+ g AS (SELECT a.company_id, a.f AS file, a.fiscal_year AS earlier_year, b.fiscal_year AS later_year, count(*) AS same_values, count(*) FILTER (WHERE a.field LIKE 'ceo_%') AS same_pay
+  FROM l a JOIN l b ON a.company_id = b.company_id AND a.f = b.f AND a.field = b.field AND a.value = b.value AND a.fiscal_year < b.fiscal_year GROUP BY ALL)
+ SELECT *, CASE WHEN same_pay > 0 THEN 'error' ELSE 'warning' END AS severity FROM g WHERE same_values >= 2"""))
+def copied_years(spark, sf_dir):
+    s = views.survey(spark, sf_dir).withColumn("source_filename", F.concat(F.lit("REPORT-"), F.floor(F.col("year_no") / 3).cast("string")))
+    return qu.copied_years(s, ["board_size", "committees_per_board", "board_meetings_per_year", "directors_female", "executive_directors_count", "ceo_monthly_salary"], 2)
+
+
+@query("company_snapshots", fin_sql(f"""WITH x AS (SELECT *, {pct('revenue', 'prior_revenue')} AS ry, {pct('net_income', 'prior_net_income')} AS ny, net_margin - prior_net_margin AS md, roe - prior_roe AS rd FROM win WHERE recency = 1),
+ g AS (SELECT company_id, count(*) AS years_on_record FROM financials WHERE revenue IS NOT NULL GROUP BY 1)
+ SELECT x.company_id, c.name, period, round_even(ry, 4) AS revenue_yoy, financial_score,
+  CASE WHEN debt_equity IS NULL AND md IS NULL THEN NULL ELSE round_even((coalesce(0.35::DOUBLE * greatest(0, least(100, debt_equity / 4 * 100)) * CASE WHEN debt_equity IS NULL THEN NULL ELSE 1 END, 0)
+   + coalesce(0.15::DOUBLE * greatest(0, least(100, -md * 10)) * CASE WHEN md IS NULL THEN NULL ELSE 1 END, 0)) / (CASE WHEN debt_equity IS NOT NULL THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN md IS NOT NULL THEN 0.15::DOUBLE ELSE 0 END), 0) END AS risk_score,
+  CASE WHEN (coalesce(ry > 0, FALSE)::INT + coalesce(ny > 0, FALSE)::INT + coalesce(rd > 0, FALSE)::INT + coalesce(md > 0, FALSE)::INT) >= 3 THEN 'Positive'
+   WHEN (coalesce(ry < 0, FALSE)::INT + coalesce(ny < 0, FALSE)::INT + coalesce(rd < 0, FALSE)::INT + coalesce(md < 0, FALSE)::INT) >= 3 THEN 'Negative' ELSE 'Neutral' END AS outlook,
+  years_on_record, CASE WHEN c.sector IS NOT NULL AND financial_score IS NOT NULL THEN rank() OVER (PARTITION BY c.sector, financial_score IS NULL ORDER BY financial_score DESC) END AS sector_rank
+ FROM x JOIN fin_company c USING (company_id) LEFT JOIN g USING (company_id)""", "normalised"))
+def company_snapshots(spark, sf_dir):
+    s = fin.company_snapshot(views.view(spark, sf_dir, "fin_company"), flat(spark, sf_dir))
+    return s.select("company_id", "name", "period", F.bround("revenue_yoy", 4).alias("revenue_yoy"), "financial_score", "risk_score", "outlook", "years_on_record", "sector_rank")
