@@ -205,12 +205,10 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str = "rank", cuts
     sample = keyed.select("__k").orderBy(F.xxhash64("__k")).limit(cuts * 16)
     splits = sample.agg(F.sort_array(F.collect_list("__k")).alias("__a")).select(
         F.transform(F.sequence(F.lit(1), F.lit(cuts - 1)),
-                    lambda i: F.try_element_at(F.col("__a"), (i * F.size("__a") / cuts).cast("int") + 1)).alias("__s"),
-        F.lit(1).alias("__one"),
-    )
-    bucketed = keyed.join(F.broadcast(splits), F.lit(1) == F.col("__one")).withColumn(
+                    lambda i: F.try_element_at(F.col("__a"), (i * F.size("__a") / cuts).cast("int") + 1)).alias("__s"))
+    bucketed = keyed.withColumn("__s", splits.scalar()).withColumn(
         "__b", F.size(F.filter("__s", lambda s: s < F.col("__k")))
-    ).drop("__s", "__one")
+    ).drop("__s")
     totals = bucketed.groupBy("__b").agg(F.count(F.lit(1)).alias("__t"))
     offsets = totals.select(
         "__b", (F.sum("__t").over(W.partitionBy(F.lit(1)).orderBy("__b")) - F.col("__t")).alias("__off")

@@ -98,7 +98,11 @@ def heading_lines(spark, sf_dir):
     return ls.where(fg.is_heading("line")).select("doc_id", "page", "line_no", F.md5("line").alias("line_hash"))
 
 
-@query("headed_chunks")
+@query("headed_chunks", f"""WITH {_PAGES}, {_HEAD}, np AS (SELECT doc_id, count(*) AS n FROM pg GROUP BY 1), hs AS (SELECT doc_id, line, count(DISTINCT page) AS k FROM he WHERE is_heading GROUP BY 1, 2),
+ rn AS (SELECT hs.doc_id, hs.line FROM hs JOIN np USING (doc_id) WHERE k >= greatest(3, n // 3) AND k >= n * 0.85),
+ mk AS (SELECT he.*, is_heading AND rn.line IS NULL AS mark FROM he LEFT JOIN rn ON rn.doc_id = he.doc_id AND rn.line = he.line),
+ ch AS (SELECT *, sum(mark::INT) OVER (PARTITION BY doc_id ORDER BY page, line_no ROWS UNBOUNDED PRECEDING) AS chunk_no, last_value(CASE WHEN mark THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, line_no ROWS UNBOUNDED PRECEDING) AS heading FROM mk)
+ SELECT doc_id, page, CAST(min(line_no) AS INT) AS first_line, any_value(heading) AS heading, md5(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT mark), '')) AS text_hash FROM ch GROUP BY doc_id, page, chunk_no""")
 def headed_chunks(spark, sf_dir):
     return fg.chunk_lines(doc_pages(spark, sf_dir)).select("doc_id", "page", "first_line", "heading", F.md5("text").alias("text_hash"))
 

@@ -43,9 +43,11 @@ def stream_rate_breaches(spark, sf_dir):
     return updated(spark, st.rate_breaches(source(spark, sf_dir), 2, "1 hour", "30 minutes", "2 days"), "rate", ["user_id", "window_start"])
 
 
-@query("stream_sessions")
+@query("stream_sessions", """WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+ b AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM a)
+ SELECT user_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS events FROM b GROUP BY user_id, no HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
 def stream_sessions(spark, sf_dir):
-    """Sessions the watermark has closed (the last ones stay open, so rows only)."""
+    """Sessions the watermark has closed; the last day's stay open until more events arrive."""
     return updated(spark, st.sessions(source(spark, sf_dir), "6 hours"), "sessions", ["user_id", "started_at"], "append")
 
 
