@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels, names
+from ..functions.numeric import pct_change
 from . import stats
 
 
@@ -95,8 +97,7 @@ def remuneration_history(pay: DataFrame) -> DataFrame:
 
 
 def occurrence_number(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    from pyspark.sql import Window as W
-
+    """Numbers repeated names within their printed table."""
     return rows.withColumn("occurrence", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
 
 
@@ -157,8 +158,6 @@ def needs_attention(imports: DataFrame, scores: DataFrame, threshold: float = 60
 def period_report(rows: DataFrame) -> DataFrame:
     """Named lines of a period with the amount and change against the as-of prior period, nested per period."""
     named = ["revenue", "net_income", "total_assets", "total_equity"]
-    from ..functions.numeric import pct_change
-
     lines = F.array(*[F.struct(F.lit(n).alias("line"), F.col(n).alias("current"), F.col(f"prior_{n}").alias("prior"),
                                pct_change(n, f"prior_{n}").alias("change_pct")) for n in named])
     return rows.select("company_id", "period", F.filter(lines, lambda x: x["current"].isNotNull() & x["prior"].isNotNull()).alias("yoy"))

@@ -98,11 +98,14 @@ def heading_lines(spark, sf_dir):
     return ls.where(fg.is_heading("line")).select("doc_id", "page", "line_no", F.md5("line").alias("line_hash"))
 
 
-@query("headed_chunks", f"""WITH {_PAGES}, {_HEAD}, np AS (SELECT doc_id, count(*) AS n FROM pg GROUP BY 1), hs AS (SELECT doc_id, line, count(DISTINCT page) AS k FROM he WHERE is_heading GROUP BY 1, 2),
+_CHUNKS = f"""{_PAGES}, {_HEAD}, np AS (SELECT doc_id, count(*) AS n FROM pg GROUP BY 1), hs AS (SELECT doc_id, line, count(DISTINCT page) AS k FROM he WHERE is_heading GROUP BY 1, 2),
  rn AS (SELECT hs.doc_id, hs.line FROM hs JOIN np USING (doc_id) WHERE k >= greatest(3, n // 3) AND k >= n * 0.85),
  mk AS (SELECT he.*, is_heading AND rn.line IS NULL AS mark FROM he LEFT JOIN rn ON rn.doc_id = he.doc_id AND rn.line = he.line),
- ch AS (SELECT *, sum(mark::INT) OVER (PARTITION BY doc_id ORDER BY page, line_no ROWS UNBOUNDED PRECEDING) AS chunk_no, last_value(CASE WHEN mark THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, line_no ROWS UNBOUNDED PRECEDING) AS heading FROM mk)
- SELECT doc_id, page, CAST(min(line_no) AS INT) AS first_line, any_value(heading) AS heading, md5(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT mark), '')) AS text_hash FROM ch GROUP BY doc_id, page, chunk_no""")
+ cn AS (SELECT *, sum(mark::INT) OVER (PARTITION BY doc_id ORDER BY page, line_no ROWS UNBOUNDED PRECEDING) AS chunk_no, last_value(CASE WHEN mark THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, line_no ROWS UNBOUNDED PRECEDING) AS h FROM mk),
+ ch AS (SELECT doc_id, page, CAST(min(line_no) AS INT) AS first_line, any_value(h) AS heading, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT mark), '') AS text FROM cn GROUP BY doc_id, page, chunk_no)"""
+
+
+@query("headed_chunks", f"WITH {_CHUNKS} SELECT doc_id, page, first_line, heading, md5(text) AS text_hash FROM ch")
 def headed_chunks(spark, sf_dir):
     return fg.chunk_lines(doc_pages(spark, sf_dir)).select("doc_id", "page", "first_line", "heading", F.md5("text").alias("text_hash"))
 
@@ -114,7 +117,27 @@ ONTOLOGY = {
 }
 
 
-@query("chunk_scores_by_field")
+def _synonym(p: str) -> str:
+    return f"CASE WHEN contains(h, '{p}') THEN 0.5::DOUBLE WHEN contains(t, '{p}') THEN 0.15::DOUBLE ELSE 0 END"
+
+
+def _hint(p: str) -> str:
+    both = " AND ".join("list_contains({0}, '" + w + "')" for w in p.split())  # two-word hints: one word is below the 0.6 share
+    return (f"CASE WHEN contains(h, '{p}') OR ({both.format('hw')}) THEN 0.8::DOUBLE WHEN contains(t, '{p}') OR ({both.format('tw')}) THEN 0.3::DOUBLE ELSE 0 END")
+
+
+def _field_score(entry: dict) -> str:
+    total = " + ".join([_synonym(p) for p in entry["synonyms"]] + [_hint(p) for p in entry["section_hints"]])
+    bad = " OR ".join(f"contains(t, '{p}')" for p in entry["negative_terms"])
+    return f"CASE WHEN {bad} THEN 0 ELSE {total} END" if bad else total
+
+
+_SCORES = " UNION ALL ".join(f"SELECT doc_id, page, first_line, '{f}' AS field, {_field_score(e)} AS score FROM lw" for f, e in ONTOLOGY.items())
+
+
+@query("chunk_scores_by_field", f"""WITH {_CHUNKS}, lw AS (SELECT doc_id, page, first_line, lower(coalesce(heading, '')) AS h, lower(text) AS t, regexp_extract_all(lower(coalesce(heading, '')), '[a-z]+') AS hw, regexp_extract_all(lower(text), '[a-z]+') AS tw FROM ch),
+ sc AS ({_SCORES}), rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY score DESC, page, first_line) AS place FROM sc WHERE score > 0)
+ SELECT doc_id, field, page, first_line, round_even(score, 4) AS score, CAST(place AS INT) AS place FROM rk WHERE place <= 5""")
 def chunk_scores_by_field(spark, sf_dir):
     scored = fg.chunk_scores(fg.chunk_lines(doc_pages(spark, sf_dir)), ONTOLOGY)
     return fg.rank_chunks(scored).select("doc_id", "field", "page", "first_line", F.bround("score", 4).alias("score"), "place")
