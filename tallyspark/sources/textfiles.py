@@ -74,10 +74,18 @@ def _two_numbers(value) -> tuple[Column, Column]:
     return _number(F.try_element_at(p, F.lit(1))), _number(F.try_element_at(p, F.lit(2)))
 
 
-def headers(flds: DataFrame, names: dict[str, tuple[str, str]], keep: DataFrame) -> DataFrame:
-    """One row per file with the wanted COMPANY / PERIOD fields; files without them keep NULLs."""
-    aggs = [F.min(F.when((F.col("section") == s) & (F.col("label") == l), F.when(F.col("value") != "", F.col("value")))).alias(n) for n, (s, l) in names.items()]
-    return keep.select("file").join(flds.where(F.col("section").isin("COMPANY", "PERIOD")).groupBy("file").agg(*aggs), "file", "left")
+def headers(files: DataFrame, names: dict[str, tuple[str, str]]) -> DataFrame:
+    """One row per file with the wanted COMPANY / PERIOD fields, cut out inside the row (no shuffle); absent ones are NULL."""
+    parts = F.split(F.regexp_replace("content", "\r", ""), r"(?m)^===(?=[A-Z_]+===\s*$)")
+    wanted = sorted({section for section, _ in names.values()})
+
+    def body(section: str) -> Column:
+        return F.array_join(F.filter(parts, lambda p: p.rlike(f"^{section}===")), "\n")
+
+    df = files.withColumns({f"__{n}": body(n) for n in wanted})
+    return df.select(*files.columns, *[
+        F.nullif(F.trim(F.regexp_extract(f"__{section}", rf"(?m)^[ \t]*{label}[ \t]*:(.*)$", 1)), F.lit("")).alias(name)
+        for name, (section, label) in names.items()])
 
 
 CONDENSED_HEADER = {
@@ -89,11 +97,11 @@ CONDENSED_HEADER = {
 
 def parse_condensed(files: DataFrame) -> dict[str, DataFrame]:
     """Condensed filings as tables: filings, errors, line_items, market_data, guidance, risks, pay_rows."""
-    secs = sections(files)
-    flds = fields(secs)
-    head = headers(flds, CONDENSED_HEADER, files)
+    head = headers(files.select("file", "content"), CONDENSED_HEADER)
     problem = F.when(F.col("name").isNull(), "COMPANY section or its Name is missing").when(F.col("label").isNull(), "PERIOD section or its Label is missing")
     head = head.withColumn("error", problem)
+    secs = sections(head.where(problem.isNull()))  # a malformed file gives its error row and nothing else
+    flds = fields(secs)
     amount, prior = _two_numbers("value")
     kinds = F.create_map(*[F.lit(x) for p in STATEMENT_SECTIONS.items() for x in p])
     name = F.lower(F.regexp_replace("label", r"(?<=[a-z])(?=[A-Z])", "_"))
@@ -101,13 +109,13 @@ def parse_condensed(files: DataFrame) -> dict[str, DataFrame]:
         "file", F.element_at(kinds, F.col("section")).alias("statement_type"), "label", name.alias("normalized_name"), amount.alias("amount"),
         prior.alias("prior_amount"), F.lit(1.0).alias("confidence"), "order_index").where("amount IS NOT NULL")
     market = flds.where("section = 'MARKET_DATA'").select("file", name.alias("field"), amount.alias("value"), prior.alias("prior_value")).where("value IS NOT NULL")
-    raw = secs.select("file", "section", F.posexplode("lines").alias("order_index", "line"))
+    period = F.nullif(F.trim(F.regexp_extract(F.array_join("lines", "\n"), r"(?m)^\s*GuidancePeriod\s*:(.*)$", 1)), F.lit(""))
+    raw = secs.select("file", "section", period.alias("guidance_period"), F.posexplode("lines").alias("order_index", "line"))
     g = r"^\s*(\w+)\s*:\s*current=([-\d.]+),\s*low=([-\d.]+),\s*high=([-\d.]+)(?:,\s*commentary=(.*))?$"
-    label = flds.where("section = 'MANAGEMENT_GUIDANCE' AND label = 'GuidancePeriod'").groupBy("file").agg(F.min("value").alias("guidance_period"))
     guidance = raw.where((F.col("section") == "MANAGEMENT_GUIDANCE") & F.col("line").rlike(g)).select(
         "file", "order_index", F.regexp_extract("line", g, 1).alias("metric_name"), *[F.regexp_extract("line", g, i).try_cast("double").alias(n) for i, n in
                                                                                      ((2, "current_value"), (3, "guidance_low"), (4, "guidance_high"))],
-        F.nullif(F.trim(F.regexp_extract("line", g, 5)), F.lit("")).alias("commentary")).join(label, "file", "left")
+        F.nullif(F.trim(F.regexp_extract("line", g, 5)), F.lit("")).alias("commentary"), "guidance_period")
     # a risk block: '[Category]' then its Description and Mitigation; blocks are cut inside the row
     blocks = secs.where("section = 'PRINCIPAL_RISKS'").select("file", F.posexplode(F.split(F.array_join("lines", "\n"), r"(?m)^\s*\[")).alias("order_index", "block")).where("order_index > 0")
     risks = blocks.select("file", "order_index", F.regexp_extract("block", r"^([^\]]+)\]", 1).alias("category"),
@@ -123,21 +131,17 @@ def parse_condensed(files: DataFrame) -> dict[str, DataFrame]:
         F.when(role.contains("executive") & ~role.contains("non"), "executive").otherwise("non_executive").alias("role"),
         _number(F.regexp_extract("line", r, 2)).alias("total"), F.map_from_entries(parts).alias("components"),
         F.upper(who).contains("GRAND TOTAL").alias("is_grand_total")).where("total IS NOT NULL")
-    good = head.where("error IS NULL")
-
-    def of_good(df: DataFrame) -> DataFrame:
-        return df.join(good.select("file"), "file", "left_semi")
-
-    return {"filings": good.drop("error"), "errors": head.where("error IS NOT NULL").select("file", "error"), "line_items": of_good(items),
-            "market_data": of_good(market), "guidance": of_good(guidance), "risks": of_good(risks), "pay_rows": of_good(pay)}
+    return {"filings": head.where("error IS NULL").drop("error", "content"), "errors": head.where("error IS NOT NULL").select("file", "error"),
+            "line_items": items, "market_data": market, "guidance": guidance, "risks": risks, "pay_rows": pay}
 
 
 def parse_survey(files: DataFrame) -> dict[str, DataFrame]:
     """Survey files as tables: values (long), sources and benefits; unknown fields and unreadable answers are skipped."""
     secs = sections(files)
     flds = fields(secs)
-    head = headers(flds, {"company_name": ("COMPANY", "Name"), "sector": ("COMPANY", "Sector"), "currency": ("COMPANY", "Currency"),
-                          "unit": ("COMPANY", "Unit"), "fiscal_year": ("PERIOD", "FiscalYear")}, files)
+    head = headers(files.select("file", "content"), {
+        "company_name": ("COMPANY", "Name"), "sector": ("COMPANY", "Sector"), "currency": ("COMPANY", "Currency"),
+        "unit": ("COMPANY", "Unit"), "fiscal_year": ("PERIOD", "FiscalYear")}).drop("content")
     lab = F.regexp_replace(F.regexp_replace(F.regexp_replace("label", "NEDs", "Neds"), "NED", "Ned"), "CEO", "Ceo")
     name = F.lower(F.regexp_replace(lab, r"(?<=[a-z])(?=[A-Z])", "_"))
     known = F.col("field").isin(*SURVEY_FIELDS)
