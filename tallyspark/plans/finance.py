@@ -78,12 +78,12 @@ def ratio_metrics(spark, sf_dir):
 
 @query("flat_to_line_items", views.oracle("""SELECT company_id, period, normalized_name, amount,
  CASE WHEN normalized_name LIKE 'total%' THEN 'balance_sheet' ELSE 'income_statement' END AS statement_type
- FROM (UNPIVOT (SELECT company_id, period, id, revenue, net_income, total_assets, total_liabilities, total_equity, gross_profit, operating_profit, eps, shares_outstanding FROM financials)
+ FROM (UNPIVOT (SELECT company_id, period, source, revenue, net_income, total_assets, total_liabilities, total_equity, gross_profit, operating_profit, eps, shares_outstanding FROM financials)
  ON revenue, net_income, total_assets, total_liabilities, total_equity, gross_profit, operating_profit, eps, shares_outstanding INTO NAME normalized_name VALUE amount)
- WHERE id % 8 <> 0"""))
+ WHERE source IS DISTINCT FROM 'manual'"""))
 def flat_to_line_items(spark, sf_dir):
     f = flat(spark, sf_dir)
-    existing = f.where("id % 8 = 0").select("company_id", "period")
+    existing = f.where("source = 'manual'").select("company_id", "period")
     return fin.flat_to_line_items(f, existing).drop("order_index")
 
 

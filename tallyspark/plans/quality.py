@@ -119,12 +119,12 @@ _METRIC_COUNT = [f for f in fl.KIND]
 
 @query("report_completeness", views.oracle(f"""WITH la AS (SELECT company_id, max(fiscal_year) AS fiscal_year FROM survey GROUP BY 1),
  s AS (SELECT company_id, 40 + least(9, floor(({' + '.join(f'({f} IS NOT NULL)::INT' for f in _METRIC_COUNT)}) / 4)) AS s FROM survey JOIN la USING (company_id, fiscal_year)),
- p AS (SELECT DISTINCT company_id FROM pay_row WHERE y = 2025 AND person_no % 5 = 0), c AS (SELECT DISTINCT company_id FROM register WHERE y = 2025 AND person_no % 7 = 0)
+ p AS (SELECT DISTINCT company_id FROM pay_row WHERE y = 2025 AND amount >= 49 AND table_kind = 'all'), c AS (SELECT DISTINCT company_id FROM register WHERE y = 2025 AND age >= 79 AND role = 'executive')
  SELECT c0.company_id, CAST(coalesce(s.s, 0) + CASE WHEN p.company_id IS NOT NULL THEN 40 ELSE 0 END + CASE WHEN c.company_id IS NOT NULL THEN 20 ELSE 0 END AS INT) AS completeness
  FROM company c0 LEFT JOIN s USING (company_id) LEFT JOIN p USING (company_id) LEFT JOIN c USING (company_id)"""))
 def report_completeness(spark, sf_dir):
-    pay = views.view(spark, sf_dir, "pay_row").where("y = 2025 AND person_no % 5 = 0")
-    com = views.view(spark, sf_dir, "register").where("y = 2025 AND person_no % 7 = 0")
+    pay = views.view(spark, sf_dir, "pay_row").where("y = 2025 AND amount >= 49 AND table_kind = 'all'")
+    com = views.view(spark, sf_dir, "register").where("y = 2025 AND age >= 79 AND role = 'executive'")
     return qu.completeness(company(spark, sf_dir), views.survey(spark, sf_dir), pay, com, _METRIC_COUNT)
 
 
@@ -524,18 +524,18 @@ def aligned_directors(spark, sf_dir):
 
 
 @query("register_reconciled", views.oracle("""WITH r AS (SELECT company_id, y, lower(p_name) AS name_key, CASE WHEN l_linenumber = 1 THEN 'unknown' ELSE 'executive' END AS role, CASE WHEN l_linenumber = 2 THEN 'Male' END AS gender
-  FROM (SELECT l_suppkey AS company_id, year(l_shipdate) + 24 AS y, l_partkey, l_linenumber FROM lineitem WHERE l_partkey % 40 = 0 AND l_linenumber <= 3) JOIN part ON p_partkey = l_partkey),
- p AS (SELECT l_suppkey AS company_id, year(l_shipdate) + 24 AS y, lower(p_name) AS name_key, 'non_executive' AS role, 'Female' AS gender FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_partkey % 40 = 20),
+  FROM (SELECT l_suppkey AS company_id, year(l_shipdate) + 24 AS y, l_partkey, l_linenumber FROM lineitem WHERE l_linenumber <= 3) JOIN part ON p_partkey = l_partkey),
+ p AS (SELECT l_suppkey AS company_id, year(l_shipdate) + 24 AS y, lower(p_name) AS name_key, 'non_executive' AS role, 'Female' AS gender FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber > 3),
  n AS (SELECT company_id, y, count(*) AS n FROM r GROUP BY ALL), f AS (SELECT company_id, y, name_key, min(role) AS fr, min(gender) AS fg FROM p GROUP BY ALL)
- SELECT r.company_id, r.y, r.name_key, coalesce(CASE WHEN role <> 'unknown' THEN role END, fr, 'unknown') AS role, coalesce(gender, fg) AS gender, 'register' AS origin FROM r JOIN n USING (company_id, y) LEFT JOIN f USING (company_id, y, name_key) WHERE n >= 3
- UNION ALL SELECT p.company_id, p.y, p.name_key, p.role, p.gender, 'pay_table' FROM p LEFT JOIN n USING (company_id, y) WHERE coalesce(n, 0) < 3"""))
+ SELECT r.company_id, r.y, r.name_key, coalesce(CASE WHEN role <> 'unknown' THEN role END, fr, 'unknown') AS role, coalesce(gender, fg) AS gender, 'register' AS origin FROM r JOIN n USING (company_id, y) LEFT JOIN f USING (company_id, y, name_key) WHERE n >= 35
+ UNION ALL SELECT p.company_id, p.y, p.name_key, p.role, p.gender, 'pay_table' FROM p LEFT JOIN n USING (company_id, y) WHERE coalesce(n, 0) < 35"""))
 def register_reconciled(spark, sf_dir):
     li = views.table(spark, sf_dir, "lineitem").join(views.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_suppkey").alias("company_id"), (F.year("l_shipdate") + 24).alias("y"), F.lower("p_name").alias("name_key"), "l_partkey", "l_linenumber")
-    reg = li.where("l_partkey % 40 = 0 AND l_linenumber <= 3").select("company_id", "y", "name_key", F.when(F.col("l_linenumber") == 1, "unknown").otherwise("executive").alias("role"),
+    reg = li.where("l_linenumber <= 3").select("company_id", "y", "name_key", F.when(F.col("l_linenumber") == 1, "unknown").otherwise("executive").alias("role"),
                                                                 F.when(F.col("l_linenumber") == 2, "Male").alias("gender"))
-    pay = li.where("l_partkey % 40 = 20").select("company_id", "y", "name_key", F.lit("non_executive").alias("role"), F.lit("Female").alias("gender"))
-    return mg.reconcile_register(reg, pay, ["company_id", "y"])
+    pay = li.where("l_linenumber > 3").select("company_id", "y", "name_key", F.lit("non_executive").alias("role"), F.lit("Female").alias("gender"))
+    return mg.reconcile_register(reg, pay, ["company_id", "y"], 35)
 
 
 @query("table_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in ("orders", "lineitem", "documents", "events")))

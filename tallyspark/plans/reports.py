@@ -303,15 +303,15 @@ def flattened_records(spark, sf_dir):
     return rp.flatten_record(r, ["company_id", "fiscal_year"], "record")
 
 
-@query("open_tables", views.oracle("""WITH cy AS (SELECT company_id, fiscal_year FROM survey), g AS (SELECT DISTINCT company_id, 'FY' || y::VARCHAR AS fiscal_year FROM register WHERE person_no % 20 = 0), p AS (SELECT DISTINCT company_id, 'FY' || y::VARCHAR AS fiscal_year FROM pay_row WHERE person_no % 30 = 0),
- c AS (SELECT company_id, fiscal_year, count(*) AS n FROM reading WHERE reading_id % 11 = 0 GROUP BY 1, 2)
+@query("open_tables", views.oracle("""WITH cy AS (SELECT company_id, fiscal_year FROM survey), g AS (SELECT DISTINCT company_id, 'FY' || y::VARCHAR AS fiscal_year FROM register WHERE age >= 79 AND role = 'executive'), p AS (SELECT DISTINCT company_id, 'FY' || y::VARCHAR AS fiscal_year FROM pay_row WHERE amount >= 50 AND table_kind = 'all'),
+ c AS (SELECT company_id, fiscal_year, count(*) AS n FROM reading WHERE reader = 'human' GROUP BY 1, 2)
  SELECT cy.company_id, cy.fiscal_year, array_to_string(list_filter([CASE WHEN g.company_id IS NULL THEN 'register' END, CASE WHEN p.company_id IS NULL THEN 'pay_rows' END], lambda x: x IS NOT NULL), ',') AS empty_tables, coalesce(c.n, 0) AS open_conflicts
  FROM cy LEFT JOIN g USING (company_id, fiscal_year) LEFT JOIN p USING (company_id, fiscal_year) LEFT JOIN c USING (company_id, fiscal_year)"""))
 def open_tables(spark, sf_dir):
     fy = F.concat(F.lit("FY"), F.col("y").cast("string")).alias("fiscal_year")
-    g = views.view(spark, sf_dir, "register").where("person_no % 20 = 0").select("company_id", fy)
-    p = views.view(spark, sf_dir, "pay_row").where("person_no % 30 = 0").select("company_id", fy)
-    c = views.view(spark, sf_dir, "reading").where("reading_id % 11 = 0")
+    g = views.view(spark, sf_dir, "register").where("age >= 79 AND role = 'executive'").select("company_id", fy)
+    p = views.view(spark, sf_dir, "pay_row").where("amount >= 50 AND table_kind = 'all'").select("company_id", fy)
+    c = views.view(spark, sf_dir, "reading").where("reader = 'human'")
     return rp.tables_open(views.survey(spark, sf_dir), {"register": g, "pay_rows": p}, c).withColumn("empty_tables", F.array_join("empty_tables", ","))
 
 
