@@ -1,5 +1,8 @@
-"""Company benchmarking and filing analytics as plain Spark jobs.
+"""Company benchmarking and filing analytics as Spark jobs."""
 
-``functions``  column expressions, ``operators``  DataFrame -> DataFrame steps, ``sources``  readers and sinks,
-``streaming``  Structured Streaming twins of the event rules, ``plans``  the registered queries.
-"""
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package that run in Python workers travel with the job, so no executor needs the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
