@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, minhash, quality, repeats
+from . import contamination, language, lines, minhash, mixing, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +44,11 @@ def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@_query("op7_mixing")
+def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @_query("op8_language")
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(_table(spark, sf_dir, "documents"))
@@ -56,3 +61,12 @@ def contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"),
     )
+
+
+@_query("op10_line_chunks")
+def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.without_repeated_chunks(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("__llm_lines").alias("n_lines"), F.col("__llm_chunks").alias("n_chunks"),
+        F.col("__llm_gone_lines").alias("n_removed_lines"), F.col("__llm_gone_chunks").alias("n_removed_chunks"), F.col("__llm_kept").alias("text"),
+    )

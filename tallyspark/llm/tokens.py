@@ -73,9 +73,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[at[0] : at[-1]], at - at[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of lower-cased texts: the text each is in, its first byte, its length, its 64-bit hash."""
-    low = lower_table()[data]
+def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts (with A-Z lower-cased if ``fold``): the text each is in, its first byte, its length, its 64-bit hash."""
+    low = lower_table()[data] if fold else data
     inside = member[low]
     before = np.empty_like(inside)
     before[:1] = False
