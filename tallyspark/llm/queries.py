@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, lines, minhash, mixing, quality, repeats
+from . import contamination, language, lines, minhash, mixing, quality, repeats, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,19 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@_query("op4_secrets")
+def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(_table(spark, sf_dir, "documents"))
+    names = F.array(*map(F.lit, secrets.KINDS))
+    label = lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))
+    of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.array_join(F.transform(F.filter("spans", lambda s: s["kind"] < 3), label), ",")
+    return found.select(
+        "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(base, 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", label), ",").alias("spans"), F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+    )
+
+
 @_query("op6_repeated_bytes")
 def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.without_repeats(_table(spark, sf_dir, "documents"))
