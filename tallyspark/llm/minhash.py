@@ -93,6 +93,21 @@ def _with_sets(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, width:
     return texts.mapInArrow(_sets(width), "node long, shingles array<long>").dropDuplicates(["node"])
 
 
+def _sharing_rare(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of nodes in different components that share one of their rare shingles.
+
+    With all shingles ordered by the number of nodes that hold them, two sets as similar as asked for share one of the first
+    ``n - ceil(percent * n / 100) + 1`` of each, so no such pair is missed; nodes that differ by edits of their own have only those there.
+    """
+    each = sets.select("node", "component", F.explode("shingles").alias("shingle"))
+    held = each.groupBy("shingle").agg(F.count("*").alias("holders"))
+    ordered = each.join(held, "shingle").groupBy("node", "component").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("s"))
+    first = F.size("s") - F.ceil(F.size("s") * percent / 100).cast("int") + 1
+    rare = pin(ordered.select("node", "component", F.explode(F.slice("s", F.lit(1), first)).alias("s")).where("s.holders > 1").select("node", "component", "s.shingle"), "rare")
+    a, b = (rare.select("shingle", F.col("node").alias(x), F.col("component").alias(f"component_{x}")) for x in "ab")
+    return a.join(b, "shingle").where("a > b and component_a <> component_b").select("a", "b").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = SIMILARITY_PERCENT,
     collections: int = COLLECTIONS, rows: int = ROWS,
@@ -103,12 +118,13 @@ def near_duplicates(
     row of each component (they differ only where rows repeat an id).
 
     Rows of equal sets are one node from the start, so thousands of copies cost one comparison. In each table the members of a bucket
-    are compared with its first node; what stays in different components of one bucket is then compared pair by pair, so that no link
-    between nodes of one bucket is missed and pairs inside a component are never listed.
+    are compared with its first node. Of the nodes whose buckets still hold several components, those that share rare shingles are
+    compared too, so that no link is missed there; pairs inside a component are never listed.
     """
     documents = _documents(docs, id_col, text_col)
     signatures = pin(documents.mapInArrow(_signatures(width, collections, rows), _SIGNATURE).withColumn("row", F.monotonically_increasing_id()), "signatures")
     classes = signatures.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("row").alias("node"))
+    classes = pin(classes, "classes")
     member = signatures.where("n_shingles > 0").select("h1", "h2", "n_shingles", "row", "doc_id").join(classes, ["h1", "h2", "n_shingles"]).select("row", "doc_id", "node")
     nodes = pin(signatures.join(classes.select(F.col("node").alias("row")), "row").withColumnRenamed("row", "node"), "nodes")
 
@@ -127,15 +143,8 @@ def near_duplicates(
 
     placed = meeting.join(reached, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    apart = placed.join(split, "key")
-    rest = (
-        apart.select("key", F.col("node").alias("a"), F.col("component").alias("component_a"))
-        .join(apart.select("key", F.col("node").alias("b"), F.col("component").alias("component_b")), "key")
-        .where("a > b and component_a <> component_b")
-        .select("a", "b")
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
+    apart = pin(placed.join(split, "key").select("node", "component").distinct(), "apart")
+    rest = _sharing_rare(sets.join(apart, "node"), percent).join(star, ["a", "b"], "left_anti")
     more = pin(_confirmed(rest, sets, percent), "more")
     if not more.isEmpty():
         reached = components(links.unionByName(more))
