@@ -7,8 +7,8 @@ not needed for that; buckets are refined only where they can still matter:
    is its anchor, so equal strings have equal anchors. Anchors with equal q-grams form the initial buckets.
 2. Buckets that only one document enters are dropped. Of the rest, every distinct context of an anchor (the bytes from which strings
    over it can be cut) goes on once per batch, for the smallest id that has it; its other holders are settled on the spot.
-3. Buckets are refined: contexts are ranked by their 5-byte pieces, and the rank of a longer piece comes from the pair of ranks of
-   its halves, the second read at the later offset, up to ``length`` bytes. In each final bucket all but the smallest id repeat.
+3. Buckets are refined: contexts are ranked by their 8-byte pieces, and the rank of a longer piece comes from the pair of ranks of
+   its halves, the second read at the later offset, up to the whole string. In each final bucket all but the smallest id repeat.
 4. The settled ranges return to their batches and are cut out.
 
 What travels for one bucket is bounded by the number of batches, not of documents: a passage that a third of all documents share is
@@ -67,7 +67,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([uuid4().hex]), pa.array([len(data)], pa.int64()), pa.array([pack(numbers, known.astype(np.uint8))], pa.binary()),
-                    pa.array([pack(offsets.astype(np.int64))], pa.binary()), pa.array([zstandard.compress(data.tobytes(), 1)], pa.binary()),
+                    pa.array([pack(offsets.astype(np.int64))], pa.binary()), pa.array([zstandard.compress(data.tobytes(), 3)], pa.binary()),
                 ],
                 names=["batch", "n_bytes", "ids", "offsets", "texts"],
             )
@@ -80,11 +80,13 @@ def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(zstandard.decompress(row["texts"]), np.uint8), offsets, ids, known.astype(bool)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and q-gram hashes of the anchors of all ``length``-byte strings that stay inside one text with a known id."""
+def anchors(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, length: int, q: int) -> tuple[np.ndarray, ...]:
+    """Anchors of all ``length``-byte strings that stay inside one text with a known id: place, hash of the q-gram there, and how many bytes
+    before and after it the strings reach whose anchor it is."""
+    none = np.zeros(0, np.int64)
     n = len(data) - q + 1
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none, none.view(np.uint64), none, none
     factors = odd_constants(8, 23)
     grams, size, k = odd_constants(256, 29)[data], 1, 0
     while 2 * size <= q:  # the hash of a longer piece from those of its halves
@@ -110,35 +112,49 @@ def anchors(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, length: in
     inside = np.cumsum(ends[:-1]) == 0
     if not known.all():
         inside &= np.repeat(known, np.diff(offsets))
-    chosen = least[inside[: len(least)]] & ((np.uint64(1) << bits) - np.uint64(1))
-    if not len(chosen):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    chosen = chosen.astype(np.int64)
-    places = chosen[np.append(True, np.diff(chosen) != 0)]
-    return places, grams[places]
+    start = np.flatnonzero(inside[: len(least)])
+    if not len(start):
+        return none, none.view(np.uint64), none, none
+    chosen = (least[start] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    head = np.flatnonzero(np.append(True, np.diff(chosen) != 0))
+    places, last = chosen[head], np.append(head[1:], len(start)) - 1
+    return places, grams[places], places - start[head], start[last] + length - places - q
 
 
-def _requests(length: int, q: int, parts: int):
-    """Of each batch the distinct q-grams of its anchors, dealt to parts."""
+def _requests(length: int, q: int, parts: int, bits: int):
+    """Of each batch the distinct q-grams of its anchors, cut to so many bits and dealt to parts; a flag where several ids have one.
+
+    Two q-grams that fall together are kept when neither repeats; that costs work and changes nothing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for row in whole.to_pylist():
                 data, offsets, ids, known = _opened(row)
-                places, grams = anchors(data, offsets, known, length, q)
+                places, grams, _, _ = anchors(data, offsets, known, length, q)
+                grams = grams >> np.uint64(64 - bits)
                 holders = ids[np.searchsorted(offsets, places, side="right") - 1]
-                order = np.lexsort((holders, grams))
+                order = np.argsort(grams, kind="stable")
                 grams, holders = grams[order], holders[order]
                 head = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[: len(grams)])
                 several = np.maximum.reduceat(holders, head) != np.minimum.reduceat(holders, head) if len(head) else np.zeros(0, bool)
                 grams = grams[head]
-                holder = holders[head]
                 for part, at in _dealt(grams, parts):
-                    yield _row(part, row["batch"], pack(grams[at], holder[at], several[at].astype(np.uint8)))
+                    yield _row(part, row["batch"], pack(_steps(grams[at] // np.uint64(parts)), several[at].astype(np.uint8)))
 
     return run
 
 
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """Ascending numbers as differences, byte planes apart: what they share packs away."""
+    steps = np.diff(ascending, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+
+
+def _summed(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _dealt(grams: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     part = (grams % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
@@ -151,7 +167,7 @@ def _row(part: int, batch: str, blob: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([batch]), pa.array([blob], pa.binary())], names=["part", "batch", "blob"])
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, bytes]]]:
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, str, bytes]]]:
     """The rows of one part after another; the input is sorted by part."""
     held, at = [], None
     for whole in batches:
@@ -160,29 +176,34 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, byte
                 yield held
                 held = []
             at = row["part"]
-            held.append((row["batch"], row["blob"]))
+            held.append((row["part"], row["batch"], row["blob"]))
     if held:
         yield held
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Back to each batch: those of its q-grams that documents with different ids have."""
-    for held in _by_part(batches):
-        each = [unpack(blob, np.uint64, np.int64, np.uint8) for _, blob in held]
-        grams = np.concatenate([x[0] for x in each])
-        holders = np.concatenate([x[1] for x in each])
-        several = np.concatenate([x[2] for x in each]).astype(bool)
-        source = np.repeat(np.arange(len(each)), [len(x[0]) for x in each])
-        order = np.argsort(grams, kind="stable")
-        head = np.flatnonzero(np.append(True, grams[order][1:] != grams[order][:-1])[: len(grams)])
-        many = (np.maximum.reduceat(holders[order], head) != np.minimum.reduceat(holders[order], head)) | np.logical_or.reduceat(several[order], head)
-        keep = np.empty(len(grams), bool)
-        keep[order] = np.repeat(many, np.diff(np.append(head, len(grams))))
-        for i, (batch, _) in enumerate(held):
-            begin, end = np.searchsorted(source, [i, i + 1])
-            found = grams[begin:end][keep[begin:end]]
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array([batch]), pa.array([pack(found)], pa.binary())], names=["batch", "blob"])
+def _repeated(parts: int):
+    """Back to each batch: those of its q-grams that another batch has too, or several of its own ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _by_part(batches):
+            each = [unpack(blob, np.uint8, np.uint8) for _, _, blob in held]
+            grams = [_summed(x[0]) for x in each]
+            every = np.sort(np.concatenate(grams))
+            twice = np.unique(every[1:][every[1:] == every[:-1]])
+            several = np.unique(np.concatenate([g[x[1] > 0] for g, x in zip(grams, each)]))
+            many = np.union1d(twice, several)
+            for (part, batch, _), own in zip(held, grams):
+                found = own[_among(own, many)]
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array([batch]), pa.array([pack(np.array([part]), _steps(found))], pa.binary())], names=["batch", "blob"])
+
+    return run
+
+
+def _among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[bytes]]]:
@@ -200,8 +221,11 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[byte
                 answers = []
 
 
-def _contexts(length: int, q: int, parts: int):
-    """Of the anchors in repeated buckets every distinct context, for the smallest id; other holders' ranges are settled."""
+def _contexts(length: int, q: int, parts: int, bits: int):
+    """Of the anchors in repeated buckets every distinct context, for the smallest id; other holders' ranges are settled.
+
+    A context is what the strings of an anchor hold before and after its q-gram, which all of the bucket share.
+    """
     side = length - q
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,36 +233,43 @@ def _contexts(length: int, q: int, parts: int):
             if not answers:
                 continue
             data, offsets, ids, known = _opened(row)
-            places, grams = anchors(data, offsets, known, length, q)
-            repeated = np.unique(np.concatenate([unpack(a, np.uint64)[0] for a in answers]))
-            at = np.minimum(np.searchsorted(repeated, grams), len(repeated) - 1)
-            places, grams = places[repeated[at] == grams], grams[repeated[at] == grams]
+            found = []
+            for a in answers:
+                part, planes = unpack(a, np.int64, np.uint8)
+                found.append(_summed(planes) * np.uint64(parts) + np.uint64(part[0]))
+            places, grams, left, right = anchors(data, offsets, known, length, q)
+            pick = _among(grams >> np.uint64(64 - bits), np.sort(np.concatenate(found)))
+            places, grams, left, right = places[pick], grams[pick], left[pick], right[pick]
             doc = np.searchsorted(offsets, places, side="right") - 1
-            left = np.minimum(side, places - offsets[doc])
-            right = np.minimum(side, offsets[doc + 1] - places - q)
-            index = places[:, None] + np.arange(-side, length)
-            inside = (index >= (places - left)[:, None]) & (index < (places + q + right)[:, None])
+            around = np.concatenate([np.arange(-side, 0), np.arange(q, length)])
+            index = places[:, None] + around
+            inside = (around >= -left[:, None]) & (around < (q + right)[:, None])
             text = np.where(inside, data[np.clip(index, 0, len(data) - 1)], 0).astype(np.uint8)
-            sizes = np.stack([left, right], axis=1).astype(np.uint8)
-            full = np.concatenate([text, sizes], axis=1)
-            key = _fingerprints(full)
+            full = np.concatenate([text, np.stack([left, right], axis=1).astype(np.uint8)], axis=1)
+            key = splitmix(_fingerprints(full) ^ grams)
             holder = ids[doc]
-            order = np.lexsort((holder, key)) if len(key) else np.zeros(0, np.int64)
-            new = np.append(True, key[order][1:] != key[order][:-1])[: len(order)]
-            head = np.flatnonzero(new)
+            order = np.lexsort((holder, key))
+            head = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])[: len(order)])
             least = np.repeat(holder[order][head], np.diff(np.append(head, len(order)))) if len(head) else np.zeros(0, np.int64)
             settled = order[holder[order] > least]
+            low = places - offsets[doc]
             if len(settled):
-                spans = pack(doc[settled].astype(np.int32), (places - left - offsets[doc])[settled].astype(np.int64), (places + q + right - offsets[doc])[settled].astype(np.int64))
-                yield _row(-1 - int(row["batch"][:6], 16) % parts, row["batch"], spans)
-            open_ = order[holder[order] == least]
-            for part, pick in _dealt(grams[open_], parts):
-                pick = open_[pick]
-                yield _row(part, row["batch"], pack(grams[pick], holder[pick], doc[pick].astype(np.int32), (places - offsets[doc])[pick].astype(np.int64), full[pick].ravel()))
+                yield _row(-1 - int(row["batch"][:6], 16) % parts, row["batch"], _ranges(doc[settled], (low - left)[settled], (low + q + right)[settled]))
+            still = order[holder[order] == least]
+            still = still[np.argsort(grams[still], kind="stable")]
+            for part, pick in _dealt(grams[still], parts):
+                pick = still[pick]
+                docs, which = np.unique(doc[pick], return_inverse=True)
+                yield _row(part, row["batch"], pack(_steps(grams[pick]), docs.astype(np.int32), ids[docs], which.astype(np.int32), low[pick].astype(np.int32), full[pick].T))
 
     return run
 
 
+def _ranges(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> bytes:
+    order = np.lexsort((begin, doc))
+    return pack(doc[order].astype(np.int32), begin[order].astype(np.int64), end[order].astype(np.int64))
+
+
 def _ranks(values: np.ndarray) -> np.ndarray:
     return np.unique(values, return_inverse=True)[1].reshape(values.shape).astype(np.uint64)
 
@@ -277,19 +308,19 @@ def _settle(length: int, q: int):
     """Refines the buckets of a part; ranges that a smaller id has too go back to their batches."""
     side = length - q
 
-    def reply(batch: str, doc, begin, end) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([batch]), pa.array([pack(doc.astype(np.int32), begin.astype(np.int64), end.astype(np.int64))], pa.binary())], names=["batch", "blob"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: list[pa.RecordBatch] = []
         for held in _passing(batches, passed):
             yield from passed
             passed.clear()
-            each = [unpack(blob, np.uint64, np.int64, np.int32, np.int64, np.uint8) for _, blob in held]
-            grams, holder, doc, place = (np.concatenate([x[i] for x in each]) for i in range(4))
-            full = np.concatenate([x[4] for x in each]).reshape(len(grams), length + side + 2)
-            source = np.repeat(np.arange(len(each)), [len(x[0]) for x in each])
-            text, left, right = full[:, :-2], full[:, -2].astype(np.int64), full[:, -1].astype(np.int64)
+            each = [unpack(blob, np.uint8, np.int32, np.int64, np.int32, np.int32, np.uint8) for _, _, blob in held]
+            grams = np.concatenate([_summed(x[0]) for x in each])
+            doc = np.concatenate([x[1][x[3]] for x in each])
+            holder = np.concatenate([x[2][x[3]] for x in each])
+            place = np.concatenate([x[4] for x in each]).astype(np.int64)
+            full = np.concatenate([x[5].reshape(2 * side + 2, -1).T for x in each])
+            source = np.repeat(np.arange(len(each)), [len(x[3]) for x in each])
+            left, right = full[:, -2].astype(np.int64), full[:, -1].astype(np.int64)
             key = _fingerprints(full)
             order = np.lexsort((holder, key, grams))
             first = np.append(True, (grams[order][1:] != grams[order][:-1]) | (key[order][1:] != key[order][:-1]))
@@ -297,49 +328,50 @@ def _settle(length: int, q: int):
             context = np.empty(len(grams), np.int64)
             context[order] = np.cumsum(first) - 1
             owner = holder[order[head]]  # of each distinct context the smallest id
-            low = np.zeros(len(grams), np.int64)
-            high = np.zeros(len(grams), np.int64)
             whole = holder > owner[context]
-            low[whole], high[whole] = (place - left)[whole], (place + q + right)[whole]
-            # windows: only buckets with several contexts, whose smallest ids differ
+            low = np.where(whole, place - left, 0)
+            high = np.where(whole, place + q + right, 0)
             bucket = np.cumsum(np.append(True, grams[order[head]][1:] != grams[order[head]][:-1])) - 1
-            count = np.bincount(bucket)
-            several = np.flatnonzero(count[bucket] > 1)
-            hit_low = np.full(len(head), -1, np.int64)
-            hit_high = np.full(len(head), -1, np.int64)
-            for pick in _blocks(several, bucket, 1 << 14):
+            begin = np.full(len(head), -1, np.int64)
+            end = np.full(len(head), -1, np.int64)
+            for pick in _blocks(np.flatnonzero(np.bincount(bucket)[bucket] > 1), bucket, 1 << 14):
                 rep = order[head[pick]]
-                ranks = refined(text[rep], length)
-                offset = np.arange(-side, 1)
-                valid = (-offset[None, :] <= left[rep][:, None]) & (length - q + offset[None, :] <= right[rep][:, None])
-                rows, cols = np.nonzero(valid)
-                number = (ranks[rows, cols] << np.uint64(6)) | cols.astype(np.uint64)
-                inside = bucket[pick][rows]
-                who = owner[pick][rows]
-                sort = np.lexsort((who, number, inside))
-                new = np.append(True, (number[sort][1:] != number[sort][:-1]) | (inside[sort][1:] != inside[sort][:-1]))[: len(sort)]
-                at = np.flatnonzero(new)
-                least = np.repeat(who[sort][at], np.diff(np.append(at, len(sort)))) if len(at) else np.zeros(0, np.int64)
-                hit = sort[who[sort] > least]
+                hit, at = _hits(full[rep, :-2], left[rep], right[rep], bucket[pick], owner[pick], side)
                 start = np.full(len(pick), 1 << 30, np.int64)
                 stop = np.full(len(pick), -1, np.int64)
-                np.minimum.at(start, rows[hit], cols[hit])
-                np.maximum.at(stop, rows[hit], cols[hit])
-                hit_low[pick], hit_high[pick] = np.where(stop >= 0, start - side, -1), np.where(stop >= 0, stop - side + length, -1)
-            part = (~whole) & (hit_high[context] >= 0)
-            low[part], high[part] = (place + hit_low[context])[part], (place + hit_high[context])[part]
+                np.minimum.at(start, hit, at)
+                np.maximum.at(stop, hit, at)
+                some = stop >= 0
+                begin[pick[some]], end[pick[some]] = start[some] - side, stop[some] - side + length
+            part = ~whole & (end[context] > 0)
+            low[part], high[part] = (place + begin[context])[part], (place + end[context])[part]
             found = np.flatnonzero(high > low)
             bounds = np.searchsorted(source[found], np.arange(len(held) + 1))
-            for i, (batch, _) in enumerate(held):
+            for i, (_, batch, _) in enumerate(held):
                 pick = found[bounds[i] : bounds[i + 1]]
                 if len(pick):
-                    yield reply(batch, doc[pick], low[pick], high[pick])
+                    yield pa.RecordBatch.from_arrays([pa.array([batch]), pa.array([_ranges(doc[pick], low[pick], high[pick])], pa.binary())], names=["batch", "blob"])
         yield from passed
 
     return run
 
 
-def _passing(batches: Iterator[pa.RecordBatch], passed: list) -> Iterator[list[tuple[str, bytes]]]:
+def _hits(text: np.ndarray, left: np.ndarray, right: np.ndarray, bucket: np.ndarray, owner: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and offsets of the strings that a smaller id of the same bucket has too; all hits of one context overlap."""
+    ranks = refined(text, side)
+    offset = np.arange(side + 1)
+    rows, cols = np.nonzero((offset >= side - left[:, None]) & (offset <= right[:, None]))
+    number = ranks[rows, cols] << np.uint64(16) | cols.astype(np.uint64)
+    inside, who = bucket[rows], owner[rows]
+    order = np.lexsort((who, number, inside))
+    new = np.append(True, (number[order][1:] != number[order][:-1]) | (inside[order][1:] != inside[order][:-1]))[: len(order)]
+    head = np.flatnonzero(new)
+    least = np.repeat(who[order][head], np.diff(np.append(head, len(order)))) if len(head) else np.zeros(0, np.int64)
+    hit = order[who[order] > least]
+    return rows[hit], cols[hit]
+
+
+def _passing(batches: Iterator[pa.RecordBatch], passed: list) -> Iterator[list[tuple[int, str, bytes]]]:
     """Parts of the refinement; rows that are settled already are put aside to be handed on."""
 
     def rest() -> Iterator[pa.RecordBatch]:
@@ -389,12 +421,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, part_bytes: int = PART_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_bytes, removed`` (array of byte ranges, end exclusive), ``kept`` (the remaining bytes)."""
-    if not q <= length <= 64 + q - 1:
-        raise ValueError("length must be at least q and at most q + 63")
+    if not q < length < q + 200:
+        raise ValueError("length must be above q and below q + 200")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = pin(rows.mapInArrow(_packed, _PACKED), "texts")
     total = texts.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(8, -(-total // part_bytes))
+    bits = min(64, max(32, total.bit_length() + 6))  # enough that few q-grams fall together by chance
     blank = [F.lit(None).cast("binary").alias(c) for c in ("ids", "offsets", "texts")]
 
     def with_answers(answers: DataFrame) -> DataFrame:
@@ -406,7 +439,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, part_byte
         return df.repartition("part").sortWithinPartitions("part")
 
     dealt = "part long, batch string, blob binary"
-    repeated = by_part(texts.mapInArrow(_requests(length, q, parts), dealt)).mapInArrow(_repeated, "batch string, blob binary")
-    contexts = with_answers(repeated).mapInArrow(_contexts(length, q, parts), dealt)
+    repeated = by_part(texts.mapInArrow(_requests(length, q, parts, bits), dealt)).mapInArrow(_repeated(parts), "batch string, blob binary")
+    contexts = with_answers(repeated).mapInArrow(_contexts(length, q, parts, bits), dealt)
     settled = by_part(contexts).mapInArrow(_settle(length, q), "batch string, blob binary")
     return with_answers(settled).mapInArrow(_cut, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
