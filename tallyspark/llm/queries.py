@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, lines, minhash, mixing, quality, repeats, secrets
+from . import contamination, language, lines, minhash, mixing, pivots, quality, repeats, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,11 @@ def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op5_near_vectors")
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 @_query("op6_repeated_bytes")
 def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.without_repeats(_table(spark, sf_dir, "documents"))
