@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, lines, minhash, mixing, pivots, quality, repeats, secrets
+from . import contamination, language, lines, minhash, mixing, pivots, pseudonyms, quality, repeats, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,20 @@ def good_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+# In production the key comes from a secret store; the results below are reproducible for anyone who has it.
+PSEUDONYM_KEY = "registered-query-key"
+
+
+@_query("op2_pseudonyms")
+def pseudonymised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.with_pseudonyms(_table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    of = lambda k: F.size(F.filter("__llm_found", lambda f: f["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", *[of(k) for k in pseudonyms.KINDS],
+        F.size(F.filter("__llm_found", lambda f: f["value"] != f["pseudonym"])).cast("long").alias("n_changed"),
+    )
+
+
 @_query("op3_near_duplicates")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
