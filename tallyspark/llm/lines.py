@@ -119,13 +119,14 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MI
     """``doc_id, text_hash, number``: the chunks to remove, their bytes compared with the first occurrence's."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     listed = pin(rows.mapInArrow(_listed(divisor, min_lines), "doc_id long, text_hash long, number int, chunk_hash long"), "chunks")
-    several = listed.groupBy("chunk_hash").agg(F.count("*").alias("n")).where("n > 1").select("chunk_hash")
+    several = pin(listed.groupBy("chunk_hash").agg(F.count("*").alias("n")).where("n > 1").select("chunk_hash"), "several")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash", "number")
     again = listed.join(several, "chunk_hash")
     wanted = again.groupBy(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2")).agg(F.collect_set("number").alias("numbers"))
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("text_hash") == F.col("k2"))).select("doc_id", "text_hash", "text", "numbers")
     held = pin(texts.mapInArrow(_bytes(divisor), "doc_id long, text_hash long, number int, chunk_hash long, content binary"), "contents").withColumn("place", place)
     first = held.groupBy("chunk_hash").agg(F.min("place").alias("first"))
+    first = pin(first, "first")
     kept = held.join(first, "chunk_hash").where("place = first").select("chunk_hash", "first", F.col("content").alias("first_content")).dropDuplicates(["chunk_hash"])
     return held.join(kept, "chunk_hash").where("place > first and content = first_content").select("doc_id", "text_hash", "number").distinct()
 
