@@ -4,7 +4,7 @@ Every language gets a codeword of +1 and -1; for each place of the code a binary
 Decoding compares the margins with all codewords by a loss in which each bit counts, for each language, as much as it was right about
 that language in training. The nearest codeword wins; where the next one is almost as near, the text is flagged as ambiguous.
 
-Training takes at most ``PER_LANGUAGE`` texts of a language and ``SAMPLE`` in all, those with the smallest hash of the id; their counts (``BUCKETS``
+Training takes at most ``PER_LANGUAGE`` texts of a language and ``SAMPLE`` in all, those with the smallest hashes of their ids; their counts (``BUCKETS``
 numbers a text) reach the driver. Prediction counts whole texts in one pass without a shuffle.
 
 Results for odd rows: a null text, or one without a letter, is ``und`` with score 0; null languages and rows with a null id are not learnt from;
@@ -144,13 +144,16 @@ def _predictions(model: dict, buckets: int):
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE, buckets: int = BUCKETS) -> dict | None:
     """The model from the learnable rows of ``docs(doc_id, text, lang)``, or None without any."""
     rows = docs.where(learnable() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    languages = rows.select("lang").distinct().count()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
     if not languages:
         return None
     each = max(1, min(per_language, sample // languages))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # Spark keeps only the first rows of a group before they are shuffled; what is left is at most languages * each ids
-    ids = F.broadcast(rows.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("doc_id", "lang"))
+    # only about 4 * each rows of a language pass the cut on the hash, so the ranking never gathers a large one
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    few = rows.join(counts, "lang").withColumn("drawn", drawn).where(F.col("drawn") * F.col("n") < 4 * each + 20).select("doc_id", "lang", "drawn").distinct()
+    order = Window.partitionBy("lang").orderBy("drawn", "doc_id")
+    ids = F.broadcast(few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("doc_id", "lang"))  # at most languages * each
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).join(ids, ["doc_id", "lang"])
     found = texts.mapInArrow(_counted(buckets), "lang string, counts array<float>").toArrow()
     x = np.stack(found.column("counts").to_numpy()).astype(np.float32)

@@ -1,7 +1,7 @@
 """Removal of multi-line chunks that repeat across the corpus.
 
 A text's lines are cut into chunks where a rolling hash over the hashes of the last two lines says so, so an inserted or dropped line moves
-only the boundaries beside it. Blank lines belong to the chunk before them. Chunks of at least two lines that occur again anywhere are
+only the boundaries beside it. Empty lines belong to the chunk before them. Chunks of at least two lines that occur again anywhere are
 removed, except the first occurrence (smallest id, then place); a chunk goes only after its bytes were compared with that first one.
 Chunks of a single line always stay.
 

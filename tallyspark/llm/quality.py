@@ -30,6 +30,8 @@ from .tokens import slices, utf8, whitespace_words, words
 POSITIVES = 6_000
 UNLABELLED = 12_000
 KEEP_AT = 0.7
+# Words at which a text's own statistics and the mean count the same.
+SHORT = 4
 
 # Kinds of bytes that are counted, by their characters.
 KINDS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".", ",", "!", "|", "#", "$", "%", "&", "*", "<>", "{}[]()", "\"'", "/\\", ":;", "?=+~^_@`-"]
@@ -86,8 +88,12 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _expanded(x: np.ndarray, model: dict) -> np.ndarray:
-    """Standardised, clipped statistics with their absolute and squared deviations: both too much and too little can be bad."""
-    z = np.clip((x - model["mean"]) / model["scale"], -8, 8)
+    """Standardised, clipped statistics with their absolute and squared deviations: both too much and too little can be bad.
+
+    Shares over few words vary by themselves, so short texts are drawn towards the mean.
+    """
+    count = np.expm1(x[:, len(KINDS) + 2 : len(KINDS) + 3])
+    z = np.clip((x - model["mean"]) / model["scale"], -8, 8) * (count / (count + SHORT))
     return np.concatenate([z, np.abs(z), z * z / 8, np.ones((len(z), 1))], axis=1)
 
 
