@@ -12,6 +12,7 @@ names a component that has another id. An empty table gives an empty result. Oth
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,19 +94,36 @@ def _with_sets(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, width:
     return texts.mapInArrow(_sets(width), "node long, shingles array<long>").dropDuplicates(["node"])
 
 
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / math.log(1.03)).cast("int")
+
+
 def _sharing_rare(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of nodes in different components that share one of their rare shingles.
+    """Pairs ``a > b`` of nodes in different components that share one of their rare shingles and may be similar enough.
 
     With all shingles ordered by the number of nodes that hold them, two sets as similar as asked for share one of the first
-    ``n - ceil(percent * n / 100) + 1`` of each, so no such pair is missed; nodes that differ by edits of their own have only those there.
+    ``n - ceil(percent * n / 100) + 1`` of each, so no such pair is missed. What stands before the shared one is not shared, which bounds the
+    overlap and with it the sizes a partner may have; only those are looked up. Under one shingle the nodes of its commonest component look for
+    nobody, since all others look for them.
     """
     each = sets.select("node", "component", F.explode("shingles").alias("shingle"))
     held = each.groupBy("shingle").agg(F.count("*").alias("holders"))
     ordered = each.join(held, "shingle").groupBy("node", "component").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("s"))
-    first = F.size("s") - F.ceil(F.size("s") * percent / 100).cast("int") + 1
-    rare = pin(ordered.select("node", "component", F.explode(F.slice("s", F.lit(1), first)).alias("s")).where("s.holders > 1").select("node", "component", "s.shingle"), "rare")
-    a, b = (rare.select("shingle", F.col("node").alias(x), F.col("component").alias(f"component_{x}")) for x in "ab")
-    return a.join(b, "shingle").where("a > b and component_a <> component_b").select("a", "b").distinct()
+    n = F.size("s")
+    first = n - F.ceil(n * percent / 100).cast("int") + 1
+    rare = ordered.select("node", "component", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), first)).alias("i", "s"))
+    rare = pin(rare.where("s.holders > 1").select("node", "component", "n", "i", "s.shingle"), "rare")
+    common = rare.groupBy("shingle", "component").agg(F.count("*").alias("members")).groupBy("shingle").agg(F.max_by("component", "members").alias("common"), F.count("*").alias("components"))
+    mixed = pin(rare.join(common.where("components > 1").select("shingle", "common"), "shingle"), "mixed")
+
+    least = F.ceil(F.col("n") * percent / 100)
+    most = F.least(F.floor(F.col("n") * 100 / percent), F.floor((F.col("n") - F.col("i")) * (100 + percent) / percent) - F.col("n"))
+    looking = mixed.where("component <> common").withColumn("least", least).withColumn("most", most).where("least <= most")
+    looking = looking.withColumn("class", F.explode(F.sequence(_size_class(F.col("least")), _size_class(F.col("most")))))
+    a = looking.select("shingle", "class", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
+    b = mixed.select("shingle", _size_class(F.col("n")).alias("class"), F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("i").alias("iy"))
+    possible = f"cx <> cy and {100 + percent} * least(nx - ix, ny - iy) >= {percent} * (nx + ny)"
+    return a.join(b, ["shingle", "class"]).where(possible).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(
