@@ -36,7 +36,7 @@ from .tokens import SLICE_BYTES, odd_constants, slices, splitmix, utf8
 LENGTH = 50
 Q = 20
 # Text whose anchors one task of the refinement gets, about.
-PART_BYTES = 1 << 23
+PART_BYTES = 1 << 22
 
 _PACKED = "batch string, n_bytes long, ids binary, offsets binary, texts binary"
 
@@ -260,7 +260,7 @@ def _contexts(length: int, q: int, parts: int, bits: int):
             for part, pick in _dealt(grams[still], parts):
                 pick = still[pick]
                 docs, which = np.unique(doc[pick], return_inverse=True)
-                yield _row(part, row["batch"], pack(_steps(grams[pick]), docs.astype(np.int32), ids[docs], which.astype(np.int32), low[pick].astype(np.int32), full[pick].T))
+                yield _row(part, row["batch"], pack(_steps(grams[pick]), docs.astype(np.int32), ids[docs], which.astype(np.int32), low[pick].astype(np.int32), full[pick, -2:], text[pick][inside[pick]]))
 
     return run
 
@@ -313,14 +313,18 @@ def _settle(length: int, q: int):
         for held in _passing(batches, passed):
             yield from passed
             passed.clear()
-            each = [unpack(blob, np.uint8, np.int32, np.int64, np.int32, np.int32, np.uint8) for _, _, blob in held]
+            each = [unpack(blob, np.uint8, np.int32, np.int64, np.int32, np.int32, np.uint8, np.uint8) for _, _, blob in held]
             grams = np.concatenate([_summed(x[0]) for x in each])
             doc = np.concatenate([x[1][x[3]] for x in each])
             holder = np.concatenate([x[2][x[3]] for x in each])
             place = np.concatenate([x[4] for x in each]).astype(np.int64)
-            full = np.concatenate([x[5].reshape(2 * side + 2, -1).T for x in each])
+            reach = np.concatenate([x[5].reshape(-1, 2) for x in each])
+            left, right = reach[:, 0].astype(np.int64), reach[:, 1].astype(np.int64)
+            full = np.zeros((len(grams), 2 * side + 2), np.uint8)
+            full[:, -2:] = reach
+            column = np.arange(2 * side)
+            full[:, :-2][(column >= side - left[:, None]) & (column < side + right[:, None])] = np.concatenate([x[6] for x in each])
             source = np.repeat(np.arange(len(each)), [len(x[3]) for x in each])
-            left, right = full[:, -2].astype(np.int64), full[:, -1].astype(np.int64)
             key = _fingerprints(full)
             order = np.lexsort((holder, key, grams))
             first = np.append(True, (grams[order][1:] != grams[order][:-1]) | (key[order][1:] != key[order][:-1]))
