@@ -190,10 +190,11 @@ def sessions(log: DataFrame, gap_seconds: int = 180, cap_seconds: int = 12 * 360
         F.count(F.lit(1)).alias("events"))
 
 
-def export_rows(log: DataFrame, offset: int = 0, cap: int = 50_000) -> DataFrame:
-    """The newest ``cap`` entries as the CSV export shows them."""
+def export_rows(log: DataFrame, offset: int = 0, newest: int | None = None) -> DataFrame:
+    """All entries, newest first, as the CSV export shows them; only the ``newest`` so many where asked."""
     local = timefns.to_local("created_at", offset)
-    return log.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(cap).select(
+    listed = log.orderBy(F.col("created_at").desc(), F.col("id").desc())
+    return (listed if newest is None else listed.limit(newest)).select(
         "id", F.date_format(local, "yyyy-MM-dd").alias("date"), F.date_format(local, "HH:mm:ss").alias("time"),
         F.coalesce("actor", F.lit("Guest")).alias("account"), F.coalesce("category", F.lit(OTHER)).alias("category"),
         F.initcap(F.replace("action", F.lit("_"), F.lit(" "))).alias("activity"), F.coalesce("detail", F.lit("")).alias("detail"))

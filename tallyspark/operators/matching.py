@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels, names, similarity
+from ..functions.similarity import ratio
 
-ROSTER_LIMIT = 2_000
+# Roster names that travel to the tasks at once.
+ROSTER_BLOCK = 2_000
 
 
 def title_head(name) -> Column:
@@ -18,61 +21,68 @@ def title_head(name) -> Column:
     return F.trim(F.split(F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit("")), r"\s[-–]\s")[0])
 
 
-def _grams(key: str) -> Column:
-    """Bigrams of a key, plus its single letters when it is short.
+def _letters(texts: list[str], alphabet: dict[str, int]) -> np.ndarray:
+    counts = np.zeros((len(texts), len(alphabet) + 1), np.int32)
+    for i, t in enumerate(texts):
+        for c in t:
+            counts[i, alphabet.get(c, -1)] += 1
+    return counts
 
-    Two strings of total length L with ratio >= 0.75 have at least 3/8 L matching letters in at most L/4 + 1 runs, so for
-    L > 16 they share a bigram; shorter pairs (each at most 10 letters) share a letter. Blocking on these loses nothing.
-    """
-    s = F.col(key)
-    two = F.when(F.length(s) >= 2, F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    one = F.when(F.length(s) <= 10, F.split(s, "")).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.filter(F.concat(two, one), lambda g: g != ""))
 
+def _best_of(book: list[tuple[int, str]]):
+    """Scores every key against every name of a roster block.
 
-def fuzzy_company_match(titles: DataFrame, roster: DataFrame, least: float = 0.75) -> DataFrame:
+    The letters two strings have in common bound their ratio, so names are tried in falling order of that bound and most are never compared.
+    """
+    alphabet = {c: i for i, c in enumerate(sorted({c for _, name in book for c in name}))}
+    sizes = np.array([len(name) for _, name in book])
+    letters = _letters([name for _, name in book], alphabet)[:, :-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key").to_pylist()
+            ids, scores = [], []
+            for key, own in zip(keys, _letters(keys, alphabet)[:, :-1]):
+                bound = 2.0 * np.minimum(letters, own).sum(axis=1) / (sizes + len(key))
+                score, best = 0.0, None
+                inside = [cid for cid, name in book if key in name or name in key]
+                if inside:
+                    score, best = 0.9, min(inside)
+                for i in np.argsort(-bound, kind="stable"):
+                    if bound[i] < score or bound[i] == 0:
+                        break
+                    cid, name = book[i]
+                    s = ratio(key, name)
+                    if s > score or (s == score and best is not None and cid < best):
+                        score, best = s, cid
+                ids.append(best)
+                scores.append(score)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], names=["key", "company_id", "score"])
+
+    return run
+
+
+def fuzzy_company_match(titles: DataFrame, roster: DataFrame, least: float = 0.75, block: int = ROSTER_BLOCK) -> DataFrame:
     """Best roster company per title by normalised-name ratio (0.9 when one name contains the other), NULL below ``least``.
 
-    ``titles`` has title_id and title; ``roster`` has company_id and name (one row per name or alias). Each distinct
-    name is compared once. A roster counted to at most ROSTER_LIMIT names travels to the tasks; a larger one is joined
-    on shared letter pairs.
+    ``titles`` has title_id and title; ``roster`` has company_id and name (one row per name or alias). Each distinct name is compared once.
+    Every key meets every name, whatever their number: the roster goes to the tasks in blocks of about ``block`` names, and the best of
+    all blocks wins, the smallest id on ties.
     """
     t = titles.select("title_id", names.company_key(title_head("title")).alias("key"))
     keys = t.where("key <> ''").select("key").distinct()
-    r = roster.select("company_id", names.company_key("name").alias("target")).where("target <> ''")
+    r = roster.select(F.col("company_id").cast("long").alias("company_id"), names.company_key("name").alias("target")).where("target <> ''").distinct()
     equal = keys.join(r, F.col("key") == F.col("target")).groupBy("key").agg(F.min("company_id").alias("company_id")).withColumn("score", F.lit(1.0))
     keys = keys.join(equal, "key", "left_anti")  # only names that are not on the roster as they stand are compared
-    small = r.limit(ROSTER_LIMIT + 1).collect()
-    if len(small) <= ROSTER_LIMIT:
-        book = [(row["company_id"], row["target"]) for row in small]
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = []
-                for key in pdf["key"]:
-                    best = (0.0, None)
-                    for cid, target in book:
-                        inside = key in target or target in key
-                        bound = 2 * min(len(key), len(target)) / (len(key) + len(target))
-                        s = max(similarity.ratio(key, target) if bound > best[0] else 0.0, 0.9 if inside else 0.0)
-                        if s > best[0] or (s == best[0] and best[1] is not None and cid < best[1]):
-                            best = (s, cid)
-                    out.append((key, best[1], best[0]))
-                yield pd.DataFrame(out, columns=["key", "company_id", "score"])
-
-        scored = keys.mapInPandas(score, "key string, company_id long, score double")
-    else:
-        a = keys.withColumn("g", F.explode(_grams("key")))
-        b = r.withColumn("g", F.explode(_grams("target")))
-        pairs = a.join(b, "g").select("key", "target", "company_id").distinct()
-        inside = F.contains("key", "target") | F.contains("target", "key")
-        length_ok = F.least(F.length("key"), F.length("target")) * 2.0 / (F.length("key") + F.length("target")) >= least
-        close = pairs.where(inside | length_ok).withColumn("r", similarity.ratio_udf("key", "target"))
-        s = F.greatest(F.col("r"), F.when(inside, 0.9).otherwise(0.0))
-        best = close.withColumn("s", s).groupBy("key").agg(F.min(F.struct((-F.col("s")).alias("n"), "company_id")).alias("b"))
-        scored = best.select("key", "b.company_id", (-F.col("b.n")).alias("score"))
-    scored = equal.unionByName(scored)
-    return t.join(scored, "key", "left").select(
+    blocks = max(1, -(-r.count() // block))
+    scored = equal
+    for i in range(blocks):
+        book = [(row["company_id"], row["target"]) for row in r.where(F.pmod(F.xxhash64("target"), F.lit(blocks)) == i).collect()]
+        if book:
+            scored = scored.unionByName(keys.mapInArrow(_best_of(sorted(book)), "key string, company_id long, score double"))
+    best = scored.where(F.col("company_id").isNotNull()).groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("n"), "company_id")).alias("b"))
+    best = best.select("key", "b.company_id", (-F.col("b.n")).alias("score"))
+    return t.join(best, "key", "left").select(
         "title_id", F.when(F.col("score") >= least, F.col("company_id")).alias("company_id"), F.bround(F.coalesce("score", F.lit(0.0)), 2).alias("score"))
 
 
@@ -130,13 +140,8 @@ def same_person_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     letter. So candidates meet on (word, letter of another word) or on two letter pairs from two words: no pair is
     lost, and two names of a large board that merely share a common word rarely meet.
     """
-    def words(col: str) -> Column:
-        parts = F.transform(F.split(F.lower(F.col(col)), r"[\s\-]+"), lambda t: F.regexp_replace(t, r"^[.,*]+|[.,*]+$", ""))
-        titles = F.array(*[F.lit(t) for t in sorted(similarity.TITLES)])
-        return F.array_distinct(F.filter(parts, lambda t: (F.length(t) > 1) & ~F.array_contains(titles, t)))
-
     def blocked(df: DataFrame, col: str) -> DataFrame:
-        d = df.select(*keys, F.col("director_name").alias(col)).where(F.col(col).isNotNull()).distinct().withColumn(f"w_{col}", words(col))
+        d = df.select(*keys, F.col("director_name").alias(col)).where(F.col(col).isNotNull()).distinct().withColumn(f"w_{col}", similarity.name_words(col))
         w = F.col(f"w_{col}")
         grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))
         pair = lambda x, y: F.when(x <= y, F.concat(x, F.lit("+"), y)).otherwise(F.concat(y, F.lit("+"), x))
@@ -158,7 +163,7 @@ def same_person_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     left = F.when(a_small, F.array_except(wb, wa)).otherwise(F.array_except(wa, wb))
     # a ratio of 0.75 leaves at most a quarter of the letters unmatched, so the edit distance is at most that
     possible = F.forall(odd, lambda x: (F.length(x) >= 5) & F.exists(left, lambda y: F.levenshtein(x, y) * 4 <= F.length(x) + F.length(y)))
-    return pairs.where(possible).drop("w_name_a", "w_name_b").where(similarity.same_person_udf("name_a", "name_b"))
+    return pairs.where(possible).where(similarity.same_person("w_name_a", "w_name_b")).drop("w_name_a", "w_name_b")
 
 
 def misattributed_documents(docs: DataFrame, company: DataFrame) -> DataFrame:

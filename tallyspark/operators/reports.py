@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, names
 from ..functions.numeric import pct_change
+from ..session import cut
 from . import stats
 
 
-def flatten_tree(items: DataFrame, max_depth: int = 8) -> DataFrame:
-    """Line items in print order with depth and has_children: one equi join per level, parents to children.
+def flatten_tree(items: DataFrame) -> DataFrame:
+    """Line items in print order with depth and has_children: one equi join per level, parents to children, down to the deepest.
 
-    ``items`` is (statement_id, id, parent_id, order_index, ...). ``path`` sorts siblings under their parent.
+    ``items`` is (statement_id, id, parent_id, order_index, ...). ``path`` sorts siblings under their parent. Each level is written before
+    the next is joined to it. Rows whose parent does not exist, or that are their own ancestors, hang on no root and are left out.
     """
     step = F.array(F.struct(F.col("order_index").alias("o"), F.col("id").alias("i")))
-    level = items.where(F.col("parent_id").isNull()).withColumns({"depth": F.lit(0), "path": step})
-    out = level
-    for d in range(1, max_depth + 1):
-        up = level.select(F.col("statement_id").alias("__s"), F.col("id").alias("__id"), F.col("path").alias("__path"))
-        level = items.join(up, (F.col("statement_id") == F.col("__s")) & (F.col("parent_id") == F.col("__id"))).withColumns(
-            {"depth": F.lit(d), "path": F.concat("__path", step)}).drop("__s", "__id", "__path")
+    level = out = cut(items.where(F.col("parent_id").isNull()).withColumns({"depth": F.lit(0), "path": step}))
+    while not level.isEmpty():
+        up = level.select(F.col("statement_id").alias("__s"), F.col("id").alias("__id"), F.col("depth").alias("__depth"), F.col("path").alias("__path"))
+        level = cut(items.join(up, (F.col("statement_id") == F.col("__s")) & (F.col("parent_id") == F.col("__id"))).withColumns(
+            {"depth": F.col("__depth") + 1, "path": F.concat("__path", step)}).drop("__s", "__id", "__depth", "__path"))
         out = out.unionByName(level)
     parents = items.where(F.col("parent_id").isNotNull()).select("statement_id", F.col("parent_id").alias("id")).distinct().withColumn("has_children", F.lit(True))
     return out.join(parents, ["statement_id", "id"], "left").withColumn("has_children", F.coalesce("has_children", F.lit(False)))

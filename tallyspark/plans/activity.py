@@ -128,7 +128,7 @@ def user_sessions(spark, sf_dir):
 
 
 @query("activity_export", views.oracle("""SELECT id, strftime(created_at + INTERVAL 180 MINUTE, '%Y-%m-%d') AS date, strftime(created_at + INTERVAL 180 MINUTE, '%H:%M:%S') AS time,
- coalesce(actor, 'Guest') AS account, category, upper(substr(action, 1, 1)) || substr(action, 2) AS activity, coalesce(detail, '') AS detail FROM activity ORDER BY created_at DESC, id DESC LIMIT 50000"""))
+ coalesce(actor, 'Guest') AS account, category, upper(substr(action, 1, 1)) || substr(action, 2) AS activity, coalesce(detail, '') AS detail FROM activity ORDER BY created_at DESC, id DESC"""))
 def activity_export(spark, sf_dir):
     return ev.export_rows(log(spark, sf_dir), _TZ)
 
@@ -258,9 +258,9 @@ def customer_health(spark, sf_dir):
 
 
 @query("customers_by_urgency", views.oracle(f"""WITH {_BEST}, {_HEALTH} SELECT org_id, health, balance_due FROM hh ORDER BY CASE health WHEN 'Payment overdue' THEN 0 WHEN 'At risk - inactive' THEN 0
- WHEN 'Cancelling' THEN 1 WHEN 'Trial - not used yet' THEN 1 WHEN 'Trial - in use' THEN 2 WHEN 'Healthy' THEN 3 ELSE 4 END, org_id LIMIT 50"""))
+ WHEN 'Cancelling' THEN 1 WHEN 'Trial - not used yet' THEN 1 WHEN 'Trial - in use' THEN 2 WHEN 'Healthy' THEN 3 ELSE 4 END, org_id"""))
 def customers_by_urgency(spark, sf_dir):
-    return customers(spark, sf_dir).orderBy("urgency", "org_id").limit(50).select("org_id", "health", "balance_due")
+    return customers(spark, sf_dir).orderBy("urgency", "org_id").select("org_id", "health", "balance_due")
 
 
 @query("organisation_accounts", bill_sql("""SELECT b.org_id, b.plan, b.level, count(i.invoice_id) AS invoices, coalesce(sum(CASE WHEN i.status = 'open' THEN i.balance END), 0)::BIGINT AS balance_due

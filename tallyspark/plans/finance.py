@@ -486,8 +486,8 @@ def compare_at_period(spark, sf_dir):
 
 
 @query("companies_by_revenue", fin_sql("""SELECT c.company_id, c.name, w.revenue, w.financial_score FROM fin_company c LEFT JOIN (SELECT * FROM win WHERE recency = 1) w USING (company_id)
- ORDER BY w.revenue DESC NULLS LAST, c.company_id LIMIT 25"""))
+ ORDER BY w.revenue DESC NULLS LAST, c.company_id"""))
 def companies_by_revenue(spark, sf_dir):
-    """First page of the company list, largest revenue first."""
+    """The company list, largest revenue first."""
     listed = fin.compare_at_period(company(spark, sf_dir), flat(spark, sf_dir), None)
-    return listed.orderBy(F.col("revenue").desc_nulls_last(), "company_id").limit(25).select("company_id", "name", "revenue", "financial_score")
+    return listed.orderBy(F.col("revenue").desc_nulls_last(), "company_id").select("company_id", "name", "revenue", "financial_score")

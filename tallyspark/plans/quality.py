@@ -154,10 +154,10 @@ def consistency_issues(spark, sf_dir):
 
 @query("issue_ranking", views.oracle(f"""WITH {status_cte(fl.CORE_FIELDS)}, iss AS ({_issues_sql()}), i AS (SELECT company_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) AS issues FROM iss GROUP BY 1)
  SELECT company_id, count(*) FILTER (WHERE status = 'missing') AS missing, coalesce(any_value(errors), 0) AS errors, coalesce(any_value(issues), 0) AS issues FROM fs LEFT JOIN i USING (company_id) GROUP BY 1
- ORDER BY errors DESC, issues DESC, missing DESC, company_id LIMIT 30"""))
+ ORDER BY errors DESC, issues DESC, missing DESC, company_id"""))
 def issue_ranking(spark, sf_dir):
     s = survey(spark, sf_dir)
-    return qu.issue_ranking(qu.consistency_issues(s), qu.field_status(s, fl.CORE_FIELDS), 30)
+    return qu.issue_ranking(qu.consistency_issues(s), qu.field_status(s, fl.CORE_FIELDS))
 
 
 _REPEAT = ["turnover", "net_profit", "market_cap", *[f for f, _ in fl.CEO if f.startswith("ceo_monthly")], "board_size"]

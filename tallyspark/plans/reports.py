@@ -134,13 +134,13 @@ _TREE = """li AS (SELECT l_orderkey AS statement_id, l_linenumber::BIGINT AS id,
 @query("flattened_tree", f"""WITH RECURSIVE {_TREE} SELECT statement_id, id, depth, array_to_string(path, '.') AS print_path,
  EXISTS (SELECT 1 FROM li c WHERE c.statement_id = tr.statement_id AND c.parent_id = tr.id) AS has_children FROM tr""")
 def flattened_tree(spark, sf_dir):
-    return rp.flatten_tree(tree_items(spark, sf_dir), 4).select(
+    return rp.flatten_tree(tree_items(spark, sf_dir)).select(
         "statement_id", "id", "depth", F.array_join(F.transform("path", lambda p: p["i"].cast("string")), ".").alias("print_path"), "has_children")
 
 
 @query("amounts_in_tree", f"WITH RECURSIVE {_TREE} SELECT statement_id, arg_min(amount, path) AS name2 FROM tr WHERE normalized_name = 'name2' GROUP BY 1")
 def amounts_in_tree(spark, sf_dir):
-    return rp.find_amount(rp.flatten_tree(tree_items(spark, sf_dir), 4), "name2")
+    return rp.find_amount(rp.flatten_tree(tree_items(spark, sf_dir)), "name2")
 
 
 # ---------------------------------------------------------------- reports
@@ -380,10 +380,10 @@ def field_trace(spark, sf_dir):
     return have.unionByName(r.where("value IS NULL").select("company_id", "fiscal_year", "field", F.lit("gap").alias("status")), allowMissingColumns=True)
 
 
-@query("open_conflicts_first", views.oracle("""SELECT reading_id, field, resolved FROM (SELECT reading_id, field, reading_id % 3 = 0 AS resolved FROM reading WHERE value IS NOT NULL) ORDER BY resolved, reading_id DESC LIMIT 40"""))
+@query("open_conflicts_first", views.oracle("""SELECT reading_id, field, resolved FROM (SELECT reading_id, field, reading_id % 3 = 0 AS resolved FROM reading WHERE value IS NOT NULL) ORDER BY resolved, reading_id DESC"""))
 def open_conflicts_first(spark, sf_dir):
     r = views.view(spark, sf_dir, "reading").where("value IS NOT NULL").select("reading_id", "field", (F.col("reading_id") % 3 == 0).alias("resolved"))
-    return r.orderBy("resolved", F.col("reading_id").desc()).limit(40)
+    return r.orderBy("resolved", F.col("reading_id").desc())
 
 
 @query("copied_years", views.oracle("""WITH s AS (SELECT company_id, 'report-' || CAST(year_no // 3 AS VARCHAR) AS f, fiscal_year, board_size, committees_per_board, board_meetings_per_year, directors_female, executive_directors_count, ceo_monthly_salary FROM survey),

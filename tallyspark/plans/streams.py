@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import shared_base
 from ..streaming import activity as st
 from ..streaming import ingest, sinks
 from . import views
@@ -17,7 +18,7 @@ def source(spark, sf_dir):
 
 
 def updated(spark, stream, name, keys, mode="update"):
-    out, check = sinks.shared_folder(spark, name), sinks.shared_folder(spark, f"{name}-checkpoint")
+    out, check = sinks.shared_folder(spark, name, shared_base(spark)), sinks.shared_folder(spark, f"{name}-checkpoint", shared_base(spark))
     sinks.run_available(stream, sinks.batch_writer(out), check, mode)
     return sinks.latest_updates(spark, out, keys)
 
@@ -61,7 +62,7 @@ def stream_lockouts(spark, sf_dir):
 def stream_payments_applied_once(spark, sf_dir):
     """Every payment arrives twice, in two separate runs of the stream; each reference is applied once."""
     schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
-    table = sinks.shared_folder(spark, "applied")
+    table = sinks.shared_folder(spark, "applied", shared_base(spark))
     invoices = views.view(spark, sf_dir, "invoice")
     for run in range(2):
         orders = spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parquet*")
@@ -71,5 +72,5 @@ def stream_payments_applied_once(spark, sf_dir):
             F.when(F.col("o_orderstatus") == "F", F.floor("o_totalprice")).otherwise(F.floor(F.col("o_totalprice") / 2)).alias("amount"),
             F.col("o_orderdate").cast("timestamp").alias("paid_at"))
         apply = ingest.payment_applier(invoices, table)
-        sinks.run_available(paid, lambda b, i, apply=apply, run=run: apply(b, i + run * 1_000_000), sinks.shared_folder(spark, "applied-checkpoint"), "append")
+        sinks.run_available(paid, lambda b, i, apply=apply, run=run: apply(b, i + run * 1_000_000), sinks.shared_folder(spark, "applied-checkpoint", shared_base(spark)), "append")
     return spark.read.parquet(table).select("reference", "invoice_id", "amount", "currency", "paid_at", "note")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +44,20 @@ def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a new local one, named there, only where it is unset (tests, one machine)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="tally-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, written to the shared folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_base(spark))
+    return df.checkpoint()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +29,10 @@ def export_portfolio(rows: DataFrame, path: str) -> None:
 
 
 def export_comparison(rows: DataFrame, path: str) -> None:
-    """A summary, and a data set partitioned by company with the years newest first."""
+    """A summary, and a data set in ranges of companies with the years newest first; a large company spans several files."""
     rows.groupBy("fiscal_year").agg(F.count(F.lit(1)).alias("companies")).write.mode("overwrite").parquet(f"{path}/summary")
-    rows.repartition("company_id").sortWithinPartitions("company_id", F.col("fiscal_year").desc()).write.mode("overwrite").partitionBy(
-        "company_id").parquet(f"{path}/companies")
+    rows.repartitionByRange("company_id", F.col("fiscal_year").desc()).sortWithinPartitions("company_id", F.col("fiscal_year").desc()).write.mode(
+        "overwrite").parquet(f"{path}/companies")
 
 
 def used_columns(df: DataFrame, fields: list[str]) -> list[str]:
@@ -76,21 +78,26 @@ def export_pay_audit(flagged: DataFrame, path: str) -> None:
     write_csv(flagged.withColumn("flags", F.array_join("flags", ";")), path)
 
 
-def write_years(df: DataFrame, path: str, year: str = "fiscal_year") -> None:
-    """Rewrite only the years present in ``df`` (dynamic partition overwrite)."""
-    df.repartition(year).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(year).parquet(path)
+def write_years(df: DataFrame, path: str, year: str = "fiscal_year", rows_per_file: int = 5_000_000) -> None:
+    """Rewrite only the years present in ``df`` (dynamic partition overwrite).
+
+    Rows stay where they are, so a year that holds most of them is written by all tasks that have some; files are cut by rows.
+    """
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).partitionBy(year).parquet(path))
 
 
 def upsert_years(spark: SparkSession, updates: DataFrame, path: str, keys: list[str], mode: str = "coalesce", year: str = "fiscal_year") -> None:
     """Merge updates into a year-partitioned table, touching only the years that occur in them.
 
-    The merged years go to a new folder first and are then swapped in, because a job must not overwrite what it reads.
+    The merged years go to a folder of this call's own and are then swapped in, because a job must not overwrite what it reads.
     """
     from ..operators.merge import upsert
 
     old = spark.read.parquet(path)
     years = updates.select(year).distinct()
     touched = old.join(years, year, "left_semi")
-    staged = f"{path.rstrip('/')}_staged"
-    upsert(touched, updates, keys, mode).write.mode("overwrite").partitionBy(year).parquet(staged)
+    staged = f"{path.rstrip('/')}_staged_{uuid.uuid4().hex}"
+    upsert(touched, updates, keys, mode).write.partitionBy(year).parquet(staged)
     write_years(spark.read.schema(old.schema).parquet(staged), path, year)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

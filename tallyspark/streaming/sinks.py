@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -10,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tally-")
+def shared_folder(spark: SparkSession, name: str, base: str | None = None) -> str:
+    """A fresh folder under ``base`` or the cluster's ``spark.checkpoint.dir``; there is no default that only one machine would see."""
+    base = base or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("a stream needs a shared folder: name one or set spark.checkpoint.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -102,6 +102,12 @@ def test_tree(spark):
     assert rp.find_amount(t, "b").first()["b"] == 6.0
 
 
+def test_tree_has_no_depth_limit(spark):
+    chain = [(1, i, i - 1 if i else None, 0, "x", 1.0) for i in range(13)] + [(1, 50, 51, 0, "x", 1.0), (1, 51, 50, 0, "x", 1.0), (1, 60, 99, 0, "x", 1.0)]
+    t = rp.flatten_tree(spark.createDataFrame(chain, "statement_id long, id long, parent_id long, order_index int, normalized_name string, amount double"))
+    assert sorted((r["id"], r["depth"]) for r in t.collect()) == [(i, i) for i in range(13)]  # a cycle and an orphan hang on no root
+
+
 def test_pay_rows_are_cleaned(spark):
     rows = [("Patricia Ithau***", {"Fees": "10", "Total Emoluments 2025 Shs": "1,200", "Total Emoluments 2024 Shs": "900"}, None, 2025), ("2023", {"x": "1"}, None, 2025),
             ("Agnes Lutukai(3)", {"Fees": "-"}, None, 2025), ("Total", {"Total": "5,000"}, None, 2025), ("Left Early", {"Total 2024": "70"}, None, 2025)]
