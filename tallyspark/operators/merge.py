@@ -184,13 +184,13 @@ def backfill_dimension(company: DataFrame, roster: DataFrame, column: str = "sec
 
 
 def headline_backfill(survey: DataFrame, statements: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """Survey figures filled from statements (converted to the survey row's unit) when empty."""
+    """Survey figures filled from statements, converted to the survey row's unit, when empty; a row of unknown unit is not filled."""
     cols = {f"__{f}": src for f, src in fields.items()}
     st = statements.select("company_id", "fiscal_year", *[F.col(src).alias(a) for a, src in cols.items()])
     joined = survey.join(st, ["company_id", "fiscal_year"], "left")
-    scale = F.coalesce("headline_scale", F.lit(1.0))
-    out = joined.withColumns({f"{f}_source": F.when(F.col(f).isNull() & F.col(f"__{f}").isNotNull(), "from parsed financial statements") for f in fields})
-    return out.withColumns({f: F.coalesce(F.col(f), F.try_divide(F.col(f"__{f}"), scale)) for f in fields}).drop(*cols)
+    given = {f: F.try_divide(F.col(f"__{f}"), F.col("headline_scale")) for f in fields}
+    out = joined.withColumns({f"{f}_source": F.when(F.col(f).isNull() & given[f].isNotNull(), "from parsed financial statements") for f in fields})
+    return out.withColumns({f: F.coalesce(F.col(f), given[f]) for f in fields}).drop(*cols)
 
 
 def comparative_fill(primary: DataFrame, comparative: DataFrame, keys: list[str]) -> DataFrame:

@@ -197,9 +197,9 @@ def filing_year(spark, sf_dir):
 
 
 @query("interim_reports", views.oracle(f"""SELECT {_DOC} AS doc_id, CASE company_id % 3 WHEN 0 THEN 'H1 ' WHEN 1 THEN 'Q3 ' ELSE 'Q1 ' END || CAST(year_no AS VARCHAR) AS interim_label
- FROM survey JOIN company USING (company_id) WHERE n_lines % 4 = 0"""))
+ FROM survey JOIN company USING (company_id)"""))
 def interim_reports(spark, sf_dir):
-    s = views.survey(spark, sf_dir).where("n_lines % 4 = 0")
+    s = views.survey(spark, sf_dir)
     months = F.when(F.col("company_id") % 3 == 0, "six").when(F.col("company_id") % 3 == 1, "nine").otherwise("three")
     p = s.select((F.col("company_id") * 10000 + F.col("year_no")).alias("doc_id"), F.lit(1).alias("page"),
                  F.concat(F.lit("Results for the "), months, F.lit(" months ended 30 June "), F.col("year_no").cast("string")).alias("text"))
@@ -272,13 +272,13 @@ def _values(spark, sf_dir):
 @query("value_evidence", views.oracle(f"""SELECT {_DOC} AS doc_id, 'board_size' AS field, board_size AS value, CAST(2 AS INT) AS page, 'beside_topic' AS kind FROM survey JOIN company USING (company_id)
  WHERE board_size IS NOT NULL AND n_lines % 3 <> 0"""))
 def value_evidence(spark, sf_dir):
-    return fg.value_evidence(_values(spark, sf_dir), filings(spark, sf_dir).where("page = 2"), {"board_size": r"board comprised"}).select("doc_id", "field", "value", "page", "kind")
+    return fg.value_evidence(_values(spark, sf_dir), filings(spark, sf_dir), {"board_size": r"board comprised"}).select("doc_id", "field", "value", "page", "kind")
 
 
 @query("value_checks", views.oracle(f"""SELECT {_DOC} AS doc_id, 'board_size' AS field, CASE WHEN n_lines % 5 = 0 THEN 'person' WHEN n_lines % 3 <> 0 THEN 'found' ELSE 'unverified' END AS "check"
  FROM survey JOIN company USING (company_id) WHERE board_size IS NOT NULL"""))
 def value_checks(spark, sf_dir):
-    v, p = _values(spark, sf_dir), filings(spark, sf_dir).where("page = 2")
+    v, p = _values(spark, sf_dir), filings(spark, sf_dir)
     return fg.value_check(v, fg.value_evidence(v, p, {"board_size": r"board comprised"}), p).select("doc_id", "field", "check")
 
 
@@ -354,8 +354,8 @@ def matched_files(spark, sf_dir):
 @query("same_person_pairs")
 def same_person_pairs(spark, sf_dir):
     """Register names against pay-table names of the same company and year."""
-    reg = views.view(spark, sf_dir, "register").where("role = 'executive'").select("company_id", "y", "director_name")
-    pay = views.view(spark, sf_dir, "pay_row").where("table_kind = 'executive'").select("company_id", "y", "director_name")
+    reg = views.view(spark, sf_dir, "register").select("company_id", "y", "director_name")
+    pay = views.view(spark, sf_dir, "pay_row").select("company_id", "y", "director_name")
     return mt.same_person_join(reg, pay, ["company_id", "y"])
 
 
@@ -370,7 +370,7 @@ def misattributed_documents(spark, sf_dir):
 
 @query("document_companies", views.oracle(f"SELECT {_DOC} AS doc_id, company_id FROM survey JOIN company USING (company_id)"))
 def document_companies(spark, sf_dir):
-    """Company of each printed filing, read from its cover and matched with every company."""
+    """Company of each printed filing, read from its first three pages and matched with every company."""
     roster = views.view(spark, sf_dir, "company").select("company_id", "name")
-    docs = filings(spark, sf_dir).where("page = 1")
+    docs = filings(spark, sf_dir)
     return mt.document_company(docs, roster, least=1.0).select("doc_id", "company_id")

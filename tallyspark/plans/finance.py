@@ -456,9 +456,9 @@ def prior_period_asof(spark, sf_dir):
 
 @query("identity_checks", views.oracle("""SELECT company_id, period, total_assets - (total_liabilities + total_equity) AS balance_gap,
  abs(total_assets - (total_liabilities + total_equity)) <= greatest(2, 0.002::DOUBLE * greatest(abs(total_assets), abs(total_liabilities + total_equity))) AS balance_ok
- FROM financials WHERE total_liabilities IS NOT NULL"""))
+ FROM financials"""))
 def identity_checks(spark, sf_dir):
-    return fin.identity_checks(flat(spark, sf_dir).where("total_liabilities IS NOT NULL")).select("company_id", "period", "balance_gap", "balance_ok")
+    return fin.identity_checks(flat(spark, sf_dir)).select("company_id", "period", "balance_gap", "balance_ok")
 
 
 @query("derived_liabilities", views.oracle("""SELECT company_id, period, coalesce(total_liabilities, total_assets - total_equity) AS total_liabilities,

@@ -119,12 +119,12 @@ _METRIC_COUNT = [f for f in fl.KIND]
 
 @query("report_completeness", views.oracle(f"""WITH la AS (SELECT company_id, max(fiscal_year) AS fiscal_year FROM survey GROUP BY 1),
  s AS (SELECT company_id, 40 + least(9, floor(({' + '.join(f'({f} IS NOT NULL)::INT' for f in _METRIC_COUNT)}) / 4)) AS s FROM survey JOIN la USING (company_id, fiscal_year)),
- p AS (SELECT DISTINCT company_id FROM pay_row WHERE y = 2025 AND amount >= 49 AND table_kind = 'all'), c AS (SELECT DISTINCT company_id FROM register WHERE y = 2025 AND age >= 79 AND role = 'executive')
+ p AS (SELECT DISTINCT company_id FROM pay_row), c AS (SELECT DISTINCT company_id FROM register)
  SELECT c0.company_id, CAST(coalesce(s.s, 0) + CASE WHEN p.company_id IS NOT NULL THEN 40 ELSE 0 END + CASE WHEN c.company_id IS NOT NULL THEN 20 ELSE 0 END AS INT) AS completeness
  FROM company c0 LEFT JOIN s USING (company_id) LEFT JOIN p USING (company_id) LEFT JOIN c USING (company_id)"""))
 def report_completeness(spark, sf_dir):
-    pay = views.view(spark, sf_dir, "pay_row").where("y = 2025 AND amount >= 49 AND table_kind = 'all'")
-    com = views.view(spark, sf_dir, "register").where("y = 2025 AND age >= 79 AND role = 'executive'")
+    pay = views.view(spark, sf_dir, "pay_row")
+    com = views.view(spark, sf_dir, "register")
     return qu.completeness(company(spark, sf_dir), views.survey(spark, sf_dir), pay, com, _METRIC_COUNT)
 
 
@@ -295,11 +295,11 @@ def extraction_rollup(spark, sf_dir):
     return qu.extraction_rollup(_gaps(spark, sf_dir))
 
 
-@query("extraction_scores", views.oracle("""WITH u AS (SELECT period_id AS doc_id, pension / 10.0 AS c FROM pay_row WHERE pension > 0 UNION ALL SELECT l_orderkey, l_discount * 10 FROM lineitem WHERE l_discount > 0.01)
+@query("extraction_scores", views.oracle("""WITH u AS (SELECT period_id AS doc_id, pension / 10.0 AS c FROM pay_row UNION ALL SELECT l_orderkey, l_discount * 10 FROM lineitem)
  SELECT doc_id, round_even(greatest(0, least(1, avg(CAST(c AS DOUBLE)))) * 100, 1) AS extraction_score, count(*) AS rows FROM u GROUP BY 1"""))
 def extraction_scores(spark, sf_dir):
-    a = views.view(spark, sf_dir, "pay_row").where("pension > 0").select(F.col("period_id").alias("doc_id"), (F.col("pension") / 10.0).alias("confidence"))
-    b = views.table(spark, sf_dir, "lineitem").where("l_discount > 0.01").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_discount") * 10).alias("confidence"))
+    a = views.view(spark, sf_dir, "pay_row").select(F.col("period_id").alias("doc_id"), (F.col("pension") / 10.0).alias("confidence"))
+    b = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_discount") * 10).alias("confidence"))
     return qu.extraction_score([a, b])
 
 
@@ -474,9 +474,10 @@ def empty_periods(spark, sf_dir):
     return mg.empty_parents(o, views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
 
 
-@query("companies_without_periods", views.oracle("SELECT company_id, name FROM fin_company WHERE company_id NOT IN (SELECT company_id FROM financials WHERE fiscal_year = 2025)"))
+@query("companies_without_periods", views.oracle("SELECT p_partkey AS company_id, p_name AS name FROM part WHERE p_partkey NOT IN (SELECT company_id FROM financials)"))
 def companies_without_periods(spark, sf_dir):
-    return mg.empty_parents(fin_company(spark, sf_dir), flat(spark, sf_dir).where("fiscal_year = 2025"), "company_id").select("company_id", "name")
+    parts = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("company_id"), F.col("p_name").alias("name"))
+    return mg.empty_parents(parts, flat(spark, sf_dir), "company_id").select("company_id", "name")
 
 
 @query("missing_company_years", views.oracle("""SELECT company_id, fiscal_year FROM company CROSS JOIN (VALUES ('FY2018'), ('FY2024'), ('FY2025')) AS y(fiscal_year)
@@ -493,23 +494,23 @@ def sector_backfill(spark, sf_dir):
 
 
 @query("headline_backfill", norm_sql("""SELECT n.company_id, n.fiscal_year, coalesce(n.turnover, f.revenue / n.headline_scale) AS turnover,
- CASE WHEN n.turnover IS NULL AND f.revenue IS NOT NULL THEN 'from parsed financial statements' END AS turnover_source
- FROM norm n LEFT JOIN (SELECT company_id, period, revenue FROM financials) f ON f.company_id = n.company_id AND f.period = n.fiscal_year WHERE n.headline_scale IS NOT NULL"""))
+ CASE WHEN n.turnover IS NULL AND f.revenue IS NOT NULL AND n.headline_scale IS NOT NULL THEN 'from parsed financial statements' END AS turnover_source
+ FROM norm n LEFT JOIN (SELECT company_id, period, revenue FROM financials) f ON f.company_id = n.company_id AND f.period = n.fiscal_year"""))
 def headline_backfill(spark, sf_dir):
     from .benchmark import norm
     st = flat(spark, sf_dir).select("company_id", F.col("period").alias("fiscal_year"), "revenue")
-    s = norm(spark, sf_dir).where("headline_scale IS NOT NULL").select("company_id", "fiscal_year", "headline_scale", "turnover")
+    s = norm(spark, sf_dir).select("company_id", "fiscal_year", "headline_scale", "turnover")
     return mg.headline_backfill(s, st, {"turnover": "revenue"}).select("company_id", "fiscal_year", "turnover", "turnover_source")
 
 
-@query("comparative_fill", views.oracle("""WITH p AS (SELECT company_id, fiscal_year, field, value, reader = 'rules' AS is_primary FROM reading WHERE reading_id % 3 = 0), c AS (SELECT company_id, fiscal_year, field, value, FALSE AS is_primary FROM reading WHERE reading_id % 3 = 1),
+@query("comparative_fill", views.oracle("""WITH p AS (SELECT company_id, fiscal_year, field, value, reader = 'rules' AS is_primary FROM reading WHERE reading_id % 3 = 0), c AS (SELECT company_id, fiscal_year, field, value, FALSE AS is_primary FROM reading WHERE reading_id % 3 <> 0),
  h AS (SELECT company_id, fiscal_year, count(*) AS have, bool_or(is_primary) AS pr FROM p GROUP BY ALL), o AS (SELECT company_id, fiscal_year, count(*) AS offer FROM c GROUP BY ALL),
  v AS (SELECT o.company_id, o.fiscal_year, CASE WHEN have IS NULL THEN 'fill' WHEN NOT pr AND have < offer THEN 'replace' ELSE 'keep' END AS verdict FROM o LEFT JOIN h USING (company_id, fiscal_year))
  SELECT p.* FROM p LEFT JOIN v USING (company_id, fiscal_year) WHERE coalesce(verdict, 'keep') <> 'replace' UNION ALL SELECT c.* FROM c JOIN v USING (company_id, fiscal_year) WHERE verdict <> 'keep'"""))
 def comparative_fill(spark, sf_dir):
     r = readings(spark, sf_dir)
     p = r.where("reading_id % 3 = 0").select(*_KEYS, "value", (F.col("reader") == "rules").alias("is_primary"))
-    c = r.where("reading_id % 3 = 1").select(*_KEYS, "value", F.lit(False).alias("is_primary"))
+    c = r.where("reading_id % 3 <> 0").select(*_KEYS, "value", F.lit(False).alias("is_primary"))
     return mg.comparative_fill(p, c, ["company_id", "fiscal_year"])
 
 
@@ -538,10 +539,10 @@ def register_reconciled(spark, sf_dir):
     return mg.reconcile_register(reg, pay, ["company_id", "y"], 35)
 
 
-@query("table_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in ("orders", "lineitem", "documents", "events")))
+@query("table_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in views.TABLES))
 def table_counts(spark, sf_dir):
     from functools import reduce
-    parts = [views.table(spark, sf_dir, t).agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("rows")) for t in ("orders", "lineitem", "documents", "events")]
+    parts = [views.table(spark, sf_dir, t).agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("rows")) for t in views.TABLES]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -144,9 +144,9 @@ def amounts_in_tree(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- reports
-@query("named_activity", views.oracle("""SELECT a.id, CASE WHEN a.company_id IS NOT NULL THEN coalesce(c.name, 'Company ' || CAST(a.company_id AS VARCHAR)) END AS company_name FROM activity a LEFT JOIN (SELECT * FROM company WHERE company_id % 3 <> 0) c USING (company_id)"""))
+@query("named_activity", views.oracle("""SELECT a.id, CASE WHEN a.company_id IS NOT NULL THEN coalesce(c.name, 'Company ' || CAST(a.company_id AS VARCHAR)) END AS company_name FROM activity a LEFT JOIN company c USING (company_id)"""))
 def named_activity(spark, sf_dir):
-    return rp.enrich_left(views.view(spark, sf_dir, "activity").select("id", "company_id"), company(spark, sf_dir).where("company_id % 3 <> 0")).select("id", "company_name")
+    return rp.enrich_left(views.view(spark, sf_dir, "activity").select("id", "company_id"), company(spark, sf_dir)).select("id", "company_name")
 
 
 @query("coverage_stats", views.oracle("SELECT count(DISTINCT company_id) AS companies, count(DISTINCT fiscal_year) AS years, min(fiscal_year) AS first_year, max(fiscal_year) AS last_year, (SELECT count(*) FROM register) AS directors FROM survey"))
@@ -176,10 +176,10 @@ def unique_slugs(spark, sf_dir):
     return rp.unique_slugs(views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("company_id"), F.col("p_name").alias("name")))
 
 
-@query("representative_year", views.oracle("""WITH s AS (SELECT company_id, fiscal_year FROM survey WHERE NOT (fiscal_year = 'FY2025' AND company_id % 3 <> 0)), n AS (SELECT fiscal_year, count(*) AS n FROM s GROUP BY 1),
+@query("representative_year", views.oracle("""WITH s AS (SELECT company_id, fiscal_year FROM survey), n AS (SELECT fiscal_year, count(*) AS n FROM s GROUP BY 1),
  m AS (SELECT company_id, fiscal_year, n, max(n) OVER (PARTITION BY company_id) AS b FROM s JOIN n USING (fiscal_year)) SELECT company_id, max(fiscal_year) AS fiscal_year FROM m WHERE n >= b / 2.0 GROUP BY 1"""))
 def representative_year(spark, sf_dir):
-    return rp.representative_year(views.survey(spark, sf_dir).where("NOT (fiscal_year = 'FY2025' AND company_id % 3 <> 0)"))
+    return rp.representative_year(views.survey(spark, sf_dir))
 
 
 @query("file_inventory", views.oracle("""WITH u AS (SELECT company_id, lower(source_filename) AS file_key, fiscal_year AS label, TRUE AS s, FALSE AS d FROM survey UNION ALL SELECT company_id, lower(filename), period_label, FALSE, TRUE FROM doc_meta)
@@ -303,14 +303,14 @@ def flattened_records(spark, sf_dir):
     return rp.flatten_record(r, ["company_id", "fiscal_year"], "record")
 
 
-@query("open_tables", views.oracle("""WITH cy AS (SELECT company_id, fiscal_year FROM survey), g AS (SELECT DISTINCT company_id, 'FY' || y::VARCHAR AS fiscal_year FROM register WHERE age >= 79 AND role = 'executive'), p AS (SELECT DISTINCT company_id, 'FY' || y::VARCHAR AS fiscal_year FROM pay_row WHERE amount >= 50 AND table_kind = 'all'),
+@query("open_tables", views.oracle("""WITH cy AS (SELECT company_id, fiscal_year FROM survey), g AS (SELECT DISTINCT company_id, 'FY' || y::VARCHAR AS fiscal_year FROM register), p AS (SELECT DISTINCT company_id, 'FY' || y::VARCHAR AS fiscal_year FROM pay_row),
  c AS (SELECT company_id, fiscal_year, count(*) AS n FROM reading WHERE reader = 'human' GROUP BY 1, 2)
  SELECT cy.company_id, cy.fiscal_year, array_to_string(list_filter([CASE WHEN g.company_id IS NULL THEN 'register' END, CASE WHEN p.company_id IS NULL THEN 'pay_rows' END], lambda x: x IS NOT NULL), ',') AS empty_tables, coalesce(c.n, 0) AS open_conflicts
  FROM cy LEFT JOIN g USING (company_id, fiscal_year) LEFT JOIN p USING (company_id, fiscal_year) LEFT JOIN c USING (company_id, fiscal_year)"""))
 def open_tables(spark, sf_dir):
     fy = F.concat(F.lit("FY"), F.col("y").cast("string")).alias("fiscal_year")
-    g = views.view(spark, sf_dir, "register").where("age >= 79 AND role = 'executive'").select("company_id", fy)
-    p = views.view(spark, sf_dir, "pay_row").where("amount >= 50 AND table_kind = 'all'").select("company_id", fy)
+    g = views.view(spark, sf_dir, "register").select("company_id", fy)
+    p = views.view(spark, sf_dir, "pay_row").select("company_id", fy)
     c = views.view(spark, sf_dir, "reading").where("reader = 'human'")
     return rp.tables_open(views.survey(spark, sf_dir), {"register": g, "pay_rows": p}, c).withColumn("empty_tables", F.array_join("empty_tables", ","))
 
