@@ -35,7 +35,7 @@ def condensed_files(spark, sf_dir):
                    F.when(F.col("net_income").isNotNull(), F.concat(F.lit("NetIncome: "), num("net_income"), F.lit("\n"))).otherwise(""))
     bal = F.concat(F.lit("===BALANCE_SHEET===\nTotalAssets: "), num("total_assets"), F.lit(", 7\n"))
     md = F.concat(F.lit("===MARKET_DATA===\nSharePrice: 12.5, 11\nDividendPerShare: "), (F.col("id") % 10).cast("string"), F.lit("\n"))
-    gd = F.lit("===MANAGEMENT_GUIDANCE===\nGuidancePeriod: FY2026\nROE: current=26.7, low=24.0, high=27.0, commentary=Driven by cost discipline\nMargin: current=5, low=4, high=6\n")
+    gd = F.lit("===MANAGEMENT_GUIDANCE===\nGuidancePeriod: FY2026\nROE: current=18.4, low=15.5, high=21.5, commentary=More branches open in spring\nMargin: current=5, low=4, high=6\n")
     rk = F.lit("===PRINCIPAL_RISKS===\n[Credit Risk]\nDescription: borrowers\nMitigation: limits\n[Market Risk]\nDescription: prices\n")
     py = F.concat(F.lit("===DIRECTOR_REMUNERATION===\nJohn Doe, Executive: "), (F.col("id") % 97 + 1).cast("string"), F.lit("; Fees=10, Salary=1,200\nJane Roe, Non-Executive: 55\nGRAND TOTAL: 99\n"))
     return f.select(F.concat(F.lit("file-"), F.col("id").cast("string"), F.lit(".txt")).alias("file"), F.concat(head, inc, bal, md, gd, rk, py).alias("content"))
@@ -68,7 +68,7 @@ def condensed_pay_rows(spark, sf_dir):
     return p.select("file", "director_name", "role", "total", F.try_element_at("components", F.lit("Salary")).alias("salary"), "is_grand_total")
 
 
-@query("condensed_guidance_risks", views.oracle(f"""SELECT {_FILE}, 'guidance' AS kind, 'ROE' AS label, 24::DOUBLE AS low, 'Driven by cost discipline' AS note FROM financials WHERE id % 9 <> 0
+@query("condensed_guidance_risks", views.oracle(f"""SELECT {_FILE}, 'guidance' AS kind, 'ROE' AS label, 15.5::DOUBLE AS low, 'More branches open in spring' AS note FROM financials WHERE id % 9 <> 0
  UNION ALL SELECT {_FILE}, 'guidance', 'Margin', 4, NULL FROM financials WHERE id % 9 <> 0 UNION ALL SELECT {_FILE}, 'risk', 'Credit Risk', NULL, 'limits' FROM financials WHERE id % 9 <> 0
  UNION ALL SELECT {_FILE}, 'risk', 'Market Risk', NULL, '' FROM financials WHERE id % 9 <> 0 UNION ALL SELECT {_FILE}, 'market', 'share_price', 12.5, NULL FROM financials WHERE id % 9 <> 0
  UNION ALL SELECT {_FILE}, 'market', 'dividend_per_share', id % 10, NULL FROM financials WHERE id % 9 <> 0"""))

@@ -20,7 +20,7 @@ EPS: 1.5, 1.2
 SharePrice: 20.5, 18
 ===MANAGEMENT_GUIDANCE===
 GuidancePeriod: FY2026
-ROE: current=26.7, low=24.0, high=27.0, commentary=Driven by cost discipline
+ROE: current=18.4, low=15.5, high=21.5, commentary=More branches open in spring
 ===PRINCIPAL_RISKS===
 [Credit Risk]
 Description: borrowers default
@@ -66,7 +66,7 @@ def test_condensed_files(spark, tmp_path):
     assert items == {"revenue": (349447.2, 310904.8), "net_income": (100.0, None), "eps": (1.5, 1.2)}
     assert {r["field"]: r["prior_value"] for r in p["market_data"].collect()} == {"share_price": 18.0}
     g = p["guidance"].first()
-    assert (g["guidance_low"], g["guidance_period"], g["commentary"]) == (24.0, "FY2026", "Driven by cost discipline")
+    assert (g["guidance_low"], g["guidance_period"], g["commentary"]) == (15.5, "FY2026", "More branches open in spring")
     assert [(r["category"], r["mitigation"]) for r in p["risks"].orderBy("order_index").collect()] == [("Credit Risk", "limits"), ("Market Risk", "")]
     d = p["pay_rows"].first()
     assert (d["director_name"], d["role"], d["total"], d["components"]) == ("Peter N", "executive", 1000.0, {"Fees": 100.0, "Salaries": 900.0})
