@@ -134,7 +134,7 @@ def _linked(nodes: DataFrame, dim: int, threshold: float, nearest: int, min_shar
     close = ((1 + threshold) / 2) ** 0.5 + 1e-9
     entries = pin(nodes.mapInArrow(_described(pivots, dim, nearest, close), _ENTRY), "entries")
 
-    balls = entries.where("ball >= 0").groupBy("ball").agg(F.min("node").alias("group"), F.sum("weight").alias("all"))
+    balls = pin(entries.where("ball >= 0").groupBy("ball").agg(F.min("node").alias("group"), F.sum("weight").alias("all")), "balls")
     inside = entries.select("node", "weight", "ball").join(balls, "ball").select("node", "group", (F.col("all") - F.col("weight")).alias("links"))
 
     listed = entries.select("node", "ball", F.explode("nearest").alias("pivot"))
