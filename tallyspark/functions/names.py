@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .numeric import _c
 
-# Legal forms dropped from the end of a company name.
-LEGAL_SUFFIXES = r"\b(?:plc|ltd|limited|company|co|group|holdings|kenya|the|inc|corporation)\b"
+# Words that a company's name may have or lack, when names are compared loosely and when a title is matched with a roster.
+LOOSE_WORDS = r"\b(?:plc|ltd|limited|holdings?|group|company|co|the|kenya)\b"
+TITLE_WORDS = r"\b(?:plc|ltd|limited|holdings|group|kenya|company|the)\b"
 # Honorifics and what they say about gender.
 HONORIFIC_GENDER = {"mr": "Male", "mrs": "Female", "ms": "Female", "miss": "Female"}
 
@@ -24,12 +25,21 @@ def person_tokens(name) -> Column:
     return F.array_distinct(F.filter(F.split(person_key(name), r"\s+"), lambda t: F.length(t) >= 2))
 
 
+def full_key(name) -> Column:
+    """Lower case, ``&`` as and, punctuation dropped, single blanks."""
+    s = F.lower(F.replace(F.replace(F.coalesce(_c(name), F.lit("")), F.lit("&amp;"), F.lit("&")), F.lit("&"), F.lit(" and ")))
+    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[^\p{L}\p{N} ]+", " "), r"\s+", " "))
+
+
 def company_key(name) -> Column:
-    """Lower case, ``&`` as and, punctuation and legal forms dropped, single blanks."""
-    s = F.lower(F.replace(F.coalesce(_c(name), F.lit("")), F.lit("&"), F.lit(" and ")))
-    s = F.regexp_replace(s, r"[^\p{L}\p{N} ]+", " ")
-    s = F.regexp_replace(s, LEGAL_SUFFIXES, " ")
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    """The full key without the words a name may have or lack."""
+    return F.trim(F.regexp_replace(F.regexp_replace(full_key(name), LOOSE_WORDS, " "), r"\s+", " "))
+
+
+def title_key(name) -> Column:
+    """A title's name as it is matched with a roster: without legal words, punctuation closed up."""
+    s = F.regexp_replace(F.lower(F.replace(F.coalesce(_c(name), F.lit("")), F.lit("&amp;"), F.lit("&"))), TITLE_WORDS, "")
+    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[^\p{L}\p{N} ]", ""), r"\s+", " "))
 
 
 def loose_company_key(name) -> Column:

@@ -69,9 +69,9 @@ def fuzzy_company_match(titles: DataFrame, roster: DataFrame, least: float = 0.7
     Every key meets every name, whatever their number: the roster goes to the tasks in blocks of about ``block`` names, and the best of
     all blocks wins, the smallest id on ties.
     """
-    t = titles.select("title_id", names.company_key(title_head("title")).alias("key"))
+    t = titles.select("title_id", names.title_key(title_head("title")).alias("key"))
     keys = t.where("key <> ''").select("key").distinct()
-    r = roster.select(F.col("company_id").cast("long").alias("company_id"), names.company_key("name").alias("target")).where("target <> ''").distinct()
+    r = roster.select(F.col("company_id").cast("long").alias("company_id"), names.title_key("name").alias("target")).where("target <> ''").distinct()
     equal = keys.join(r, F.col("key") == F.col("target")).groupBy("key").agg(F.min("company_id").alias("company_id")).withColumn("score", F.lit(1.0))
     keys = keys.join(equal, "key", "left_anti")  # only names that are not on the roster as they stand are compared
     blocks = max(1, -(-r.count() // block))
@@ -97,10 +97,10 @@ def resolve_company(refs: DataFrame, company: DataFrame) -> DataFrame:
     unresolved.
     """
     tick = _unique(company, F.upper(F.trim(F.coalesce("ticker", F.lit("")))), "k_ticker")
-    norm = _unique(company, F.trim(F.regexp_replace(F.lower("name"), r"[^a-z0-9]+", " ")), "k_norm")
+    norm = _unique(company, names.full_key("name"), "k_norm")
     loose = _unique(company, names.company_key("name"), "k_loose")
     r = refs.withColumns({
-        "k_ticker": F.upper(F.trim(F.coalesce("ticker", F.lit("")))), "k_norm": F.trim(F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), r"[^a-z0-9]+", " ")),
+        "k_ticker": F.upper(F.trim(F.coalesce("ticker", F.lit("")))), "k_norm": names.full_key("name"),
         "k_loose": names.company_key("name")})
     j = r.join(tick, "k_ticker", "left").join(norm, "k_norm", "left").join(loose, "k_loose", "left")
     stage = (F.when(F.col("k_ticker_n").isNotNull(), "ticker").when(F.col("k_norm_n").isNotNull(), "name").when(F.col("k_loose_n").isNotNull(), "loose"))

@@ -1,8 +1,8 @@
 """Gated averages, exact order statistics and ranks that never gather a group in one task.
 
 A market-wide group (one fiscal year) may hold most of the rows, so exact percentiles and ranks are worked out from
-*value ladders*: a mergeable quantile sketch picks cut points per group, rows are counted per cut (map-side combined),
-and only the few values inside the cuts of interest are looked at one by one. The results are exact.
+*counted values*: rows are counted per value (map-side combined) and written once, a mergeable sketch over the distinct values deals
+them into buckets, and running sums inside the buckets give every rank. The results are exact.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import _c
+from ..session import cut
 
 MIN_COMPANIES = 2
-SKETCH_ACCURACY = 10_000
 
 
 def gated_avg(col, gate: int = MIN_COMPANIES, digits: int | None = 2) -> Column:
@@ -59,9 +59,9 @@ def _same(keys: Sequence[str]):
     return [f"__{k}" for k in keys]
 
 
-def _join_keys(df: DataFrame, small: DataFrame, keys: Sequence[str], few: bool = False) -> DataFrame:
-    """Inner join on null-safe keys, keeping the left names. ``few`` marks a right side of proven small size."""
-    renamed = F.broadcast(small) if few else small
+def _join_keys(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on null-safe keys, keeping the left names; Spark sizes the join itself."""
+    renamed = other
     for k in keys:
         renamed = renamed.withColumnRenamed(k, f"__{k}")
     cond = [df[k].eqNullSafe(renamed[f"__{k}"]) for k in keys]
@@ -78,49 +78,22 @@ def percentiles(
     min_count: int = MIN_COMPANIES,
     digits: int | None = 2,
     extra: Sequence[Column] = (),
-    accuracy: int = SKETCH_ACCURACY,
-    few_groups: bool = False,
 ) -> DataFrame:
     """Exact percentiles (linear interpolation on (n-1)*p) of ``value`` per group.
 
-    Three map-side-combined aggregations: a sketch brackets each percentile, then rows outside the brackets fold into
-    at most ``len(ps)+1`` counted cells per group, and rows inside are counted per distinct value (about 6/accuracy of
-    the group). Returns the keys, ``n``, one column per percentile and the ``extra`` aggregates.
-
-    ``few_groups``: the keys are a short list by nature (fiscal years x catalogue metrics), so the sketches are broadcast
-    and the values never shuffle by a hot year. Otherwise the join is left to Spark (size-based, skew-aware).
+    All ranks come from one table of counted values, so a hot value or group is no special case. Returns the keys, ``n``, one column per
+    percentile and the ``extra`` aggregates, which are worked out over the same rows, written once.
     """
     ps = sorted(ps)
     names = list(names or [f"p{round(p * 100)}" for p in ps])
     keys = list(keys)
-    v = F.col(value).cast("double")
-    rows = df.where(v.isNotNull())
-    eps = 3.0 / accuracy
-    probs = [x for p in ps for x in (max(0.0, p - eps), min(1.0, p + eps))]
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(v, F.array(*[F.lit(x) for x in probs]), F.lit(accuracy)).alias("__b"),
-        *extra,
-    )
-    extra_names = [c for c in sketch.columns if c not in (*keys, "n", "__b")]
-    # one join: the group's sketch, count and extras travel along with its values
-    cut = _join_keys(rows.select(*keys, v.alias("__v")), sketch, keys, few_groups)
-    inside, gap = F.lit(False), F.lit(0)
-    for i in range(len(ps)):
-        lo, hi = F.col("__b")[2 * i], F.col("__b")[2 * i + 1]
-        inside = inside | F.col("__v").between(lo, hi)
-        gap = gap + F.when(F.col("__v") > hi, 1).otherwise(0)
-    carried = [F.max(c).alias(c) for c in ("n", *extra_names)]
-    cells = (
-        cut.groupBy(*keys, F.when(inside, F.col("__v")).alias("__in"), F.when(~inside, gap).alias("__gap"))
-        .agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), *carried)
-    )
-    order = W.partitionBy(*keys).orderBy("__lo") if keys else W.partitionBy(F.lit(1)).orderBy("__lo")
-    ladder = cells.withColumn("__cum", F.sum("__c").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    rows = df.where(F.col(value).isNotNull())
+    if extra:
+        rows = cut(rows)
+    placed = value_positions(rows.select(*keys, F.col(value).cast("double").alias("__v")), keys, "__v")
 
     def at_rank(r: Column) -> Column:
-        hit = (F.col("__cum") >= r) & (F.col("__cum") - F.col("__c") < r)
-        return F.max(F.when(hit, F.when(r == F.col("__cum"), F.col("__hi")).otherwise(F.col("__lo"))))
+        return F.max(F.when((F.col("below") < r) & (F.col("below") + F.col("equal") >= r), F.col("__v")))
 
     aggs = []
     for p, name in zip(ps, names):
@@ -128,37 +101,34 @@ def percentiles(
         f = F.floor(k)
         v1, v2 = at_rank(f + 1), at_rank(F.least(f + 2, F.col("n")))
         aggs.append((v1 + (v2 - v1) * F.max(k - f)).alias(name))
-    out = ladder.groupBy(*keys).agg(*aggs, *carried)
+    out = placed.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
     shaped = [
         F.when(F.col("n") >= min_count, F.bround(n_, digits) if digits is not None else F.col(n_)).alias(n_)
         for n_ in names
     ]
-    return out.select(*keys, "n", *shaped, *extra_names)
+    out = out.select(*keys, "n", *shaped)
+    return _join_keys(out, rows.groupBy(*keys).agg(*extra), keys) if extra else out
 
 
-def value_positions(df: DataFrame, keys: Sequence[str], value: str, cuts: int = 64, few_groups: bool = False) -> DataFrame:
+def value_positions(df: DataFrame, keys: Sequence[str], value: str, cuts: int = 64) -> DataFrame:
     """(keys, value, equal, below, n): for each distinct value, how many rows of its group equal it and lie below it.
 
-    Ranks, percentile positions and tie counts all follow from these numbers. Values are spread over ``cuts`` buckets
-    per group by sketch cut points; a hot value is one counted row.
+    Ranks, percentile positions and tie counts all follow from these numbers. Rows are counted per value first, written once, and never
+    looked at again: a hot value is one counted row. The values of a group are spread over ``cuts`` buckets by sketch cut points.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull())
+    counted = cut(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("equal")))
     probs = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
-    splits = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx(value, probs, F.lit(cuts * 20)).alias("__s")
-    )
-    counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("equal"))
-    counted = _join_keys(counted, splits, keys, few_groups).withColumn(
-        "__b", F.size(F.filter("__s", lambda s: s < F.col(value)))
-    ).drop("__s")
+    splits = counted.groupBy(*keys).agg(F.sum("equal").alias("n"), F.percentile_approx(value, probs, F.lit(cuts * 20)).alias("__s"))
+    counted = _join_keys(counted, splits, keys).withColumn("__b", F.size(F.filter("__s", lambda s: s < F.col(value)))).drop("__s")
     totals = counted.groupBy(*keys, "__b").agg(F.sum("equal").alias("__t"))
     by_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
     offsets = totals.select(
         *keys, "__b",
         (F.sum("__t").over(by_key.orderBy("__b").rowsBetween(W.unboundedPreceding, 0)) - F.col("__t")).alias("__off"),
     )
-    placed = _join_keys(counted, offsets, [*keys, "__b"], few_groups)
+    placed = _join_keys(counted, offsets, [*keys, "__b"])
     inner = W.partitionBy(*keys, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     return placed.select(
         *keys, value, "equal",
@@ -166,25 +136,24 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, cuts: int =
     )
 
 
-def with_positions(df: DataFrame, keys: Sequence[str], value: str, few_groups: bool = False) -> DataFrame:
+def with_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Rows with a value, plus ``equal``, ``below``, ``n`` of their group.
 
     The way back to the rows is a join on (keys, value) against one row per value: a hot value is split by skew handling.
     """
-    return _join_keys(df.where(F.col(value).isNotNull()), value_positions(df, keys, value, few_groups=few_groups), [*keys, value])
+    return _join_keys(df.where(F.col(value).isNotNull()), value_positions(df, keys, value), [*keys, value])
 
 
-def competition_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank", low_is_good: bool = False,
-                     few_groups: bool = False) -> DataFrame:
+def competition_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank", low_is_good: bool = False) -> DataFrame:
     """Rank with shared places and gaps (best = 1) over groups of any size."""
-    placed = with_positions(df, keys, value, few_groups)
+    placed = with_positions(df, keys, value)
     rank = F.col("below") + 1 if low_is_good else F.col("n") - F.col("below") - F.col("equal") + 1
     return placed.withColumn(name, rank.cast("long")).drop("equal", "below")
 
 
-def percentile_position(df: DataFrame, keys: Sequence[str], value: str, least: int = 3, few_groups: bool = False) -> DataFrame:
+def percentile_position(df: DataFrame, keys: Sequence[str], value: str, least: int = 3) -> DataFrame:
     """``percentile`` (own row removed, ties count half) and ``rank`` where at least ``least`` rows state the value."""
-    placed = with_positions(df, keys, value, few_groups)
+    placed = with_positions(df, keys, value)
     others = F.col("n") - 1
     pct = F.bround(F.try_divide(F.col("below") + (F.col("equal") - 1) / 2.0, others) * 100, 0)
     rank = F.col("n") - F.col("below") - F.col("equal") + 1
@@ -195,30 +164,17 @@ def percentile_position(df: DataFrame, keys: Sequence[str], value: str, least: i
     )
 
 
-def number_rows(df: DataFrame, order: Sequence[Column], name: str = "rank", cuts: int = 64) -> DataFrame:
+def number_rows(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """1, 2, 3 ... over the whole table in ``order`` (make it total), without a single-partition window.
 
-    A bounded hash sample gives ``cuts`` cut points of the sort key; rows are numbered inside their bucket and shifted
-    by the counts of the buckets before it. Every row keeps its exact number whatever the sample is.
+    Rows are dealt into ranges of the order, as many as there are shuffle partitions, and written; they are numbered inside their range and
+    shifted by the counts of the ranges before it.
     """
-    keyed = df.withColumn("__k", F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)]))
-    sample = keyed.select("__k").orderBy(F.xxhash64("__k")).limit(cuts * 16)
-    splits = sample.agg(F.sort_array(F.collect_list("__k")).alias("__a")).select(
-        F.transform(F.sequence(F.lit(1), F.lit(cuts - 1)),
-                    lambda i: F.try_element_at(F.col("__a"), (i * F.size("__a") / cuts).cast("int") + 1)).alias("__s"))
-    bucketed = keyed.withColumn("__s", splits.scalar()).withColumn(
-        "__b", F.size(F.filter("__s", lambda s: s < F.col("__k")))
-    ).drop("__s")
-    totals = bucketed.groupBy("__b").agg(F.count(F.lit(1)).alias("__t"))
-    offsets = totals.select(
-        "__b", (F.sum("__t").over(W.partitionBy(F.lit(1)).orderBy("__b")) - F.col("__t")).alias("__off")
-    )
-    inner = W.partitionBy("__b").orderBy("__k")
-    return (
-        bucketed.join(F.broadcast(offsets), "__b")
-        .withColumn(name, (F.row_number().over(inner) + F.col("__off")).cast("long"))
-        .drop("__b", "__k", "__off")
-    )
+    ranged = cut(df.repartitionByRange(*order).withColumn("__b", F.spark_partition_id()))
+    totals = ranged.groupBy("__b").agg(F.count(F.lit(1)).alias("__t"))  # one row per range
+    offsets = totals.select("__b", (F.sum("__t").over(W.partitionBy(F.lit(1)).orderBy("__b")) - F.col("__t")).alias("__off"))
+    inner = W.partitionBy("__b").orderBy(*order)
+    return ranged.join(offsets, "__b").withColumn(name, (F.row_number().over(inner) + F.col("__off")).cast("long")).drop("__b", "__off")
 
 
 def modal_value(df: DataFrame, keys: Sequence[str], value: str, name: str | None = None, larger_wins: bool = False) -> DataFrame:

@@ -194,10 +194,10 @@ def unpivot(df: DataFrame, keys: list[str], fields: list[str], name: str = "metr
     return df.unpivot(keys, [F.expr(f"CAST({f} AS DOUBLE) AS {f}") for f in fields], name, value).where(F.col(value).isNotNull())
 
 
-def metric_table(long: DataFrame, keys: list[str], gate_n: int = stats.MIN_COMPANIES, accuracy: int = 2000) -> DataFrame:
+def metric_table(long: DataFrame, keys: list[str], gate_n: int = stats.MIN_COMPANIES) -> DataFrame:
     """average, p25, p50, p75 and company_count per (keys, metric), gated."""
     out = stats.percentiles(
-        long, [*keys, "metric"], "value", min_count=gate_n, accuracy=accuracy, few_groups=True,
+        long, [*keys, "metric"], "value", min_count=gate_n,
         extra=[stats.gated_avg("value", gate_n).alias("average")],
     )
     return out.select(*keys, "metric", "average", "p25", "p50", "p75", F.col("n").alias("company_count"))
@@ -309,7 +309,7 @@ def extended_stats(rows: DataFrame, fields: list[str]) -> DataFrame:
     """Metric table plus min and max per (year, field)."""
     long = unpivot(rows, ["fiscal_year", "company_id"], fields)
     g = stats.MIN_COMPANIES
-    out = stats.percentiles(long, ["fiscal_year", "metric"], "value", accuracy=2000, few_groups=True, extra=[
+    out = stats.percentiles(long, ["fiscal_year", "metric"], "value", extra=[
         stats.gated_avg("value").alias("average"),
         F.when(F.count("value") >= g, F.bround(F.min("value"), 2)).alias("min"),
         F.when(F.count("value") >= g, F.bround(F.max("value"), 2)).alias("max"),

@@ -316,17 +316,17 @@ def file_checks(spark, sf_dir):
 
 # ---------------------------------------------------------------- matching
 @query("company_name_keys", views.oracle("""SELECT company_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(replace(name, '&', ' and ')), '[^a-z0-9 ]+', ' ', 'g'),
- '\\b(?:plc|ltd|limited|company|co|group|holdings|kenya|the|inc|corporation)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS key, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM company"""))
+ '\\b(?:plc|ltd|limited|holdings?|group|company|co|the|kenya)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS key, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM company"""))
 def company_name_keys(spark, sf_dir):
     return views.view(spark, sf_dir, "company").select("company_id", names.company_key("name").alias("key"), names.slug("name").alias("slug"))
 
 
 @query("fuzzy_company_matches")
 def fuzzy_company_matches(spark, sf_dir):
-    """Supplier names with typing errors against the roster of parts' brands and types: a bounded roster of names."""
+    """Customer names with digits left out, as report titles, against a roster of as many names as there are suppliers."""
     titles = views.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("title_id"), F.concat(F.replace("c_name", F.lit("0000"), F.lit("00")), F.lit(" Plc - Unaudited results")).alias("title"))
-    roster = views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("company_id"), F.concat(F.lit("Customer#00"), F.lpad(F.col("n_nationkey").cast("string"), 5, "0")).alias("name"))
+    roster = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("company_id"), F.concat(F.lit("Customer#00"), F.lpad(F.col("s_suppkey").cast("string"), 5, "0")).alias("name"))
     return mt.fuzzy_company_match(titles, roster)
 
 

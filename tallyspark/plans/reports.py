@@ -325,8 +325,8 @@ _OWN = ["audit_fee", "employees_count", "free_float_pct", "kmp_total", "earnings
 def company_lines(spark, sf_dir):
     """Each company's own figure with the market median and its place."""
     long = sv.unpivot(rows(spark, sf_dir), ["fiscal_year", "company_id"], _OWN)
-    placed = stats.competition_rank(long, ["fiscal_year", "metric"], "value", few_groups=True)
-    med = stats.percentiles(long, ["fiscal_year", "metric"], "value", (0.5,), ["market_median"], few_groups=True).drop("n")
+    placed = stats.competition_rank(long, ["fiscal_year", "metric"], "value")
+    med = stats.percentiles(long, ["fiscal_year", "metric"], "value", (0.5,), ["market_median"]).drop("n")
     enough = F.col("n") >= 2
     return placed.join(F.broadcast(med), ["fiscal_year", "metric"]).select(
         "company_id", "fiscal_year", "metric", F.bround("value", 2).alias("value"), "market_median",

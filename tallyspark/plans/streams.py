@@ -52,7 +52,11 @@ def stream_sessions(spark, sf_dir):
     return updated(spark, st.sessions(source(spark, sf_dir), "6 hours"), "sessions", ["user_id", "started_at"], "append")
 
 
-@query("stream_lockouts")
+@query("stream_lockouts", """WITH RECURSIVE e AS (SELECT user_id, event_type = 'error' AS failed, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL),
+ r AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 0 AS failures, 0::BIGINT AS until, FALSE AS locked, 0::BIGINT AS us FROM e UNION ALL
+  SELECT e.user_id, e.n, CASE WHEN e.us < r.until THEN r.failures WHEN e.failed AND r.failures < 4 THEN r.failures + 1 ELSE 0 END, CASE WHEN e.us >= r.until AND e.failed AND r.failures = 4 THEN e.us + 900000000 ELSE r.until END,
+   e.us >= r.until AND e.failed AND r.failures = 4, e.us FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+ SELECT user_id, make_timestamp(us) AS locked_at, make_timestamp(until) AS locked_until FROM r WHERE locked""")
 def stream_lockouts(spark, sf_dir):
     return updated(spark, st.lockouts(source(spark, sf_dir)), "lockouts", ["user_id", "locked_at"], "append")
 
