@@ -25,6 +25,13 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     return joined.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(inner), F.col("__in"))).drop("__b", "__in")
 
 
+def carried_into_pages(pages: DataFrame, last: Column, name: str, block: Column) -> DataFrame:
+    """``doc_id, page, name``: the last non-null ``last`` of the pages before each page of its document. Pages travel without their text."""
+    # a page asks for what stands before it, then offers its own last value
+    turns = pages.select("doc_id", "page", F.posexplode(F.array(F.lit(None), last)).alias("turn", "__offer"))
+    return carry_forward(turns, ["doc_id"], ["page", "turn"], "__offer", name, block).where("turn = 0").select("doc_id", "page", name)
+
+
 def pin(df: DataFrame, **cols: Column) -> DataFrame:
     """Add columns that later steps read many times.
 
