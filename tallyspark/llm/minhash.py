@@ -107,7 +107,7 @@ def _sharing_rare(sets: DataFrame, percent: int) -> DataFrame:
     nobody, since all others look for them.
     """
     each = sets.select("node", "component", F.explode("shingles").alias("shingle"))
-    held = each.groupBy("shingle").agg(F.count("*").alias("holders"))
+    held = pin(each.groupBy("shingle").agg(F.count("*").alias("holders")), "holders")
     ordered = each.join(held, "shingle").groupBy("node", "component").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("s"))
     n = F.size("s")
     first = n - F.ceil(n * percent / 100).cast("int") + 1
