@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields as fl
 from ..functions import text
+from ..operators.carry import pin
 
 # Sections of a condensed filing and the statement each one fills.
 STATEMENT_SECTIONS = {"INCOME_STATEMENT": "income_statement", "BALANCE_SHEET": "balance_sheet", "CASH_FLOW": "cash_flow"}
@@ -38,8 +39,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sniff_format(content) -> Column:
-    """condensed / survey_data / other, from the first 4 KB."""
-    head = F.substring(F.col(content) if isinstance(content, str) else content, 1, 4096)
+    """condensed / survey_data / other, from the section titles anywhere in the file."""
+    head = F.col(content) if isinstance(content, str) else content
 
     def has(names: str) -> Column:
         return head.rlike(rf"(?m)^===(?:{names})===\s*$")
@@ -48,10 +49,14 @@ def sniff_format(content) -> Column:
     return F.when(both & has(SURVEY_SECTIONS), "survey_data").when(both, "condensed").otherwise("other")
 
 
+def with_parts(files: DataFrame) -> DataFrame:
+    """The files with their content split once, at the section titles; the first part stands before any section."""
+    return pin(files, __parts=F.split(F.regexp_replace("content", "\r", ""), r"(?m)^===(?=[A-Z_]+===\s*$)"))
+
+
 def sections(files: DataFrame) -> DataFrame:
-    """(file, section, lines): comments and blank lines left out."""
-    parts = F.split(F.regexp_replace("content", "\r", ""), r"(?m)^===(?=[A-Z_]+===\s*$)")
-    df = files.select("file", F.posexplode(parts).alias("part_no", "part")).where("part_no > 0")
+    """(file, section, lines) of files split into parts: comments and blank lines left out."""
+    df = files.select("file", F.posexplode("__parts").alias("part_no", "part")).where("part_no > 0")
     body = F.regexp_replace("part", r"^[A-Z_]+===\s*", "")
     clean = F.filter(text.lines(body), lambda l: ~l.rlike(r"^\s*(?:#.*)?$"))
     return df.select("file", "part_no", F.regexp_extract("part", r"^([A-Z_]+)===", 1).alias("section"), clean.alias("lines"))
@@ -75,14 +80,13 @@ def _two_numbers(value) -> tuple[Column, Column]:
 
 
 def headers(files: DataFrame, names: dict[str, tuple[str, str]]) -> DataFrame:
-    """One row per file with the wanted COMPANY / PERIOD fields, cut out inside the row (no shuffle); absent ones are NULL."""
-    parts = F.split(F.regexp_replace("content", "\r", ""), r"(?m)^===(?=[A-Z_]+===\s*$)")
+    """One row per file split into parts, with the wanted COMPANY / PERIOD fields, cut out inside the row (no shuffle); absent ones are NULL."""
     wanted = sorted({section for section, _ in names.values()})
 
     def body(section: str) -> Column:
-        return F.array_join(F.filter(parts, lambda p: p.rlike(f"^{section}===")), "\n")
+        return F.array_join(F.filter("__parts", lambda p: p.startswith(f"{section}===")), "\n")
 
-    df = files.withColumns({f"__{n}": body(n) for n in wanted})
+    df = pin(files, **{f"__{n}": body(n) for n in wanted})
     return df.select(*files.columns, *[
         F.nullif(F.trim(F.regexp_extract(f"__{section}", rf"(?m)^[ \t]*{label}[ \t]*:(.*)$", 1)), F.lit("")).alias(name)
         for name, (section, label) in names.items()])
@@ -97,7 +101,7 @@ CONDENSED_HEADER = {
 
 def parse_condensed(files: DataFrame) -> dict[str, DataFrame]:
     """Condensed filings as tables: filings, errors, line_items, market_data, guidance, risks, pay_rows."""
-    head = headers(files.select("file", "content"), CONDENSED_HEADER)
+    head = headers(with_parts(files.select("file", "content")).drop("content"), CONDENSED_HEADER)
     problem = F.when(F.col("name").isNull(), "COMPANY section or its Name is missing").when(F.col("label").isNull(), "PERIOD section or its Label is missing")
     head = head.withColumn("error", problem)
     secs = sections(head.where(problem.isNull()))  # a malformed file gives its error row and nothing else
@@ -131,17 +135,18 @@ def parse_condensed(files: DataFrame) -> dict[str, DataFrame]:
         F.when(role.contains("executive") & ~role.contains("non"), "executive").otherwise("non_executive").alias("role"),
         _number(F.regexp_extract("line", r, 2)).alias("total"), F.map_from_entries(parts).alias("components"),
         F.upper(who).contains("GRAND TOTAL").alias("is_grand_total")).where("total IS NOT NULL")
-    return {"filings": head.where("error IS NULL").drop("error", "content"), "errors": head.where("error IS NOT NULL").select("file", "error"),
+    return {"filings": head.where("error IS NULL").drop("error", "__parts"), "errors": head.where("error IS NOT NULL").select("file", "error"),
             "line_items": items, "market_data": market, "guidance": guidance, "risks": risks, "pay_rows": pay}
 
 
 def parse_survey(files: DataFrame) -> dict[str, DataFrame]:
     """Survey files as tables: values (long), sources and benefits; unknown fields and unreadable answers are skipped."""
+    files = with_parts(files.select("file", "content")).drop("content")
     secs = sections(files)
     flds = fields(secs)
-    head = headers(files.select("file", "content"), {
+    head = headers(files, {
         "company_name": ("COMPANY", "Name"), "sector": ("COMPANY", "Sector"), "currency": ("COMPANY", "Currency"),
-        "unit": ("COMPANY", "Unit"), "fiscal_year": ("PERIOD", "FiscalYear")}).drop("content")
+        "unit": ("COMPANY", "Unit"), "fiscal_year": ("PERIOD", "FiscalYear")}).drop("__parts")
     lab = F.regexp_replace(F.regexp_replace(F.regexp_replace("label", "NEDs", "Neds"), "NED", "Ned"), "CEO", "Ceo")
     name = F.lower(F.regexp_replace(lab, r"(?<=[a-z])(?=[A-Z])", "_"))
     known = F.col("field").isin(*SURVEY_FIELDS)
