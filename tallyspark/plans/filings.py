@@ -164,7 +164,24 @@ def selected_pages(spark, sf_dir):
     return fg.select_pages(scored, 3, 6000, 4.0).select("doc_id", "page", "score", "running_chars")
 
 
-@query("document_currency")
+def _currency_sql() -> str:
+    """Markers counted over whole texts, the most cited currency (ties in the order of the table), else the language's."""
+    h = "regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g')"
+    h = f"regexp_replace(regexp_replace({h}, '(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr)[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+    for entity, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        h = f"replace({h}, '{entity}', '{ch}')"
+    m = text.CURRENCY_MARKERS
+    counts = ", ".join("len(regexp_extract_all(lower(t), '" + p.replace("'", "''") + f"')) AS {k}" for k, p in m.items())
+    top, total = f"greatest({', '.join(m)})", " + ".join(m)
+    name = "CASE " + " ".join(f"WHEN {k} = k THEN '{k}'" for k in m) + " END"
+    return f"""WITH d AS (SELECT page_id AS doc_id, {h} AS t, NULL AS country FROM pages UNION ALL SELECT doc_id + 1000000000, text, lang FROM documents),
+ c AS (SELECT doc_id, country, {counts} FROM d), b AS (SELECT *, {top} AS k, {total} AS n FROM c),
+ g AS (SELECT doc_id, CASE WHEN lower(trim(country)) IN ('de', 'fr', 'es') THEN 'EUR' END AS guess, CASE WHEN k > 0 THEN {name} END AS cur, CASE WHEN k > 0 THEN k END AS mentions,
+  CASE WHEN k > 0 THEN round_even(least(0.95::DOUBLE, 0.6::DOUBLE + 0.35::DOUBLE * (k::DOUBLE / n)), 2) END AS conf FROM b)
+ SELECT doc_id, coalesce(cur, guess) AS currency, mentions, CASE WHEN cur IS NULL THEN CASE WHEN guess IS NOT NULL THEN 0.5::DOUBLE END ELSE conf END AS confidence, cur IS NULL AND guess IS NOT NULL AS inferred FROM g"""
+
+
+@query("document_currency", _currency_sql())
 def document_currency(spark, sf_dir):
     votes = fg.document_currency(web_pages(spark, sf_dir).unionByName(doc_pages(spark, sf_dir).withColumn("doc_id", F.col("doc_id") + 1_000_000_000)))
     country = views.table(spark, sf_dir, "documents").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), F.col("lang").alias("country"))
