@@ -14,6 +14,29 @@ CATEGORIES = [
     "Companies", "AI", "Exports & Downloads", "Other",
 ]
 AUTH, USERS, UPLOAD, REVIEW, DATA, COMPANIES, AI, EXPORT, OTHER = CATEGORIES
+# Logged actions -> category, label.
+ACTIONS = {
+    "login": (AUTH, "Signed in"),
+    "logout": (AUTH, "Signed out"),
+    "login_failed": (AUTH, "Failed sign-in attempt"),
+    "register": (AUTH, "Created an account"),
+    "profile_updated": (AUTH, "Updated their profile"),
+    "survey_uploaded": (UPLOAD, "Uploaded survey data"),
+    "survey_updated": (UPLOAD, "Updated survey data"),
+    "survey_pdf_extracted": (UPLOAD, "Imported a report PDF"),
+    "field_approved": (REVIEW, "Approved a field"),
+    "field_rejected": (REVIEW, "Rejected a field"),
+    "field_corrected": (REVIEW, "Corrected a field"),
+    "unit_corrected": (REVIEW, "Corrected a headline unit"),
+    "ai_apply": (AI, "Applied an AI result"),
+    "committees_updated": (DATA, "Saved committees"),
+    "company_year_deleted": (COMPANIES, "Deleted a company's year of data"),
+    "company_deleted": (COMPANIES, "Deleted a company"),
+    "company_viewed": (COMPANIES, "Opened a company's report"),
+    "email_verified": (AUTH, "Confirmed their email address"),
+    "password_reset": (AUTH, "Reset their password by email link"),
+    "invite_accepted": (AUTH, "Set their password from an invitation"),
+}
 # Known routes -> action, category, label.
 ROUTES = [
     ("POST", "/api/login", "login", AUTH, "Signed in"),
@@ -21,14 +44,23 @@ ROUTES = [
     ("POST", "/api/register", "register", AUTH, "Created an account"),
     ("PUT", "/api/profile", "profile_updated", AUTH, "Updated their profile"),
     ("POST", "/api/users", "user_created", USERS, "Created a user account"),
+    ("PATCH", "/api/users/<int:user_id>/role", "user_role_changed", USERS, "Changed a user's role"),
+    ("POST", "/api/users/<int:user_id>/reset-password", "user_password_reset", USERS, "Reset a user's password"),
+    ("DELETE", "/api/users/<int:user_id>", "user_deleted", USERS, "Deleted a user account"),
     ("POST", "/api/companies", "company_added", COMPANIES, "Added a company"),
+    ("DELETE", "/api/companies/<int:company_id>", "company_deleted", COMPANIES, "Deleted a company"),
     ("POST", "/api/companies/bulk-delete", "companies_deleted", COMPANIES, "Deleted several companies"),
     ("POST", "/api/companies/delete-year", "company_years_deleted", COMPANIES, "Deleted a year of data for several companies"),
+    ("POST", "/api/companies/<int:company_id>/financials", "financials_saved", DATA, "Saved company financials"),
     ("POST", "/api/import/upload-batch", "upload_batch", UPLOAD, "Uploaded a batch of reports"),
     ("POST", "/api/survey-data/import", "survey_import", UPLOAD, "Imported survey data"),
     ("POST", "/api/survey-data/import-pdf", "survey_import_pdf", UPLOAD, "Imported a report PDF"),
     ("POST", "/api/survey-data/import-policy-pdf", "policy_import_pdf", UPLOAD, "Imported a policy PDF"),
+    ("DELETE", "/api/survey/companies/<int:company_id>/<fiscal_year>", "survey_deleted", DATA, "Deleted a company-year of survey data"),
     ("POST", "/api/ai/run", "ai_run", AI, "Started an AI extraction run"),
+    ("POST", "/api/ai/jobs/<int:job_id>/collect", "ai_collect", AI, "Collected AI results"),
+    ("POST", "/api/ai/items/<int:item_id>/apply", "ai_apply", AI, "Applied an AI result"),
+    ("POST", "/api/ai/items/<int:item_id>/discard", "ai_discard", AI, "Discarded an AI result"),
 ]
 # URL words that decide the category of an unknown route, first hit wins.
 URL_WORDS = [
@@ -42,6 +74,27 @@ def route_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ROUTES, "http_method string, path string, r_action string, r_category string, r_label string")
 
 
+def route_key(path) -> Column:
+    """A path or a route as both are compared: numbers and named parts by what they stand for."""
+    p = F.col(path) if isinstance(path, str) else path
+    p = F.regexp_replace(F.regexp_replace(p, r"<int:\w+>", "<int>"), r"/\d+(?=/|$)", "/<int>")
+    return F.regexp_replace(p, r"^(/api/survey/companies/<int>)/[^/]+$", "$1/<text>")
+
+
+def action_label(action, detail) -> Column:
+    """How an entry reads: the label of its action or route, else the start of its detail, else the action itself."""
+    labels = {a: label for _, _, a, _, label in reversed(ROUTES)} | {a: label for a, (_, label) in ACTIONS.items()}
+    table = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    words = F.trim(F.translate(F.coalesce(F.col(action), F.lit("")), "_:", "  "))
+    own = F.concat(F.upper(F.substring(words, 1, 1)), F.lower(F.substring(words, F.lit(2), F.length(words))))
+    return F.coalesce(F.try_element_at(table, F.col(action)), F.nullif(F.split(detail, " · ")[0], F.lit("")), own)
+
+
+def action_category(action) -> Column:
+    table = F.create_map(*[F.lit(x) for a, (category, _) in ACTIONS.items() for x in (a, category)])
+    return F.coalesce(F.try_element_at(table, F.col(action)), F.lit(OTHER))
+
+
 def classify(log: DataFrame, routes: DataFrame) -> DataFrame:
     """action, category and label of each request: the route table first, the shape of the URL otherwise."""
     method, path = F.upper("http_method"), F.lower(F.coalesce("path", F.lit("")))
@@ -57,10 +110,12 @@ def classify(log: DataFrame, routes: DataFrame) -> DataFrame:
     verbs = F.create_map(*[F.lit(x) for pair in VERBS.items() for x in pair])
     verb = F.when(category == EXPORT, "Downloaded").otherwise(F.coalesce(F.try_element_at(verbs, method), F.initcap("http_method")))
     generic = F.substring(F.concat(F.lower("http_method"), F.lit(":"), F.when(n == 0, "root").otherwise(F.array_join(segments, "/"))), 1, 80)
-    return log.join(F.broadcast(routes), ["http_method", "path"], "left").withColumns({
+    known = routes.select(F.col("http_method").alias("r_method"), route_key("path").alias("r_key"), "r_action", "r_category", "r_label")
+    joined = log.join(known, (F.col("http_method") == F.col("r_method")) & (route_key("path") == F.col("r_key")), "left")
+    return joined.withColumns({
         "action_name": F.coalesce("r_action", generic), "action_category": F.coalesce("r_category", category),
         "action_label": F.coalesce("r_label", F.concat(verb, F.lit(" "), F.when(n == 0, "item").otherwise(noun))),
-    }).drop("r_action", "r_category", "r_label")
+    }).drop("r_method", "r_key", "r_action", "r_category", "r_label")
 
 
 def activity_filter(log: DataFrame, at: Column | None = None, days: int | None = None, user_id: int | str | None = None,
@@ -191,13 +246,19 @@ def sessions(log: DataFrame, gap_seconds: int = 180, cap_seconds: int = 12 * 360
 
 
 def export_rows(log: DataFrame, offset: int = 0, newest: int | None = None) -> DataFrame:
-    """All entries, newest first, as the CSV export shows them; only the ``newest`` so many where asked."""
+    """All entries, newest first, as the CSV export shows them; only the ``newest`` so many where asked.
+
+    Role, company name and fiscal year are left blank where the log does not carry them.
+    """
     local = timefns.to_local("created_at", offset)
     listed = log.orderBy(F.col("created_at").desc(), F.col("id").desc())
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in log.columns else F.lit("")
     return (listed if newest is None else listed.limit(newest)).select(
         "id", F.date_format(local, "yyyy-MM-dd").alias("date"), F.date_format(local, "HH:mm:ss").alias("time"),
-        F.coalesce("actor", F.lit("Guest")).alias("account"), F.coalesce("category", F.lit(OTHER)).alias("category"),
-        F.initcap(F.replace("action", F.lit("_"), F.lit(" "))).alias("activity"), F.coalesce("detail", F.lit("")).alias("detail"))
+        F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp_utc"), F.coalesce("actor", F.lit("Guest")).alias("account"),
+        text("actor_email").alias("email"), text("actor_role").alias("role"), F.coalesce("category", action_category("action")).alias("category"),
+        action_label("action", F.col("detail")).alias("activity"), text("company_name").alias("company"), text("fiscal_year").alias("fiscal_year"),
+        text("detail").alias("detail"))
 
 
 def latest_entries(log: DataFrame, k: int) -> DataFrame:

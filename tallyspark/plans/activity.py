@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import timefns
 from ..operators import billing as bl
 from ..operators import events as ev
+from ..operators import reports as rp
 from . import views
 from .registry import query
 
@@ -54,7 +55,7 @@ def guest_activity(spark, sf_dir):
 
 
 _URL = " ".join(f"WHEN regexp_matches(lower(path), '{w}') THEN '{c}'" for c, w in ev.URL_WORDS)
-_ROUTE = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in ev.ROUTES)
+_ROUTE = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in ev.ROUTES if "<" not in r[1])
 _SEG = "list_filter(string_split(lower(path), '/'), lambda s: s <> '' AND s <> 'api' AND NOT starts_with(s, '<'))"
 
 
@@ -128,9 +129,12 @@ def user_sessions(spark, sf_dir):
 
 
 @query("activity_export", views.oracle("""SELECT id, strftime(created_at + INTERVAL 180 MINUTE, '%Y-%m-%d') AS date, strftime(created_at + INTERVAL 180 MINUTE, '%H:%M:%S') AS time,
- coalesce(actor, 'Guest') AS account, category, upper(substr(action, 1, 1)) || substr(action, 2) AS activity, coalesce(detail, '') AS detail FROM activity ORDER BY created_at DESC, id DESC"""))
+ strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS timestamp_utc, coalesce(actor, 'Guest') AS account, coalesce(actor_email, '') AS email, CASE WHEN user_id IS NULL THEN '' WHEN user_id % 3 = 0 THEN 'admin' ELSE 'member' END AS role,
+ category, coalesce(detail, upper(substr(action, 1, 1)) || substr(action, 2)) AS activity, CASE WHEN company_id IS NULL THEN '' ELSE coalesce(name, 'Company ' || CAST(company_id AS VARCHAR)) END AS company, '' AS fiscal_year,
+ coalesce(detail, '') AS detail FROM activity LEFT JOIN company USING (company_id) ORDER BY created_at DESC, id DESC"""))
 def activity_export(spark, sf_dir):
-    return ev.export_rows(log(spark, sf_dir), _TZ)
+    named = rp.enrich_left(log(spark, sf_dir), views.view(spark, sf_dir, "company"))
+    return ev.export_rows(named.withColumn("actor_role", F.when(F.col("user_id") % 3 == 0, "admin").when(F.col("user_id").isNotNull(), "member")), _TZ)
 
 
 @query("activity_page", views.oracle("SELECT id, action, (SELECT count(*) FROM activity) AS total FROM activity ORDER BY created_at DESC, id DESC LIMIT 25 OFFSET 50"))

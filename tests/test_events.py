@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import timefns
@@ -41,6 +42,25 @@ def test_classification(spark):
     assert got[rows[3]][1] == "Data Entry & Edits" and got[rows[4]][1] == "Other"
 
 
+@pytest.mark.parametrize("method,path,action", [
+    ("PATCH", "/api/users/17/role", "user_role_changed"), ("DELETE", "/api/users/17", "user_deleted"), ("POST", "/api/companies/4/financials", "financials_saved"),
+    ("DELETE", "/api/survey/companies/4/FY2025", "survey_deleted"), ("POST", "/api/ai/items/9/discard", "ai_discard"), ("POST", "/api/users/<int:user_id>/reset-password", "user_password_reset"),
+    ("GET", "/api/users/17", "get:users/17"),
+])
+def test_templated_routes(spark, method, path, action):
+    df = spark.createDataFrame([(1, method, path)], "id long, http_method string, path string")
+    assert ev.classify(df, ev.route_table(spark)).first()["action_name"] == action
+
+
+def test_export_labels(spark):
+    rows = [(1, "field_approved", None, None), (2, "user_deleted", "x", None), (3, "post:other", "Saved other · 4", None), (4, "post:new_thing", None, "AI")]
+    df = spark.createDataFrame(rows, "id long, action string, detail string, category string").selectExpr("*", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS created_at", "CAST(NULL AS STRING) AS actor")
+    got = {r["id"]: (r["category"], r["activity"], r["role"], r["timestamp_utc"]) for r in ev.export_rows(df).collect()}
+    assert got == {1: ("Review & Corrections", "Approved a field", "", "2024-01-01T00:00:01Z"), 2: ("Other", "Deleted a user account", "", "2024-01-01T00:00:02Z"),
+                   3: ("Other", "Saved other", "", "2024-01-01T00:00:03Z"), 4: ("AI", "Post new thing", "", "2024-01-01T00:00:04Z")}
+    assert [r["id"] for r in ev.export_rows(df, newest=2).collect()] == [4, 3]
+
+
 def test_search_is_literal_and_case_insensitive(spark):
     df = log(spark, (1, "A", None, "50% off", "2026-01-01T00:00:00"), (1, "A", None, "500 off", "2026-01-01T00:00:00"))
     assert [r["detail"] for r in ev.activity_filter(df, term="50% OFF").collect()] == ["50% off"]
