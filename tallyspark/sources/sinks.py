@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import labels
+
 # Tables that hold credentials and never leave.
 PRIVATE_TABLES = ("users", "sessions", "tokens", "recovery_codes")
 
@@ -22,10 +24,14 @@ def export_financials_csv(flat: DataFrame, path: str, company_id: int, period: s
     write_csv(rows.orderBy(F.col("period").desc()), path)
 
 
-def export_portfolio(rows: DataFrame, path: str) -> None:
-    """One row per company: its latest year."""
-    latest = rows.groupBy("company_id").agg(F.max("fiscal_year").alias("fiscal_year"))
-    rows.join(latest, ["company_id", "fiscal_year"], "left_semi").write.mode("overwrite").parquet(path)
+def export_portfolio(rows: DataFrame, path: str, label: str = "fiscal_year") -> None:
+    """One row per company: its latest period (by year, the annual one first), with the ratios where the rows are statements."""
+    from ..operators import finance
+
+    if {"revenue", "net_income", "total_equity", "total_liabilities"} <= set(rows.columns):
+        rows = finance.with_flat_ratios(rows)
+    latest = rows.groupBy("company_id").agg(F.max(labels.period_key(label))["label"].alias(label))
+    rows.join(latest, ["company_id", label], "left_semi").write.mode("overwrite").parquet(path)
 
 
 def export_comparison(rows: DataFrame, path: str) -> None:
