@@ -197,7 +197,8 @@ def repeated_figures(survey: DataFrame, fields: list[str], headline: tuple[str,
 def pay_audit_flags(pay: DataFrame) -> DataFrame:
     """Flags per printed total: non-finite, above turnover, above 100x the CEO's yearly cost, unit missing or unknown.
 
-    ``pay`` has total, unit, turnover_full and ceo_annual; rows without a flag are left out.
+    ``pay`` has total, unit, turnover_full and ceo_annual, and may have previous_unit, the unit the figures were shown in before: a change of
+    scale is flagged. Rows without a flag are left out.
     """
     amount = F.col("total").cast("double") * money.scale_pay("unit")
     u = F.lower(F.trim(F.coalesce("unit", F.lit(""))))
@@ -207,7 +208,8 @@ def pay_audit_flags(pay: DataFrame) -> DataFrame:
         F.when(F.col("total").isNotNull() & ~finite, "non_finite"),
         F.when(finite & (F.col("turnover_full") > 0) & (F.abs(amount) > F.col("turnover_full")), "pay_exceeds_turnover"),
         F.when(finite & (F.col("ceo_annual") > 0) & (F.abs(amount) > F.col("ceo_annual") * 100), "pay_over_100x_ceo_cost"),
-        F.when(F.col("total").isNotNull() & (u == ""), "missing_unit"), F.when(F.col("total").isNotNull() & (u != "") & ~known, "unknown_unit")))
+        F.when(F.col("total").isNotNull() & (u == ""), "missing_unit"), F.when(F.col("total").isNotNull() & (u != "") & ~known, "unknown_unit"),
+        *([F.when(F.col("total").isNotNull() & (money.scale_pay("previous_unit") != money.scale_pay("unit")), "scale_changed")] if "previous_unit" in pay.columns else [])))
     return pay.withColumns({"amount": amount, "flags": flags}).where(F.size("flags") > 0)
 
 
