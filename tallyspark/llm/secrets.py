@@ -67,7 +67,7 @@ def scan(text: str) -> list[tuple[int, int, int, str]]:
     for m in re.finditer(TOKEN, text):
         if _random_looking(m.group()) and not any(s < m.end() and m.start() < e for s, e, k, _ in found if k < 3):
             found.append((m.start(), m.end(), 3, m.group()))
-    return sorted(found)
+    return sorted(found, key=lambda s: (s[0], s[2], s[1]))
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +92,7 @@ def secrets(
     docs: DataFrame, owner_col: str = "source", repository_col: str = "doc_id", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, spans``, an array of ``start, end, kind, value`` (a hash), ``owners, repositories, live`` by start and kind.
+    """Per row of ``docs``: ``doc_id, spans``, an array of ``start, kind, end, value`` (a hash), ``owners, repositories, live`` by start and kind.
 
     Base spans are all there, candidate tokens only where they look live.
     """
@@ -104,7 +104,7 @@ def secrets(
     each = found.where(F.size("spans") > 0).select("row", "owner", "repository", F.explode("spans").alias("s"))
     counts = pin(ownership(each.select(F.col("s.value").alias("value"), "owner", "repository")), "ownership")
     live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
-    span = F.struct("s.start", "s.end", "s.kind", "s.value", "owners", "repositories", live.alias("live"))
+    span = F.struct("s.start", "s.kind", "s.end", "s.value", "owners", "repositories", live.alias("live"))
     placed = each.withColumn("value", F.col("s.value")).join(counts, "value").where((F.col("s.kind") < 3) | live)
     spans = placed.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     empty = F.array().cast(spans.schema["spans"].dataType)

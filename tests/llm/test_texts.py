@@ -174,6 +174,9 @@ def test_pseudonyms_keep_format_validity_and_links(spark):
     assert dates[0][:3] == dates[1][5:2:-1] == dates[2][5:2:-1] and dates[0][:3] != ("2024", "02", "29")
     assert "2023-02-29" in out and "000-11-2222" in out and "300.1.1.1" in out and "10.0.0.1 " not in out and "078-05-1120" not in out
     a, b = re.findall(r"(\S+)@", out)
+    local = pseudonyms_of(spark, "(017) 555-7713, 017-555-7713, 017.555.7713, 1.017.555.7713")
+    found = re.findall(r"\d{3}\D{1,2}\d{3}\D\d{4}", local)
+    assert len({re.sub(r"\D", "", f) for f in found[:3]}) == 1 and "555-7713" not in local and local.endswith(", 1.017.555.7713")
     assert a == b != "joe.5" and "@a.example.org" in out and out.split("+1 ")[1] != "(017) 555-7713"
 
 
