@@ -12,7 +12,8 @@ ip         four numbers up to 255                                  all 2 ** 32 a
 iso date   yyyy-mm-dd, yyyy/mm/dd; a real day                      the days of 1800 to 2199
 date       dd.mm.yyyy, dd/mm/yyyy, dd-mm-yyyy; a real day          the days of 1800 to 2199
 ssn        ddd-dd-dddd with area, group and serial in use          all numbers in use
-phone      ``+`` and country code, then 7 to 14 digits             the digits after the country code
+phone      ``+`` and country code, then 4 to 20 digits; or 3, 3    the digits after the country code, or all
+           and 4 digits with brackets, dots or dashes
 number     13 to 19 digits, also in groups by blanks or dashes     all digits but the last, which keeps the Luhn check as it was
 =========  =====================================================  ==========================================================
 
@@ -35,9 +36,10 @@ ISO_DATE = r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)|(?<!\d)\d{4}/\d{2}/\d{2}(?!\d)"
 DATE = r"(?<!\d)\d{2}\.\d{2}\.\d{4}(?!\d)|(?<!\d)\d{2}/\d{2}/\d{4}(?!\d)|(?<!\d)\d{2}-\d{2}-\d{4}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
+NATIONAL = r"(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-])|(?<![\d.-])\d{3}\.\d{3}\.\d{4}(?![\d.-])"
 NUMBER = r"(?<![\dA-Za-z])\d(?:[ -]?\d){12,18}(?![\dA-Za-z])"
 KINDS = ("email", "ip", "iso_date", "date", "ssn", "phone", "number")
-PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, IP, ISO_DATE, DATE, SSN, PHONE, NUMBER))
+PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, IP, ISO_DATE, DATE, SSN, PHONE, NATIONAL, NUMBER))
 
 # A full Gregorian cycle, so its days are a whole number of both factors.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
@@ -181,7 +183,7 @@ def kind_of(value: Column) -> Column:
     whole = lambda p: value.rlike(rf"\A(?:{p})\z")
     return (
         F.when(value.contains("@"), "email").when(whole(IP), "ip").when(whole(ISO_DATE), "iso_date").when(whole(DATE), "date").when(whole(SSN), "ssn")
-        .when(value.startswith("+"), "phone").otherwise("number")
+        .when(value.startswith("+") | whole(NATIONAL), "phone").otherwise("number")
     )
 
 
