@@ -28,6 +28,8 @@ WIDTH = 5
 SIMILARITY_PERCENT = 85
 COLLECTIONS = 8
 ROWS = 3
+# Words of 64 parities that are compared before two sets are.
+WORDS = 8
 
 _SIGNATURE = "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, left_keys array<long>, right_keys array<long>"
 
@@ -62,12 +64,21 @@ def _signatures(width: int, collections: int, rows: int):
     return run
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """64 * WORDS parities of the shingles' hashes. Two sets differ in at least as many shingles as their parities differ in bits."""
+    odd = np.bincount((shingles % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                sets = [signed(s) for s in shingle_sets(batch.column("text"), width)]
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+                sets = shingle_sets(batch.column("text"), width)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node"), pa.array([signed(s) for s in sets], pa.list_(pa.int64())), pa.array([parities(s) for s in sets], pa.list_(pa.int64()))],
+                    names=["node", "shingles", "bits"],
+                )
 
     return run
 
@@ -76,22 +87,29 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
 
 
+def _possible(x: str, y: str, n_x: str, n_y: str, percent: int) -> str:
+    """False only for sets that differ in too many shingles to be similar enough."""
+    apart = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(WORDS))
+    return f"{100 + percent} * ({apart}) <= {100 - percent} * ({n_x} + {n_y})"
+
+
 def _similar(percent: int) -> Column:
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return 100 * shared >= percent * (F.size("shingles_a") + F.size("shingles_b") - shared)
+    possible = F.expr(_possible("bits_a", "bits_b", "size(shingles_a)", "size(shingles_b)", percent))
+    return possible & (100 * shared >= percent * (F.size("shingles_a") + F.size("shingles_b") - shared))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough; sizes alone rule some out before the sets meet."""
-    a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
+    a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"shingles_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
     return pairs.join(a, "a").join(b, "b").where(_similar(percent)).select("a", "b")
 
 
 def _with_sets(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``node, shingles`` of the wanted nodes, from the whole texts."""
+    """``node, shingles, bits`` of the wanted nodes, from the whole texts."""
     wanted = nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2"))
     texts = documents.join(wanted, (F.col("doc_id").eqNullSafe(F.col("k1"))) & (F.col("text_hash") == F.col("k2"))).select("node", "text")
-    return texts.mapInArrow(_sets(width), "node long, shingles array<long>").dropDuplicates(["node"])
+    return texts.mapInArrow(_sets(width), "node long, shingles array<long>, bits array<long>").dropDuplicates(["node"])
 
 
 def _size_class(n: Column) -> Column:
@@ -103,16 +121,16 @@ def _sharing_rare(sets: DataFrame, percent: int) -> DataFrame:
 
     With all shingles ordered by the number of nodes that hold them, two sets as similar as asked for share one of the first
     ``n - ceil(percent * n / 100) + 1`` of each, so no such pair is missed. What stands before the shared one is not shared, which bounds the
-    overlap and with it the sizes a partner may have; only those are looked up. Under one shingle the nodes of its commonest component look for
+    overlap and with it the sizes a partner may have; only those are looked up, and pairs whose parities differ too much are never made. Under one shingle the nodes of its commonest component look for
     nobody, since all others look for them.
     """
-    each = sets.select("node", "component", F.explode("shingles").alias("shingle"))
+    each = sets.select("node", "component", "bits", F.explode("shingles").alias("shingle"))
     held = pin(each.groupBy("shingle").agg(F.count("*").alias("holders")), "holders")
-    ordered = each.join(held, "shingle").groupBy("node", "component").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("s"))
+    ordered = each.join(held, "shingle").groupBy("node", "component", "bits").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("s"))
     n = F.size("s")
     first = n - F.ceil(n * percent / 100).cast("int") + 1
-    rare = ordered.select("node", "component", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), first)).alias("i", "s"))
-    rare = pin(rare.where("s.holders > 1").select("node", "component", "n", "i", "s.shingle"), "rare")
+    rare = ordered.select("node", "component", "bits", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), first)).alias("i", "s"))
+    rare = pin(rare.where("s.holders > 1").select("node", "component", "bits", "n", "i", "s.shingle"), "rare")
     common = rare.groupBy("shingle", "component").agg(F.count("*").alias("members")).groupBy("shingle").agg(F.max_by("component", "members").alias("common"), F.count("*").alias("components"))
     mixed = pin(rare.join(common.where("components > 1").select("shingle", "common"), "shingle"), "mixed")
 
@@ -120,9 +138,9 @@ def _sharing_rare(sets: DataFrame, percent: int) -> DataFrame:
     most = F.least(F.floor(F.col("n") * 100 / percent), F.floor((F.col("n") - F.col("i")) * (100 + percent) / percent) - F.col("n"))
     looking = mixed.where("component <> common").withColumn("least", least).withColumn("most", most).where("least <= most")
     looking = looking.withColumn("class", F.explode(F.sequence(_size_class(F.col("least")), _size_class(F.col("most")))))
-    a = looking.select("shingle", "class", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
-    b = mixed.select("shingle", _size_class(F.col("n")).alias("class"), F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("i").alias("iy"))
-    possible = f"cx <> cy and {100 + percent} * least(nx - ix, ny - iy) >= {percent} * (nx + ny)"
+    a = looking.select("shingle", "class", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("bits").alias("bx"))
+    b = mixed.select("shingle", _size_class(F.col("n")).alias("class"), F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("bits").alias("by"))
+    possible = f"cx <> cy and {100 + percent} * least(nx - ix, ny - iy) >= {percent} * (nx + ny) and {_possible('bx', 'by', 'nx', 'ny', percent)}"
     return a.join(b, ["shingle", "class"]).where(possible).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 

@@ -61,6 +61,15 @@ def test_links_next_to_a_component_are_found(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == {k: v[1] for k, v in brute.near_duplicates(docs).items()}
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(0)
+    for n in (1, 5, 200, 3000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 2**63, n // 3).astype(np.uint64)]))
+        bits = np.bitwise_count((minhash.parities(a) ^ minhash.parities(b)).view(np.uint64)).sum()
+        assert bits <= len(np.setxor1d(a, b))
+
+
 def test_near_duplicates_of_odd_rows(odd, nothing):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()
