@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import fields as fl
 from ..functions import labels, money
 from ..functions.numeric import clamp, ratio
-from ..session import small_side
 from . import stats
 
 HEADLINE = [f for f, _ in fl.OVERVIEW]
@@ -65,7 +64,7 @@ def with_rate(df: DataFrame, rates: DataFrame, target: str = "survey_currency",
 
     1 for the same currency, NULL when either rate is missing.
     """
-    side = small_side(rates)
+    side = rates
     to = side.select(F.col("currency").alias("__tc"), F.col("year").alias("__ty"), F.col("per_usd").alias("__t"))
     fr = side.select(F.col("currency").alias("__sc"), F.col("year").alias("__sy"), F.col("per_usd").alias("__s"))
     y = labels.rate_year(year)
@@ -87,7 +86,7 @@ def with_company(survey: DataFrame, company: DataFrame) -> DataFrame:
 def normalised(survey: DataFrame, company: DataFrame, rates: DataFrame) -> DataFrame:
     """Survey rows with company, currencies, rate and the two unit scales attached."""
     full = full_years(survey)
-    df = full.join(F.broadcast(survey_currency(full)), "fiscal_year")  # one row per fiscal-year label
+    df = full.join(survey_currency(full), "fiscal_year")
     df = df.withColumn("reported_currency", money.currency_of("currency"))
     df = with_rate(with_company(df, company), rates)
     return df.withColumn("headline_scale", money.scale_headline("unit")).withColumn(

@@ -328,7 +328,7 @@ def company_lines(spark, sf_dir):
     placed = stats.competition_rank(long, ["fiscal_year", "metric"], "value")
     med = stats.percentiles(long, ["fiscal_year", "metric"], "value", (0.5,), ["market_median"]).drop("n")
     enough = F.col("n") >= 2
-    return placed.join(F.broadcast(med), ["fiscal_year", "metric"]).select(
+    return placed.join(med, ["fiscal_year", "metric"]).select(
         "company_id", "fiscal_year", "metric", F.bround("value", 2).alias("value"), "market_median",
         F.when(enough, F.concat(F.col("rank").cast("string"), F.lit(" of "), F.col("n").cast("string"))).otherwise("").alias("place"))
 

@@ -7,10 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows up to which a user-supplied lookup table (patterns, roster, ontology) may be broadcast.
-SMALL_SIDE_ROWS = 100_000
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -37,16 +33,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return spark
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """Hint a broadcast only when the table is counted to be small; a larger one keeps a shuffled join.
-
-    The count reads at most ``max_rows + 1`` rows.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def shared_base(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a new local one, named there, only where it is unset (tests, one machine)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -146,11 +146,3 @@ def test_upsert_touches_only_the_years_in_the_updates(spark, tmp_path):
         got = sorted((r["company_id"], r["fiscal_year"], r["v"]) for r in spark.read.parquet(path).collect())
         assert got == [(1, "FY2024", 1.0), (1, "FY2025", 2.0), (2, "FY2025", 30.0), (9, "FY2026", 9.0)]
     assert untouched == sorted(f.name for f in (tmp_path / "survey" / "fiscal_year=FY2024").glob("*.parquet"))
-
-
-def test_small_side_is_counted_before_it_is_broadcast(spark):
-    from tallyspark.session import small_side
-
-    big = spark.range(1000)
-    joined = lambda side: spark.range(10).join(side, "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" in joined(small_side(big, 1000)) and "strategy=broadcast" not in joined(small_side(big, 999))
