@@ -132,7 +132,8 @@ def _sharing_rare(sets: DataFrame, percent: int) -> DataFrame:
     rare = ordered.select("node", "component", "bits", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), first)).alias("i", "s"))
     rare = pin(rare.where("s.holders > 1").select("node", "component", "bits", "n", "i", "s.shingle"), "rare")
     common = rare.groupBy("shingle", "component").agg(F.count("*").alias("members")).groupBy("shingle").agg(F.max_by("component", "members").alias("common"), F.count("*").alias("components"))
-    mixed = pin(rare.join(common.where("components > 1").select("shingle", "common"), "shingle"), "mixed")
+    common = pin(common.where("components > 1").select("shingle", "common"), "common")
+    mixed = pin(rare.join(common, "shingle"), "mixed")
 
     least = F.ceil(F.col("n") * percent / 100)
     most = F.least(F.floor(F.col("n") * 100 / percent), F.floor((F.col("n") - F.col("i")) * (100 + percent) / percent) - F.col("n"))
