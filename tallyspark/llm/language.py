@@ -149,9 +149,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
     if not languages:
         return None
     each = max(1, min(per_language, sample // languages))
-    # only about 4 * each rows of a language pass the cut on the hash, so the ranking never gathers a large one
+    # only about 4 * each rows of a language pass the cut on the hash, so the ranking never gathers a large one; the counts have one row for each
+    # language, and the model holds all of those anyway
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    few = rows.join(counts, "lang").withColumn("drawn", drawn).where(F.col("drawn") * F.col("n") < 4 * each + 20).select("doc_id", "lang", "drawn").distinct()
+    few = rows.join(F.broadcast(counts), "lang").withColumn("drawn", drawn).where(F.col("drawn") * F.col("n") < 4 * each + 20).select("doc_id", "lang", "drawn").distinct()
     order = Window.partitionBy("lang").orderBy("drawn", "doc_id")
     ids = F.broadcast(few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("doc_id", "lang"))  # at most languages * each
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).join(ids, ["doc_id", "lang"])
