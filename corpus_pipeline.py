@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tallyspark.llm import contamination, lines, minhash, mixing, quality
 from tallyspark.llm.store import pin
 
+# The stage takes a similarity of 0.8 or more, with half-keys enough to find a pair at 0.8 with probability 0.999 (op3's query has its own, 0.85).
+NEAR_PERCENT = 80
+NEAR_COLLECTIONS = 11
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -21,7 +25,7 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id."""
-    return minhash.without_near_duplicates(docs)
+    return minhash.without_near_duplicates(docs, percent=NEAR_PERCENT, collections=NEAR_COLLECTIONS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -202,12 +202,14 @@ def near_duplicates(
     )
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY_PERCENT, collections: int = COLLECTIONS,
+) -> DataFrame:
     """The rows of ``docs``, one of each component. Columns stay as they are.
 
     Rows that repeat both id and text are one: only one of them stays.
     """
-    keep = near_duplicates(docs, id_col, text_col).where("keeper").select(F.col("doc_id").alias("__llm_id"), F.col("text_hash").alias("__llm_hash")).distinct()
+    keep = near_duplicates(docs, id_col, text_col, percent=percent, collections=collections).where("keeper").select(F.col("doc_id").alias("__llm_id"), F.col("text_hash").alias("__llm_hash")).distinct()
     rows = docs.withColumn("__llm_key", F.xxhash64(text_col))
     rows = rows.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_key") == F.col("__llm_hash")), "left_semi")
     return rows.dropDuplicates([id_col, "__llm_key"]).drop("__llm_key")

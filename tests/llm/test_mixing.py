@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyspark.llm import mixing, queries
+from tallyspark.llm import minhash, mixing, queries
 
 from . import brute
 
@@ -143,6 +143,25 @@ def test_stages_against_brute_force(spark, steps):
     assert all(abs(taken[s] - target[s]) <= largest[s] for s in sizes)
 
 
+def test_near_duplicate_stage_takes_a_similarity_of_80_percent(spark):
+    rng = random.Random(12)
+    docs, between = [], 0
+    for i in range(60):  # a run of replaced words in the middle: similarities from 0.76 to 0.87
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        run = rng.randrange(9, 23)
+        other = base[:90] + [f"edit{i}x{j}" for j in range(run)] + base[90 + run :]
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+        a, b = brute.shingles(docs[-2][1]), brute.shingles(docs[-1][1])
+        between += 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b)
+    assert between > 10
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    got = {r.doc_id for r in stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF).collect()}
+    assert got == {i for i, v in brute.near_duplicates(docs, percent=80).items() if v[2]}
+    assert got != {i for i, v in brute.near_duplicates(docs).items() if v[2]}
+    op3 = {r.doc_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).where("kept").collect()}
+    assert op3 == {i for i, v in brute.near_duplicates(docs).items() if v[2]}
+
+
 def test_run_is_its_stages(spark, steps):
     assert sorted(corpus_pipeline.run(spark, SF).collect()) == sorted(steps[-1])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "near_duplicates", "decontamination", "mixing"]
