@@ -5,6 +5,11 @@ only the boundaries beside it. Empty lines belong to the chunk before them. Chun
 removed, except the first occurrence (smallest id, then place); a chunk goes only after its bytes were compared with that first one.
 Chunks of a single line always stay.
 
+Such boundaries lie too far apart for short passages. With ``every_line`` every line is a boundary: a chunk of ``min_lines`` lines begins at
+each line, they overlap, and a line goes with any chunk over it that repeats. So every repeated passage of ``min_lines`` lines or more
+goes, whatever surrounds it, and a copy of a whole text of so many lines goes whole. The first occurrence of a line that is in such a
+passage always stays. Chunks are then still counted as the rolling hash cuts them; one is gone when all its lines are.
+
 Results for odd rows: null and empty texts have no lines and stay as they are; rows that repeat an id with another text follow each other
 in the order of their text hashes; rows that repeat both are one document and get equal results; a null id comes after all others. An
 empty table gives an empty result. Other columns stay as they are.
@@ -28,11 +33,15 @@ DIVISOR = 4
 MIN_LINES = 2
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, divisor: int) -> tuple[np.ndarray, ...]:
-    """Of every chunk: its text, its number there, first byte, end of its last line, begin of the next chunk, lines, hash."""
+def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     inside = np.ones(256, bool)
     inside[10] = False
-    text, starts, lengths, hashed = words(data, offsets, inside, fold=False)
+    return words(data, offsets, inside, fold=False)
+
+
+def chunks(data: np.ndarray, offsets: np.ndarray, divisor: int) -> tuple[np.ndarray, ...]:
+    """Of every chunk: its text, its number there, first byte, end of its last line, begin of the next chunk, lines, hash."""
+    text, starts, lengths, hashed = _lines(data, offsets)
     if not len(text):
         none = np.zeros(0, np.int64)
         return none, none, none, none, none, none, none.view(np.uint64)
@@ -55,11 +64,31 @@ def chunks(data: np.ndarray, offsets: np.ndarray, divisor: int) -> tuple[np.ndar
     return of, number, begin, end, next_, count, splitmix(value + count.astype(np.uint64))
 
 
-def _listed(divisor: int, min_lines: int):
+def overlapping(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """The same of the chunks of ``size`` lines that begin at every line; a chunk's number is that of its first line."""
+    text, starts, lengths, hashed = _lines(data, offsets)
+    n = max(0, len(text) - size + 1)
+    head = np.flatnonzero(text[:n] == text[size - 1 :]) if n else np.zeros(0, np.int64)
+    of, last = text[head], head + size - 1
+    number = head - np.searchsorted(text, of)
+    value = np.full(len(head), np.uint64(size), np.uint64)
+    for factor, j in zip(odd_constants(size, 19), range(size)):
+        value += hashed[head + j] * factor
+    next_ = offsets[of + 1]
+    follows = np.append(text[1:] == text[:-1], False)[last] if len(head) else np.zeros(0, bool)
+    next_[follows] = starts[last[follows] + 1]
+    return of, number, starts[head], starts[last] + lengths[last], next_, np.full(len(head), size), splitmix(value)
+
+
+def _cutter(divisor: int, min_lines: int, every_line: bool):
+    return (lambda data, offsets: overlapping(data, offsets, min_lines)) if every_line else (lambda data, offsets: chunks(data, offsets, divisor))
+
+
+def _listed(cutter, min_lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                of, number, _, _, _, count, hashed = chunks(*utf8(batch.column("text")), divisor)
+                of, number, _, _, _, count, hashed = cutter(*utf8(batch.column("text")))
                 pick = count >= min_lines
                 at = pa.array(of[pick])
                 yield pa.RecordBatch.from_arrays(
@@ -70,13 +99,13 @@ def _listed(divisor: int, min_lines: int):
     return run
 
 
-def _bytes(divisor: int):
+def _bytes(cutter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 data, offsets = utf8(batch.column("text"))
                 wanted = [set(x) for x in batch.column("numbers").to_pylist()]
-                of, number, begin, end, _, _, hashed = chunks(data, offsets, divisor)
+                of, number, begin, end, _, _, hashed = cutter(data, offsets)
                 pick = np.array([n in wanted[d] for d, n in zip(of.tolist(), number.tolist())], bool)
                 at = pa.array(of[pick])
                 content = [data[a:b].tobytes() for a, b in zip(begin[pick], end[pick])]
@@ -88,26 +117,30 @@ def _bytes(divisor: int):
     return run
 
 
-def _applied(divisor: int, carried: list[str]):
+def _applied(cutter, divisor: int, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "__llm_text"):
                 data, offsets = utf8(batch.column("__llm_text"))
                 gone = [set(x or ()) for x in batch.column("__llm_gone").to_pylist()]
-                of, number, begin, _, next_, count, _ = chunks(data, offsets, divisor)
+                of, number, begin, _, next_, _, _ = cutter(data, offsets)
                 pick = np.array([n in gone[d] for d, n in zip(of.tolist(), number.tolist())], bool)
                 n = batch.num_rows
                 change = np.zeros(len(data) + 1, np.int32)
                 np.add.at(change, begin[pick], 1)
                 np.add.at(change, next_[pick], -1)
                 keep = np.cumsum(change[:-1]) == 0
+                line_of, line_start, _, _ = _lines(data, offsets)
+                line_gone = ~keep[line_start]
+                chunk_of, _, _, _, _, count, _ = chunks(data, offsets, divisor)
+                chunk_gone = np.logical_and.reduceat(line_gone, np.cumsum(count) - count) if len(count) else np.zeros(0, bool)
                 valid = np.asarray(batch.column("__llm_text").is_valid())
                 kept = [data[a:b][keep[a:b]].tobytes().decode() if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], valid)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c) for c in carried), pa.array(kept, pa.string()),
-                        pa.array(np.bincount(of, weights=count, minlength=n).astype(np.int64)), pa.array(np.bincount(of, minlength=n).astype(np.int64)),
-                        pa.array(np.bincount(of[pick], weights=count[pick], minlength=n).astype(np.int64)), pa.array(np.bincount(of[pick], minlength=n).astype(np.int64)),
+                        pa.array(np.bincount(line_of, minlength=n).astype(np.int64)), pa.array(np.bincount(chunk_of, minlength=n).astype(np.int64)),
+                        pa.array(np.bincount(line_of[line_gone], minlength=n).astype(np.int64)), pa.array(np.bincount(chunk_of[chunk_gone], minlength=n).astype(np.int64)),
                     ],
                     names=[*carried, "__llm_kept", "__llm_lines", "__llm_chunks", "__llm_gone_lines", "__llm_gone_chunks"],
                 )
@@ -115,32 +148,33 @@ def _applied(divisor: int, carried: list[str]):
     return run
 
 
-def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", every_line: bool = False) -> DataFrame:
     """``doc_id, text_hash, number``: the chunks to remove, their bytes compared with the first occurrence's."""
+    cutter = _cutter(divisor, min_lines, every_line)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    listed = pin(rows.mapInArrow(_listed(divisor, min_lines), "doc_id long, text_hash long, number int, chunk_hash long"), "chunks")
+    listed = pin(rows.mapInArrow(_listed(cutter, min_lines), "doc_id long, text_hash long, number int, chunk_hash long"), "chunks")
     several = pin(listed.groupBy("chunk_hash").agg(F.count("*").alias("n")).where("n > 1").select("chunk_hash"), "several")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash", "number")
     again = listed.join(several, "chunk_hash")
     wanted = again.groupBy(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2")).agg(F.collect_set("number").alias("numbers"))
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("text_hash") == F.col("k2"))).select("doc_id", "text_hash", "text", "numbers")
-    held = pin(texts.mapInArrow(_bytes(divisor), "doc_id long, text_hash long, number int, chunk_hash long, content binary"), "contents").withColumn("place", place)
+    held = pin(texts.mapInArrow(_bytes(cutter), "doc_id long, text_hash long, number int, chunk_hash long, content binary"), "contents").withColumn("place", place)
     first = held.groupBy("chunk_hash").agg(F.min("place").alias("first"))
     first = pin(first, "first")
     kept = held.join(first, "chunk_hash").where("place = first").select("chunk_hash", "first", F.col("content").alias("first_content")).dropDuplicates(["chunk_hash"])
     return held.join(kept, "chunk_hash").where("place > first and content = first_content").select("doc_id", "text_hash", "number").distinct()
 
 
-def without_repeated_chunks(docs: DataFrame, carried: list[str], divisor: int = DIVISOR, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeated_chunks(docs: DataFrame, carried: list[str], divisor: int = DIVISOR, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", every_line: bool = False) -> DataFrame:
     """The carried columns of every row, and ``__llm_kept`` (the text left), ``__llm_lines``, ``__llm_chunks``, ``__llm_gone_lines``,
     ``__llm_gone_chunks`` (counts over non-blank lines)."""
-    gone = repeated_chunks(docs, divisor, min_lines, id_col, text_col).groupBy(F.col("doc_id").alias("__llm_k1"), F.col("text_hash").alias("__llm_k2")).agg(F.collect_set("number").alias("__llm_gone"))
+    gone = repeated_chunks(docs, divisor, min_lines, id_col, text_col, every_line).groupBy(F.col("doc_id").alias("__llm_k1"), F.col("text_hash").alias("__llm_k2")).agg(F.collect_set("number").alias("__llm_gone"))
     rows = docs.withColumn("__llm_text", F.col(text_col).cast("string")).withColumn("__llm_hash", F.xxhash64(text_col))
     rows = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__llm_k1")) & (F.col("__llm_hash") == F.col("__llm_k2")), "left")
     schema = T.StructType([docs.schema[c] for c in carried]).add("__llm_kept", T.StringType())
     for name in ("__llm_lines", "__llm_chunks", "__llm_gone_lines", "__llm_gone_chunks"):
         schema = schema.add(name, T.LongType())
-    return rows.select(*carried, "__llm_text", "__llm_gone").mapInArrow(_applied(divisor, carried), schema)
+    return rows.select(*carried, "__llm_text", "__llm_gone").mapInArrow(_applied(_cutter(divisor, min_lines, every_line), divisor, carried), schema)
 
 
 def with_unique_chunks(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:

@@ -97,7 +97,7 @@ def contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op10_line_chunks")
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.without_repeated_chunks(_table(spark, sf_dir, "documents"), ["doc_id"])
+    found = lines.without_repeated_chunks(_table(spark, sf_dir, "documents"), ["doc_id"], every_line=True)
     return found.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("__llm_lines").alias("n_lines"), F.col("__llm_chunks").alias("n_chunks"),
         F.col("__llm_gone_lines").alias("n_removed_lines"), F.col("__llm_gone_chunks").alias("n_removed_chunks"), F.col("__llm_kept").alias("text"),

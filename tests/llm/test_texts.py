@@ -255,3 +255,51 @@ def test_line_chunks_of_odd_rows(odd, nothing):
     out = lines.with_unique_chunks(odd)
     assert out.schema == odd.schema and out.count() == odd.count()
     assert lines.with_unique_chunks(nothing).count() == 0
+
+
+def brute_passages(docs, size=2):
+    """Lines that go: those of any run of ``size`` lines that stands earlier too. The texts have no empty lines."""
+    seen, out = set(), {}
+    for d, text in sorted(docs):
+        own, gone = (text or "").split("\n"), set()
+        for i in range(len(own) - size + 1):
+            run = tuple(own[i : i + size])
+            if run in seen:
+                gone |= set(range(i, i + size))
+            seen.add(run)
+        out[d] = [x for i, x in enumerate(own) if i not in gone], len(gone)
+    return out
+
+
+@pytest.fixture(scope="module")
+def planted():
+    """Passages of 2 to 6 lines, each in three texts with other lines around it; single common lines; a run that follows itself."""
+    rng = random.Random(8)
+    own = lambda: [f"own {rng.random()}" for _ in range(rng.randrange(1, 6))]
+    docs = []
+    for size in range(2, 7):
+        for p in range(40):
+            passage = [f"passage {size} {p} line {i} {rng.random()}" for i in range(size)]
+            docs += [own() + passage + own() + ["common line"] + own() for _ in range(3)]
+    rng.shuffle(docs)
+    docs += [["a", "a", "a", "a", "b"], ["x", "a", "b"], ["a", "a"]]
+    return [(i, "\n".join(x)) for i, x in enumerate(docs)]
+
+
+def test_short_passages_in_other_surroundings_go(spark, planted):
+    df = spark.createDataFrame(planted, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in lines.without_repeated_chunks(df, ["doc_id"], every_line=True).collect()}
+    want = brute_passages(planted)
+    assert {i: ([x for x in r["__llm_kept"].split("\n") if x], r["__llm_gone_lines"]) for i, r in got.items()} == want
+    for size in range(2, 7):  # recall 1: of three copies two go, all their lines
+        assert sum(r["__llm_kept"].count(f"passage {size} ") for r in got.values()) == 40 * size
+    assert {x for r in got.values() for x in r["__llm_kept"].split("\n") if x} == {x for _, t in planted for x in t.split("\n")}
+    assert all(r["__llm_gone_chunks"] <= r["__llm_chunks"] <= r["__llm_lines"] for r in got.values())
+
+
+def test_op10_takes_short_passages(spark, planted, tmp_path):
+    from tallyspark.llm import queries
+
+    spark.createDataFrame(planted, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_passages(planted)
+    assert {r.doc_id: r.n_removed_lines for r in queries.QUERIES["op10_line_chunks"](spark, str(tmp_path)).collect()} == {i: n for i, (_, n) in want.items()}
