@@ -19,7 +19,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Multi-line chunks that an earlier document (or place) has too are cut out; documents that were nothing else go."""
+    """Passages of two lines or more that an earlier document (or place) has too are cut out; documents that were nothing else go."""
     return lines.with_unique_chunks(docs)
 
 

@@ -178,12 +178,13 @@ def without_repeated_chunks(docs: DataFrame, carried: list[str], divisor: int =
 
 
 def with_unique_chunks(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """The rows of ``docs`` with repeated chunks cut out of their texts, and their lengths set anew where they have that column.
+    """The rows of ``docs`` with repeated passages of two lines or more cut out of their texts, and their lengths set anew where they have
+    that column.
 
     A text of which nothing but white space is left was only repeats: its row goes. Rows without any text before stay.
     """
-    out = without_repeated_chunks(docs, docs.columns, text_col=text_col)
-    out = out.where((F.col("__llm_gone_chunks") == 0) | F.col("__llm_kept").rlike(r"\S")).withColumn(text_col, F.when(F.col("__llm_gone_chunks") > 0, F.col("__llm_kept")).otherwise(F.col(text_col)))
+    out = without_repeated_chunks(docs, docs.columns, text_col=text_col, every_line=True)
+    out = out.where((F.col("__llm_gone_lines") == 0) | F.col("__llm_kept").rlike(r"\S")).withColumn(text_col, F.when(F.col("__llm_gone_lines") > 0, F.col("__llm_kept")).otherwise(F.col(text_col)))
     if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.col("__llm_gone_chunks") > 0, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+        out = out.withColumn(length_col, F.when(F.col("__llm_gone_lines") > 0, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
     return out.select(*docs.columns)

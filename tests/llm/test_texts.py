@@ -303,3 +303,12 @@ def test_op10_takes_short_passages(spark, planted, tmp_path):
     spark.createDataFrame(planted, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = brute_passages(planted)
     assert {r.doc_id: r.n_removed_lines for r in queries.QUERIES["op10_line_chunks"](spark, str(tmp_path)).collect()} == {i: n for i, (_, n) in want.items()}
+
+
+def test_copies_of_whole_texts_leave_no_remnant(spark):
+    rng = random.Random(3)
+    texts = ["\n".join(f"text {i} line {j} {rng.random()}" for j in range(size)) for i, size in enumerate([2, 3, 4, 5, 7, 10, 20, 50] * 5)]
+    docs = [(i, t, len(t)) for i, t in enumerate(texts * 3)] + [(500, "of its own\n" + texts[3] + "\n\nand this", 0)]
+    out = lines.with_unique_chunks(spark.createDataFrame(docs, "doc_id long, text string, n_chars long"))
+    rest = "of its own\nand this"
+    assert sorted(map(tuple, out.collect())) == [*((i, t, len(t)) for i, t in enumerate(texts)), (500, rest, len(rest))]
