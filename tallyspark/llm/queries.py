@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, lines, minhash, mixing, pivots, pseudonyms, quality, repeats, secrets
+from . import contamination, idfiles, language, lines, minhash, mixing, pivots, pseudonyms, quality, repeats, secrets, whitening
+from .store import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +103,21 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("__llm_lines").alias("n_lines"), F.col("__llm_chunks").alias("n_chunks"),
         F.col("__llm_gone_lines").alias("n_removed_lines"), F.col("__llm_gone_chunks").alias("n_removed_chunks"), F.col("__llm_kept").alias("text"),
     )
+
+
+# Vocabulary of op12's query; the operator takes any file that the tokenizers library reads.
+VOCABULARY, END_ID = "word_bpe_49k.json", 2
+
+
+@_query("op12_token_ids")
+def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = new_folder(spark, "token-ids")
+    idfiles.write_ids(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(VOCABULARY), END_ID)
+    return idfiles.read_documents(spark, path)
+
+
+@_query("op13_whitening")
+def whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))

@@ -17,11 +17,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def pin(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder, not yet there, that no other run uses."""
+    return f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/{name}"
+
+
+def pin(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet (with the writer's options) into the shared folder and read it back.
 
     The lineage ends here: later steps see the same rows however often they are run again, also after executors were lost.
     """
-    path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    path = new_folder(df.sparkSession, name)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
