@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, idfiles, language, lines, minhash, mixing, pivots, pseudonyms, quality, repeats, secrets, whitening
+from . import contamination, idfiles, language, lexical, lines, minhash, mixing, pivots, pseudonyms, quality, repeats, secrets, whitening
 from .store import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,11 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op11_lexical_search")
+def best_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 # Vocabulary of op12's query; the operator takes any file that the tokenizers library reads.
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 
