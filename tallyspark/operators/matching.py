@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, names, similarity
 from ..functions.similarity import ratio
 
-# Roster names that travel to the tasks at once.
+# Roster names, and keys, in one cell of the comparison at most.
 ROSTER_BLOCK = 2_000
 
 
@@ -29,61 +27,101 @@ def _letters(texts: list[str], alphabet: dict[str, int]) -> np.ndarray:
     return counts
 
 
-def _best_of(book: list[tuple[int, str]]):
-    """Scores every key against every name of a roster block.
+def _best_in_cell(least: float):
+    """Scores every key of a cell against the cell's roster names; keys without a name of at least ``least`` give no row.
 
     The letters two strings have in common bound their ratio, so names are tried in falling order of that bound and most are never compared.
     """
-    alphabet = {c: i for i, c in enumerate(sorted({c for _, name in book for c in name}))}
-    sizes = np.array([len(name) for _, name in book])
-    letters = _letters([name for _, name in book], alphabet)[:, :-1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column("key").to_pylist()
-            ids, scores = [], []
-            for key, own in zip(keys, _letters(keys, alphabet)[:, :-1]):
+
+    def run(keys: pa.Table, roster: pa.Table) -> pa.Table:
+        found: list[tuple[str, int, float]] = []
+        if keys.num_rows and roster.num_rows:
+            book = sorted(zip(roster.column("company_id").to_pylist(), roster.column("target").to_pylist()))
+            alphabet = {c: i for i, c in enumerate(sorted({c for _, name in book for c in name}))}
+            sizes = np.array([len(name) for _, name in book])
+            letters = _letters([name for _, name in book], alphabet)[:, :-1]
+            texts = keys.column("key").to_pylist()
+            for key, own in zip(texts, _letters(texts, alphabet)[:, :-1]):
                 bound = 2.0 * np.minimum(letters, own).sum(axis=1) / (sizes + len(key))
-                score, best = 0.0, None
-                inside = [cid for cid, name in book if key in name or name in key]
-                if inside:
-                    score, best = 0.9, min(inside)
+                score, best = least, None
                 for i in np.argsort(-bound, kind="stable"):
                     if bound[i] < score or bound[i] == 0:
                         break
                     cid, name = book[i]
                     s = ratio(key, name)
-                    if s > score or (s == score and best is not None and cid < best):
+                    if s > score or (s == score and (best is None or cid < best)):
                         score, best = s, cid
-                ids.append(best)
-                scores.append(score)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], names=["key", "company_id", "score"])
+                if best is not None:
+                    found.append((key, best, score))
+        return pa.Table.from_arrays(
+            [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], names=["key", "company_id", "score"])
 
     return run
 
 
-def fuzzy_company_match(titles: DataFrame, roster: DataFrame, least: float = 0.75, block: int = ROSTER_BLOCK) -> DataFrame:
+def _alike(keys: DataFrame, roster: DataFrame, least: float, block: int) -> DataFrame:
+    """``key, company_id, score``: per cell the best roster name of each key with a ratio of at least ``least``.
+
+    A cell holds names of one length and keys that may reach the ratio with that length, about ``block`` of each at most: both sides are
+    dealt into as many parts as their counts ask for, which are subqueries of the same plan. Every key meets every name of a possible length
+    in just one cell.
+    """
+    length = roster.withColumn("len", F.length("target"))
+    parts = length.groupBy("len").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    key_parts = keys.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("parts")).scalar()
+    # ratio >= least needs 2 * min(lengths) >= least * (sum of the lengths)
+    low, high = F.ceil(F.length("key") * (least / (2 - least)) - 1e-9), F.floor(F.length("key") * ((2 - least) / least) + 1e-9)
+    high = F.least(high, length.agg(F.coalesce(F.max("len"), F.lit(0)).alias("most")).scalar())
+    asked = keys.where(low <= high).select("key", F.pmod(F.xxhash64("key"), key_parts).alias("key_part"), F.explode(F.sequence(F.greatest(low, F.lit(1)).cast("int"), high.cast("int"))).alias("len"))
+    asked = asked.join(parts, "len").select("key", "key_part", "len", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    book = length.join(parts, "len").select("company_id", "target", "len", F.pmod(F.xxhash64("target"), F.col("parts")).cast("int").alias("part"))
+    book = book.withColumn("key_part", F.explode(F.sequence(F.lit(0).cast("long"), key_parts.cast("long") - 1)))
+    cell = ["len", "part", "key_part"]
+    return asked.groupBy(*cell).cogroup(book.groupBy(*cell)).applyInArrow(
+        lambda left, right: _best_in_cell(least)(left, right), "key string, company_id long, score double")
+
+
+def _runs(c: str, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(size)))
+
+
+def contained_pairs(short: DataFrame, long: DataFrame, size: int = 3) -> DataFrame:
+    """Rows of ``short`` and ``long`` where column ``short`` of the one occurs in column ``long`` of the other.
+
+    The short text is looked up by one of its runs of ``size`` characters (the one with the least hash, so a common beginning gathers
+    nothing), the long one is filed under all of its runs; the containment itself is tested on the pairs that meet. Shorter texts are
+    looked up whole, among runs of their length.
+    """
+    runs = F.when(F.length("short") <= size, F.array("short")).otherwise(_runs("short", size))
+    least = F.array_min(F.transform(runs, lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("r"))))["r"]
+    probe = short.where(F.length("short") > 0).withColumn("__run", least)
+    filed = long.withColumn("__run", F.explode(F.array_distinct(F.concat(*[_runs("long", n) for n in range(1, size + 1)]))))
+    return probe.join(filed, "__run").where(F.contains("long", "short")).drop("__run")
+
+
+def fuzzy_company_match(titles: DataFrame, roster: DataFrame, least: float = 0.75, block: int = ROSTER_BLOCK, below: bool = True) -> DataFrame:
     """Best roster company per title by normalised-name ratio (0.9 when one name contains the other), NULL below ``least``.
 
-    ``titles`` has title_id and title; ``roster`` has company_id and name (one row per name or alias). Each distinct name is compared once.
-    Every key meets every name, whatever their number: the roster goes to the tasks in blocks of about ``block`` names, and the best of
-    all blocks wins, the smallest id on ties.
+    ``titles`` has title_id and title; ``roster`` has company_id and name (one row per name or alias). Each distinct name is compared once;
+    the smallest id wins ties. With ``below`` a title without a match has the score of its best name (0 for none, or one under 0.02); without,
+    it has none, and pairs whose lengths keep them from ``least`` are never compared: for large rosters. Equal names and names that contain
+    each other are found by equi joins, the others cell by cell; nothing passes through the driver.
     """
     t = titles.select("title_id", names.title_key(title_head("title")).alias("key"))
     keys = t.where("key <> ''").select("key").distinct()
     r = roster.select(F.col("company_id").cast("long").alias("company_id"), names.title_key("name").alias("target")).where("target <> ''").distinct()
     equal = keys.join(r, F.col("key") == F.col("target")).groupBy("key").agg(F.min("company_id").alias("company_id")).withColumn("score", F.lit(1.0))
-    keys = keys.join(equal, "key", "left_anti")  # only names that are not on the roster as they stand are compared
-    blocks = max(1, -(-r.count() // block))
-    scored = equal
-    for i in range(blocks):
-        book = [(row["company_id"], row["target"]) for row in r.where(F.pmod(F.xxhash64("target"), F.lit(blocks)) == i).collect()]
-        if book:
-            scored = scored.unionByName(keys.mapInArrow(_best_of(sorted(book)), "key string, company_id long, score double"))
-    best = scored.where(F.col("company_id").isNotNull()).groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("n"), "company_id")).alias("b"))
+    rest = keys.join(equal, "key", "left_anti")  # only names that are not on the roster as they stand are compared
+    scored = equal.unionByName(_alike(rest, r, min(least, 0.02) if below else least, block)) if least < 1 or below else equal
+    if least <= 0.9 or below:
+        k, n = rest.select("key"), r.select("company_id", "target")
+        inside = contained_pairs(k.select("key", F.col("key").alias("short")), n.select("company_id", F.col("target").alias("long"))).unionByName(
+            contained_pairs(n.select("company_id", F.col("target").alias("short")), k.select("key", F.col("key").alias("long"))))
+        scored = scored.unionByName(inside.select("key", "company_id", F.lit(0.9).alias("score")))
+    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("n"), "company_id")).alias("b"))
     best = best.select("key", "b.company_id", (-F.col("b.n")).alias("score"))
     return t.join(best, "key", "left").select(
-        "title_id", F.when(F.col("score") >= least, F.col("company_id")).alias("company_id"), F.bround(F.coalesce("score", F.lit(0.0)), 2).alias("score"))
+        "title_id", F.when(F.col("score") >= least, F.col("company_id")).alias("company_id"), F.bround(F.coalesce("score", F.lit(0.0)) if below else F.col("score"), 2).alias("score"))
 
 
 def _unique(df: DataFrame, key: Column, name: str) -> DataFrame:
@@ -92,9 +130,24 @@ def _unique(df: DataFrame, key: Column, name: str) -> DataFrame:
         F.min("company_id").alias(f"{name}_cid"), F.count_distinct("company_id").alias(f"{name}_n"))
 
 
-def resolve_company(refs: DataFrame, company: DataFrame) -> DataFrame:
+def _by_roster(refs: DataFrame, company: DataFrame, roster: DataFrame, least: float) -> DataFrame:
+    """``ref_id, k_roster_cid, k_roster_n``: the companies with the ticker or the loose name of the roster entry a name is most like."""
+    entry = fuzzy_company_match(refs.select(F.col("ref_id").alias("title_id"), F.col("name").alias("title")), roster.select(F.col("entry_id").alias("company_id"), "name"), least, below=False)
+    known = roster.groupBy(F.col("entry_id").cast("long").alias("entry_id")).agg(F.min(F.struct("name", "ticker")).alias("e"))
+    found = entry.where("company_id IS NOT NULL").join(known, F.col("company_id") == F.col("entry_id")).select(F.col("title_id").alias("ref_id"), F.upper(F.trim("e.ticker")).alias("t"), names.company_key("e.name").alias("k"))
+    found = found.where("t <> ''")
+    c = company.select(F.col("company_id").alias("hit"), F.upper(F.trim("ticker")).alias("t"), names.company_key("name").alias("k"))
+    hits = found.select("ref_id", "t").join(c.select("hit", "t"), "t").select("ref_id", "hit").unionByName(
+        found.select("ref_id", "k").join(c.where("k <> ''").select("hit", "k"), "k").select("ref_id", "hit"))
+    return hits.groupBy("ref_id").agg(F.min("hit").alias("k_roster_cid"), F.count_distinct("hit").alias("k_roster_n"))
+
+
+def resolve_company(refs: DataFrame, company: DataFrame, roster: DataFrame | None = None, least: float = 0.9) -> DataFrame:
     """Company of each (ref_id, name, ticker): ticker, else normalised name, else loose name; a stage with two hits ends
     unresolved.
+
+    With a ``roster`` (entry_id, name, ticker; a row per name or alias), a name that hits nothing is matched with it at a ratio of at
+    least ``least``, and means the one company with the entry's ticker or loose name; none or several leave it unresolved.
     """
     tick = _unique(company, F.upper(F.trim(F.coalesce("ticker", F.lit("")))), "k_ticker")
     norm = _unique(company, names.full_key("name"), "k_norm")
@@ -103,33 +156,60 @@ def resolve_company(refs: DataFrame, company: DataFrame) -> DataFrame:
         "k_ticker": F.upper(F.trim(F.coalesce("ticker", F.lit("")))), "k_norm": names.full_key("name"),
         "k_loose": names.company_key("name")})
     j = r.join(tick, "k_ticker", "left").join(norm, "k_norm", "left").join(loose, "k_loose", "left")
-    stage = (F.when(F.col("k_ticker_n").isNotNull(), "ticker").when(F.col("k_norm_n").isNotNull(), "name").when(F.col("k_loose_n").isNotNull(), "loose"))
     n = F.coalesce("k_ticker_n", "k_norm_n", "k_loose_n")
+    stage = F.when(F.col("k_ticker_n").isNotNull(), "ticker").when(F.col("k_norm_n").isNotNull(), "name").when(F.col("k_loose_n").isNotNull(), "loose")
     cid = F.coalesce("k_ticker_cid", "k_norm_cid", "k_loose_cid")
-    return j.select("ref_id", F.when(n == 1, cid).alias("company_id"), F.when(n > 1, F.concat(F.lit("ambiguous "), stage)).otherwise(stage).alias("stage"))
+    if roster is None:
+        return j.select("ref_id", F.when(n == 1, cid).alias("company_id"), F.when(n > 1, F.concat(F.lit("ambiguous "), stage)).otherwise(stage).alias("stage"))
+    j = j.join(_by_roster(j.where(n.isNull()).select("ref_id", "name"), company, roster, least), "ref_id", "left")
+    only = F.when(n == 1, cid).when(n.isNull() & (F.col("k_roster_n") == 1), F.col("k_roster_cid"))
+    label = F.when(n > 1, F.concat(F.lit("ambiguous "), stage)).when(n == 1, stage).when(F.col("k_roster_n") == 1, "roster").when(F.col("k_roster_n") > 1, "ambiguous roster")
+    return j.select("ref_id", only.alias("company_id"), label.alias("stage"))
+
+
+def _sole(pairs: DataFrame, name: str) -> DataFrame:
+    """``file_id, name_cid, name_n``: the one company of each file, or a count above 1."""
+    return pairs.groupBy("file_id").agg(F.min("company_id").alias(f"{name}_cid"), F.count_distinct("company_id").alias(f"{name}_n"))
 
 
 def match_filename(files: DataFrame, company: DataFrame, survey_years: DataFrame) -> DataFrame:
-    """Company and fiscal year of each file (file_id, filename): ticker token, then a name that occurs in the stem; the
-    file's year, or the next year when only that one is on file.
+    """Company and fiscal year of each file (file_id, filename), and by which ``stage`` it was found; the file's year, or the next year when
+    only that one is on file.
+
+    Stages, on letters and digits only: the part before the year is a company's ticker (``ticker``); a ticker begins with it or it with a
+    ticker, three characters or more of both (``ticker prefix``); it is in a company's name, four or more (``in name``); a company's name
+    of five or more is anywhere in the file name, the longest such name wins (``name in file``). A stage that hits several companies passes
+    on to the next; the last leaves the file unresolved. All stages are equi joins: prefixes, and runs of letters, are filed under their text.
     """
-    stem = F.lower(names.file_stem("filename"))
-    f = files.select("file_id", stem.alias("stem"), F.regexp_extract(stem, r"(20\d\d)", 1).try_cast("int").alias("year"))
-    f = f.withColumn("token", F.regexp_replace(F.regexp_extract("stem", r"^(?:[a-z]{2}[-_])?([a-z0-9&.]+?)[-_](?:20\d\d)", 1), "[^a-z0-9]", ""))
-    tick = _unique(company, F.regexp_replace(F.lower(F.coalesce("ticker", F.lit(""))), "[^a-z0-9]", ""), "token")
-    # a name in the stem: compare on the slugged prefix before the year, an equi join
-    f = f.withColumn("slug", F.regexp_replace(F.regexp_extract("stem", r"^(.*?)[-_]?(?:20\d\d)", 1), "[^a-z0-9]", ""))
-    slug = _unique(company, F.regexp_replace(F.lower("name"), "[^a-z0-9]", ""), "slug")
-    j = f.join(tick, "token", "left").join(slug, "slug", "left")
-    cid = F.coalesce(F.when(F.col("token_n") == 1, F.col("token_cid")), F.when(F.col("slug_n") == 1, F.col("slug_cid")))
-    picked = j.select("file_id", cid.alias("company_id"), "year")
+    close = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
+    stem = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce("filename", F.lit("")), r"([^/]*)$", 1), r"(?i)\.pdf$", ""))
+    token = F.regexp_extract("stem", r"^(?:[a-z]{2}[-_])?([a-z0-9&.]+?)[-_]20\d\d(?:[-_]|\b)", 1)
+    f = files.select("file_id", stem.alias("stem")).withColumn("token", close(token))
+    f = f.select("file_id", "token", close(F.col("stem")).alias("slug"), F.regexp_extract("stem", r"(20\d\d)", 1).try_cast("int").alias("year"))
+    c = company.select("company_id", close(F.col("ticker")).alias("tick"), close(F.col("name")).alias("slug"))
+    prefixes = lambda t: F.transform(F.sequence(F.lit(3), F.length(t)), lambda i: F.substring(F.col(t), F.lit(1), i))
+    asked, held = f.where(F.length("token") >= 3).select("file_id", "token"), c.where(F.length("tick") >= 3).select("company_id", "tick")
+    longer = asked.join(held.select("company_id", F.explode(prefixes("tick")).alias("token")), "token").select("file_id", "company_id")
+    shorter = asked.select("file_id", F.explode(prefixes("token")).alias("tick")).join(held, "tick").select("file_id", "company_id")
+    named = c.select("company_id", F.col("slug").alias("long"))
+    inside = contained_pairs(f.where(F.length("token") >= 4).select("file_id", F.col("token").alias("short")), named)
+    anywhere = contained_pairs(c.where(F.length("slug") >= 5).select("company_id", F.col("slug").alias("short")), f.select("file_id", F.col("slug").alias("long")))
+    most = anywhere.groupBy("file_id").agg(F.max(F.length("short")).alias("most"))
+    anywhere = anywhere.join(most, "file_id").where(F.length("short") == F.col("most"))
+    j = f.join(_unique(c, F.col("tick"), "token"), "token", "left")
+    for pairs, name in ((longer.unionByName(shorter), "near"), (inside, "in"), (anywhere, "run")):
+        j = j.join(_sole(pairs.select("file_id", "company_id"), name), "file_id", "left")
+    stages = (("token", "ticker"), ("near", "ticker prefix"), ("in", "in name"), ("run", "name in file"))
+    one = lambda n: F.col(f"{n}_n") == 1
+    picked = j.select("file_id", "year", F.coalesce(*[F.when(one(n), F.col(f"{n}_cid")) for n, _ in stages]).alias("company_id"),
+                      F.coalesce(*[F.when(one(n), F.lit(label)) for n, label in stages]).alias("stage"))
     have = survey_years.select("company_id", labels.year_of("fiscal_year").alias("y")).distinct()
     this = have.select("company_id", F.col("y").alias("year"), F.lit(True).alias("has"))
     nxt = have.select("company_id", (F.col("y") - 1).alias("year"), F.lit(True).alias("has_next"))
     out = picked.join(this, ["company_id", "year"], "left").join(nxt, ["company_id", "year"], "left")
     fy = F.when(F.col("has").isNull() & F.col("has_next"), F.col("year") + 1).otherwise(F.col("year"))
     return out.select("file_id", "company_id", F.concat(F.lit("FY"), fy.cast("string")).alias("fiscal_year"),
-                      (F.col("has").isNull() & F.coalesce("has_next", F.lit(False))).alias("used_next_year"))
+                      (F.col("has").isNull() & F.coalesce("has_next", F.lit(False))).alias("used_next_year"), "stage")
 
 
 def same_person_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -166,22 +246,48 @@ def same_person_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.where(possible).where(similarity.same_person("w_name_a", "w_name_b")).drop("w_name_a", "w_name_b")
 
 
-def misattributed_documents(docs: DataFrame, company: DataFrame) -> DataFrame:
-    """Documents whose file name belongs to another company than the one they are filed under."""
-    r = resolve_company(docs.select(F.col("id").alias("ref_id"), names.name_from_file("filename").alias("name"), F.lit("").alias("ticker")), company)
-    return docs.select("id", "company_id").join(r.select(F.col("ref_id").alias("id"), F.col("company_id").alias("matched_id")), "id").where(
-        F.col("matched_id").isNotNull() & (F.col("matched_id") != F.col("company_id")))
+def claimed_name(filename) -> Column:
+    """The company name a file name states: what stands before three dashes, else all of it, without report words and years."""
+    base = F.regexp_replace(F.regexp_extract(F.coalesce(filename, F.lit("")), r"([^/]*)$", 1), r"(?i)\.pdf$", "")
+    return F.when(base.contains("---"), F.trim(F.replace(F.split(base, "---")[0], F.lit("-"), F.lit(" ")))).otherwise(names.name_from_file(filename))
+
+
+def misattributed_documents(docs: DataFrame, company: DataFrame, least: float = 0.75) -> DataFrame:
+    """Documents (id, company_id, filename) whose file name belongs to another company than the one they are filed under, with the score.
+
+    A name that one company alone has, by the keys of ``resolve_company``, is that company's (score 1); any other is matched with all companies'
+    names, spelling aside. A name that fits no company says nothing.
+    """
+    named = docs.select(F.col("id").alias("ref_id"), claimed_name(F.col("filename")).alias("name"), F.lit("").alias("ticker")).where("name <> ''")
+    exact = resolve_company(named, company.select("company_id", "name", F.lit(None).cast("string").alias("ticker")))
+    rest = named.join(exact.where("company_id IS NULL").select("ref_id"), "ref_id", "left_semi")
+    alike = fuzzy_company_match(rest.select(F.col("ref_id").alias("title_id"), F.col("name").alias("title")), company.select("company_id", "name"), least, below=False)
+    found = exact.where("company_id IS NOT NULL").select(F.col("ref_id").alias("id"), F.col("company_id").alias("matched_id"), F.lit(1.0).alias("score")).unionByName(
+        alike.where("company_id IS NOT NULL").select(F.col("title_id").alias("id"), F.col("company_id").alias("matched_id"), "score"))
+    return docs.select("id", "company_id").join(found, "id").where(F.col("matched_id") != F.col("company_id"))
 
 
-def document_company(pages: DataFrame, roster: DataFrame, first_pages: int = 3, least: float = 0.75) -> DataFrame:
-    """Company of each document from its first pages: short lines that carry a legal form are matched with the roster,
+def affected_periods(flagged: DataFrame, statements: DataFrame) -> DataFrame:
+    """``company_id, period_id, documents, statements``: the periods with a statement from a flagged document, which are purged whole."""
+    hit = statements.join(flagged.select(F.col("id").alias("source_document_id")).distinct(), "source_document_id")
+    return hit.groupBy("company_id", "period_id").agg(F.count_distinct("source_document_id").alias("documents"), F.count(F.lit(1)).alias("statements"))
+
+
+# Words that make a line a candidate for a company's name.
+LEGAL_FORMS = ("plc", "ltd", "limited", "group", "holdings", "bank", "company")
+
+
+def document_company(pages: DataFrame, roster: DataFrame, first_pages: int = 3, least: float = 0.75, line_chars: tuple[int, int] | None = None) -> DataFrame:
+    """Company of each document from its first pages: lines that carry a legal form are matched with the roster,
     the best score wins, the earliest line on ties.
+
+    ``line_chars`` (shortest and longest line that is looked at) spares long prose lines; by default all are.
     """
     lines = pages.where(F.col("page") <= first_pages).select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    cand = lines.where((F.length(F.trim("line")).between(4, 90)) & F.col("line").rlike(r"(?i)\b(?:plc|ltd|limited|group|holdings|bank|company)\b")).select(
-        "doc_id", "page", "n", F.trim("line").alias("title"))
+    cand = lines.where(F.col("line").rlike(rf"(?i)\b(?:{'|'.join(LEGAL_FORMS)})\b"))
+    cand = (cand.where(F.length(F.trim("line")).between(*line_chars)) if line_chars else cand).select("doc_id", "page", "n", F.trim("line").alias("title"))
     titles = cand.select("title").distinct().select(F.xxhash64("title").alias("title_id"), "title")
-    scored = fuzzy_company_match(titles, roster, least).join(titles, "title_id").select("title", "company_id", "score").where(F.col("company_id").isNotNull())
+    scored = fuzzy_company_match(titles, roster, least, below=False).join(titles, "title_id").select("title", "company_id", "score").where(F.col("company_id").isNotNull())
     hit = cand.join(scored, "title")
     best = F.min(F.struct((-F.col("score")).alias("s"), "page", "n", "company_id"))
     return hit.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.company_id", (-F.col("b.s")).alias("score"))

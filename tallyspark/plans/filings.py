@@ -365,7 +365,7 @@ def matched_files(spark, sf_dir):
     c = views.view(spark, sf_dir, "company")
     files = c.select(F.col("company_id").alias("file_id"), F.concat(F.lit("uploads/ke-"), F.lower(F.coalesce("ticker", F.lit("zz-none"))), F.lit("-"), (F.col("company_id") % 8 + 2018).cast("string"), F.lit("-ar-00.pdf")).alias("filename"))
     years = views.survey(spark, sf_dir).select("company_id", F.concat(F.lit("FY"), F.col("year_no").cast("string")).alias("fiscal_year"))
-    return mt.match_filename(files, c, years)
+    return mt.match_filename(files, c, years).drop("stage")
 
 
 @query("same_person_pairs")
@@ -382,7 +382,7 @@ def misattributed_documents(spark, sf_dir):
     nxt = c.select((F.col("company_id") - 1).alias("company_id"), F.col("name").alias("other"))
     docs = c.join(nxt, "company_id", "left").select(
         F.col("company_id").alias("id"), "company_id", F.concat(F.lit("reports/"), names.slug(F.when(F.col("company_id") % 3 == 0, F.coalesce("other", "name")).otherwise(F.col("name"))), F.lit("-annual-report-2024.pdf")).alias("filename"))
-    return mt.misattributed_documents(docs, c)
+    return mt.misattributed_documents(docs, c).drop("score")
 
 
 @query("document_companies", views.oracle(f"SELECT {_DOC} AS doc_id, company_id FROM survey JOIN company USING (company_id)"))
@@ -391,3 +391,85 @@ def document_companies(spark, sf_dir):
     roster = views.view(spark, sf_dir, "company").select("company_id", "name")
     docs = filings(spark, sf_dir)
     return mt.document_company(docs, roster, least=1.0).select("doc_id", "company_id")
+
+
+# Names without a common pattern, so that a misspelt one is like its own company's only: 24 letters made from a hash.
+_LETTERS = "translate(md5('{tag}' || CAST({key} AS VARCHAR(20))), '0123456789', 'ghijklmnop')"
+
+
+def hashed_name(key: str, tag: str = "n") -> str:
+    return f"substr({_LETTERS.format(tag=tag, key=key)}, 1, 24)"
+
+
+# how a title differs from its company's name, by the remainder of the customer's number
+_TITLE = f"""CASE id % 8 WHEN 0 THEN upper(nm) || ' Plc - Unaudited results' WHEN 1 THEN substr(nm, 1, 9) || substr(nm, 11) WHEN 2 THEN substr(nm, 1, 9) || '-' || substr(nm, 10)
+ WHEN 3 THEN substr(nm, 1, 5) || 'zz' || substr(nm, 8) WHEN 4 THEN 'the accounts and report of the directors of ' || nm WHEN 5 THEN substr(nm, 4, 12) WHEN 6 THEN {hashed_name('id', 'x')} ELSE 'Plc' END"""
+_TITLES = f"SELECT id, company_id, nm, {_TITLE} AS title FROM (SELECT c_custkey AS id, s_suppkey AS company_id, {hashed_name('s_suppkey')} AS nm FROM {{customer}} JOIN {{supplier}} ON s_suppkey = 1 + c_custkey % 100) t"
+
+
+def _titles(spark, sf_dir):
+    return spark.sql(_TITLES, customer=views.table(spark, sf_dir, "customer"), supplier=views.table(spark, sf_dir, "supplier"))
+
+
+def _roster(spark, sf_dir):
+    return views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("company_id"), F.expr(hashed_name("s_suppkey")).alias("name"))
+
+
+@query("roster_matches", f"""SELECT id AS title_id, CASE WHEN id % 8 < 6 THEN company_id END AS company_id,
+ CASE id % 8 WHEN 0 THEN 100 WHEN 1 THEN 98 WHEN 2 THEN 100 WHEN 3 THEN 92 WHEN 4 THEN 90 WHEN 5 THEN 90 END AS percent FROM ({_TITLES.format(customer='customer', supplier='supplier')}) t""")
+def roster_matches(spark, sf_dir):
+    """Titles that state, misspell, contain or lack a company's name, against every supplier's name; the scores in percent."""
+    found = mt.fuzzy_company_match(_titles(spark, sf_dir).select(F.col("id").alias("title_id"), "title"), _roster(spark, sf_dir), below=False)
+    return found.select("title_id", "company_id", F.round(F.col("score") * 100).cast("int").alias("percent"))
+
+
+@query("companies_by_roster", views.oracle(f"""SELECT t.id AS ref_id, CASE WHEN t.id % 8 IN (0, 1, 2, 3, 4, 5) AND c.ticker IS NOT NULL THEN t.company_id END AS company_id,
+ CASE WHEN t.id % 8 IN (0, 1, 2, 3, 4, 5) AND c.ticker IS NOT NULL THEN 'roster' END AS stage FROM ({_TITLES.format(customer='customer', supplier='supplier')}) t JOIN company c USING (company_id)"""))
+def companies_by_roster(spark, sf_dir):
+    """Names that no company has, resolved by the roster entry they are most like and its ticker."""
+    refs = _titles(spark, sf_dir).select(F.col("id").alias("ref_id"), F.col("title").alias("name"), F.lit(None).cast("string").alias("ticker"))
+    roster = _roster(spark, sf_dir).select(F.col("company_id").alias("entry_id"), "name", F.concat(F.lit("S"), F.col("company_id").cast("string")).alias("ticker"))
+    return mt.resolve_company(refs, views.view(spark, sf_dir, "company"), roster)
+
+
+# file names: a ticker, one that the file cuts short, one with more behind it, part of a name, a name inside the stem, two names, none
+_FILE = """CASE company_id % 7 WHEN 0 THEN 'ke-' || tick || '-2023-ar-00.pdf' WHEN 1 THEN 'ke-' || substr(tick, 1, 5) || '-2023-ar.pdf' WHEN 2 THEN 'ke-' || tick || 'x-2023.PDF'
+ WHEN 3 THEN substr(nm, 3, 9) || '_2023.pdf' WHEN 4 THEN 'scan of ' || upper(substr(nm, 1, 10)) || '-' || substr(nm, 11) || ' report 2023.pdf'
+ WHEN 5 THEN 'merger ' || nm || ' and ' || other || ' 2023.pdf' ELSE 'minutes-2023.pdf' END"""
+_FILES = f"SELECT company_id, nm, tick, {_FILE} AS filename FROM (SELECT s_suppkey AS company_id, {hashed_name('s_suppkey')} AS nm, substr({hashed_name('s_suppkey', 't')}, 1, 6) AS tick, {hashed_name('s_suppkey - 1')} AS other FROM {{supplier}}) t"
+
+
+@query("files_by_name", f"""SELECT company_id AS file_id, CASE WHEN company_id % 7 < 5 THEN company_id END AS company_id, 'FY2023' AS fiscal_year,
+ CASE company_id % 7 WHEN 0 THEN 'ticker' WHEN 1 THEN 'ticker prefix' WHEN 2 THEN 'ticker prefix' WHEN 3 THEN 'in name' WHEN 4 THEN 'name in file' END AS stage FROM ({_FILES.format(supplier='supplier')}) t""")
+def files_by_name(spark, sf_dir):
+    """Files whose names carry a ticker, part of one, or a company's name anywhere; two names of one length stay unresolved."""
+    made = spark.sql(_FILES, supplier=views.table(spark, sf_dir, "supplier"))
+    company = made.select("company_id", F.col("tick").alias("ticker"), F.col("nm").alias("name"))
+    found = mt.match_filename(made.select(F.col("company_id").alias("file_id"), "filename"), company, views.survey(spark, sf_dir).where("FALSE").select("company_id", "fiscal_year"))
+    return found.drop("used_next_year")
+
+
+# documents filed under one company whose file name states another's, one letter off; their statements fill periods
+_MISFILED = f"""SELECT company_id AS id, company_id, CASE WHEN company_id % 3 = 2 THEN substr(other, 1, 6) || substr(other, 8) ELSE nm END || '---annual-report-2024.pdf' AS filename
+ FROM (SELECT s_suppkey AS company_id, {hashed_name('s_suppkey')} AS nm, {hashed_name('s_suppkey - 1')} AS other FROM {{supplier}}) t"""
+
+
+@query("misfiled_periods", views.oracle("""SELECT company_id, year_no AS period_id, CAST(1 AS BIGINT) AS documents, CAST(1 + n_lines % 3 AS BIGINT) AS statements FROM survey WHERE company_id % 3 = 2 AND year_no % 2 = 0"""))
+def misfiled_periods(spark, sf_dir):
+    """Periods with statements from a document that belongs to another company, found by a misspelt name in the file name."""
+    docs = spark.sql(_MISFILED, supplier=views.table(spark, sf_dir, "supplier"))
+    flagged = mt.misattributed_documents(docs, _roster(spark, sf_dir))
+    own = views.survey(spark, sf_dir).select("company_id", F.col("year_no").alias("period_id"), F.when(F.col("year_no") % 2 == 0, F.col("company_id")).alias("source_document_id"),
+                                             F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_lines") % 3)).alias("statement"))
+    return mt.affected_periods(flagged, own)
+
+
+@query("misspelt_document_companies", f"SELECT s_suppkey AS doc_id, s_suppkey AS company_id, CASE s_suppkey % 3 WHEN 0 THEN 100 WHEN 1 THEN 98 ELSE 96 END AS percent FROM supplier")
+def misspelt_document_companies(spark, sf_dir):
+    """Company of each document whose first pages print its name with a letter missing, or another letter, among other lines."""
+    name = F.col("name")
+    odd = F.when(F.col("company_id") % 3 == 0, name).when(F.col("company_id") % 3 == 1, F.concat(F.substring(name, 1, 7), F.substring(name, 9, 30))).otherwise(F.concat(F.substring(name, 1, 7), F.lit("z"), F.substring(name, 9, 30)))
+    text = F.concat(F.lit("Annual report\nauditors: Some Firm Limited\n"), F.upper(odd), F.lit(" PLC\nand its group of companies"))
+    pages = _roster(spark, sf_dir).select(F.col("company_id").alias("doc_id"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(5))).alias("page"), text.alias("text"))
+    found = mt.document_company(pages, _roster(spark, sf_dir))
+    return found.select("doc_id", "company_id", F.round(F.col("score") * 100).cast("int").alias("percent"))
