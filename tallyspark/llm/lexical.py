@@ -36,10 +36,11 @@ from .tokens import alphanumeric_words, lower_table, slices, utf8
 
 TOP = 20
 SHARD_DOCS = 1 << 12
-SHARD_TEXT = 1 << 24
+SHARD_TEXT = 1 << 23
 MAX_TERMS = 200_000
-# Ranges of an item that are halved in a round.
+# Ranges of an item that are halved in a round; and terms of the items that are searched for together, which bounds a task's memory.
 BEAM = 24
+TERMS_AT_ONCE = 600
 # Terms as a pattern of the JVM, after A-Z are lower-cased.
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -234,7 +235,7 @@ class Scores:
 def search(treap: Treap, item: np.ndarray, row: np.ndarray, weight: np.ndarray, scores: Scores, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Items, columns and exact scores of all documents that may be among the best; ``item, row, weight`` are of the terms, by item."""
     band, inside = row >> treap.bits, row & ((1 << treap.bits) - 1)
-    pool_term, pool_cell, used = np.arange(len(row)), band.copy(), len(row)
+    pool_term, pool_cell, used = np.arange(len(row), dtype=np.int32), band.astype(np.int32), len(row)
     value = weight * treap.largest[band]
     head = np.flatnonzero(np.append(True, item[1:] != item[:-1])) if len(item) else np.zeros(0, np.int64)
     bound = np.add.reduceat(value, head) if len(head) else np.zeros(0, np.int64)
@@ -270,7 +271,7 @@ def search(treap: Treap, item: np.ndarray, row: np.ndarray, weight: np.ndarray,
             found.append(made[:, alive & leaf][[0, 2, 3]])
             fresh.append(made[:, alive & ~leaf])
             if used + len(child) > len(pool_cell):
-                grow = np.zeros(max(len(pool_cell), len(child)), np.int64)
+                grow = np.zeros(max(len(pool_cell), len(child)), np.int32)
                 pool_term, pool_cell = np.concatenate([pool_term, grow]), np.concatenate([pool_cell, grow])
             pool_term[used : used + len(child)], pool_cell[used : used + len(child)] = t, child
             used += len(child)
@@ -285,21 +286,32 @@ def _order(item: np.ndarray, score: np.ndarray, doc: np.ndarray, unknown: np.nda
     return np.lexsort((text, doc, unknown, -score, item))
 
 
-def _searcher(sent, items: int, k: int):
+def _together(item: np.ndarray, most: int) -> list[slice]:
+    """Ranges of the items' terms, whole items each, of about ``most`` terms."""
+    heads = np.flatnonzero(np.append(True, item[1:] != item[:-1])) if len(item) else np.zeros(0, np.int64)
+    cuts = heads[np.append(True, heads[1:] // most != heads[:-1] // most)] if len(heads) else heads
+    return [slice(int(a), int(b)) for a, b in zip(cuts, np.append(cuts[1:], len(item)))]
+
+
+def _searcher(sent, k: int):
     """``sent``: the distinct terms, and of each item's terms, by item: the item, the place among the distinct terms, the weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, item, name, weight = sent.value
         names = pa.array(names, pa.binary())
-        scores = Scores(items, k)
+        parts = [(p, int(item[p].min()), Scores(int(item[p].max() - item[p].min()) + 1, k)) for p in _together(item, TERMS_AT_ONCE)]
         best = [np.zeros(0, np.int64)] * 5  # item, score, id, unknown id, text hash
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, hashes, held = (batch.column(c)[i].values for c in ("doc_ids", "text_hashes", "terms"))
                 row = pc.fill_null(pc.index_in(names, value_set=held), -1).to_numpy(zero_copy_only=False).astype(np.int64)[name]
-                here = row >= 0
                 treap = Treap.read(batch.column("masks")[i].as_py(), batch.column("drops")[i].as_py(), len(ids))
-                of, column, score = search(treap, item[here], row[here], weight[here], scores)
+                found = []
+                for p, least, scores in parts:
+                    here = row[p] >= 0
+                    of, column, score = search(treap, item[p][here] - least, row[p][here], weight[p][here], scores)
+                    found.append((of + least, column, score))
+                of, column, score = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
                 doc = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)[column]
                 unknown = np.asarray(ids.is_null())[column].astype(np.int64)
                 best = [np.concatenate(x) for x in zip(best, (of, score, doc, unknown, hashes.to_numpy(zero_copy_only=False)[column]))]
@@ -349,7 +361,7 @@ def _answers(index: DataFrame, documents: int, items: list, k: int) -> DataFrame
         parts += [(i, w, n * weight[w]) for w, n in times.items() if weight.get(w, 0) > 0]
     item, name, value = np.array(parts, np.int64).reshape(-1, 3).T
     sent = context.broadcast((names, item, name, value))
-    best = index.mapInArrow(_searcher(sent, len(items), k), "item int, doc_id long, text_hash long, score long")
+    best = index.mapInArrow(_searcher(sent, k), "item int, doc_id long, text_hash long, score long")
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "text_hash"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
