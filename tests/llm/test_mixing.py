@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyspark.llm import minhash, mixing, queries
+from tallyspark.llm import lines, minhash, mixing, queries
 
 from . import brute
 
@@ -120,11 +120,11 @@ def test_stages_against_brute_force(spark, steps):
 
     from .test_texts import brute_chunks
 
-    want = {d: t for d, (t, n) in brute_chunks([(r.doc_id, r.text) for r in good]).items() if n == 0 or t.strip()}
+    want = {d: t for d, (t, n) in brute_chunks([(r.doc_id, r.text) for r in good], lines.NEAR_COPIES).items() if n == 0 or t.strip()}
     assert {r.doc_id: r.text for r in unique} == want
     assert all(r.n_chars == len(r.text) for r in unique)
 
-    kept = {i for i, v in brute.near_duplicates([(r.doc_id, r.text) for r in unique]).items() if v[2]}
+    kept = {i for i, v in brute.near_duplicates([(r.doc_id, r.text) for r in unique], percent=80).items() if v[2]}
     assert set(by(apart)) == kept and all(r == by(unique)[r.doc_id] for r in apart)
 
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -162,6 +162,32 @@ def test_near_duplicate_stage_takes_a_similarity_of_80_percent(spark):
     assert op3 == {i for i, v in brute.near_duplicates(docs).items() if v[2]}
 
 
+def test_near_copies_of_several_lines_end_as_one_whole_document(spark):
+    """60 texts of 15 to 30 lines, each with two copies in which one word of one line is edited."""
+    rng = random.Random(9)
+    docs = []
+    for i in range(60):
+        base = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(8)) for _ in range(rng.randrange(15, 31))]
+        docs.append((3 * i, "\n".join(base)))
+        for c in (1, 2):
+            other = [x.split() for x in base]
+            other[rng.randrange(len(base))][rng.randrange(8)] = f"edit{i}x{c}"
+            docs.append((3 * i + c, "\n".join(map(" ".join, other))))
+    df = spark.createDataFrame([(d, t, len(t)) for d, t in docs], "doc_id long, text string, n_chars int").repartition(4)
+    stages = dict(corpus_pipeline.STAGES)
+    cut = corpus_pipeline.pin(stages["line_dedup"](spark, df, SF), "cut")
+    got = stages["near_duplicates"](spark, cut, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == docs[::3]
+
+
+def test_the_mix_keeps_all_columns(spark):
+    rows = [(i, f"some words of text {i}", f"s{i % 2}", i * 2, "kept") for i in range(20)]
+    stage = dict(corpus_pipeline.STAGES)["mixing"]
+    out = stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string, size long, extra string"), SF)
+    assert {"doc_id", "text", "source", "extra", "size", "target", "copies", "taken"} == set(out.columns) and len(out.columns) == 8
+    assert all(r["size"] == 5 and r.extra == "kept" and r.taken == r.copies * 5 for r in out.collect())
+
+
 def test_run_is_its_stages(spark, steps):
     assert sorted(corpus_pipeline.run(spark, SF).collect()) == sorted(steps[-1])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "near_duplicates", "decontamination", "mixing"]
