@@ -11,6 +11,8 @@ from tallyspark.llm.store import pin
 # The stage takes a similarity of 0.8 or more, with half-keys enough to find a pair at 0.8 with probability 0.999 (op3's query has its own, 0.85).
 NEAR_PERCENT = 80
 NEAR_COLLECTIONS = 11
+# Columns that the last stage adds; columns of the documents with these names are replaced.
+MIXED = ("size", "target", "copies", "taken")
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +21,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of two lines or more that an earlier document (or place) has too are cut out; documents that were nothing else go."""
+    """Chunks of lines that an earlier document (or place) has too are cut out; documents that were nothing else go, and near copies are left
+    whole for the next stage."""
     return lines.with_unique_chunks(docs)
 
 
@@ -38,10 +41,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = mixing.mixed(docs).where("copies > 0")
     taken = found.groupBy(F.col("doc_id").alias("__llm_id"), F.col("text_hash").alias("__llm_hash"), F.col("source").alias("__llm_source")).agg(
         F.max("size").alias("__llm_size"), F.max("target").alias("__llm_target"), F.max("copies").alias("__llm_copies"))
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("__llm_key", F.xxhash64("text"))
+    own = [c for c in docs.columns if c not in MIXED]
+    rows = docs.select(*own, F.xxhash64("text").alias("__llm_key"))
     same = rows["doc_id"].cast("long").eqNullSafe(taken["__llm_id"]) & (rows["__llm_key"] == taken["__llm_hash"]) & rows["source"].eqNullSafe(taken["__llm_source"])
     return rows.join(taken, same).select(
-        "doc_id", "text", "lang", "source", "n_chars", F.col("__llm_size").alias("size"), F.col("__llm_target").alias("target"), F.col("__llm_copies").alias("copies"),
+        *own, F.col("__llm_size").alias("size"), F.col("__llm_target").alias("target"), F.col("__llm_copies").alias("copies"),
         (F.col("__llm_copies") * F.col("__llm_size")).alias("taken"),
     )
 
