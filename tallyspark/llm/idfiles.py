@@ -15,8 +15,8 @@ after giving off its low 32 bits where it would outgrow 63. Id ``p`` of a block
 of many blocks at once. Blocks do not know documents: a short one costs nothing extra and a long one spans many blocks; its checksum is put
 together from its segments' (CRC-32 is linear), in any order.
 
-Tokenizers that drop white space and never join over it may encode each distinct word of a slice once (``by_word``); every slice compares its first
-text with a plain call and fails where the two differ.
+Tokenizers that drop white space and never join over it may encode each distinct word once (``by_word``); every task compares a first text with a
+plain call of the tokenizer, whole and word by word, and fails where they differ.
 
 Results for odd rows: null and empty texts have only the end id. Rows with one id follow each other in the order of their text hashes; rows that
 repeat are documents of their own; null ids come last. An empty table gives empty files. Other columns are ignored.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,16 @@ from .store import pin
 from .tokens import slices
 
 BLOCK = 1 << 14
-LANES = 32
+LANES = 64
 GROUP = 64
 SHARD_IDS = 1 << 23
 BITS = 20
-KNOWN_WORDS = 400_000
+# Distinct words whose ids a task keeps, words that are encoded together, and bytes of text in hand.
+KNOWN_WORDS = 600_000
+WORDS_AT_ONCE = 1 << 14
 SLICE_TEXT = 1 << 23
 
+_LETTERS, _TAIL = "abcdefghijklmnopqrstuvwxyz", ".,;:!?"
 _LOW = 1 << 31
 _BLOCKS = (
     "shard int, block int, first long, n int, payload binary, crc long, table_crc long, "
@@ -55,27 +59,97 @@ _BLOCKS = (
 # Tokenizing
 
 
-def _word_ids(column: pa.Array, tokenizer, known: dict) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts end to end, and how many each text has: every distinct word is encoded once."""
-    lists = pc.ascii_split_whitespace(column)
-    word = lists.flatten().dictionary_encode()
-    names = word.dictionary.to_pylist()
-    missing = [w for w in names if w not in known]
-    if len(known) + len(missing) > KNOWN_WORDS:
-        known.clear()
-        missing = names
-    for w, e in zip(missing, tokenizer.encode_batch(missing, add_special_tokens=False)):
-        known[w] = np.array(e.ids, np.uint32)
-    codes = word.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    each = [known[w] for w in names]
-    length = np.fromiter(map(len, each), np.int64, len(each))
-    flat = np.concatenate([*each, np.zeros(0, np.uint32)])
-    start = np.cumsum(length) - length
-    counts = length[codes]
-    before = np.append(0, np.cumsum(counts))
-    ids = flat[np.repeat(start[codes] - before[:-1], counts) + np.arange(before[-1])]
-    bounds = lists.offsets.to_numpy().astype(np.int64)
-    return ids, np.diff(before[bounds - bounds[0]])
+class _Words:
+    """Ids of words, each encoded once.
+
+    Words that are not known yet are encoded together, as a text of words between blanks. Where the tokenizer is seen to cut full stops,
+    commas and the like off the letters before them, they are encoded by themselves. Words of ASCII letters are spared the steps before the
+    tokenizer's model where those are seen to do nothing but lower-case such letters and leave them whole.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        self.plain = False
+        if tokenizer.normalizer and tokenizer.pre_tokenizer and tokenizer.normalizer.normalize_str(_LETTERS.upper()) == _LETTERS:
+            whole = tokenizer.pre_tokenizer.pre_tokenize_str(_LETTERS) == [(_LETTERS, (0, len(_LETTERS)))]
+            self.plain = whole and all(encode(_LETTERS + t) == [k.id for k in tokenizer.model.tokenize(_LETTERS)] + encode(t) for t in (*_TAIL, _TAIL))
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _learn(self, words: list[str]) -> None:
+        letters = [w for w in words if w.isalpha() and w.isascii() and w.islower()] if self.plain else []
+        model = self.tokenizer.model
+        ids = [[k.id for k in model.tokenize(w)] for w in letters]
+        flats, lengths = [self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)], [self.length, np.fromiter(map(len, ids), np.int32, len(ids))]
+        known = set(letters)
+        others = [w for w in words if w not in known]
+        for at in range(0, len(others), WORDS_AT_ONCE):
+            part = others[at : at + WORDS_AT_ONCE]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            begins = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
+            of = np.searchsorted(begins, np.array([a for a, _ in found.offsets], np.int64), side="right") - 1
+            flats.append(np.array(found.ids, np.uint32))
+            lengths.append(np.bincount(of, minlength=len(part)).astype(np.int32))
+        self.place.update(zip(letters + others, range(len(self.length), len(self.length) + len(words))))
+        self.flat, self.length = np.concatenate(flats), np.concatenate(lengths)
+        self.start = np.cumsum(self.length, dtype=np.int32) - self.length
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the ids of each of the words are, which are learnt if need be."""
+        names = words.to_pylist()
+        self._learn([w for w in dict.fromkeys(names) if w not in self.place])
+        return np.fromiter(map(self.place.__getitem__, names), np.int32, len(names))
+
+    def _taken(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at these places end to end, and how many there are of each."""
+        counts = self.length[place]
+        before = np.cumsum(counts, dtype=np.int32) - counts
+        return self.flat[np.repeat(self.start[place] - before, counts) + np.arange(counts.sum(), dtype=np.int32)], counts
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts end to end, and how many each text has."""
+        lists = pc.ascii_split_whitespace(column)
+        word = lists.flatten().dictionary_encode()
+        codes, names = word.indices.to_numpy(zero_copy_only=False), word.dictionary
+        if len(self.place) > KNOWN_WORDS:
+            self.forget()
+        if self.plain:
+            core = pc.utf8_rtrim(names, characters=_TAIL)
+            cut = pc.and_(pc.utf8_is_alpha(core), pc.less(pc.binary_length(core), pc.binary_length(names)))
+            core = pc.if_else(pc.utf8_is_alpha(core), core, names)
+            tail = pc.replace_substring_regex(names.filter(cut), rf"^.*?([{_TAIL}]+)$", r"\1")
+            core = pc.if_else(pc.ascii_is_alpha(core), pc.ascii_lower(core), core)
+            core, tail = core.dictionary_encode(), tail.dictionary_encode()
+            place = self._places(core.dictionary)[core.indices.to_numpy(zero_copy_only=False)]
+            tails = self._places(tail.dictionary)[tail.indices.to_numpy(zero_copy_only=False)]
+            cut = np.asarray(cut)
+            # a word's ids are those of its core, then those of its tail: two places, the second of an empty word where there is none
+            both = np.full((len(names), 2), self._places(pa.array([""]))[0], np.int32)
+            both[:, 0] = place
+            both[cut, 1] = tails
+            flat, length = self._taken(both.ravel())
+            length = length.reshape(-1, 2).sum(axis=1, dtype=np.int32)
+        else:
+            flat, length = self._taken(self._places(names))
+        start = np.cumsum(length, dtype=np.int32) - length
+        counts = length[codes]
+        before = np.append(0, np.cumsum(counts, dtype=np.int64))
+        ids = flat[np.repeat(start[codes] - before[:-1].astype(np.int32), counts) + np.arange(before[-1], dtype=np.int32)]
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        return ids, np.diff(before[bounds - bounds[0]])
+
+
+def _by_word(tokenizer, text: str, ids: list[int]) -> bool:
+    """Whether a text had words to compare; fails where the tokenizer encodes it differently, whole or word by word."""
+    words = text.split()[:100]
+    alone = sum((e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)), [])
+    if tokenizer.encode(text, add_special_tokens=False).ids != ids or tokenizer.encode(" ".join(words), add_special_tokens=False).ids != alone:
+        raise ValueError("this tokenizer does not encode word by word: use by_word=False")
+    return len(words) > 1
 
 
 def _text_ids(column: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray]:
@@ -83,28 +157,36 @@ def _text_ids(column: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*found, np.zeros(0, np.uint32)]), np.array([len(x) for x in found], np.int64)
 
 
-def _encoder(tokenizer_path: str, end_id: int, by_word: bool):
+def id_type(tokenizer_path: str, end_id: int) -> str:
+    """The narrowest type, as numpy names it, that holds every id of the tokenizer."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def _encoder(tokenizer_path: str, end_id: int, by_word: bool, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
-        known: dict[str, np.ndarray] = {}
+        words = _Words(tokenizer)
+        compared = not by_word
         counts = np.zeros(0, np.int64)
         names = ["doc_id", "text_hash", "ids", "symbol", "count"]
         for whole in batches:
             for batch in slices(whole, "text", SLICE_TEXT):
                 text = pc.fill_null(batch.column("text"), "")
-                ids, length = _word_ids(text, tokenizer, known) if by_word else _text_ids(text, tokenizer)
-                if by_word and ids[: length[0]].tolist() != tokenizer.encode(text[0].as_py(), add_special_tokens=False).ids:
-                    raise ValueError("this tokenizer does not encode word by word: use by_word=False")
+                ids, length = words.ids(text) if by_word else _text_ids(text, tokenizer)
+                if not compared:
+                    compared = _by_word(tokenizer, text[0].as_py(), ids[: length[0]].tolist())
                 n = batch.num_rows
                 at = np.arange(len(ids)) + np.repeat(np.arange(n), length)
-                out = np.full(len(ids) + n, end_id, "<u4")
+                out = np.full(len(ids) + n, end_id, kind)
                 out[at] = ids
                 found = np.bincount(out)
                 counts = np.pad(counts, (0, max(0, len(found) - len(counts))))
                 counts[: len(found)] += found
-                ends = np.append(0, np.cumsum(length + 1)) * 4
+                ends = np.append(0, np.cumsum(length + 1)) * out.itemsize
                 packed = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), packed, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=names)
         seen = np.flatnonzero(counts)
@@ -115,9 +197,9 @@ def _encoder(tokenizer_path: str, end_id: int, by_word: bool):
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, by_word: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_hash, ids`` of every document (ids as little-endian 32-bit numbers); then, per task, rows of ``symbol, count``."""
+    """``doc_id, text_hash, ids`` of every document (ids as little-endian numbers of ``id_type``); then, per task, rows of ``symbol, count``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(_encoder(tokenizer_path, end_id, by_word), "doc_id long, text_hash long, ids binary, symbol int, count long")
+    out = rows.mapInArrow(_encoder(tokenizer_path, end_id, by_word, id_type(tokenizer_path, end_id)), "doc_id long, text_hash long, ids binary, symbol int, count long")
     return pin(out.withColumn("salt", F.monotonically_increasing_id()), "ids", compression="zstd")
 
 
@@ -146,29 +228,34 @@ def table_crc(symbols: np.ndarray, f: np.ndarray) -> int:
 
 def compress(rank: np.ndarray, n: np.ndarray, f: np.ndarray, bits: int) -> list[bytes]:
     """Payloads of blocks: ``rank[b, p]`` is the place in the table of id ``p`` of block ``b``, which has ``n[b]`` of them."""
-    blocks = len(rank)
+    blocks, least = len(rank), int(n.min())
     steps = -(-int(n.max()) // LANES)
     rank = np.pad(rank[:, : steps * LANES], ((0, 0), (0, max(0, steps * LANES - rank.shape[1])))).reshape(blocks, steps, LANES)
     f = f.astype(np.uint64)
     c = np.cumsum(f) - f
     x = np.full((blocks, LANES), _LOW, np.uint64)
-    words, gave = np.zeros((blocks, steps, LANES), "<u4"), np.zeros((blocks, steps, LANES), bool)
-    place, shift, room = np.arange(LANES), np.uint64(32), np.uint64(63 - bits)
+    words, gave = np.zeros((blocks, steps, LANES), np.uint32), np.zeros((blocks, steps, LANES), bool)
+    place, shift, room, scale = np.arange(LANES), np.uint64(32), np.uint64(63 - bits), np.uint64(bits)
     for t in range(steps - 1, -1, -1):
         s = rank[:, t]
-        fs, here = f[s], t * LANES + place < n[:, None]
-        out = (x >> room >= fs) & here
+        fs = f[s]
+        out = x >> room >= fs
+        whole = (t + 1) * LANES <= least  # every lane of every block has an id
+        if not whole:
+            here = t * LANES + place < n[:, None]
+            out &= here
         gave[:, t] = out
-        words[:, t] = x & np.uint64(0xFFFFFFFF)
-        x = np.where(out, x >> shift, x)
-        q = x // fs
-        x = np.where(here, (q << np.uint64(bits)) + (x - q * fs) + c[s], x)
-    return [x[b].astype("<u8").tobytes() + words[b][gave[b]].tobytes() for b in range(blocks)]
+        words[:, t] = x  # its low 32 bits
+        y = np.where(out, x >> shift, x)
+        q = y // fs
+        after = (q << scale) + (y - q * fs) + c[s]
+        x = after if whole else np.where(here, after, y)
+    return [x[b].astype("<u8").tobytes() + words[b][gave[b]].astype("<u4").tobytes() for b in range(blocks)]
 
 
 def decompress(payloads: list[bytes], n: np.ndarray, f: np.ndarray, bits: int) -> np.ndarray:
     """The ranks that ``compress`` was given; places beyond a block's ``n`` are 0."""
-    blocks, steps = len(payloads), -(-int(n.max()) // LANES)
+    blocks, steps, least = len(payloads), -(-int(n.max()) // LANES), int(n.min())
     head = LANES * 8
     x = np.stack([np.frombuffer(p, "<u8", LANES) for p in payloads]).astype(np.uint64)
     words = np.concatenate([*(np.frombuffer(p, "<u4", offset=head) for p in payloads), np.zeros(1, "<u4")]).astype(np.uint64)
@@ -180,12 +267,16 @@ def decompress(payloads: list[bytes], n: np.ndarray, f: np.ndarray, bits: int) -
     out = np.zeros((blocks, steps, LANES), np.int32)
     place, mask, shift = np.arange(LANES), np.uint64((1 << bits) - 1), np.uint64(bits)
     for t in range(steps):
-        here = t * LANES + place < n[:, None]
         slot = x & mask
-        s = np.where(here, rank_of[slot], 0)
+        s = rank_of[slot]
+        after = f[s] * (x >> shift) + (slot - c[s])
+        if (t + 1) * LANES <= least:  # every lane of every block has an id
+            x, low = after, after < np.uint64(_LOW)
+        else:
+            here = t * LANES + place < n[:, None]
+            s, x = np.where(here, s, 0), np.where(here, after, x)
+            low = here & (x < np.uint64(_LOW))
         out[:, t] = s
-        x = np.where(here, f[s] * (x >> shift) + slot - c[s], x)
-        low = here & (x < np.uint64(_LOW))
         order = np.cumsum(low, axis=1)
         x = np.where(low, (x << np.uint64(32)) | words[np.minimum(at[:, None] + order - 1, len(words) - 1)], x)
         at = at + order[:, -1]
@@ -226,20 +317,23 @@ def moved(crc: int, after: int) -> int:
 # Files
 
 
-def _writer(table, bits: int, block: int):
+def _writer(table, bits: int, block: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, f = table.value
+        rank_of = np.zeros(int(symbols.max(initial=0)) + 1, np.int32)
+        rank_of[symbols] = np.arange(len(symbols))
+        size = np.dtype(kind).itemsize
         shard, check = TaskContext.get().partitionId(), table_crc(symbols, f)
         width = block * GROUP
         state = {"number": 0, "at": 0, "ordinal": 0}
-        held, docs = np.zeros(0, "<u4"), np.zeros((0, 3), np.int64)  # documents: ordinal, first id in the shard, ids
+        held, docs = np.zeros(0, kind), np.zeros((0, 3), np.int64)  # documents: ordinal, first id in the shard, ids
         doc_ids: list[int | None] = []
 
         def out(ids: np.ndarray) -> pa.RecordBatch:
             count = -(-len(ids) // block)
             n = np.minimum(block, len(ids) - block * np.arange(count))
-            rank = np.zeros(count * block, np.int64)
-            rank[: len(ids)] = np.searchsorted(symbols, ids)
+            rank = np.zeros(count * block, np.int32)
+            rank[: len(ids)] = rank_of[ids]
             payload = compress(rank.reshape(count, block), n, f, bits)
             first = state["at"] + block * np.arange(count)
             begin, end = docs[:, 1], docs[:, 1] + docs[:, 2]
@@ -254,6 +348,7 @@ def _writer(table, bits: int, block: int):
                 ),
             )
             number = np.arange(state["number"], state["number"] + count, dtype=np.int32)
+            ids = ids.astype("<u4")
             crcs = [zlib.crc32(ids[i * block : i * block + k]) for i, k in enumerate(n.tolist())]
             state["number"] += count
             state["at"] += len(ids)
@@ -271,7 +366,7 @@ def _writer(table, bits: int, block: int):
         docs_left: list[np.ndarray] = []
         for batch in batches:
             column = batch.column("ids").cast(pa.large_binary())
-            sizes = pc.binary_length(column).to_numpy(zero_copy_only=False) // 4
+            sizes = pc.binary_length(column).to_numpy(zero_copy_only=False) // size
             # rows in pieces of a bounded number of ids, or one row where that has more
             begin = 0
             total = np.append(0, np.cumsum(sizes))
@@ -279,7 +374,7 @@ def _writer(table, bits: int, block: int):
                 stop = max(begin + 1, int(np.searchsorted(total, total[begin] + width, side="right")) - 1)
                 part = column.slice(begin, stop - begin)
                 bounds = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
-                ids = np.frombuffer(part.buffers()[2], "<u4", int(bounds[-1] - bounds[0]) // 4, int(bounds[0]))
+                ids = np.frombuffer(part.buffers()[2], kind, int(bounds[-1] - bounds[0]) // size, int(bounds[0]))
                 k = stop - begin
                 firsts = state["at"] + len(held) + np.cumsum(sizes[begin:stop]) - sizes[begin:stop]
                 docs = np.concatenate([docs, np.stack([state["ordinal"] + np.arange(k), firsts, sizes[begin:stop]], axis=1)])
@@ -307,13 +402,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, by_w
     order = [F.col("doc_id").asc_nulls_last(), "text_hash", "salt"]
     dealt = rows.where("symbol IS NULL").select("doc_id", "text_hash", "salt", "ids").repartitionByRange(shards, *order).sortWithinPartitions(*order)
     table = spark.sparkContext.broadcast((symbols, f))
-    dealt.select("doc_id", "ids").mapInArrow(_writer(table, bits, block), _BLOCKS).write.parquet(f"{path}/blocks")
+    dealt.select("doc_id", "ids").mapInArrow(_writer(table, bits, block, id_type(tokenizer_path, end_id)), _BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def _reader(table, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, f = table.value
         check, bits = table_crc(symbols, f), int(f.sum()).bit_length() - 1
+        symbols32 = symbols.astype("<u4")
         for whole in batches:
             for at in range(0, whole.num_rows, GROUP):
                 batch = whole.slice(at, GROUP)
@@ -321,7 +417,7 @@ def _reader(table, with_ids: bool):
                 if set(batch.column("table_crc").to_pylist()) != {check}:
                     raise ValueError("blocks of another frequency table")
                 rank = decompress(batch.column("payload").to_pylist(), n, f, bits)
-                ids = symbols[rank].astype("<u4")
+                ids = symbols32[rank]
                 for b, crc in enumerate(batch.column("crc").to_pylist()):
                     if zlib.crc32(ids[b, : n[b]]) != crc:
                         raise ValueError(f"checksum of block {batch.column('block')[b]} of shard {batch.column('shard')[b]} differs")

@@ -69,9 +69,10 @@ def test_checksum_of_parts():
 def test_words_are_encoded_as_in_the_text():
     import pyarrow as pa
 
-    texts = ["don't STOP  the\tcafé\n\nstop", "", " lead and trail ", "<|endoftext|>x <|startoftext|>", "éa ́b  nbsp em 　wide", "ΣΑΣ ǅ İstanbul ﬁ 東京 1234 한글", "a" * 300 + " !!?? ..."]
+    texts = ["don't STOP  the\tcafé\n\nstop", "", " lead and trail ", "<|endoftext|>x <|startoftext|>", "éa ́b  nbsp em 　wide", "ΣΑΣ ǅ İstanbul ﬁ 東京 1234 한글", "a" * 300 + " !!?? ...", "Stop. stop, STOP?! stop.' it's. a.b x1. (end)."]
     tokenizer = Tokenizer.from_file(PATH)
-    ids, length = idfiles._word_ids(pa.array(texts), tokenizer, {})
+    ids, length = idfiles._Words(tokenizer).ids(pa.array(texts))
+    assert idfiles._Words(tokenizer).plain
     want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert ids.tolist() == sum(want, []) and length.tolist() == [len(w) for w in want]
 
