@@ -36,7 +36,7 @@ from .tokens import alphanumeric_words, lower_table, slices, utf8
 
 TOP = 20
 SHARD_DOCS = 1 << 12
-SHARD_TEXT = 1 << 23
+SHARD_TEXT = 1 << 22
 MAX_TERMS = 200_000
 # Ranges of an item that are halved in a round; and terms of the items that are searched for together, which bounds a task's memory.
 BEAM = 24
