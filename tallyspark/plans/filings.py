@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names, text
+from ..operators import extraction as ex
 from ..operators import filings as fg
 from ..operators import matching as mt
 from ..operators import readers as rd
@@ -143,8 +144,35 @@ def chunk_scores_by_field(spark, sf_dir):
     return fg.rank_chunks(scored).select("doc_id", "field", "page", "first_line", F.bround("score", 4).alias("score"), "place")
 
 
-@query("extracted_fields")
+def stated_pages(spark, sf_dir):
+    """Report pages that state what the survey row holds, with other numbers around it; what a row lacks, its page leaves out."""
+    s = views.survey(spark, sf_dir)
+    num = lambda c: F.format_number(c, 0)
+    said = lambda c, *parts: F.when(F.col(c).isNotNull(), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).otherwise("")
+    whole = lambda c: F.col(c).cast("int").cast("string")
+    y = F.col("year_no").cast("string")
+    p1 = F.concat(F.lit("Board of directors\n"), said("board_size", "In ", y, " the board comprises ", whole("board_size"), " directors with 3 years of service.\n"), said("directors_female", "At the end of the year ", whole("directors_female"), " were women on the board."))
+    p2 = F.concat(F.lit("Directors' remuneration report\nThe sitting allowance is KShs "), num(F.col("n_lines") + 20000), F.lit(" for each of 4 meetings."))
+    p3 = F.when(F.col("n_units") % 2 == 1, F.concat(F.lit("Directors' remuneration report\nA meeting fee of KShs "), num(F.col("n_units") + 10000), F.lit(" is paid to others."))).otherwise("Blank page")
+    p4 = F.concat(F.lit("Remuneration policy\n"), F.when(F.col("n_units") % 3 == 0, "The company runs a long-term incentive plan.").when(F.col("n_units") % 3 == 1, "The long-term incentive plan is not open to them.").otherwise("The company operates a pension scheme."))
+    p5 = F.concat(F.lit("Other matters\nOn 31 December a monthly retainer of KShs "), num(F.col("n_lines") * 3 + 50000), F.lit(" fell due, see note 14."))
+    return s.select((F.col("company_id") * 10000 + F.col("year_no")).alias("doc_id"), F.posexplode(F.array(p1, p2, p3, p4, p5)).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).alias("page"), "text")
+
+
+@query("extracted_fields", views.oracle(f"""SELECT {_DOC} AS doc_id, 'board_size' AS field, 'count' AS kind, 1 AS page, board_size AS value FROM survey WHERE board_size IS NOT NULL
+ UNION ALL SELECT {_DOC}, 'directors_female', 'count', 1, directors_female FROM survey WHERE directors_female IS NOT NULL
+ UNION ALL SELECT {_DOC}, 'chairperson_meeting_allowance', 'amount', 2, CAST(20000 + n_lines AS DOUBLE) FROM survey
+ UNION ALL SELECT {_DOC}, 'other_ned_meeting_allowance', 'amount', 3, CAST(10000 + n_units AS DOUBLE) FROM survey WHERE n_units % 2 = 1
+ UNION ALL SELECT {_DOC}, 'has_ltip', 'answer', 4, CAST(1 - n_units % 3 AS DOUBLE) FROM survey WHERE n_units % 3 < 2
+ UNION ALL SELECT {_DOC}, 'retainer_fee', 'amount', 5, CAST(n_lines * 3 + 50000 AS DOUBLE) FROM survey"""))
 def extracted_fields(spark, sf_dir):
+    """Typed values read with the whole field table: the number nearest to a phrase, and no sentence for two fields."""
+    return ex.extract_fields(fg.chunk_lines(stated_pages(spark, sf_dir))).select("doc_id", "field", "kind", "page", "value")
+
+
+@query("first_numbers")
+def first_numbers(spark, sf_dir):
+    """The plainer reader: the first number of a field's best chunks."""
     ranked = fg.rank_chunks(fg.chunk_scores(fg.chunk_lines(filings(spark, sf_dir)), {
         "board_size": {"synonyms": ["board comprised"], "section_hints": ["corporate governance"]},
         "board_meetings": {"synonyms": ["board held"], "section_hints": ["corporate governance"]}}))
