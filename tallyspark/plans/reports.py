@@ -13,6 +13,7 @@ from ..operators import reports as rp
 from ..operators import stats
 from ..operators import survey as sv
 from ..sources import textfiles as tf
+from ..sources import udtf as ud
 from . import views
 from .benchmark import crow_sql, gated_sql, metric_sql, norm, norm_sql, pay_sql, rows
 from .finance import fin_sql, flat, pct
@@ -61,6 +62,29 @@ def condensed_line_items(spark, sf_dir):
     return tf.parse_condensed(condensed_files(spark, sf_dir))["line_items"].select("file", "statement_type", "normalized_name", "amount", "prior_amount")
 
 
+@query("condensed_items_lateral", views.oracle(f"""SELECT {_FILE}, 'income_statement' AS statement_type, 'revenue' AS normalized_name, revenue AS amount, 1000.5::DOUBLE AS prior_amount, NULL AS error FROM financials WHERE id % 9 <> 0 AND revenue IS NOT NULL
+ UNION ALL SELECT {_FILE}, 'income_statement', 'net_income', net_income, NULL, NULL FROM financials WHERE id % 9 <> 0 AND net_income IS NOT NULL
+ UNION ALL SELECT {_FILE}, 'balance_sheet', 'total_assets', total_assets, 7, NULL FROM financials WHERE id % 9 <> 0
+ UNION ALL SELECT {_FILE}, NULL, NULL, NULL, NULL, 'COMPANY section or its Name is missing' FROM financials WHERE id % 9 = 0"""))
+def condensed_items_lateral(spark, sf_dir):
+    """The line items again, by the table function in SQL; a malformed file gives its error row."""
+    ud.register(spark)
+    files = condensed_files(spark, sf_dir)
+    return spark.sql("SELECT f.file, t.statement_type, t.normalized_name, t.amount, t.prior_amount, t.error FROM {files} f, LATERAL condensed(f.content, 'line_items') t", files=files)
+
+
+@query("condensed_records_lateral", views.oracle(f"""WITH ok AS (SELECT * FROM financials WHERE id % 9 <> 0)
+ SELECT {_FILE}, 'income_statement' AS kind, 'Revenue' AS label, revenue AS amount, 'prior 1000.5' AS note FROM ok WHERE revenue IS NOT NULL
+ UNION ALL SELECT {_FILE}, 'income_statement', 'NetIncome', net_income, NULL FROM ok WHERE net_income IS NOT NULL UNION ALL SELECT {_FILE}, 'balance_sheet', 'TotalAssets', total_assets, 'prior 7' FROM ok
+ UNION ALL SELECT {_FILE}, 'market', 'share_price', 12.5, NULL FROM ok UNION ALL SELECT {_FILE}, 'market', 'dividend_per_share', id % 10, NULL FROM ok
+ UNION ALL SELECT {_FILE}, 'guidance', 'ROE', 15.5, 'More branches open in spring' FROM ok UNION ALL SELECT {_FILE}, 'guidance', 'Margin', 4, NULL FROM ok
+ UNION ALL SELECT {_FILE}, 'risk', 'Credit Risk', NULL, 'limits' FROM ok UNION ALL SELECT {_FILE}, 'risk', 'Market Risk', NULL, '' FROM ok
+ UNION ALL SELECT {_FILE}, 'pay', 'John Doe', id % 97 + 1, 'executive' FROM ok UNION ALL SELECT {_FILE}, 'pay', 'Jane Roe', 55, 'non_executive' FROM ok UNION ALL SELECT {_FILE}, 'pay', 'GRAND TOTAL', 99, 'non_executive' FROM ok"""))
+def condensed_records_lateral(spark, sf_dir):
+    """Everything a file holds in one pass over it."""
+    return ud.condensed_rows(condensed_files(spark, sf_dir), "all").where("error IS NULL").select("file", "kind", "label", "amount", "note")
+
+
 @query("condensed_pay_rows", views.oracle(f"""SELECT {_FILE}, 'John Doe' AS director_name, 'executive' AS role, CAST(id % 97 + 1 AS DOUBLE) AS total, 1200::DOUBLE AS salary, FALSE AS is_grand_total FROM financials WHERE id % 9 <> 0
  UNION ALL SELECT {_FILE}, 'Jane Roe', 'non_executive', 55, NULL, FALSE FROM financials WHERE id % 9 <> 0 UNION ALL SELECT {_FILE}, 'GRAND TOTAL', 'non_executive', 99, NULL, TRUE FROM financials WHERE id % 9 <> 0"""))
 def condensed_pay_rows(spark, sf_dir):

@@ -1,3 +1,5 @@
+import pytest
+
 from tallyspark.operators import finance as fin
 from tallyspark.sources import sinks, tables
 from tallyspark.sources import textfiles as tf
@@ -146,3 +148,69 @@ def test_upsert_touches_only_the_years_in_the_updates(spark, tmp_path):
         got = sorted((r["company_id"], r["fiscal_year"], r["v"]) for r in spark.read.parquet(path).collect())
         assert got == [(1, "FY2024", 1.0), (1, "FY2025", 2.0), (2, "FY2025", 30.0), (9, "FY2026", 9.0)]
     assert untouched == sorted(f.name for f in (tmp_path / "survey" / "fiscal_year=FY2024").glob("*.parquet"))
+
+
+FILING = """# a comment
+===COMPANY===
+Name: Big Works Ltd
+Currency: KES
+
+===PERIOD===
+Label: FY2025
+===INCOME_STATEMENT===
+Revenue: 1,234.5, 1,100
+NetProfit: n/a
+EPS: 4
+===MARKET_DATA===
+SharePrice: 12.5, 11
+===MANAGEMENT_GUIDANCE===
+GuidancePeriod: FY2026
+ROE: current=1, low=2, high=3, commentary=a, b
+===PRINCIPAL_RISKS===
+[Credit Risk]
+Description: borrowers
+[Other]
+Mitigation: care
+===DIRECTOR_REMUNERATION===
+[GRAND TOTAL - Board] Total: 9
+John Doe, Executive: 10; Fees=1, Salary=1,200
+Jane Roe, Non-Executive: 5
+not a row
+"""
+
+
+def udtf_rows(spark, part, *contents):
+    from tallyspark.sources import udtf
+
+    files = spark.createDataFrame([(f"f{i}", c) for i, c in enumerate(contents)], "file string, content string")
+    return udtf.condensed_rows(files, part)
+
+
+@pytest.mark.parametrize("part", ["line_items", "market_data", "guidance", "risks", "pay_rows"])
+def test_table_function_gives_the_tables_of_the_column_parser(spark, part):
+    contents = (FILING, FILING.replace("\n", "\r\n"), FILING.replace("FY2025", "FY2024").replace("Big Works", "Small Works"), "===COMPANY===\nName: x\n", "nothing", "")
+    got = udtf_rows(spark, part, *contents)
+    files = spark.createDataFrame([(f"f{i}", c) for i, c in enumerate(contents)], "file string, content string")
+    want = tf.parse_condensed(files)[part]
+    columns = [c for c in got.columns if c in want.columns]
+    assert len(columns) >= 4
+    rows = lambda df: sorted(map(str, (r.asDict() for r in df.select(*columns).collect())))
+    assert rows(got.where("error IS NULL")) == rows(want) and rows(want)
+    assert sorted((r.file, r.error) for r in got.where("error IS NOT NULL").collect()) == [
+        ("f3", "PERIOD section or its Label is missing"), ("f4", "COMPANY section or its Name is missing"), ("f5", "COMPANY section or its Name is missing")]
+
+
+def test_table_function_in_sql(spark):
+    from tallyspark.sources import udtf
+
+    udtf.register(spark)
+    files = spark.createDataFrame([("a", FILING), ("b", None)], "file string, content string")
+    got = spark.sql("SELECT f.file, t.kind, count(*) AS n FROM {files} f, LATERAL condensed(f.content, 'all') t GROUP BY ALL", files=files).collect()
+    assert sorted((r.file, str(r.kind), r.n) for r in got) == [("a", "guidance", 1), ("a", "income_statement", 2), ("a", "market", 1), ("a", "pay", 2), ("a", "risk", 2), ("b", "None", 1)]
+    [head] = spark.sql("SELECT t.* FROM {files} f, LATERAL condensed(f.content, 'filings') t WHERE f.file = 'a'", files=files).collect()
+    assert (head.name, head.currency, head.label, head.ticker, head.error) == ("Big Works Ltd", "KES", "FY2025", None, None)
+    for bad in ("'no such table'", "f.file"):
+        with pytest.raises(Exception, match="second argument"):
+            spark.sql("SELECT t.* FROM {files} f, LATERAL condensed(f.content, " + bad + ") t", files=files).collect()
+    with pytest.raises(Exception, match="text of a file"):
+        spark.sql("SELECT * FROM condensed(5, 'all')").collect()
