@@ -10,11 +10,41 @@ from ..streaming import ingest, sinks
 from . import views
 from .registry import query
 
-_LOG = "SELECT *, CAST(created_at AS DATE) AS day FROM (SELECT event_id AS id, user_id, event_type AS action, value, ts AS created_at, CASE WHEN event_type = 'view' THEN event_id % 50 END AS company_id, CASE event_type WHEN 'signup' THEN 'Sign-in & Accounts' WHEN 'purchase' THEN 'Billing' WHEN 'error' THEN 'Other' ELSE 'Viewing' END AS category FROM events)"
+_CATEGORY = "CASE event_type WHEN 'signup' THEN 'Sign-in & Accounts' WHEN 'purchase' THEN 'Data Entry & Edits' WHEN 'click' THEN 'Exports & Downloads' WHEN 'view' THEN 'Other' ELSE 'Other' END"
+_LOG = f"SELECT *, CAST(created_at AS DATE) AS day FROM (SELECT event_id AS id, user_id, event_type AS action, value, ts AS created_at, CASE WHEN event_type = 'view' THEN event_id % 50 END AS company_id, {_CATEGORY} AS category FROM events)"
+
+
+def logged(stream):
+    """The event stream as an activity log: what the log view makes of the event table, request by request."""
+    view = F.col("action") == "view"
+    path = (F.when(view, F.concat(F.lit("/api/companies/"), (F.col("id") % 50).cast("string"))).when(F.col("action") == "click", "/api/export/portfolio.xlsx")
+            .when(F.col("action") == "signup", "/api/login").otherwise("/api/other"))
+    return st.classified(stream.withColumns({"company_id": F.when(view, F.col("id") % 50), "path": path, "http_method": F.when(F.col("action").isin("signup", "purchase"), "POST").otherwise("GET")}))
 
 
 def source(spark, sf_dir):
-    return st.activity_stream(spark, f"{sf_dir}/events.parquet*")
+    return logged(st.event_stream(spark, f"{sf_dir}/events.parquet*"))
+
+
+PIECES, LATE = 4, 97
+
+
+def arriving(spark, sf_dir):
+    """The events as files that arrive one after another, each a quarter of the time; one in ``LATE`` events of the first quarter comes last."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(us), F.max(us)).first()
+    piece = F.floor((us - low) * PIECES / (high - low + 1)).cast("int")
+    late = (piece == 0) & (F.col("event_id") % LATE == 0)
+    folder = sinks.shared_folder(spark, "arriving", shared_base(spark))
+    for i in range(PIECES):  # one write after another, so that the files' times are in this order
+        events.where(F.when(late, PIECES - 1).otherwise(piece) == i).coalesce(1).write.parquet(f"{folder}/part={i}")
+    return logged(st.event_stream(spark, f"{folder}/part=*", 1))
+
+
+# the events that arrive in time
+_TIMELY = f"""SELECT *, CAST(created_at AS DATE) AS day FROM (SELECT event_id AS id, user_id, event_type AS action, value, ts AS created_at, CASE WHEN event_type = 'view' THEN event_id % 50 END AS company_id, {_CATEGORY} AS category,
+ event_id % {LATE} = 0 AND (epoch_us(ts) - (SELECT epoch_us(min(ts)) FROM events)) * {PIECES} // ((SELECT epoch_us(max(ts)) - epoch_us(min(ts)) FROM events) + 1) = 0 AS late FROM events)"""
 
 
 def updated(spark, stream, name, keys, mode="update"):
@@ -61,6 +91,54 @@ def stream_lockouts(spark, sf_dir):
     return updated(spark, st.lockouts(source(spark, sf_dir)), "lockouts", ["user_id", "locked_at"], "append")
 
 
+@query("late_daily_counts", f"WITH l AS (SELECT * FROM ({_TIMELY}) WHERE NOT late) SELECT CAST(created_at + INTERVAL 180 MINUTE AS DATE) AS day, category, user_id, count(*) AS events FROM l GROUP BY ALL")
+def late_daily_counts(spark, sf_dir):
+    """Daily counts over four micro-batches; what comes behind the watermark changes no day that is closed."""
+    return updated(spark, st.daily_counts(arriving(spark, sf_dir), -180), "daily", ["day", "category", "user_id"])
+
+
+@query("late_views_once_per_day", f"WITH l AS (SELECT * FROM ({_TIMELY}) WHERE NOT late) SELECT DISTINCT user_id, company_id, CAST(day AS TIMESTAMP) AS day FROM l WHERE company_id IS NOT NULL")
+def late_views_once_per_day(spark, sf_dir):
+    return updated(spark, st.views_once_per_day(arriving(spark, sf_dir)), "views", ["user_id", "company_id", "day"], "append")
+
+
+@query("late_daily_cap", f"WITH l AS (SELECT * FROM ({_TIMELY}) WHERE NOT late) SELECT user_id, day, count(*) AS downloads FROM l GROUP BY ALL HAVING count(*) > 5")
+def late_daily_cap(spark, sf_dir):
+    return updated(spark, st.over_daily_cap(arriving(spark, sf_dir)), "cap", ["user_id", "day"])
+
+
+@query("late_rate_breaches", f"""WITH l AS (SELECT * FROM ({_TIMELY}) WHERE NOT late), w AS (SELECT user_id, unnest([time_bucket(INTERVAL 30 MINUTE, created_at), time_bucket(INTERVAL 30 MINUTE, created_at) - INTERVAL 30 MINUTE]) AS window_start FROM l)
+ SELECT user_id, window_start, count(*) AS requests FROM w GROUP BY ALL HAVING count(*) > 2""")
+def late_rate_breaches(spark, sf_dir):
+    return updated(spark, st.rate_breaches(arriving(spark, sf_dir), 2, "1 hour", "30 minutes", "2 days"), "rate", ["user_id", "window_start"])
+
+
+@query("late_sessions", f"""WITH l AS (SELECT * FROM ({_TIMELY}) WHERE NOT late), a AS (SELECT user_id, created_at AS ts, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY user_id ORDER BY created_at) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM l),
+ b AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM a)
+ SELECT user_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS events FROM b GROUP BY user_id, no HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(created_at) FROM l) - INTERVAL 1 DAY""")
+def late_sessions(spark, sf_dir):
+    """Sessions over four micro-batches: those that cross a batch's end are one; late events open none again."""
+    return updated(spark, st.sessions(arriving(spark, sf_dir), "6 hours"), "sessions", ["user_id", "started_at"], "append")
+
+
+@query("late_rows_dropped", f"SELECT count(*) AS dropped, CAST(count(*) > 0 AS BOOLEAN) AS any_dropped FROM ({_TIMELY}) WHERE late AND company_id IS NOT NULL")
+def late_rows_dropped(spark, sf_dir):
+    """How many views came behind the watermark, from the progress reports of the stream."""
+    out, check = (sinks.shared_folder(spark, n, shared_base(spark)) for n in ("views", "views-checkpoint"))
+    q = sinks.run_available(st.views_once_per_day(arriving(spark, sf_dir)), sinks.batch_writer(out), check, "append")
+    n = st.dropped_late_rows(q)
+    return spark.range(1).select(F.lit(n).cast("long").alias("dropped"), F.lit(n > 0).alias("any_dropped"))
+
+
+@query("late_lockouts", f"""WITH RECURSIVE e AS (SELECT user_id, action = 'error' AS failed, epoch_us(created_at) AS us, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS n FROM ({_TIMELY}) WHERE user_id IS NOT NULL AND NOT late),
+ r AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 0 AS failures, 0::BIGINT AS until, FALSE AS locked, 0::BIGINT AS us FROM e UNION ALL
+  SELECT e.user_id, e.n, CASE WHEN e.us < r.until THEN r.failures WHEN e.failed AND r.failures < 4 THEN r.failures + 1 ELSE 0 END, CASE WHEN e.us >= r.until AND e.failed AND r.failures = 4 THEN e.us + 900000000 ELSE r.until END,
+   e.us >= r.until AND e.failed AND r.failures = 4, e.us FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+ SELECT user_id, make_timestamp(us) AS locked_at, make_timestamp(until) AS locked_until FROM r WHERE locked""")
+def late_lockouts(spark, sf_dir):
+    return updated(spark, st.lockouts(arriving(spark, sf_dir)), "lockouts", ["user_id", "locked_at"], "append")
+
+
 @query("stream_payments_applied_once", views.oracle("""SELECT reference, p.invoice_id, amount, p.currency, paid_at, CASE WHEN i.status <> 'open' THEN 'received on a ' || i.status || ' invoice' END AS note
  FROM payment p JOIN invoice i ON i.invoice_id = p.invoice_id AND i.currency = p.currency"""))
 def stream_payments_applied_once(spark, sf_dir):

@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import timefns
 from ..operators import events as ev
 from ..sources.tables import SCHEMAS
 
 MAX_FAILURES, LOCK_MINUTES = 5, 15
+SLOT_US = 15 * 60_000_000
 
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -25,12 +26,10 @@ def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = N
         F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("action"), "value", F.col("ts").cast("timestamp").alias("created_at"))
 
 
-def activity_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Events with path, company and category, classified like the batch log."""
-    e = event_stream(spark, path)
-    view = F.col("action") == "view"
-    kind = F.create_map(*[F.lit(x) for p in {"signup": ev.AUTH, "purchase": "Billing", "error": ev.OTHER}.items() for x in p])
-    return e.withColumns({"company_id": F.when(view, F.col("id") % 50), "category": F.coalesce(F.try_element_at(kind, F.col("action")), F.lit("Viewing"))})
+def classified(stream: DataFrame) -> DataFrame:
+    """Entries of an activity stream with their category, by the rules of the batch log (columns ``http_method`` and ``path``)."""
+    out = ev.classify(stream, ev.route_table(stream.sparkSession))
+    return out.withColumn("category", F.col("action_category")).drop("action_name", "action_category", "action_label")
 
 
 def daily_counts(stream: DataFrame, offset: int = 0, late: str = "2 days") -> DataFrame:
@@ -74,33 +73,75 @@ def split_sessions(found: DataFrame, cap_hours: int = 12) -> DataFrame:
     return p.select("user_id", "piece", start.alias("started_at"), F.least("ended_at", start + F.make_dt_interval(F.lit(0), F.lit(cap_hours))).alias("ended_at"))
 
 
-def _lockout(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Failures in a row, and until when the account is locked; attempts while locked do not count."""
-    failures, until = state.get if state.exists else (0, 0)
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(list(batches)).sort_values(["us", "id"])  # one account in one micro-batch
-    out = []
-    for us, failed in zip(rows["us"], rows["failed"]):
-        if us < until:
-            continue
-        failures = failures + 1 if failed else 0
-        if failures >= MAX_FAILURES:
-            until, failures = int(us) + LOCK_MINUTES * 60_000_000, 0
-            out.append((key[0], int(us), until))
-    state.update((int(failures), int(until)))
-    yield pd.DataFrame(out, columns=["user_id", "locked_at_us", "locked_until_us"])
+class Lockout(StatefulProcessor):
+    """Failures in a row, and until when the account is locked; attempts while locked do not count.
+
+    An account's entries of a micro-batch arrive in pieces. They are put into a state map by quarter of an hour, then read back slot by slot, each
+    sorted by itself, so no more than one slot of one account is in memory at once; the map is empty again when the batch ends. A timer at
+    the end of the lock removes what is left of it, so the state holds only accounts that are locked or have failed since they last succeeded.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", "failures int, until long")
+        self.waiting = handle.getMapState("waiting", "slot long", "entries string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for piece in rows:
+            for slot, part in piece.groupby(piece["us"] // SLOT_US):
+                slot = (int(slot),)
+                held = self.waiting.getValue(slot)[0] if self.waiting.containsKey(slot) else ""
+                self.waiting.updateValue(slot, (held + "".join(f"{us},{i},{int(f)};" for us, i, f in zip(part["us"], part["id"], part["failed"])),))
+        failures, until = self.now.get() if self.now.exists() else (0, 0)
+        out, before = [], until
+        for (slot,) in sorted(list(self.waiting.keys())):
+            entries = sorted(tuple(map(int, e.split(","))) for e in self.waiting.getValue((slot,))[0].split(";")[:-1])
+            self.waiting.removeKey((slot,))
+            for us, _, failed in entries:
+                if us < until:
+                    continue
+                failures = failures + 1 if failed else 0
+                if failures >= MAX_FAILURES:
+                    until, failures = us + LOCK_MINUTES * 60_000_000, 0
+                    out.append((key[0], us, until))
+        if failures or until > timerValues.getCurrentWatermarkInMs() * 1000:
+            self.now.update((failures, until))
+            if until != before:
+                self.handle.registerTimer(-(-until // 1000))
+        else:
+            self.now.clear()
+        yield pd.DataFrame(out, columns=["user_id", "locked_at_us", "locked_until_us"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        failures, until = self.now.get() if self.now.exists() else (0, 0)
+        if until <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
+            if failures:
+                self.now.update((failures, 0))
+            else:
+                self.now.clear()
+        yield pd.DataFrame([], columns=["user_id", "locked_at_us", "locked_until_us"])
+
+    def close(self) -> None:
+        pass
 
 
 def lockouts(stream: DataFrame, failed: str = "error", late: str = "1 hour") -> DataFrame:
-    """Accounts locked after five failures in a row, for fifteen minutes."""
+    """Accounts locked after five failures in a row, for fifteen minutes. Entries behind the watermark are dropped.
+
+    Its state needs the RocksDB store, which this sets for streams that the session starts from now on.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     s = stream.withWatermark("created_at", late).select("user_id", "id", "created_at", F.unix_micros("created_at").alias("us"), (F.col("action") == failed).alias("failed"))
-    locked = s.where(F.col("user_id").isNotNull()).groupBy("user_id").applyInPandasWithState(
-        _lockout, "user_id long, locked_at_us long, locked_until_us long", "failures int, until long", "append", GroupStateTimeout.NoTimeout)
+    locked = s.where(F.col("user_id").isNotNull()).groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=Lockout(), outputStructType="user_id long, locked_at_us long, locked_until_us long", outputMode="Append", timeMode="EventTime")
     return locked.select("user_id", F.timestamp_micros("locked_at_us").alias("locked_at"), F.timestamp_micros("locked_until_us").alias("locked_until"))
 
 
+def state_rows(query) -> int:
+    """Rows that the state of a finished query holds, by its last report."""
+    return sum(op.get("numRowsTotal", 0) for op in query.lastProgress.get("stateOperators", []))
+
+
 def dropped_late_rows(query) -> int:
     """Rows a finished query dropped for arriving behind the watermark, from its progress reports."""
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p.get("stateOperators", []))

@@ -25,7 +25,9 @@ def run(stream, tmp_path, keys, mode="update", name="out"):
 
 
 def stream(spark, tmp_path):
-    return st.activity_stream(spark, f"{tmp_path}/in*/*/")
+    e = st.event_stream(spark, f"{tmp_path}/in*/*/")
+    view = F.col("action") == "view"
+    return st.classified(e.withColumns({"company_id": F.when(view, F.col("id") % 50), "path": F.when(view, "/api/companies/1").otherwise("/api/other"), "http_method": F.lit("GET")}))
 
 
 def test_schema_is_declared():
@@ -48,6 +50,46 @@ def test_lockout_state_survives_a_restart(spark, tmp_path):
     assert [r["locked_at"] for r in out.collect()] == [t(4)]
 
 
+def test_lockout_state_is_gone_after_the_lock(spark, tmp_path):
+    """Over four micro-batches: a lock, its end, failures that go on, and an account that succeeds again."""
+    go = lambda: run(st.lockouts(stream(spark, tmp_path), late="0 minutes"), tmp_path, ["user_id", "locked_at"], "append")
+    put(spark, tmp_path, "in/a", [(1, "error", t(i)) for i in range(5)] + [(2, "error", t(i)) for i in range(3)] + [(3, "click", t(1))])
+    q, out = go()
+    assert [(r["user_id"], r["locked_at"]) for r in out.collect()] == [(1, t(4))] and st.state_rows(q) > 0
+    put(spark, tmp_path, "in/b", [(1, "error", t(10)), (2, "error", t(11)), (2, "click", t(12))])
+    go()
+    put(spark, tmp_path, "in/c", [(9, "click", t(60))])
+    q, _ = go()
+    assert st.state_rows(q) == 0  # nobody is locked, nobody has failed since
+    put(spark, tmp_path, "in/d", [(1, "error", t(61 + i)) for i in range(4)] + [(1, "error", t(5))])
+    q, out = go()
+    assert len(out.collect()) == 1 and st.state_rows(q) > 0 and st.dropped_late_rows(q) == 1
+    put(spark, tmp_path, "in/e", [(1, "error", t(70))])
+    assert [r["locked_at"] for r in go()[1].orderBy("locked_at").collect()] == [t(4), t(70)]
+
+
+def test_lockout_reads_an_account_in_order_whatever_its_pieces(spark, tmp_path):
+    import random
+
+    rows = [(1, "error" if i % 7 else "click", t(i * 4)) for i in range(300)]
+    shuffled = random.Random(2).sample(rows, len(rows))
+    put(spark, tmp_path, "in/a", shuffled)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        _, out = run(st.lockouts(stream(spark, tmp_path)), tmp_path, ["user_id", "locked_at"], "append")
+        got = [r["locked_at"] for r in out.orderBy("locked_at").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    failures, until, want = 0, t(-1), []
+    for _, action, at in rows:
+        if at >= until:
+            failures = failures + 1 if action == "error" else 0
+            if failures == 5:
+                want.append(at)
+                failures, until = 0, at + dt.timedelta(minutes=15)
+    assert got == want and len(want) > 20
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     put(spark, tmp_path, "in/a", [(1, "click", t(0)), (1, "click", t(60 * 24 * 10))])
     run(st.daily_counts(stream(spark, tmp_path), 0, "1 day"), tmp_path, ["day", "category", "user_id"])
