@@ -10,7 +10,8 @@ product. A pair that shares several lists counts in the one of the smallest pivo
 that are so close to the same nearest pivot that all of them must be links (half the threshold's angle each) are linked by that bound; blocks
 made of such a group only are never compared with each other, so a group that holds a third of all vectors is no quadratic work.
 
-Recall against brute force is measured in the tests (pairs at 0.90 to 0.93: above 0.98). Results for odd rows: a vector that is null, zero,
+Recall against brute force is measured in the tests (pairs at 0.90 to 0.93: above 0.98). Two vectors share fewer of their nearest pivots the more
+pivots there are, so the number that describes a vector grows with them (``nearest_of``). Results for odd rows: a vector that is null, zero,
 empty or holds null or non-finite numbers links with nothing; vectors of different lengths never link; equal vectors always do, repeated
 rows included; a null id never names a component that has another. An empty table gives an empty result. Other columns are ignored.
 """
@@ -38,10 +39,17 @@ _ENTRY = "node long, weight long, ball int, nearest array<int>, embedding array<
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """The vectors at unit length; divided by their largest entry first, so that no square is lost or overflows."""
     x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def nearest_of(pivots: int, least: int) -> int:
+    """How many nearest pivots describe a vector: ``least`` up to 500 pivots, two more for each doubling beyond."""
+    return least + max(0, int(2 * np.log2(max(1, pivots) / 500)))
+
+
 def spread(sample: np.ndarray, apart: float) -> np.ndarray:
     """The vectors of the sample, in order, that no earlier one of them is closer to than ``apart``.
 
@@ -132,7 +140,7 @@ def _linked(nodes: DataFrame, dim: int, threshold: float, nearest: int, min_shar
     sample = nodes.orderBy(F.xxhash64("embedding"), "node").limit(count).select("embedding").toArrow().column("embedding").combine_chunks()
     pivots = spark.sparkContext.broadcast(spread(_matrix(sample, dim), threshold - 0.1))
     close = ((1 + threshold) / 2) ** 0.5 + 1e-9
-    entries = pin(nodes.mapInArrow(_described(pivots, dim, nearest, close), _ENTRY), "entries")
+    entries = pin(nodes.mapInArrow(_described(pivots, dim, nearest_of(len(pivots.value), nearest), close), _ENTRY), "entries")
 
     balls = pin(entries.where("ball >= 0").groupBy("ball").agg(F.min("node").alias("group"), F.sum("weight").alias("all")), "balls")
     inside = entries.select("node", "weight", "ball").join(balls, "ball").select("node", "group", (F.col("all") - F.col("weight")).alias("links"))

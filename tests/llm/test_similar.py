@@ -116,6 +116,27 @@ def test_vectors_match_brute_force(spark):
     assert (got.kept == (got.index == got.component_id)).all()
 
 
+def test_vectors_of_extreme_length(spark):
+    """Finite vectors whose squares vanish or overflow are compared like any others; nothing below the threshold is linked."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(120, 6))
+    scale = 10.0 ** rng.choice([-170, -160, -3, 0, 5, 160, 200, 300], size=(120, 1))
+    x = np.concatenate([base * scale, (base + 0.05 * rng.normal(size=base.shape)) / scale, [[5e-324, 5e-324, 0, 0, 0, 0], [1.7e308, 1.7e308, 0, 0, 0, 0]]])
+    got = pivots.near_vectors(vectors(spark, x)).toPandas().set_index("vec_id").sort_index()
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert (got.n_links.to_numpy() <= near.sum(axis=1)).all() and got.n_links.sum() >= 0.98 * near.sum() and near[:120, 120:240].diagonal().mean() > 0.9
+    rows = [[1e-170, 1e-170], [1.0, 0.01], [1.0, 0.011], [0.3, 1.0], [1e200, 1e200], [1e200, 1.01e200]]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.near_vectors(vectors(spark, np.array(rows))).collect()}
+    assert got == {0: (2, 0), 1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (2, 0), 5: (2, 0)}
+
+
+def test_more_pivots_describe_a_vector_where_there_are_more():
+    assert [pivots.nearest_of(n, 8) for n in (1, 450, 500, 1000, 20_000, 130_000)] == [8, 8, 8, 10, 18, 24]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [None, 1.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, []), (9, [1.0, 0.0, 0.0]), (10, [3.0, 0.1]), (10, [3.0, 0.1]), (None, [1.0, 0.0])]
