@@ -8,12 +8,14 @@ every document, whatever separators it is written with, so documents stay linked
 kind       found and valid                                        permuted
 =========  =====================================================  ==========================================================
 email      local part, ``@`` and a dotted host                     letters and digits of the local part, each within its class
+                                                                   (digits; Latin, Greek and Cyrillic letters by case)
 ip         four numbers up to 255                                  all 2 ** 32 addresses
 iso date   yyyy-mm-dd, yyyy/mm/dd; a real day                      the days of 1800 to 2199
-date       dd.mm.yyyy, dd/mm/yyyy, dd-mm-yyyy; a real day          the days of 1800 to 2199
+date       dd.mm.yyyy, dd/mm/yyyy, dd-mm-yyyy; a real day, else    the days of 1800 to 2199, in the same order
+           mm.dd.yyyy and so on
 ssn        ddd-dd-dddd with area, group and serial in use          all numbers in use
-phone      ``+`` and country code, then 4 to 20 digits; or 3, 3    the digits after the country code, or all
-           and 4 digits with brackets, dots or dashes
+phone      ``+`` and country code, then 4 to 20 digits; or 3, 3    the digits after the country code, which the digits
+           and 4 digits with brackets, dots or dashes              themselves tell, whatever blanks there are; or all
 number     13 to 19 digits, also in groups by blanks or dashes     all digits but the last, which keeps the Luhn check as it was
 =========  =====================================================  ==========================================================
 
@@ -64,15 +66,25 @@ def feistel(value: Column, left: int, right: int, key: str, domain: str) -> Colu
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), state, step, lambda s: s["a"] * right + s["b"])
 
 
+# Letters and digits that take each other's place.
+CLASSES = (
+    "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞŸ",
+    "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
+)
+# The country codes of one and of two digits; all others have three.
+COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})"
+
+
 def _shifted(half: Column, other: Column, round_: Column, key: str, domain: str) -> Column:
     """Every letter and digit of ``half`` moved on within its class, by keyed steps that depend on its place and on ``other``."""
 
     def char(c: Column, place: Column) -> Column:
         step = _prf(key, F.lit(domain), round_, place, other)
-        code = F.ascii(c)
-        base = F.when(c.rlike("^[0-9]$"), F.lit(48)).when(c.rlike("^[a-z]$"), F.lit(97)).when(c.rlike("^[A-Z]$"), F.lit(65))
-        size = F.when(base == 48, F.lit(10)).otherwise(F.lit(26))
-        return F.when(base.isNull(), c).otherwise(F.char((base + F.pmod(code - base + step, size)).cast("int")))
+        out = c
+        for letters in reversed(CLASSES):
+            at = F.instr(F.lit(letters), c)
+            out = F.when((at > 0) & (c != ""), F.substring(F.lit(letters), F.pmod(at - 1 + step, F.lit(len(letters))).cast("int") + 1, F.lit(1))).otherwise(out)
+        return out
 
     return F.array_join(F.transform(F.split(half, ""), char), "")
 
@@ -126,10 +138,9 @@ def _number(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    code = F.regexp_extract(value, r"^\+(\d{1,3}?)(?=[ .(-])|^\+(\d{1,2})", 0)
-    head = F.length(_digits(code))
-    rest = F.substring(_digits(value), head + 1, F.length(value))
-    return _dressed(value, feistel_text(rest, key, "phone"), head)
+    digits = _digits(value)
+    head = F.when(value.startswith("+"), F.length(F.regexp_extract(digits, COUNTRY, 0))).otherwise(0)
+    return _dressed(value, feistel_text(F.substring(digits, head + 1, F.length(value)), key, "phone"), head)
 
 
 def _ip(value: Column, key: str) -> Column:
@@ -147,13 +158,15 @@ def _date(value: Column, key: str, year_first: bool) -> Column:
     sep = F.substring(value, F.lit(5 if year_first else 3), F.lit(1))
     p = F.split(value, r"[-/.]")
     year, month, day = (p[0], p[1], p[2]) if year_first else (p[2], p[1], p[0])
-    parsed = F.concat_ws("-", year, month, day).try_cast("date")
+    usual = F.concat_ws("-", year, month, day).try_cast("date")
+    parsed = usual if year_first else F.coalesce(usual, F.concat_ws("-", year, day, month).try_cast("date"))
     index = F.datediff(parsed, F.lit(FIRST_DAY).cast("date")).cast("long")
 
     def built(n: Column) -> Column:
         d = F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
-        parts = [F.date_format(d, x) for x in (("yyyy", "MM", "dd") if year_first else ("dd", "MM", "yyyy"))]
-        return F.concat(parts[0], sep, parts[1], sep, parts[2])
+        y, m, x = (F.date_format(d, part) for part in ("yyyy", "MM", "dd"))
+        first, second = (m, x) if year_first else (F.when(usual.isNull(), m).otherwise(x), F.when(usual.isNull(), x).otherwise(m))
+        return F.concat(y, sep, first, sep, second) if year_first else F.concat(first, sep, second, sep, y)
 
     moved = F.element_at(F.transform(F.array(feistel(index, *DAYS, key, "date")), built), 1)
     return F.when(index.between(0, DAYS[0] * DAYS[1] - 1), moved).otherwise(value)

@@ -180,6 +180,25 @@ def test_pseudonyms_keep_format_validity_and_links(spark):
     assert a == b != "joe.5" and "@a.example.org" in out and out.split("+1 ")[1] != "(017) 555-7713"
 
 
+@pytest.mark.parametrize("one,other", [
+    ("+1 555 123 4567", "+15551234567"), ("+420 123 456 789", "+420123456789"), ("+44 20 7946 0958", "+442079460958"), ("+7 (912) 345-67-89", "+79123456789"), ("+254 700-123-456", "+254700123456"),
+])
+def test_a_number_has_one_pseudonym_however_it_is_written(spark, one, other):
+    a, b = pseudonyms_of(spark, f"call {one} now").removeprefix("call ").removesuffix(" now"), pseudonyms_of(spark, other)
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) != re.sub(r"\D", "", one) and re.sub(r"\d", "9", a) == re.sub(r"\d", "9", one)
+    code = one[1:].split(" ")[0]
+    assert a.startswith(f"+{code}") and b.startswith(f"+{code}")
+
+
+def test_dates_month_first_and_addresses_beyond_ascii(spark):
+    out = pseudonyms_of(spark, "born 12/31/1985 or 12-31-1985, not 13/32/1985; жора@x.com and Жора@x.com, jürgen.ß@y.de")
+    assert "1985-" not in out and "12/31/1985" not in out and "12-31-1985" not in out and "13/32/1985" in out
+    one, two = re.findall(r"(\d{2}[/-]\d{2}[/-]\d{4})", out)[:2]
+    assert one.replace("/", "-") == two
+    a, b, c = re.findall(r"(\S+)@", out)
+    assert re.fullmatch("[а-яё]{4}", a) and re.fullmatch("[А-ЯЁ][а-яё]{3}", b) and a != "жора" and b != "Жора" and c.split(".")[0] != "jürgen" and len(c) == len("jürgen.ß")
+
+
 def test_every_number_in_the_documents_is_replaced(documents):
     new = pseudonyms.with_pseudonyms(documents.withColumnRenamed("text", "t").withColumn("text", F.col("t")), "key")
     found = re.compile(r"\S+@\S+\.com|(?<!\d)\d{16}(?!\d)|\+1 \(\d{3}\) \d{3}-\d{4}|(?<![\d.])\d+\.\d+\.\d+\.\d+")
