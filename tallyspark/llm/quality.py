@@ -156,14 +156,15 @@ def _sampled_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
     """The model, or None without a trusted positive."""
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    # what is drawn are different texts of different ids, so rows that repeat are one and the sample is as large as its parameters say
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    ids = rows.where(learnable()).select("doc_id", "text_hash").distinct()
     good = labels.where((F.col("quality") == 1) & learnable()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    p = good.orderBy(*order).limit(positives).withColumn("positive", F.lit(True))
-    u = ids.where(learnable()).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled).withColumn("positive", F.lit(False))
-    chosen = F.broadcast(p.unionByName(u))  # at most positives + unlabelled ids
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "doc_id")
-    rows = texts.mapInArrow(_sampled_statistics, "positive boolean, statistics array<double>").limit(4 * (positives + unlabelled)).toArrow()
+    p = ids.join(good, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(positives).withColumn("positive", F.lit(True))
+    u = ids.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text_hash").limit(unlabelled).withColumn("positive", F.lit(False))
+    chosen = F.broadcast(p.unionByName(u))  # at most positives + unlabelled rows
+    texts = rows.join(chosen, ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash", "positive").agg(F.first("text").alias("text"))
+    rows = texts.mapInArrow(_sampled_statistics, "positive boolean, statistics array<double>").toArrow()
     flag = np.asarray(rows.column("positive").to_pylist(), bool)
     x = np.array(rows.column("statistics").to_pylist(), float)
     if not flag.any() or flag.all():
