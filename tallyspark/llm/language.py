@@ -143,7 +143,9 @@ def _predictions(model: dict, buckets: int):
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE, buckets: int = BUCKETS) -> dict | None:
     """The model from the learnable rows of ``docs(doc_id, text, lang)``, or None without any."""
-    rows = docs.where(learnable() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+    texts = docs.where(learnable() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    rows = texts.select("doc_id", "lang", "text_hash").distinct()  # rows that repeat are one
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     languages = counts.count()
     if not languages:
@@ -152,11 +154,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
     # only about 4 * each rows of a language pass the cut on the hash, so the ranking never gathers a large one; the counts have one row for each
     # language, and the model holds all of those anyway
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    few = rows.join(F.broadcast(counts), "lang").withColumn("drawn", drawn).where(F.col("drawn") * F.col("n") < 4 * each + 20).select("doc_id", "lang", "drawn").distinct()
-    order = Window.partitionBy("lang").orderBy("drawn", "doc_id")
-    ids = F.broadcast(few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("doc_id", "lang"))  # at most languages * each
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).join(ids, ["doc_id", "lang"])
-    found = texts.mapInArrow(_counted(buckets), "lang string, counts array<float>").toArrow()
+    few = rows.join(F.broadcast(counts), "lang").withColumn("drawn", drawn).where(F.col("drawn") * F.col("n") < 4 * each + 20).select("doc_id", "lang", "text_hash", "drawn")
+    order = Window.partitionBy("lang").orderBy("drawn", "doc_id", "text_hash")
+    ids = F.broadcast(few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("doc_id", "lang", "text_hash"))  # at most languages * each
+    drawn_texts = texts.join(ids, ["doc_id", "lang", "text_hash"]).groupBy("doc_id", "lang", "text_hash").agg(F.first("text").alias("text"))
+    found = drawn_texts.select("lang", "text").mapInArrow(_counted(buckets), "lang string, counts array<float>").toArrow()
     x = np.stack(found.column("counts").to_numpy()).astype(np.float32)
     lang = found.column("lang").to_pylist()
     order = sorted(range(len(lang)), key=lambda i: (lang[i], x[i, :64].tobytes()))  # rows arrive in any order
