@@ -7,6 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import names, similarity
+from ..session import cut
+from .matching import same_person_join
+
 # Who wins a field. A lower tier beats a higher one; automatic readers compete by confidence.
 TIER = {"human": 0, "rules": 1, "auto": 2, "fallback": 3}
 CONFLICT_TOLERANCE = 0.005
@@ -221,6 +225,54 @@ def reconcile_register(register: DataFrame, pay_people: DataFrame, keys: list[st
         thin.select(*[F.col(c) if c in pay_people.columns else F.lit(None).alias(c) for c in cols], F.lit("pay_table").alias("origin")))
 
 
+def one_to_one(edges: DataFrame, left: list[str], right: list[str], order: list[str]) -> DataFrame:
+    """The edges of an assignment in which no left and no right end occurs twice, the best edge (least by ``order``) first.
+
+    A round takes every edge that is the best of both its ends and drops all others at those ends; rounds go on until no edge is left. That is
+    what going through all edges in order would take, and no group is gathered. Edges that repeat count once; ends of edges with equal order are told
+    apart by their own columns.
+    """
+    keys = list(dict.fromkeys([*left, *right]))
+    rank = F.struct(*order, *[c for c in keys if c not in order])
+    rest, taken = cut(edges.dropDuplicates(keys)), None
+    while True:
+        best_left = rest.groupBy(*left).agg(F.min(rank).alias("__l"))
+        best_right = rest.groupBy(*right).agg(F.min(rank).alias("__r"))
+        chosen = cut(rest.join(best_left, left).join(best_right, right).where((F.col("__l") == F.col("__r")) & (rank == F.col("__l"))).select(*edges.columns))
+        taken = chosen if taken is None else taken.unionByName(chosen)
+        rest = cut(rest.join(chosen.select(*left), left, "left_anti").join(chosen.select(*right), right, "left_anti"))
+        if rest.isEmpty():
+            return taken
+
+
+def reconcile_people(register: DataFrame, pay_people: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
+    """The register made to agree with the pay tables, person by person; ``origin`` says where a row comes from.
+
+    ``register`` and ``pay_people`` have the keys, director_name, role and gender. People of the two are paired one to one by their names, spelling and
+    middle names aside: equal names first, then the most words in common, then the fewest letters apart. A listed director without role or gender
+    takes them from the pay row of the same person. A register of fewer than ``least`` people beside a pay table of at least as many takes
+    in the pay-table people that are nobody on it.
+    """
+    pairs = same_person_join(register, pay_people, keys)
+    a, b = similarity.name_words("name_a"), similarity.name_words("name_b")
+    pairs = pairs.withColumns({
+        "__unlike": (names.person_key("name_a") != names.person_key("name_b")).cast("int"), "__words": -F.size(F.array_intersect(a, b)),
+        "__letters": F.levenshtein(names.person_key("name_a"), names.person_key("name_b"))})
+    same = one_to_one(pairs, [*keys, "name_a"], [*keys, "name_b"], ["__unlike", "__words", "__letters"]).select(*keys, "name_a", "name_b")
+    told = pay_people.groupBy(*keys, F.col("director_name").alias("name_b")).agg(F.min("role").alias("__role"), F.min("gender").alias("__gender"))
+    facts = same.join(told, [*keys, "name_b"]).withColumnRenamed("name_a", "director_name").drop("name_b")
+    listed = register.join(facts, [*keys, "director_name"], "left").withColumns({
+        "role": F.coalesce(F.when(F.col("role") != "unknown", F.col("role")), "__role", F.lit("unknown")),
+        "gender": F.coalesce(F.when(F.col("gender") != "", F.col("gender")), "__gender")})
+    counted = lambda df, n: df.groupBy(*keys).agg(F.count_distinct("director_name").alias(n))
+    thin = counted(pay_people, "__p").join(counted(register, "__r"), keys, "left").where((F.coalesce("__r", F.lit(0)) < least) & (F.col("__p") >= least)).select(*keys)
+    known = pairs.select(*keys, F.col("name_b").alias("director_name")).distinct()
+    added = pay_people.join(thin, keys, "left_semi").join(known, [*keys, "director_name"], "left_anti").groupBy(*keys, "director_name").agg(
+        F.coalesce(F.min("role"), F.lit("unknown")).alias("role"), F.min("gender").alias("gender"))
+    columns = [*keys, "director_name", "role", "gender"]
+    return listed.select(*columns, F.lit("register").alias("origin")).unionByName(added.select(*columns, F.lit("pay_table").alias("origin")))
+
+
 def align_directors(rows: DataFrame) -> DataFrame:
     """Identity candidates: a normalised full name that is unique in each year it appears and appears in two or more."""
     per_year = rows.groupBy("company_id", "name_key", "table_kind", "fiscal_year").agg(F.count(F.lit(1)).alias("k"))

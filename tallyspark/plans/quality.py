@@ -539,6 +539,25 @@ def register_reconciled(spark, sf_dir):
     return mg.reconcile_register(reg, pay, ["company_id", "y"], 35)
 
 
+# six people of each company-year: on the register, and as the pay table prints them (with a title; a middle name; a letter short; turned round)
+_PEOPLE = """SELECT company_id, y, i, upper(substr(a, 1, 1)) || substr(a, 2) AS one, upper(substr(b, 1, 1)) || substr(b, 2) AS two FROM (SELECT company_id, y, i, substr(h, 1, 9) AS a, substr(h, 10, 9) AS b FROM (
+ SELECT company_id, y, i, translate(md5(CAST(company_id * 100 + i AS VARCHAR(20))), '0123456789', 'ghijklmnop') AS h FROM (SELECT s.company_id, s.year_no AS y, k.i FROM {survey} s CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6)) AS k(i)) t) u) v"""
+_REGISTERED = "SELECT company_id, y, one || ' ' || two AS director_name, CASE WHEN i % 3 = 0 THEN 'unknown' ELSE 'executive' END AS role, CASE WHEN i % 2 = 0 THEN '' ELSE 'Male' END AS gender FROM {people} p WHERE i <= CASE WHEN company_id % 4 = 0 THEN 2 ELSE 6 END"
+_PRINTED = """SELECT company_id, y, CASE i % 4 WHEN 0 THEN 'Ms. ' || one || ' ' || two WHEN 1 THEN one || ' Middlename ' || two WHEN 2 THEN substr(one, 1, 4) || substr(one, 6) || ' ' || two ELSE two || ' ' || one END AS director_name, 'non_executive' AS role, 'Female' AS gender FROM {people} p
+ UNION ALL SELECT company_id, y, one || ' ' || substr(two, 1, 3) || 'zz' || substr(two, 6), 'executive', 'Male' FROM {people} p WHERE i = 6"""
+_P = _PEOPLE.format(survey="survey")
+
+
+@query("people_reconciled", views.oracle(f"""WITH pe AS ({_P}), rg AS (SELECT r.*, pe.i FROM ({_REGISTERED.format(people='pe')}) r JOIN pe ON pe.company_id = r.company_id AND pe.y = r.y AND r.director_name = pe.one || ' ' || pe.two)
+ SELECT company_id, y, director_name, CASE WHEN role <> 'unknown' THEN role ELSE 'non_executive' END AS role, CASE WHEN gender <> '' THEN gender ELSE 'Female' END AS gender, 'register' AS origin FROM rg
+ UNION ALL SELECT p.company_id, p.y, p.director_name, p.role, p.gender, 'pay_table' FROM ({_PRINTED.format(people='(SELECT * FROM pe WHERE company_id % 4 = 0 AND i > 2)')}) p"""))
+def people_reconciled(spark, sf_dir):
+    """Registers and pay tables that spell the same people differently; a second, worse reading of a name stays nobody's."""
+    people = spark.sql(_PEOPLE, survey=views.survey(spark, sf_dir).select("company_id", "year_no"))
+    register, printed = spark.sql(_REGISTERED, people=people), spark.sql(_PRINTED, people=people)
+    return mg.reconcile_people(register, printed, ["company_id", "y"])
+
+
 @query("table_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in views.TABLES))
 def table_counts(spark, sf_dir):
     from functools import reduce

@@ -105,3 +105,33 @@ def test_missing_company_years(spark):
     c = spark.createDataFrame([(1,), (2,)], "company_id long")
     s = spark.createDataFrame([(1, "FY2024")], "company_id long, fiscal_year string")
     assert sorted(map(tuple, mg.missing_company_years(c, ["FY2023", "FY2024"], s).collect())) == [(1, "FY2023"), (2, "FY2023"), (2, "FY2024")]
+
+
+def test_one_to_one_takes_the_best_edges_first(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = [(g, rng.randrange(8), rng.randrange(8), rng.randrange(20)) for g in range(12) for _ in range(30)]
+    edges = list({e[:3]: e for e in edges}.values())
+    got = mg.one_to_one(spark.createDataFrame(edges, "g long, a long, b long, cost long"), ["g", "a"], ["g", "b"], ["cost"]).collect()
+    want, left, right = set(), set(), set()
+    for g, a, b, cost in sorted(edges, key=lambda e: (e[3], e[0], e[1], e[2])):
+        if (g, a) not in left and (g, b) not in right:
+            want.add((g, a, b, cost))
+            left.add((g, a))
+            right.add((g, b))
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert mg.one_to_one(spark.createDataFrame([], "g long, a long, b long, cost long"), ["g", "a"], ["g", "b"], ["cost"]).count() == 0
+
+
+def test_register_reconciled_by_person(spark):
+    kind = "company_id long, director_name string, role string, gender string"
+    register = [(1, "Louis Otieno", "unknown", None), (1, "Imathiu Jones", "unknown", ""), (1, "Jane Doe", "executive", "Female"), (2, "Ann Wanjiru", "executive", None), (3, "Solo Member", "unknown", None)]
+    pay = [(1, "Mr. Louis Onyango Otieno", "executive", "Male"), (1, "Imahtu Jones", "non_executive", "Male"), (1, "Imathiu Jones", "executive", "Female"), (1, "John Doe", "executive", "Male"),
+           (2, "Ann Wanjiru", "non_executive", "Female"), (2, "Peter Kamau", "non_executive", "Male"), (2, "Grace Njeri", None, None), (3, "Solo Member", "executive", "Male"), (3, "Other One", "executive", "Male"), (4, "A Bcde", "executive", None)]
+    got = mg.reconcile_people(spark.createDataFrame(register, kind), spark.createDataFrame(pay, kind), ["company_id"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([
+        (1, "Louis Otieno", "executive", "Male", "register"), (1, "Imathiu Jones", "executive", "Female", "register"), (1, "Jane Doe", "executive", "Female", "register"),
+        (2, "Ann Wanjiru", "executive", "Female", "register"), (2, "Peter Kamau", "non_executive", "Male", "pay_table"), (2, "Grace Njeri", "unknown", None, "pay_table"),
+        (3, "Solo Member", "executive", "Male", "register"),  # two people are too few to take in
+    ], key=str)
