@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_base
 from ..streaming import activity as st
-from ..streaming import ingest, sinks
+from ..streaming import ingest, ledger, sinks
 from . import views
 from .registry import query
 
@@ -156,3 +156,46 @@ def stream_payments_applied_once(spark, sf_dir):
         apply = ingest.payment_applier(invoices, table)
         sinks.run_available(paid, lambda b, i, apply=apply, run=run: apply(b, i + run * 1_000_000), sinks.shared_folder(spark, "applied-checkpoint", shared_base(spark)), "append")
     return spark.read.parquet(table).select("reference", "invoice_id", "amount", "currency", "paid_at", "note")
+
+
+def dropped_files(spark, sf_dir):
+    """Survey files that arrive in three drops: all of them; a third again with another board size; then some with a single figure."""
+    from .reports import survey_files
+
+    files = survey_files(spark, sf_dir)
+    number = F.regexp_extract("file", r"s-(\d+)-", 1).cast("long")
+    size = F.regexp_extract("content", r"BoardSize: (\d+)\n", 1).try_cast("int")
+    second = files.where((number % 3 == 0) & size.isNotNull()).select("file", F.regexp_replace("content", r"BoardSize: \d+\n", F.concat(F.lit("BoardSize: "), (size + 1).cast("string"), F.lit("\n"))).alias("content"))
+    head = F.regexp_extract("content", r"(?s)^(===COMPANY===.*?===PERFORMANCE===\n)", 1)
+    third = files.where(number % 5 == 0).select(F.concat("file", F.lit("-late")).alias("file"), F.concat(head, F.lit("Turnover: 77\n===BOARD_COMPOSITION===\n")).alias("content"))
+    folder = sinks.shared_folder(spark, "drops", shared_base(spark))
+    for i, part in enumerate((files, second, third)):
+        part.coalesce(1).write.parquet(f"{folder}/drop={i}")
+    return spark.readStream.schema("file string, content string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/drop=*")
+
+
+@query("imported_years", views.oracle("""WITH v AS (SELECT 'Company ' || CAST(company_id AS VARCHAR) AS company_name, * EXCLUDE (sector) FROM survey)
+ SELECT company_name, fiscal_year, 'board_size' AS field, board_size + CASE WHEN company_id % 3 = 0 THEN 1 ELSE 0 END AS value FROM v WHERE board_size IS NOT NULL
+ UNION ALL SELECT company_name, fiscal_year, 'turnover', CASE WHEN company_id % 5 = 0 THEN 77 ELSE turnover END FROM v WHERE turnover IS NOT NULL OR company_id % 5 = 0
+ UNION ALL SELECT company_name, fiscal_year, 'net_profit', net_profit FROM v WHERE net_profit IS NOT NULL UNION ALL SELECT company_name, fiscal_year, 'independent_neds_count', independent_neds_count FROM v WHERE independent_neds_count IS NOT NULL
+ UNION ALL SELECT company_name, fiscal_year, 'neds_kenyan_count', neds_kenyan_count FROM v WHERE neds_kenyan_count IS NOT NULL UNION ALL SELECT company_name, fiscal_year, 'ceo_monthly_salary', ceo_monthly_salary FROM v WHERE ceo_monthly_salary IS NOT NULL"""))
+def imported_years(spark, sf_dir):
+    """Files imported batch by batch: parsed, merged into the years they touch, published whole."""
+    root = sinks.shared_folder(spark, "imported", shared_base(spark))
+    sinks.run_available(dropped_files(spark, sf_dir), ledger.survey_importer(root), f"{root}-checkpoint", "append")
+    return ledger.published(spark, root, ledger.VALUES).select("company_name", "fiscal_year", "field", "value")
+
+
+@query("refreshed_years", views.oracle("SELECT fiscal_year, count(*) AS companies, CAST(sum(n_lines) AS BIGINT) AS lines FROM survey GROUP BY fiscal_year"))
+def refreshed_years(spark, sf_dir):
+    """Totals of a year, worked out anew whenever a change event names the year, and only then."""
+    root = sinks.shared_folder(spark, "refreshed", shared_base(spark))
+    facts = lambda: views.survey(spark, sf_dir)
+    total = lambda rows: rows.groupBy("fiscal_year").agg(F.count(F.lit(1)).alias("companies"), F.sum("n_lines").cast("long").alias("lines"))
+    events = sinks.shared_folder(spark, "changes", shared_base(spark))
+    years = facts().select("fiscal_year").distinct()
+    for i in range(2):
+        years.where(F.pmod(F.xxhash64("fiscal_year"), F.lit(2)) == i).coalesce(1).write.parquet(f"{events}/part={i}")
+    changes = spark.readStream.schema("fiscal_year string").option("maxFilesPerTrigger", 1).parquet(f"{events}/part=*")
+    sinks.run_available(changes, ingest.year_refresher(total, facts, f"{root}/totals"), f"{root}/checkpoint", "append")
+    return spark.read.schema("companies long, lines long, fiscal_year string").parquet(f"{root}/totals")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.sources.tables import SCHEMAS
 from tallyspark.streaming import activity as st
-from tallyspark.streaming import ingest, sinks
+from tallyspark.streaming import ingest, ledger, sinks
 
 
 def put(spark, folder, name, rows):
@@ -150,3 +150,59 @@ def test_rate_breach(spark, tmp_path, limit, want):
     put(spark, tmp_path, "in/a", [(1, "click", t(0)), (1, "click", t(0)), (1, "view", t(0)), (2, "click", t(0))])
     _, out = run(st.rate_breaches(stream(spark, tmp_path), limit), tmp_path, ["user_id", "window_start"])
     assert out.count() == want
+
+
+class Ended(Exception):
+    pass
+
+
+def survey_file(name, year, **fields):
+    return f"===COMPANY===\nName: {name}\n===PERIOD===\nFiscalYear: {year}\n===BOARD_COMPOSITION===\n" + "".join(f"{k}: {v}\n" for k, v in fields.items())
+
+
+@pytest.mark.parametrize("at", ["written", "checked", "published"])
+def test_a_batch_that_ends_between_its_steps_leaves_no_half_year(spark, tmp_path, at):
+    files = lambda *rows: spark.createDataFrame([(f"f{i}", c) for i, c in enumerate(rows)], "file string, content string")
+    root = f"{tmp_path}/years"
+    held = lambda: sorted((r.company_name, r.fiscal_year, r.field, r.value) for r in ledger.published(spark, root, ledger.VALUES).collect())
+    assert held() == []
+    ledger.survey_importer(root)(files(survey_file("A", "FY2024", BoardSize=9, Turnover=5), survey_file("B", "FY2025", BoardSize=7), "not a survey file"), 0)
+    first = [("A", "FY2024", "board_size", 9.0), ("A", "FY2024", "turnover", 5.0), ("B", "FY2025", "board_size", 7.0)]
+    assert held() == first
+
+    def end(step):
+        if step == at:
+            raise Ended
+
+    later = files(survey_file("A", "FY2024", BoardSize=11), survey_file("C", "FY2024", BoardSize=3), survey_file("C", "FY2024", BoardSize=4))
+    second = [("A", "FY2024", "board_size", 11.0), ("A", "FY2024", "turnover", 5.0), ("B", "FY2025", "board_size", 7.0), ("C", "FY2024", "board_size", 4.0)]
+    with pytest.raises(Ended):
+        ledger.survey_importer(root, end)(later, 1)
+    assert held() == (second if at == "published" else first)
+    ledger.survey_importer(root)(later, 1)  # the stream starts again and replays the batch
+    assert held() == second
+    ledger.survey_importer(root)(files(survey_file("A", "FY2024", BoardSize=1)), 1)  # a batch that is published does nothing
+    assert held() == second and sorted((r.batch, r.year, r.rows) for r in ledger.ledger(spark, root).collect()) == [(0, "FY2024", 2), (0, "FY2025", 1), (1, "FY2024", 3)]
+
+
+def test_a_version_that_lost_rows_is_not_published(spark, tmp_path):
+    rows = spark.createDataFrame([("A", "x", 1.0, "f", "FY2024"), ("B", "x", 1.0, "f", "FY2024")], ledger.VALUES)
+
+    def lose(step):
+        if step == "written":
+            rows.limit(1).write.mode("overwrite").partitionBy("fiscal_year").parquet(f"{tmp_path}/r/rows/version=0")
+
+    with pytest.raises(ValueError, match="rows were written"):
+        ledger.publish(rows, f"{tmp_path}/r", 0, step=lose)
+    assert ledger.published(spark, f"{tmp_path}/r", ledger.VALUES).count() == 0
+
+
+def test_registers_are_imported_and_reconciled_by_batch(spark, tmp_path):
+    kind = "company_id long, fiscal_year string, director_name string, role string, gender string"
+    pay = spark.createDataFrame([(1, "FY2024", "Louis Onyango Otieno", "executive", "Male"), (2, "FY2024", "Grace Njeri", "non_executive", "Female")], kind)
+    root = f"{tmp_path}/reg"
+    apply = ledger.register_importer(root, lambda s: pay)
+    apply(spark.createDataFrame([(1, "FY2024", "Louis Otieno", "unknown", None), (2, "FY2024", "Grace Njery", "unknown", None)], kind), 0)
+    apply(spark.createDataFrame([(2, "FY2024", "Someone Else", "executive", None), (2, "FY2025", "Grace Njeri", "unknown", None)], kind), 1)
+    got = sorted((r.company_id, r.fiscal_year, r.director_name, r.role, r.gender) for r in ledger.published(spark, root, ledger.PEOPLE).collect())
+    assert got == [(1, "FY2024", "Louis Otieno", "executive", "Male"), (2, "FY2024", "Someone Else", "executive", None), (2, "FY2025", "Grace Njeri", "unknown", None)]
