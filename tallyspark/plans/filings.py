@@ -301,6 +301,38 @@ def pay_table_rows(spark, sf_dir):
     return rd.pay_table_rows(filings(spark, sf_dir)).select("doc_id", "director_name", "starred", "is_total", "total", F.element_at("components", F.lit("Fees")).alias("fees"))
 
 
+# a table of two sections: rows short of one or two cells, a name over two lines, a prior year beside the first
+_PAY_COLUMNS = {"Salary": 1, "Bonus": 2, "Fees": 3, "Sitting Allowance": 4, "Total": 5}
+
+
+def section_pages(spark, sf_dir):
+    s = views.survey(spark, sf_dir).select((F.col("company_id") * 10000 + F.col("year_no")).alias("doc_id"), (F.col("n_lines") + 1000).alias("a"), (F.col("n_units") % 97 + 100).alias("b"))
+    num = lambda c: F.format_number(c, 0)
+    a, b = F.col("a"), F.col("b")
+    text_ = F.concat(
+        F.lit("Directors remuneration\nSalary Bonus Fees Sitting allowance Total\nKShs'000 KShs'000\nExecutive Directors\nPeter Chief "), num(a), F.lit(" "), num(b), F.lit(" "), num(a + b),
+        F.lit("\nMary Second "), num(a), F.lit(" - - - "), num(a), F.lit("\nNon-Executive Directors\nJane Member "), num(b), F.lit(" 40 "), num(b + 40), F.lit("\nJoy Long\nOtieno Name "), num(b), F.lit(" "), num(b),
+        F.lit("\nTwo Years - - "), num(b), F.lit(" 60 "), num(b + 60), F.lit(" - - 1 2 3\nNo Sum 5 6 99\nTotal 1 2 3 4 10"))
+    return s.select("doc_id", F.lit(1).alias("page"), text_.alias("text"))
+
+
+def _section_row(name, role, salary, bonus, fees, sitting, total):
+    return f"SELECT {_DOC} AS doc_id, '{name}' AS director_name, '{role}' AS role, CAST({salary} AS DOUBLE) AS salary, CAST({bonus} AS DOUBLE) AS bonus, CAST({fees} AS DOUBLE) AS fees, CAST({sitting} AS DOUBLE) AS sitting, CAST({total} AS DOUBLE) AS total FROM survey"
+
+
+_A, _B = "(n_lines + 1000)", "(n_units % 97 + 100)"
+
+
+@query("pay_table_gaps", views.oracle(" UNION ALL ".join([
+    _section_row("Peter Chief", "executive", _A, _B, 0, 0, f"{_A} + {_B}"), _section_row("Mary Second", "executive", _A, 0, 0, 0, _A), _section_row("Jane Member", "non_executive", 0, 0, _B, 40, f"{_B} + 40"),
+    _section_row("Joy Long Otieno Name", "non_executive", 0, 0, _B, 0, _B), _section_row("Two Years", "non_executive", 0, 0, _B, 60, f"{_B} + 60"), _section_row("Total", "non_executive", 1, 2, 3, 4, 10)])))
+def pay_table_gaps(spark, sf_dir):
+    """Lost dashes put back where the role leaves a cell blank, wrapped names joined, the first year's block read; a row that does not add up is none."""
+    rows = rd.pay_table_rows(section_pages(spark, sf_dir))
+    cell = lambda label: F.element_at("components", F.lit(label if _PAY_COLUMNS[label] == 1 else f"{label} #{_PAY_COLUMNS[label]}"))
+    return rows.select("doc_id", "director_name", "role", cell("Salary").alias("salary"), cell("Bonus").alias("bonus"), cell("Fees").alias("fees"), cell("Sitting Allowance").alias("sitting"), "total")
+
+
 @query("fee_table", views.oracle(f"SELECT {_DOC} AS doc_id, CAST(4 AS BIGINT) AS rows, CAST(n_lines % 50 + 100 AS DOUBLE) AS ned_retainer, 500::DOUBLE AS chair_retainer FROM survey JOIN company USING (company_id)"))
 def fee_table(spark, sf_dir):
     return rd.fee_table(rd.pay_table_rows(filings(spark, sf_dir)))
@@ -350,6 +382,30 @@ def verified_counts(spark, sf_dir):
     return fg.verify_counts(fg.ground_items(_items(spark, sf_dir), filings(spark, sf_dir)))
 
 
+def stated_items(spark, sf_dir):
+    """Items read from a document: directors, a board size that is one off in some, committees, members, and a pay table whose total is off in others."""
+    s = views.survey(spark, sf_dir).select((F.col("company_id") * 10000 + F.col("year_no")).alias("doc_id"), "n_lines", "n_units")
+    n, u = F.col("n_lines"), F.col("n_units")
+    item = lambda kind, table, name, field, amount, ok=F.lit(True), now=F.lit(None).cast("boolean"): F.struct(
+        F.lit(kind).alias("kind"), F.lit(table).cast("int").alias("table_no"), name.alias("name"), F.lit(field).cast("string").alias("field"), amount.cast("double").alias("amount"), ok.alias("verified"), now.alias("current_year"))
+    blank = F.lit(None).cast("string")
+    directors = F.transform(F.sequence(F.lit(1).cast("long"), n % 5 + 4), lambda i: item("director", None, F.concat(F.lit("Director "), i.cast("string")), None, F.lit(None), i != 2))
+    members = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long")), lambda i: item("member", 1, blank, None, i + u % 4))
+    pay = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long")), lambda i: item("pay_row", 2, F.concat(F.lit("Person "), i.cast("string")), None, i * 100 + n))
+    others = F.array(
+        item("fact", None, blank, "board_size", n % 5 + 3 + F.when(n % 7 == 0, 1).otherwise(0)), item("committee", 1, blank, None, F.lit(5)), item("pay_row", 2, F.lit("Grand total"), None, F.lit(9)),
+        item("pay_total", 2, blank, None, n * 4 + 1000 + F.when(u % 3 == 0, 5).when(u % 3 == 1, 4).otherwise(0)), item("pay_total", 3, blank, None, F.lit(1), now=F.lit(False)))
+    return s.select("doc_id", F.posexplode(F.concat(directors, members, pay, others)).alias("item_id", "x")).select("doc_id", "item_id", "x.*")
+
+
+@query("verification_summary", views.oracle(f"""WITH i AS (SELECT {_DOC} AS doc_id, n_lines % 5 + 4 + 3 + 4 + 5 AS items, CASE WHEN n_lines % 7 = 0 THEN 1 ELSE 0 END AS f1, CASE WHEN 3 + n_units % 4 > 5 THEN 1 ELSE 0 END AS f2, CASE WHEN n_units % 3 = 0 THEN 1 ELSE 0 END AS f3 FROM survey)
+ SELECT doc_id, items, items - 1 AS verified_items, CAST(1 AS BIGINT) AS unverified_items, CAST(f1 + f2 + f3 AS BIGINT) AS checks_failed, CAST(f1 AS BIGINT) AS failed_board_size_vs_listed, CAST(f2 AS BIGINT) AS failed_eligible_le_meetings, CAST(f3 AS BIGINT) AS failed_rows_sum_to_printed_total FROM i"""))
+def verification_summary(spark, sf_dir):
+    """Counts of verified items, and of sums that do not fit what the document states, per rule."""
+    items = stated_items(spark, sf_dir)
+    return fg.verification_summary(items, fg.arithmetic_checks(items))
+
+
 @query("file_checks", views.oracle(f"""WITH f AS (SELECT {_DOC} AS doc_id, n_lines FROM survey JOIN company USING (company_id))
  SELECT doc_id, 'few_pages' AS finding FROM f UNION ALL SELECT doc_id, 'year_never_appears' FROM f WHERE n_lines % 5 = 0 UNION ALL SELECT doc_id, 'name_never_appears' FROM f WHERE n_lines % 7 = 0"""))
 def file_checks(spark, sf_dir):
