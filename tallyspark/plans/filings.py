@@ -199,7 +199,7 @@ def _currency_sql() -> str:
     for entity, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
         h = f"replace({h}, '{entity}', '{ch}')"
     m = text.CURRENCY_MARKERS
-    counts = ", ".join("len(regexp_extract_all(lower(t), '" + p.replace("'", "''") + f"')) AS {k}" for k, p in m.items())
+    counts = ", ".join(" + ".join("len(regexp_extract_all(lower(t), '" + p.replace("'", "''") + "'))" for p in ps) + f" AS {k}" for k, ps in m.items())
     top, total = f"greatest({', '.join(m)})", " + ".join(m)
     name = "CASE " + " ".join(f"WHEN {k} = k THEN '{k}'" for k in m) + " END"
     return f"""WITH d AS (SELECT page_id AS doc_id, {h} AS t, NULL AS country FROM pages UNION ALL SELECT doc_id + 1000000000, text, lang FROM documents),
