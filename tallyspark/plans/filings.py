@@ -261,6 +261,27 @@ def stated_facts(spark, sf_dir):
     return fg.stated_facts(filings(spark, sf_dir)).select("doc_id", "field", "value", "confidence")
 
 
+def board_pages(spark, sf_dir):
+    """Governance pages that state the make-up of a board, the second form in every other row."""
+    s = views.survey(spark, sf_dir).where("executive_directors_count IS NOT NULL AND non_executive_directors_count IS NOT NULL AND independent_neds_count IS NOT NULL")
+    whole = lambda c: F.col(c).cast("int").cast("string")
+    one = F.concat(F.lit("On the Board sit "), whole("executive_directors_count"), F.lit(" executive directors and "), whole("non_executive_directors_count"), F.lit(" non-executive directors. On our board there are "),
+                   whole("independent_neds_count"), F.lit(" of whom are independent non-executive members. Seven committees were proposed to the Board."))
+    two = F.concat(F.lit("The committee has 3 executive directors and 4 non-executive directors. The board maintains "), (F.col("n_lines") % 5 + 2).cast("string"), F.lit(" standing committees. One executive director left the board."))
+    return s.select((F.col("company_id") * 10000 + F.col("year_no")).alias("doc_id"), F.lit(1).alias("page"), F.when(F.col("n_lines") % 2 == 0, one).otherwise(two).alias("text"))
+
+
+_STATED_ALL = "FROM survey WHERE executive_directors_count IS NOT NULL AND non_executive_directors_count IS NOT NULL AND independent_neds_count IS NOT NULL AND n_lines % 2 = "
+
+
+@query("stated_board_counts", views.oracle(f"""SELECT {_DOC} AS doc_id, 'executive_directors_count' AS field, executive_directors_count AS value, 0.85::DOUBLE AS confidence {_STATED_ALL} 0
+ UNION ALL SELECT {_DOC}, 'non_executive_directors_count', non_executive_directors_count, 0.85 {_STATED_ALL} 0 UNION ALL SELECT {_DOC}, 'independent_neds_count', independent_neds_count, 0.8 {_STATED_ALL} 0
+ UNION ALL SELECT {_DOC}, 'committees_per_board', CAST(n_lines % 5 + 2 AS DOUBLE), 0.7 {_STATED_ALL} 1"""))
+def stated_board_counts(spark, sf_dir):
+    """Executives and non-executives stated together, independents of whom, committees with a verb; what only looks like them is left alone."""
+    return fg.stated_facts(board_pages(spark, sf_dir)).select("doc_id", "field", "value", "confidence")
+
+
 @query("cross_validated_facts", views.oracle(f"""WITH f AS (UNPIVOT (SELECT {_DOC} AS doc_id, board_size, directors_male, directors_female, executive_directors_count, non_executive_directors_count, independent_neds_count FROM survey)
   ON board_size, directors_male, directors_female, executive_directors_count, non_executive_directors_count, independent_neds_count INTO NAME field VALUE value),
  g AS (SELECT {_DOC} AS doc_id, directors_male + directors_female <> board_size AS gb, executive_directors_count + non_executive_directors_count <> board_size AS rb, independent_neds_count > non_executive_directors_count AS ib FROM survey)

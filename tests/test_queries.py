@@ -19,6 +19,7 @@ CHECKED = [
     "sector_position", "aligned_statements", "activity_by_account", "user_sessions", "best_subscription", "revenue_by_month", "missing_ranking", "consistency_issues",
     "board_composition", "precedence_merge", "change_set", "document_facts", "statement_lines", "condensed_line_items", "stream_daily_counts", "flattened_tree",
     "exported_portfolio", "exported_group", "stored_pages", "activity_export", "headed_chunks", "headline_backfill", "stream_lockouts", "document_currency", "pages_cited", "survey_overview_by_year",
+    "roster_matches", "files_by_name", "condensed_records_lateral", "late_daily_counts", "imported_years", "extracted_fields", "pay_table_gaps", "verification_summary", "stated_board_counts",
 ]
 
 
