@@ -38,6 +38,8 @@ TOP = 20
 SHARD_DOCS = 1 << 12
 SHARD_TEXT = 1 << 22
 MAX_TERMS = 200_000
+# Shards in a file of the index: Spark reads a file's rows together, so its size bounds what a search task decodes at once.
+FILE_SHARDS = 2
 # Ranges of an item that are halved in a round; and terms of the items that are searched for together, which bounds a task's memory.
 BEAM = 24
 TERMS_AT_ONCE = 600
@@ -202,7 +204,8 @@ def grids(docs: DataFrame, shard_docs: int = SHARD_DOCS, shard_text: int = SHARD
     """The index, a row for each shard, written once; and N."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     documents, total = corpus_size(rows)
-    return pin(rows.mapInArrow(_grids(documents, total, shard_docs, shard_text), _GRID), "grids", compression="zstd"), documents
+    index = rows.mapInArrow(_grids(documents, total, shard_docs, shard_text), _GRID)
+    return pin(index, "grids", compression="zstd", maxRecordsPerFile=str(FILE_SHARDS)), documents
 
 
 # Search

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import lexical
 
@@ -107,3 +108,10 @@ def test_odd_rows(spark, odd, nothing):
     assert lexical.ranked(nothing, asked).count() == 0
     assert lexical.ranked(odd, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert lexical.ranked(odd, asked).schema.simpleString() == "struct<item_id:bigint,rank:int,doc_id:bigint,score:bigint>"
+
+
+def test_a_file_of_the_index_holds_few_shards(spark):
+    docs = spark.createDataFrame([(i, f"word{i} common") for i in range(40)], "doc_id long, text string").coalesce(1)
+    index, n = lexical.grids(docs, shard_docs=2)
+    assert n == 40 and index.count() == 20
+    assert {r["count"] for r in index.groupBy(F.input_file_name()).count().collect()} == {lexical.FILE_SHARDS}
