@@ -15,6 +15,8 @@ from ..sources.tables import SCHEMAS
 
 MAX_FAILURES, LOCK_MINUTES = 5, 15
 SLOT_US = 15 * 60_000_000
+# Entries of one account and micro-batch that are sorted in memory; those of a busier one go through the state, a slot at a time.
+HELD_ENTRIES = 50_000
 
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -76,39 +78,61 @@ def split_sessions(found: DataFrame, cap_hours: int = 12) -> DataFrame:
 class Lockout(StatefulProcessor):
     """Failures in a row, and until when the account is locked; attempts while locked do not count.
 
-    An account's entries of a micro-batch arrive in pieces. They are put into a state map by quarter of an hour, then read back slot by slot, each
-    sorted by itself, so no more than one slot of one account is in memory at once; the map is empty again when the batch ends. A timer at
-    the end of the lock removes what is left of it, so the state holds only accounts that are locked or have failed since they last succeeded.
+    An account's entries of a micro-batch arrive in pieces. Up to ``held`` of them are sorted as they are; when there are more, they are put into a
+    state map by quarter of an hour, then read back slot by slot, each sorted by itself, so no more than ``held`` entries or one slot of one account are
+    in memory at once; the map is empty again when the batch ends. A timer at the end of the lock removes what is left of it, so the state holds only
+    accounts that are locked or have failed since they last succeeded.
     """
 
+    def __init__(self, held: int = HELD_ENTRIES) -> None:
+        self.held = held
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.now = handle.getValueState("now", "failures int, until long")
         self.waiting = handle.getMapState("waiting", "slot long", "entries string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def _put(self, entries: list[tuple[int, int, int]]) -> None:
+        slots: dict[int, list[str]] = {}
+        for us, i, failed in entries:
+            slots.setdefault(us // SLOT_US, []).append(f"{us},{i},{failed};")
+        for slot, part in slots.items():
+            before = self.waiting.getValue((slot,))[0] if self.waiting.containsKey((slot,)) else ""
+            self.waiting.updateValue((slot,), (before + "".join(part),))
+
+    def _in_order(self, rows) -> Iterator[tuple[int, int, int]]:
+        held: list[tuple[int, int, int]] = []
+        put = False
         for piece in rows:
-            for slot, part in piece.groupby(piece["us"] // SLOT_US):
-                slot = (int(slot),)
-                held = self.waiting.getValue(slot)[0] if self.waiting.containsKey(slot) else ""
-                self.waiting.updateValue(slot, (held + "".join(f"{us},{i},{int(f)};" for us, i, f in zip(part["us"], part["id"], part["failed"])),))
-        failures, until = self.now.get() if self.now.exists() else (0, 0)
-        out, before = [], until
+            held += zip(piece["us"].tolist(), piece["id"].tolist(), piece["failed"].astype(int).tolist())
+            if len(held) > self.held:
+                self._put(held)
+                held, put = [], True
+        if not put:
+            yield from sorted(held)
+            return
+        self._put(held)
         for (slot,) in sorted(list(self.waiting.keys())):
             entries = sorted(tuple(map(int, e.split(","))) for e in self.waiting.getValue((slot,))[0].split(";")[:-1])
             self.waiting.removeKey((slot,))
-            for us, _, failed in entries:
-                if us < until:
-                    continue
-                failures = failures + 1 if failed else 0
-                if failures >= MAX_FAILURES:
-                    until, failures = us + LOCK_MINUTES * 60_000_000, 0
-                    out.append((key[0], us, until))
+            yield from entries
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.now.exists()
+        failures, until = self.now.get() if known else (0, 0)
+        out, before = [], until
+        for us, _, failed in self._in_order(rows):
+            if us < until:
+                continue
+            failures = failures + 1 if failed else 0
+            if failures >= MAX_FAILURES:
+                until, failures = us + LOCK_MINUTES * 60_000_000, 0
+                out.append((key[0], us, until))
         if failures or until > timerValues.getCurrentWatermarkInMs() * 1000:
             self.now.update((failures, until))
             if until != before:
                 self.handle.registerTimer(-(-until // 1000))
-        else:
+        elif known:
             self.now.clear()
         yield pd.DataFrame(out, columns=["user_id", "locked_at_us", "locked_until_us"])
 
