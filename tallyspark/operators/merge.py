@@ -253,7 +253,7 @@ def reconcile_people(register: DataFrame, pay_people: DataFrame, keys: list[str]
     takes them from the pay row of the same person. A register of fewer than ``least`` people beside a pay table of at least as many takes
     in the pay-table people that are nobody on it.
     """
-    pairs = same_person_join(register, pay_people, keys)
+    pairs = cut(same_person_join(register, pay_people, keys))  # read more than once
     a, b = similarity.name_words("name_a"), similarity.name_words("name_b")
     pairs = pairs.withColumns({
         "__unlike": (names.person_key("name_a") != names.person_key("name_b")).cast("int"), "__words": -F.size(F.array_intersect(a, b)),
