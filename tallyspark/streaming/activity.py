@@ -155,8 +155,9 @@ def lockouts(stream: DataFrame, failed: str = "error", late: str = "1 hour") ->
     Its state needs the RocksDB store, which this sets for streams that the session starts from now on.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    s = stream.withWatermark("created_at", late).select("user_id", "id", "created_at", F.unix_micros("created_at").alias("us"), (F.col("action") == failed).alias("failed"))
-    locked = s.where(F.col("user_id").isNotNull()).groupBy("user_id").transformWithStateInPandas(
+    last = F.coalesce("id", F.lit(2**63 - 1))  # of entries at one moment those without an id come last; one without a time locks nothing
+    s = stream.withWatermark("created_at", late).select("user_id", last.alias("id"), "created_at", F.unix_micros("created_at").alias("us"), F.coalesce(F.col("action") == failed, F.lit(False)).alias("failed"))
+    locked = s.where(F.col("user_id").isNotNull() & F.col("us").isNotNull()).groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=Lockout(), outputStructType="user_id long, locked_at_us long, locked_until_us long", outputMode="Append", timeMode="EventTime")
     return locked.select("user_id", F.timestamp_micros("locked_at_us").alias("locked_at"), F.timestamp_micros("locked_until_us").alias("locked_until"))
 
