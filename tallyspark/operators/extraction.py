@@ -6,7 +6,6 @@ field, numbers of its kind in sentences that use one of its phrases compete by t
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -65,16 +64,12 @@ def typed_numbers(sentence: Column) -> Column:
     return F.transform(placed, typed)
 
 
-def _phrase_words(phrase: str) -> list[str]:
-    return [w for w in dict.fromkeys(re.findall("[a-z]+", phrase.lower())) if len(w) >= 3 and w not in text.STOP_WORDS]
-
-
 def _terms_table(ontology: dict[str, dict[str, list[str]]]) -> Column:
     """field -> its kind, phrases, and the words its noun phrase must and may not hold."""
     cells = []
     for field, entry in ontology.items():
         must, bad = NOUNS.get(field, ("", "^$"))
-        known = [F.struct(F.lit(p).alias("text"), F.array(*[F.lit(w) for w in _phrase_words(p)]).cast("array<string>").alias("words")) for p in entry.get("synonyms", [])]
+        known = [F.struct(F.lit(p).alias("text"), F.array(*[F.lit(w) for w in text.phrase_words(p)]).cast("array<string>").alias("words")) for p in entry.get("synonyms", [])]
         phrases = F.array(*known) if known else F.array().cast("array<struct<text:string,words:array<string>>>")
         cells += [F.lit(field), F.struct(F.lit(field_kind(field)).alias("kind"), phrases.alias("phrases"), F.lit(must).alias("must"), F.lit(bad).alias("bad"))]
     return F.create_map(*cells)
@@ -104,20 +99,25 @@ def _best_in_sentence(read: Column, no: Column, terms: Column) -> Column:
             at, F.array(F.coalesce(F.try_element_at(at, F.lit(-1)), F.lit(0)) + F.length(x) + F.length(p))))
         return F.transform(ends, lambda e: F.struct((e - F.length(p)).alias("begin"), e.alias("end")))
 
-    used = F.transform(F.filter(terms["phrases"], lambda p: F.contains(low, p["text"])), lambda p: p["text"])
-    mentions = F.flatten(F.transform(used, spots))
-    loose = F.exists(terms["phrases"], lambda p: text.coverage(p["words"], words) > 0)
-
-    def candidate(n: Column) -> Column:
-        distance = F.coalesce(F.array_min(F.transform(mentions, lambda m: _gap(n, m["begin"], m["end"]))), F.when(loose, F.lit(LOOSE_DISTANCE)))
+    def candidate(n: Column, m: Column) -> Column:
+        distance = F.coalesce(F.array_min(F.transform(m["mentions"], lambda x: _gap(n, x["begin"], x["end"]))), F.when(m["loose"], F.lit(LOOSE_DISTANCE)))
         noun = F.regexp_extract(F.substr(low, n["end"] + 1, F.lit(60)), r"^(.*?)(?:[,;.\d]|\band\b|\bof whom\b|$)", 1)
         named = (terms["must"] == "") | (F.regexp_like(noun, terms["must"]) & ~F.regexp_like(noun, terms["bad"]))
         named = named | ((terms["kind"] == "age") & F.regexp_like(low, terms["must"]) & ~F.regexp_like(low, terms["bad"]))
-        return F.when((n["kind"] == terms["kind"]) & named, F.struct(distance.alias("distance"), no.alias("no"), n["value"].alias("value"), sentence.alias("sentence")))
+        return F.when(named, F.struct(distance.alias("distance"), no.alias("no"), n["value"].alias("value"), sentence.alias("sentence")))
 
-    numbers = F.filter(F.transform(read["numbers"], candidate), lambda c: c["distance"].isNotNull())
-    answer = F.when(F.size(mentions) > 0, F.struct(F.lit(0).alias("distance"), no.alias("no"), F.when(low.rlike(NEGATION), 0.0).otherwise(1.0).alias("value"), sentence.alias("sentence")))
-    return F.when(terms["kind"] == "answer", answer).otherwise(F.array_min(numbers))
+    def nearest(found: Column) -> Column:
+        """Of numbers of the field's kind; what the sentence mentions is found once for all of them, and only where there are any."""
+        used = F.transform(F.filter(terms["phrases"], lambda p: F.contains(low, p["text"])), lambda p: p["text"])
+        loose = F.exists(terms["phrases"], lambda p: text.coverage(p["words"], words) > 0)
+        told = F.array(F.struct(F.flatten(F.transform(used, spots)).alias("mentions"), loose.alias("loose")))
+        each = F.transform(told, lambda m: F.array_min(F.filter(F.transform(found, lambda n: candidate(n, m)), lambda c: c["distance"].isNotNull())))
+        return F.when(F.size(found) > 0, each[0])
+
+    mine = F.filter(read["numbers"], lambda n: n["kind"] == terms["kind"])
+    said = F.exists(terms["phrases"], lambda p: F.contains(low, p["text"]))
+    answer = F.when(said, F.struct(F.lit(0).alias("distance"), no.alias("no"), F.when(low.rlike(NEGATION), 0.0).otherwise(1.0).alias("value"), sentence.alias("sentence")))
+    return F.when(terms["kind"] == "answer", answer).otherwise(F.transform(F.array(mine), nearest)[0])
 
 
 def candidates(chunks: DataFrame, ontology: dict[str, dict[str, list[str]]] = FIELD_TERMS, top: int = 5, sentences: int = 3) -> DataFrame:
@@ -126,21 +126,27 @@ def candidates(chunks: DataFrame, ontology: dict[str, dict[str, list[str]]] = FI
     Of a field's ``top`` best chunks all that hold a value are kept, with their ``sentences`` best sentences; where none does, the first other chunk
     that uses its phrases and holds one.
     """
+    # reading costs far more than its bytes tell, so chunks are dealt to as many tasks as a shuffle has, which small files and merged partitions would not give
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = chunks.repartition(tasks, "doc_id", "page", "first_line")
     read = pin(chunks, __read=F.transform(text.sentences("text"), _read))  # once a chunk, for all fields
     scored = chunk_scores(read, ontology)
-    place = F.row_number().over(W.partitionBy("doc_id", "field").orderBy(F.col("score").desc(), "page", "first_line"))  # chunks of one document
     table = _terms_table(ontology)
-    rows = scored.withColumn("place", place).withColumn("__terms", F.element_at(table, F.col("field"))).where("__terms.kind <> 'name'")
+    rows = pin(scored, __terms=F.element_at(table, F.col("field"))).where("__terms.kind <> 'name'")
     found = F.transform("__read", lambda s, i: _best_in_sentence(s, i, F.col("__terms")))
-    rows = rows.withColumn("__found", F.slice(F.array_sort(F.array_compact(found)), 1, sentences)).where(F.size("__found") > 0)
+    # what a field finds is read where the chunk is, so that only the best sentences travel
+    rows = pin(rows, __found=F.slice(F.array_sort(F.array_compact(found)), 1, sentences), __kind=F.col("__terms.kind"))
+    rows = rows.select("doc_id", "page", "first_line", "field", "score", "__found", "__kind")
+    place = F.row_number().over(W.partitionBy("doc_id", "field").orderBy(F.col("score").desc(), "page", "first_line"))  # chunks of one document
+    rows = rows.withColumn("place", place).where(F.size("__found") > 0)
     both = W.partitionBy("doc_id", "field")
     rows = rows.withColumn("__first", F.min("place").over(both)).withColumn("__page", F.min(F.struct("page", "first_line")).over(both))
     kept = rows.where((F.col("place") <= top) | ((F.col("__first") > top) & (F.struct("page", "first_line") == F.col("__page"))))
     kept = kept.withColumn("__best", F.explode("__found"))
-    counted = F.col("__terms.kind").isin("count", "answer")
+    counted = F.col("__kind").isin("count", "answer")
     precise = F.when(F.col("__best.distance") <= PRECISE, 0.7).otherwise(0.5)
     strength = F.greatest(F.least(F.lit(1.0), F.col("score") / 1.3), precise) * F.when(counted, 1.0).otherwise(0.9)
-    return kept.select("doc_id", "field", "__terms.kind", "page", "first_line", "place", "__best.value", "__best.sentence", "__best.distance", F.bround(strength, 2).alias("confidence"))
+    return kept.select("doc_id", "field", F.col("__kind").alias("kind"), "page", "first_line", "place", "__best.value", "__best.sentence", "__best.distance", F.bround(strength, 2).alias("confidence"))
 
 
 def extract_fields(chunks: DataFrame, ontology: dict[str, dict[str, list[str]]] = FIELD_TERMS, top: int = 5, least: float = 0.45) -> DataFrame:

@@ -17,6 +17,14 @@ def fields(spark, *rows, **options):
     return {(r.doc_id, r.field): (r.value, r.page, r.confidence) for r in ex.extract_fields(chunks(spark, *rows), **options).collect()}
 
 
+def test_reading_is_dealt_to_all_tasks_and_hints_are_known_beforehand(spark):
+    some = chunks(spark, (1, 1, "Board of directors", "The board comprises 9 directors."))
+    plan = ex.candidates(some, FIELD_TERMS)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    scored = fg.chunk_scores(some, FIELD_TERMS)._jdf.queryExecution().optimizedPlan().toString()
+    assert scored.count("regexp_extract_all(") <= 4  # words of the chunk, never those of a hint
+
+
 @pytest.mark.parametrize("sentence,want", [
     ("The board comprises eleven directors.", [("count", 11.0)]),
     ("KShs 1,250,000 was paid", [("amount", 1250000.0)]), ("a fee of $ 2.5 million and KES 300", [("amount", 2.5e6), ("amount", 300.0)]),
