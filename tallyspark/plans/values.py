@@ -35,7 +35,7 @@ def doubled_words_repaired(spark, sf_dir):
 def pages_cited(spark, sf_dir):
     li = views.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.col("l_quantity").cast("long").alias("q"), "l_quantity").distinct()
     note = F.concat(F.lit("see pages "), F.col("l_linenumber").cast("string"), F.lit(" - "), (F.col("l_linenumber") + F.col("q")).cast("string"), F.lit(" and Page 99"))
-    return li.select("l_orderkey", "l_linenumber", F.array_join(F.transform(text.cited_pages(note), lambda p: p.cast("string")), ",").alias("pages"))
+    return li.select("l_orderkey", "l_linenumber", F.array_join(text.cited_pages(note).cast("array<string>"), ",").alias("pages"))
 
 
 @query("json_maps", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS kind, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 2 END AS entries FROM events""")
