@@ -159,7 +159,10 @@ def stream_payments_applied_once(spark, sf_dir):
 
 
 def dropped_files(spark, sf_dir):
-    """Survey files that arrive in three drops: all of them; a third again with another board size; then some with a single figure."""
+    """Survey files that arrive in three drops: all of them; a third again with another board size; then some with a single figure.
+
+    Gives the stream of what has arrived each time a drop is there; a drop is written by as many tasks as have rows of it.
+    """
     from .reports import survey_files
 
     files = survey_files(spark, sf_dir)
@@ -170,8 +173,8 @@ def dropped_files(spark, sf_dir):
     third = files.where(number % 5 == 0).select(F.concat("file", F.lit("-late")).alias("file"), F.concat(head, F.lit("Turnover: 77\n===BOARD_COMPOSITION===\n")).alias("content"))
     folder = sinks.shared_folder(spark, "drops", shared_base(spark))
     for i, part in enumerate((files, second, third)):
-        part.coalesce(1).write.parquet(f"{folder}/drop={i}")
-    return spark.readStream.schema("file string, content string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/drop=*")
+        part.write.parquet(f"{folder}/drop={i}")
+        yield spark.readStream.schema("file string, content string").parquet(f"{folder}/drop=*")
 
 
 @query("imported_years", views.oracle("""WITH v AS (SELECT 'Company ' || CAST(company_id AS VARCHAR) AS company_name, * EXCLUDE (sector) FROM survey)
@@ -182,7 +185,8 @@ def dropped_files(spark, sf_dir):
 def imported_years(spark, sf_dir):
     """Files imported batch by batch: parsed, merged into the years they touch, published whole."""
     root = sinks.shared_folder(spark, "imported", shared_base(spark))
-    sinks.run_available(dropped_files(spark, sf_dir), ledger.survey_importer(root), f"{root}-checkpoint", "append")
+    for arrived in dropped_files(spark, sf_dir):  # each run takes what is new as one batch
+        sinks.run_available(arrived, ledger.survey_importer(root), f"{root}-checkpoint", "append")
     return ledger.published(spark, root, ledger.VALUES).select("company_name", "fiscal_year", "field", "value")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge
+from ..session import cut
 from ..sources import textfiles
 from .ingest import exists
 
@@ -79,11 +80,15 @@ def survey_importer(root: str, step: Callable[[str], None] | None = None) -> Cal
     merge_in = upserter(root, VALUES, ["company_name", "fiscal_year", "field"], "coalesce", "fiscal_year", step)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        parsed = textfiles.parse_survey(batch.where(textfiles.sniff_format("content") == "survey_data"))
+        if exists(batch.sparkSession, f"{root}/ledger/entry={batch_id}/_SUCCESS"):
+            return
+        # a batch may be one file of the store: its texts are dealt out before they are parsed, and the parsed values are written, since counting and writing read them
+        tasks = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parsed = textfiles.parse_survey(batch.where(textfiles.sniff_format("content") == "survey_data").repartition(tasks, "file"))
         head = parsed["headers"].select("file", "company_name", "fiscal_year").where("company_name IS NOT NULL AND fiscal_year IS NOT NULL")
         last = F.max(F.struct("file", "value"))
         values = parsed["values"].join(head, "file").groupBy("company_name", "fiscal_year", "field").agg(last.alias("l"))
-        merge_in(values.select("company_name", "field", "l.value", "l.file", "fiscal_year"), batch_id)
+        merge_in(cut(values.select("company_name", "field", "l.value", "l.file", "fiscal_year")), batch_id)
 
     return apply
 

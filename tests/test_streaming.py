@@ -185,6 +185,15 @@ def test_a_batch_that_ends_between_its_steps_leaves_no_half_year(spark, tmp_path
     assert held() == second and sorted((r.batch, r.year, r.rows) for r in ledger.ledger(spark, root).collect()) == [(0, "FY2024", 2), (0, "FY2025", 1), (1, "FY2024", 3)]
 
 
+def test_texts_of_a_batch_are_dealt_out_and_parsed_once(spark, tmp_path, monkeypatch):
+    plans, kept = [], ledger.cut
+    monkeypatch.setattr(ledger, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    root = f"{tmp_path}/years"
+    ledger.survey_importer(root)(spark.createDataFrame([("f", survey_file("A", "FY2024", BoardSize=9))], "file string, content string").coalesce(1), 0)
+    assert len(plans) == 1 and "REPARTITION_BY_NUM" in plans[0]
+    assert [(r.company_name, r.value) for r in ledger.published(spark, root, ledger.VALUES).collect()] == [("A", 9.0)]
+
+
 def test_a_version_that_lost_rows_is_not_published(spark, tmp_path):
     rows = spark.createDataFrame([("A", "x", 1.0, "f", "FY2024"), ("B", "x", 1.0, "f", "FY2024")], ledger.VALUES)
 
