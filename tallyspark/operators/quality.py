@@ -11,6 +11,7 @@ from ..functions import fields as fl
 from ..functions import labels, money
 from ..functions.numeric import accounting_number, is_number
 from . import stats
+from .carry import pin
 
 LOW_CONFIDENCE = 0.75
 REVIEW_FLOOR = 0.45
@@ -286,22 +287,22 @@ def clean_pay_rows(rows: DataFrame) -> DataFrame:
     """
     name = F.regexp_replace(F.trim("director_name"), r"[\*†‡^#]+$", "")
     name = F.trim(F.regexp_replace(name, r"\s*\(\s*\d{1,2}\s*\)\s*$", ""))
-    df = rows.withColumn("clean_name", name).where(
+    # what the next step reads more than once is pinned, or filters would work it out anew for each mention
+    df = pin(rows, components=F.col("components"), clean_name=name).where(
         (F.col("clean_name") != "") & ~F.col("clean_name").rlike(r"^(?:19|20)\d\d$")
         & ~F.exists(F.map_keys("components"), lambda k: F.length(k) > 70))
     amounts = F.filter(F.transform(F.map_entries("components"), lambda e: F.struct(
         e["key"].alias("k"), accounting_number(e["value"]).alias("v"),
         F.coalesce(F.regexp_extract(e["key"], r"\b((?:19|20)\d\d)\b", 1).try_cast("int"), F.lit(0)).alias("y"))), lambda e: e["v"].isNotNull())
-    total_cols = F.filter(F.col("__a"), lambda e: e["k"].rlike(r"(?i)\btotal\b"))
-    mine = F.filter(total_cols, lambda e: (e["y"] == 0) | (e["y"] == F.col("year")))
+    df = pin(df, __a=amounts, is_total_name=F.lower("clean_name").rlike(r"^(?:grand\s+)?total(?:\s+.*)?$"))
+    df = pin(df, __totals=F.filter("__a", lambda e: e["k"].rlike(r"(?i)\btotal\b")))
+    mine = F.filter("__totals", lambda e: (e["y"] == 0) | (e["y"] == F.col("year")))
     picked = F.array_max(F.transform(mine, lambda e: F.struct(e["y"].alias("y"), e["v"].alias("v"))))["v"]
-    is_total = F.lower("clean_name").rlike(r"^(?:grand\s+)?total(?:\s+.*)?$")
-    df = df.withColumns({"__a": amounts, "is_total_name": is_total}).withColumn(
-        "total", F.coalesce(accounting_number("total"), picked))
+    df = pin(df, total=F.coalesce(accounting_number("total"), picked))
     words = F.size(F.split("clean_name", r"\s+"))
-    return df.where(
-        F.col("is_total_name") | ((F.size("__a") > 0) & (words <= 6) & ~(F.col("total").isNull() & (F.size(total_cols) > 0)))
-    ).withColumn("is_grand_total", F.lower("clean_name").rlike(r"^(?:grand\s+)?total$")).drop("__a", "director_name").withColumnRenamed("clean_name", "director_name")
+    kept = df.where(F.col("is_total_name") | ((F.size("__a") > 0) & (words <= 6) & ~(F.col("total").isNull() & (F.size("__totals") > 0))))
+    return kept.select(*[c for c in rows.columns if c != "director_name"], F.col("clean_name").alias("director_name"), "is_total_name",
+                       F.lower("clean_name").rlike(r"^(?:grand\s+)?total$").alias("is_grand_total"))
 
 
 def drop_prior_year_tables(rows: DataFrame, headings: DataFrame) -> DataFrame:

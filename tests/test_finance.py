@@ -114,6 +114,7 @@ def test_pay_rows_are_cleaned(spark):
     df = spark.createDataFrame(rows, "director_name string, components map<string,string>, total string, year int")
     got = {r["director_name"]: (r["total"], r["is_grand_total"]) for r in qu.clean_pay_rows(df).collect()}
     assert got == {"Patricia Ithau": (1200.0, False), "Total": (5000.0, True)}
+    assert qu.clean_pay_rows(df)._jdf.queryExecution().optimizedPlan().toString().count("map_entries(") == 1  # amounts are read once a row
 
 
 def test_fixed_fee_component(spark):
