@@ -9,12 +9,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, block: Column) -> DataFrame:
+def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, block: Column | None) -> DataFrame:
     """``name`` = last non-null ``value`` up to each row in ``order``.
 
     ``block`` is a coarse, order-preserving bucket of the order columns (for pages: page div 50). Rows are ordered inside
-    (key, block); what enters a block is carried over the block summaries, which are smaller by the block size.
+    (key, block); what enters a block is carried over the block summaries, which are smaller by the block size. Without a block a key is small, as
+    the lines of a page are: nothing enters it, so its rows are read once. Rows without a key are left out either way.
     """
+    if block is None:
+        whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return df.dropna(subset=list(keys)).withColumn(name, F.last(value, ignorenulls=True).over(whole))
     b = df.withColumn("__b", block)
     inner = W.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     last = F.max(F.when(F.col(value).isNotNull(), F.struct(*[F.col(o) for o in order], F.col(value).alias("__val"))))
