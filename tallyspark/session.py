@@ -49,3 +49,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_base(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` marked for joins that deal out and sort both sides. Spark guesses a size from files, whatever functions and ``explode`` make of the rows,
+    and a side it takes for small is gathered in the driver to be broadcast."""
+    return df.hint("merge")
