@@ -476,8 +476,8 @@ def matched_files(spark, sf_dir):
 @query("same_person_pairs")
 def same_person_pairs(spark, sf_dir):
     """Register names against pay-table names of the same company and year."""
-    reg = views.view(spark, sf_dir, "register").select("company_id", "y", "director_name")
-    pay = views.view(spark, sf_dir, "pay_row").select("company_id", "y", "director_name")
+    reg = views.view(spark, sf_dir, "register", sorted_in=("part",)).select("company_id", "y", "director_name")
+    pay = views.view(spark, sf_dir, "pay_row", sorted_in=("part",)).select("company_id", "y", "director_name")
     return mt.same_person_join(reg, pay, ["company_id", "y"])
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fields as fl
+from ..session import shuffled
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -260,9 +261,10 @@ def _used(sql: str) -> list[str]:
     return [t for t in TABLES if "{" + t + "}" in sql]
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, sorted_in: tuple[str, ...] = ()) -> DataFrame:
+    """One derived view; the tables that ``sorted_in`` names are joined by shuffles, not broadcast, however small their files."""
     sql = VIEWS[name]
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in _used(sql)})
+    return spark.sql(sql, **{t: shuffled(table(spark, sf_dir, t)) if t in sorted_in else table(spark, sf_dir, t) for t in _used(sql)})
 
 
 def oracle(sql: str) -> str:
